@@ -33,17 +33,17 @@ def metric_by_type(panel: DataFrame, metrics: Sequence[str] = METRICS, by: str =
 
 
 def count_by_type(panel: DataFrame, by: str = "org_type", types: Sequence[str] = ORG_TYPES) -> DataFrame:
-    """Rows per (snapshot, type), total per snapshot, week-over-week delta
-    of the type count (first snapshot = 0)."""
-    g = panel.groupBy("snapshot_date", "t", by).agg(F.count(F.lit(1)).alias("n"))
-    grid = type_grid(snapshot_dim(panel), types, by)
-    d = densify(g.drop("t"), grid.select("snapshot_date", by), ["snapshot_date", by], {"n": 0})
-    d = d.join(F.broadcast(snapshot_dim(panel)), "snapshot_date")
-    w = Window.partitionBy(by).orderBy("t")
-    return (d.withColumn("total", F.sum("n").over(Window.partitionBy("snapshot_date")))
-            .withColumn("delta", F.coalesce(F.col("n") - F.lag("n").over(w), F.lit(0)))
-            .select("snapshot_date", by, F.col("n").cast("long").alias("n"),
-                    F.col("total").cast("long").alias("total"), F.col("delta").cast("long").alias("delta")))
+    """Rows per (snapshot, type), the snapshot total and its
+    week-over-week delta (first snapshot = 0)."""
+    g = panel.groupBy("snapshot_date", by).agg(F.count(F.lit(1)).alias("n"))
+    dim = snapshot_dim(panel)
+    d = densify(g, type_grid(dim, types, by), ["snapshot_date", by], {"n": 0})
+    tot = d.groupBy("snapshot_date").agg(F.sum("n").alias("total")).join(F.broadcast(dim), "snapshot_date")
+    w = Window.orderBy("t")  # one row per snapshot
+    tot = tot.withColumn("delta", F.coalesce(F.col("total") - F.lag("total").over(w), F.lit(0)))
+    return d.join(tot, "snapshot_date").select(
+        "snapshot_date", by, F.col("n").cast("long").alias("n"), F.col("total").cast("long").alias("total"),
+        F.col("delta").cast("long").alias("delta"))
 
 
 def type_vectors(panel: DataFrame, types: Sequence[str] = ORG_TYPES) -> DataFrame:

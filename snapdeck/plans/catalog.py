@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import enrich, trends
+from ..operators import enrich, longitudinal, ranking, trends
 from ..sources import driver
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,3 +33,186 @@ def rejoined(spark, sf):
 @query
 def metric_by_type(spark, sf):
     return trends.metric_by_type(baked(spark, sf))
+
+
+# --- core trends -----------------------------------------------------------
+
+@query
+def org_type_resolved(spark, sf):
+    """B8 regime b (scrape type first, non-canonical -> individual), per type."""
+    from pyspark.sql import functions as F
+    return rejoined(spark, sf).groupBy("snapshot_date", "org_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def count_by_type(spark, sf):
+    return trends.count_by_type(baked(spark, sf))
+
+
+@query
+def type_vectors(spark, sf):
+    return trends.type_vectors(rejoined(spark, sf))
+
+
+@query
+def hub_totals(spark, sf):
+    from ..functions.tags import has_paper
+    p = driver.panel(spark, sf)
+    return trends.hub_totals(p.withColumn("has_paper", has_paper("tags")), flag="has_paper")
+
+
+@query
+def type_shares(spark, sf):
+    """Share of all-time downloads per type, individuals excluded."""
+    return trends.type_shares(trends.metric_by_type(baked(spark, sf)), "downloadsAllTime", exclude=("individual",))
+
+
+@query
+def company_share(spark, sf):
+    """Company share of non-individual likes per snapshot."""
+    from pyspark.sql import functions as F
+    s = trends.type_shares(trends.metric_by_type(baked(spark, sf)), "likes", exclude=("individual",))
+    return s.filter(F.col("org_type") == "company").select("snapshot_date", "value", "total", "share")
+
+
+@query
+def presence_outcome(spark, sf):
+    return trends.presence_outcome(rejoined(spark, sf))
+
+
+# --- ranking -----------------------------------------------------------------
+
+@query
+def topn_items(spark, sf):
+    return ranking.topn_items(baked(spark, sf), n=10)
+
+
+@query
+def topn_accounts(spark, sf):
+    return ranking.topn_accounts(rejoined(spark, sf), n=2)
+
+
+@query
+def by_account(spark, sf):
+    return ranking.by_account(driver.panel(spark, sf)).drop("t")
+
+
+@query
+def account_ranks(spark, sf):
+    acc = ranking.by_account(rejoined(spark, sf))
+    return ranking.account_ranks(acc, top=2000)
+
+
+@query
+def ever_in_pool(spark, sf):
+    """G1: datasets ever in a weekly top-100 by 30-day, likes, all-time or growth."""
+    from ..operators import longitudinal
+    p = driver.panel(spark, sf)
+    pool = ranking.ever_in_pool(p, "_id", ["downloads", "likes", "downloadsAllTime"], 100)
+    g = longitudinal.growth(p, top=100).select("_id")
+    return pool.unionByName(g).distinct()
+
+
+@query
+def pool_series(spark, sf):
+    """G2 + D7: the full rows of the accounts ever in a weekly top-5 pool."""
+    acc = ranking.by_account(driver.panel(spark, sf))
+    pool = ranking.ever_in_pool(acc, "author", ["dl", "lk"], 5)
+    return ranking.pool_rows(acc, pool, "author").drop("t")
+
+
+@query
+def top_latest(spark, sf):
+    """The 100 largest datasets of the latest snapshot by all-time downloads."""
+    return ranking.top_latest(driver.panel(spark, sf), 100, "downloadsAllTime").select(
+        "_id", "id", "downloadsAllTime")
+
+
+@query
+def topn_membership(spark, sf):
+    return ranking.membership(baked(spark, sf), n=10)
+
+
+@query
+def top7_per_type(spark, sf):
+    acc = ranking.by_account(rejoined(spark, sf))
+    return ranking.top_k_panel(ranking.latest(acc), k=2, metric="dl")
+
+
+@query
+def group_share(spark, sf):
+    """each dataset's share of its type's 30-day downloads, per snapshot."""
+    from pyspark.sql import functions as F
+    d = ranking.group_share(baked(spark, sf), ["snapshot_date", "org_type"], "downloads")
+    return d.select("snapshot_date", "_id", "org_type", F.col("share").cast("decimal(20,8)").alias("share"))
+
+
+# --- longitudinal ------------------------------------------------------------
+
+@query
+def weekly_spikes(spark, sf):
+    return longitudinal.spikes(baked(spark, sf), top=5).drop("t")
+
+
+@query
+def spike_summary(spark, sf):
+    return longitudinal.spike_summary(longitudinal.spikes(baked(spark, sf), top=5), top=25)
+
+
+@query
+def account_gain(spark, sf):
+    acc = ranking.by_account(driver.panel(spark, sf))
+    return longitudinal.like_gain(acc).drop("t")
+
+
+@query
+def newly_added(spark, sf):
+    return longitudinal.newly_added(baked(spark, sf))
+
+
+@query
+def newly_added_cumulative(spark, sf):
+    return longitudinal.newly_added_cumulative(driver.panel(spark, sf))
+
+
+@query
+def growth_since_baseline(spark, sf):
+    return longitudinal.growth(driver.panel(spark, sf), top=100)
+
+
+@query
+def latest_attrs(spark, sf):
+    from pyspark.sql import functions as F
+    a = longitudinal.latest_attrs(driver.panel(spark, sf))
+    return a.withColumn("tags", F.array_join(F.array_sort("tags"), "|"))
+
+
+@query
+def series_bounds(spark, sf):
+    return longitudinal.series_bounds(driver.panel(spark, sf), ["downloads", "downloadsAllTime"])
+
+
+@query
+def entity_history(spark, sf):
+    """The full history of one dataset looked up by its current name."""
+    from pyspark.sql import functions as F
+    h = longitudinal.entity_history(driver.panel(spark, sf), "Customer#000000007")
+    return h.withColumn("tags", F.array_join(F.coalesce("tags", F.array().cast("array<string>")), "|"))
+
+
+@query
+def frozen_snapshots(spark, sf):
+    return longitudinal.frozen(driver.panel(spark, sf))
+
+
+@query
+def smoothed_series(spark, sf):
+    return longitudinal.drivers(rejoined(spark, sf))
+
+
+@query
+def entity_series(spark, sf):
+    """Rounded series of the datasets ever in a weekly top-20."""
+    p = driver.panel(spark, sf)
+    pool = ranking.ever_in_pool(p, "_id", ["downloads", "likes", "downloadsAllTime"], 20)
+    return longitudinal.entity_series(p, pool).drop("t")

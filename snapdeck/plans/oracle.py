@@ -125,3 +125,297 @@ FROM (SELECT d.snapshot_date, t0.org_type FROM (SELECT DISTINCT snapshot_date FR
                       FROM pb GROUP BY 1, 2) v
        ON g.snapshot_date = v.snapshot_date AND g.org_type = v.org_type
 """)
+
+register("org_type_resolved", """
+SELECT snapshot_date, org_type, COUNT(*) AS n FROM pr GROUP BY 1, 2
+""", ORGS_CTE)
+
+register("count_by_type", """
+SELECT d.snapshot_date, d.org_type, CAST(d.n AS BIGINT) AS n, CAST(tl.total AS BIGINT) AS total,
+       CAST(tl.delta AS BIGINT) AS delta
+FROM (SELECT s.snapshot_date, ty.org_type, COALESCE(g.n, 0) AS n
+      FROM _s s CROSS JOIN types ty
+      LEFT JOIN (SELECT snapshot_date, org_type, COUNT(*) AS n FROM pb GROUP BY 1, 2) g
+        ON g.snapshot_date = s.snapshot_date AND g.org_type = ty.org_type) d
+JOIN (SELECT snapshot_date, total, COALESCE(total - LAG(total) OVER (ORDER BY snapshot_date), 0) AS delta
+      FROM (SELECT snapshot_date, COUNT(*) AS total FROM pb GROUP BY 1)) tl
+  ON d.snapshot_date = tl.snapshot_date
+""")
+
+register("type_vectors", """
+SELECT s.snapshot_date, ty.org_type,
+       CAST(COALESCE(g.dl, 0) AS BIGINT) AS dl,
+       CASE WHEN gate.tracked > 0 THEN CAST(COALESCE(g.dlat, 0) AS BIGINT) END AS dlat,
+       CAST(COALESCE(g.lk, 0) AS BIGINT) AS lk, CAST(COALESCE(g.n, 0) AS BIGINT) AS n,
+       CAST(COALESCE(g.new, 0) AS BIGINT) AS new
+FROM _s s CROSS JOIN types ty
+LEFT JOIN (SELECT snapshot_date, org_type, SUM(downloads) AS dl, SUM(downloadsAllTime) AS dlat, SUM(likes) AS lk,
+                  COUNT(*) AS n, SUM(CASE WHEN t = first_t THEN 1 ELSE 0 END) AS new
+           FROM (SELECT *, MIN(t) OVER (PARTITION BY _id) AS first_t FROM pr) GROUP BY 1, 2) g
+  ON g.snapshot_date = s.snapshot_date AND g.org_type = ty.org_type
+JOIN (SELECT snapshot_date, COUNT(downloadsAllTime) AS tracked FROM panel GROUP BY 1) gate
+  ON gate.snapshot_date = s.snapshot_date
+""", ORGS_CTE)
+
+register("hub_totals", """
+SELECT snapshot_date, COUNT(*) AS n, CAST(COALESCE(SUM(downloads), 0) AS BIGINT) AS dl,
+       CAST(SUM(downloadsAllTime) AS BIGINT) AS dlat, CAST(COALESCE(SUM(likes), 0) AS BIGINT) AS lk,
+       COUNT(*) FILTER (WHERE hp) AS n_flag,
+       CAST(COALESCE(SUM(downloads) FILTER (WHERE hp), 0) AS BIGINT) AS dl_flag,
+       CASE WHEN COUNT(downloadsAllTime) > 0 THEN CAST(COALESCE(SUM(downloadsAllTime) FILTER (WHERE hp), 0) AS BIGINT) END AS dlat_flag,
+       CAST(COALESCE(SUM(likes) FILTER (WHERE hp), 0) AS BIGINT) AS lk_flag
+FROM (SELECT *, COALESCE(len(list_filter(tags, lambda x: starts_with(x, 'arxiv:'))) > 0, FALSE) AS hp FROM panel)
+GROUP BY 1
+""")
+
+_SHARES = """
+SELECT snapshot_date, org_type, v AS value, CAST(SUM(v) OVER (PARTITION BY snapshot_date) AS BIGINT) AS total,
+       CAST(CASE WHEN SUM(v) OVER (PARTITION BY snapshot_date) = 0 THEN NULL
+                 ELSE CAST(v AS DOUBLE) / SUM(v) OVER (PARTITION BY snapshot_date) END AS DECIMAL(20,6)) AS share
+FROM (SELECT s.snapshot_date, ty.org_type, CAST(COALESCE(g.v, 0) AS BIGINT) AS v
+      FROM _s s CROSS JOIN types ty
+      LEFT JOIN (SELECT snapshot_date, org_type, SUM({m}) AS v FROM pb GROUP BY 1, 2) g
+        ON g.snapshot_date = s.snapshot_date AND g.org_type = ty.org_type
+      WHERE ty.org_type <> 'individual')
+"""
+register("type_shares", _SHARES.format(m="downloadsAllTime"))
+register("company_share", "SELECT snapshot_date, value, total, share FROM (" + _SHARES.format(m="likes")
+         + ") WHERE org_type = 'company'")
+
+register("presence_outcome", """
+SELECT snapshot_date, org_type, side, n, outcome,
+       CAST(CAST(n AS DOUBLE) / SUM(n) OVER w AS DECIMAL(20,6)) AS presence_share,
+       CAST(CASE WHEN SUM(outcome) OVER w = 0 THEN NULL ELSE CAST(outcome AS DOUBLE) / SUM(outcome) OVER w END AS DECIMAL(20,6)) AS outcome_share,
+       CAST(CAST(SUM(n) OVER (PARTITION BY snapshot_date, side) AS DOUBLE) / SUM(n) OVER w AS DECIMAL(20,6)) AS side_presence_share,
+       CAST(CASE WHEN SUM(outcome) OVER w = 0 THEN NULL
+                 ELSE CAST(SUM(outcome) OVER (PARTITION BY snapshot_date, side) AS DOUBLE) / SUM(outcome) OVER w END
+            AS DECIMAL(20,6)) AS side_outcome_share
+FROM (SELECT snapshot_date, org_type, CASE WHEN org_type = 'individual' THEN 'individual' ELSE 'organisation' END AS side,
+             COUNT(*) AS n, CAST(COALESCE(SUM(downloadsAllTime), 0) AS BIGINT) AS outcome
+      FROM pr GROUP BY 1, 2)
+WINDOW w AS (PARTITION BY snapshot_date)
+""", ORGS_CTE)
+
+register("topn_items", """
+SELECT s.snapshot_date, ty.org_type, CAST(COALESCE(a.total, 0) AS BIGINT) AS total,
+       CAST(COALESCE(b.topn, 0) AS BIGINT) AS topn
+FROM _s s CROSS JOIN types ty
+LEFT JOIN (SELECT snapshot_date, org_type, SUM(downloads) AS total FROM pb GROUP BY 1, 2) a
+  ON a.snapshot_date = s.snapshot_date AND a.org_type = ty.org_type
+LEFT JOIN (SELECT snapshot_date, org_type, SUM(downloads) AS topn
+           FROM (SELECT *, row_number() OVER (PARTITION BY snapshot_date, org_type ORDER BY downloads DESC, _id) AS rk
+                 FROM pb WHERE downloads IS NOT NULL) WHERE rk <= 10 GROUP BY 1, 2) b
+  ON b.snapshot_date = s.snapshot_date AND b.org_type = ty.org_type
+""")
+
+register("topn_accounts", """
+SELECT s.snapshot_date, ty.org_type, CAST(COALESCE(r.total, 0) AS BIGINT) AS total,
+       CAST(COALESCE(r.topn, 0) AS BIGINT) AS topn, COALESCE(r.top3, '') AS top3
+FROM _s s CROSS JOIN types ty
+LEFT JOIN (SELECT snapshot_date, org_type, SUM(val) AS total, SUM(val) FILTER (WHERE rk <= 2) AS topn,
+                  COALESCE(string_agg(COALESCE(author, '') || '=' || CAST(val AS VARCHAR), ',' ORDER BY rk)
+                           FILTER (WHERE rk <= 3 AND val <> 0), '') AS top3
+           FROM (SELECT *, row_number() OVER (PARTITION BY snapshot_date, org_type ORDER BY val DESC, author NULLS LAST) AS rk
+                 FROM (SELECT snapshot_date, org_type, author, CAST(COALESCE(SUM(downloads), 0) AS BIGINT) AS val
+                       FROM pr GROUP BY 1, 2, 3))
+           GROUP BY 1, 2) r
+  ON r.snapshot_date = s.snapshot_date AND r.org_type = ty.org_type
+""", ORGS_CTE)
+
+_BY_ACCOUNT = """
+SELECT snapshot_date, t, author, CAST(COALESCE(SUM(downloads), 0) AS BIGINT) AS dl,
+       CAST(COALESCE(SUM(likes), 0) AS BIGINT) AS lk, CAST(COALESCE(SUM(downloadsAllTime), 0) AS BIGINT) AS dlat,
+       COUNT(*) AS n, MIN(org_type) AS org_type
+FROM {src} WHERE author IS NOT NULL GROUP BY 1, 2, 3
+"""
+register("by_account", "SELECT * EXCLUDE (t) FROM (" + _BY_ACCOUNT.format(src="panel") + ")")
+
+register("account_ranks", """
+SELECT snapshot_date, author, metric, 'a' AS variant,
+       CAST(row_number() OVER (PARTITION BY snapshot_date, metric ORDER BY v DESC, author) AS INTEGER) AS rk
+FROM base
+UNION ALL
+SELECT snapshot_date, author, metric, 'o' AS variant,
+       CAST(row_number() OVER (PARTITION BY snapshot_date, metric ORDER BY v DESC, author) AS INTEGER) AS rk
+FROM base WHERE org_type <> 'individual'
+""", ORGS_CTE, "acc AS (" + _BY_ACCOUNT.format(src="pr") + ")", """
+base AS (SELECT snapshot_date, author, org_type, m.metric,
+                CASE m.metric WHEN 'dl' THEN dl WHEN 'lk' THEN lk ELSE dlat END AS v
+         FROM acc CROSS JOIN (VALUES ('dl'), ('lk'), ('dlat')) m(metric))""")
+
+_GROWTH = """
+SELECT snapshot_date, _id, base, value, g, rk FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY snapshot_date ORDER BY g DESC, _id) AS INTEGER) AS rk
+  FROM (SELECT snapshot_date, _id, downloadsAllTime AS value,
+               first_value(downloadsAllTime) OVER (PARTITION BY _id ORDER BY t) AS base,
+               downloadsAllTime - first_value(downloadsAllTime) OVER (PARTITION BY _id ORDER BY t) AS g
+        FROM panel WHERE downloadsAllTime IS NOT NULL))
+WHERE rk <= {n}
+"""
+
+
+def _top(src: str, metric: str, key: str, n: int) -> str:
+    return (f"SELECT {key} FROM (SELECT {key}, row_number() OVER (PARTITION BY snapshot_date ORDER BY {metric} DESC, {key}) AS rk "
+            f"FROM {src} WHERE {metric} IS NOT NULL) WHERE rk <= {n}")
+
+
+register("ever_in_pool", " UNION ".join([_top("panel", m, "_id", 100) for m in ("downloads", "likes", "downloadsAllTime")]
+                                       + [f"SELECT _id FROM ({_GROWTH.format(n=100)})"]))
+
+register("pool_series", """
+SELECT * EXCLUDE (t) FROM acc WHERE author IN (""" + _top("acc", "dl", "author", 5) + " UNION " + _top("acc", "lk", "author", 5) + ")",
+         "acc AS (" + _BY_ACCOUNT.format(src="panel") + ")")
+
+register("top_latest", """
+SELECT _id, id, downloadsAllTime FROM panel
+WHERE t = (SELECT MAX(t) FROM panel) AND downloadsAllTime IS NOT NULL
+ORDER BY downloadsAllTime DESC, _id LIMIT 100
+""")
+
+register("topn_membership", """
+SELECT _id, org_type, arg_max(id, t) AS id, COUNT(*) AS snapshots_in_topN,
+       CAST(AVG(share) AS DECIMAL(20,6)) AS avg_share_in_org
+FROM (SELECT *, CASE WHEN tot = 0 THEN NULL ELSE CAST(downloads AS DOUBLE) / tot END AS share
+      FROM (SELECT *, SUM(downloads) OVER (PARTITION BY snapshot_date, org_type) AS tot,
+                   row_number() OVER (PARTITION BY snapshot_date, org_type ORDER BY downloads DESC, _id) AS rk
+            FROM pb) WHERE rk <= 10 AND downloads IS NOT NULL)
+GROUP BY 1, 2
+""")
+
+register("top7_per_type", """
+SELECT org_type, author, value, rk, group_total,
+       CAST(DENSE_RANK() OVER (ORDER BY group_total DESC, org_type) AS INTEGER) AS group_rank
+FROM (SELECT org_type, author, dl AS value, CAST(rk AS INTEGER) AS rk,
+             CAST(SUM(dl) OVER (PARTITION BY org_type) AS BIGINT) AS group_total
+      FROM (SELECT *, row_number() OVER (PARTITION BY org_type ORDER BY dl DESC, author) AS rk
+            FROM acc WHERE t = (SELECT MAX(t) FROM acc)) WHERE rk <= 2)
+""", ORGS_CTE, "acc AS (" + _BY_ACCOUNT.format(src="pr") + ")")
+
+register("group_share", """
+SELECT snapshot_date, _id, org_type,
+       CAST(CASE WHEN SUM(downloads) OVER (PARTITION BY snapshot_date, org_type) = 0 THEN NULL
+                 ELSE CAST(downloads AS DOUBLE) / SUM(downloads) OVER (PARTITION BY snapshot_date, org_type) END
+            AS DECIMAL(20,8)) AS share
+FROM pb
+""")
+
+_SPIKES = """
+SELECT * FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY snapshot_date ORDER BY delta DESC, _id) AS INTEGER) AS rk
+  FROM (SELECT snapshot_date, t, _id, id, org_type, downloads,
+               LAG(downloads) OVER w AS downloads_prev, LAG(t) OVER w AS pt,
+               downloads - LAG(downloads) OVER w AS delta
+        FROM pb WINDOW w AS (PARTITION BY _id ORDER BY t))
+  WHERE t - pt = 1 AND delta IS NOT NULL)
+WHERE rk <= 5
+"""
+register("weekly_spikes", "SELECT snapshot_date, _id, id, org_type, downloads_prev, downloads, delta, rk FROM ("
+         + _SPIKES + ")")
+
+register("spike_summary", """
+SELECT _id, snapshot_date, id, org_type, downloads_prev, downloads, delta, topK_appearances FROM (
+  SELECT *, row_number() OVER (PARTITION BY _id ORDER BY delta DESC, t ASC) AS pick,
+         COUNT(*) OVER (PARTITION BY _id) AS topK_appearances
+  FROM (""" + _SPIKES + """))
+WHERE pick = 1 ORDER BY delta DESC, _id LIMIT 25
+""")
+
+register("account_gain", """
+SELECT snapshot_date, author, lk, lk_prev, lk - lk_prev AS lkd FROM (
+  SELECT snapshot_date, t, author, lk, LAG(lk) OVER w AS lk_prev, LAG(t) OVER w AS pt
+  FROM acc WINDOW w AS (PARTITION BY author ORDER BY t))
+WHERE t - pt = 1
+""", "acc AS (" + _BY_ACCOUNT.format(src="panel") + ")")
+
+register("newly_added", """
+SELECT s.snapshot_date, ty.org_type, COALESCE(g.new, 0) AS new
+FROM _s s CROSS JOIN types ty
+LEFT JOIN (SELECT snapshot_date, org_type, COUNT(*) AS new
+           FROM (SELECT *, MIN(t) OVER (PARTITION BY _id) AS ft FROM pb) WHERE t = ft GROUP BY 1, 2) g
+  ON g.snapshot_date = s.snapshot_date AND g.org_type = ty.org_type
+""")
+
+register("newly_added_cumulative", """
+SELECT snapshot_date, newly_added, CAST(SUM(newly_added) OVER (ORDER BY snapshot_date) AS BIGINT) AS cumulative
+FROM (SELECT s.snapshot_date, COALESCE(g.c, 0) AS newly_added
+      FROM _s s LEFT JOIN (SELECT snapshot_date, COUNT(*) AS c
+                           FROM (SELECT *, MIN(t) OVER (PARTITION BY _id) AS ft FROM panel) WHERE t = ft
+                           GROUP BY 1) g ON g.snapshot_date = s.snapshot_date)
+""")
+
+register("growth_since_baseline", _GROWTH.format(n=100))
+
+register("latest_attrs", """
+SELECT l._id, l.id, l.author, array_to_string(list_sort(l.tags), '|') AS tags, o.org_type, l.t AS last_t
+FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY _id ORDER BY t DESC) AS rn FROM panel) WHERE rn = 1) l
+LEFT JOIN (SELECT _id, arg_max(org_type, t) AS org_type FROM panel WHERE org_type IS NOT NULL GROUP BY 1) o
+  ON o._id = l._id
+""")
+
+register("series_bounds", """
+SELECT _id, MIN(t) FILTER (WHERE downloads IS NOT NULL) AS downloads_start,
+       MAX(t) FILTER (WHERE downloads IS NOT NULL) AS downloads_end,
+       MIN(t) FILTER (WHERE downloadsAllTime IS NOT NULL) AS downloadsAllTime_start,
+       MAX(t) FILTER (WHERE downloadsAllTime IS NOT NULL) AS downloadsAllTime_end
+FROM panel GROUP BY 1
+""")
+
+register("entity_history", """
+SELECT * REPLACE (array_to_string(COALESCE(tags, CAST([] AS VARCHAR[])), '|') AS tags) FROM panel
+WHERE _id = (SELECT arg_max(_id, t) FROM panel WHERE id = 'Customer#000000007')
+""")
+
+_FROZEN = """
+SELECT snapshot_date, t, n, lk,
+       COALESCE(n = LAG(n) OVER (ORDER BY t) AND lk = LAG(lk) OVER (ORDER BY t), FALSE) AS frozen
+FROM (SELECT snapshot_date, t, COUNT(*) AS n, CAST(COALESCE(SUM(likes), 0) AS BIGINT) AS lk FROM {src} GROUP BY 1, 2)
+"""
+register("frozen_snapshots", "SELECT snapshot_date, n, lk, frozen FROM (" + _FROZEN.format(src="panel") + ")")
+
+
+def _interp(v: str) -> str:
+    num = f"(a.{v} * (sm.bt - sm.at - (sm.t - sm.at)) + b.{v} * (sm.t - sm.at))"
+    den = "(sm.bt - sm.at)"
+    q = f"({num} // {den})"
+    r = f"({num} % {den})"
+    return (f"CASE WHEN sm.fz AND sm.at IS NOT NULL AND sm.bt IS NOT NULL AND a.{v} IS NOT NULL AND b.{v} IS NOT NULL "
+            f"THEN CAST({q} + CASE WHEN 2 * {r} > {den} OR (2 * {r} = {den} AND {q} % 2 = 1) THEN 1 ELSE 0 END AS BIGINT) "
+            f"ELSE sm.{v} END")
+
+
+register("smoothed_series", f"""
+SELECT sm.snapshot_date, sm.org_type, {_interp('dlat')} AS dlat, {_interp('lk')} AS lk
+FROM sm LEFT JOIN d a ON a.org_type = sm.org_type AND a.t = sm.at
+        LEFT JOIN d b ON b.org_type = sm.org_type AND b.t = sm.bt
+""", ORGS_CTE, """
+fr AS (""" + _FROZEN.format(src="pr") + """),
+d AS (
+  SELECT s.snapshot_date, s.t, ty.org_type,
+         CASE WHEN gate.tracked > 0 AND g.org_type IS NOT NULL THEN CAST(COALESCE(g.dlat, 0) AS BIGINT) END AS dlat,
+         CAST(COALESCE(g.lk, 0) AS BIGINT) AS lk, fr.frozen AS fz
+  FROM _s s CROSS JOIN types ty
+  JOIN fr ON fr.t = s.t
+  JOIN (SELECT snapshot_date, COUNT(downloadsAllTime) AS tracked FROM pr GROUP BY 1) gate ON gate.snapshot_date = s.snapshot_date
+  LEFT JOIN (SELECT snapshot_date, org_type, SUM(downloadsAllTime) AS dlat, SUM(likes) AS lk FROM pr GROUP BY 1, 2) g
+    ON g.snapshot_date = s.snapshot_date AND g.org_type = ty.org_type),
+sm AS (
+  SELECT d.*,
+         last_value(CASE WHEN NOT fz THEN t END IGNORE NULLS) OVER (PARTITION BY org_type ORDER BY t
+                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS at,
+         first_value(CASE WHEN NOT fz THEN t END IGNORE NULLS) OVER (PARTITION BY org_type ORDER BY t
+                    ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS bt
+  FROM d)""")
+
+
+def _round_sig(v: str, sig: int = 3) -> str:
+    a = f"abs({v})"
+    p = f"CAST(pow(10, greatest(length(CAST({a} AS VARCHAR)) - {sig}, 0)) AS BIGINT)"
+    q = f"({a} // {p})"
+    r = f"({a} % {p})"
+    return (f"CASE WHEN {v} IS NULL OR {v} = 0 THEN {v} ELSE CAST(sign({v}) * ({q} + CASE WHEN 2 * {r} > {p} "
+            f"OR (2 * {r} = {p} AND {q} % 2 = 1) THEN 1 ELSE 0 END) * {p} AS BIGINT) END")
+
+
+register("entity_series", f"""
+SELECT _id, snapshot_date, {_round_sig('downloads')} AS dl, {_round_sig('downloadsAllTime')} AS dlat, likes AS lk
+FROM panel WHERE _id IN (""" + " UNION ".join(_top("panel", m, "_id", 20) for m in ("downloads", "likes", "downloadsAllTime")) + ")")
