@@ -35,7 +35,7 @@ def parse_abbrev(text) -> Column:
     num = F.regexp_extract(t, r"^([\d.]+)\s*([kKmM]?)", 1)
     suf = F.lower(F.regexp_extract(t, r"^([\d.]+)\s*([kKmM]?)", 2))
     mult = F.when(suf == "k", F.lit(1000)).when(suf == "m", F.lit(1000000)).otherwise(F.lit(1))
-    val = F.bround(num.try_cast("decimal(30,8)") * mult, 0).cast("long")
+    val = F.bround(num.try_cast("decimal(30,8)") * mult, 0).try_cast("long")
     return F.when(num == "", F.lit(0).cast("long")).otherwise(F.coalesce(val, F.lit(0).cast("long")))
 
 

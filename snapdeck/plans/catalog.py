@@ -10,7 +10,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import enrich, longitudinal, ranking, trends
+from ..operators import adoption as adopt
+from ..operators import enrich, longitudinal, ranking, topics, trends
 from ..sources import driver
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -216,3 +217,124 @@ def entity_series(spark, sf):
     p = driver.panel(spark, sf)
     pool = ranking.ever_in_pool(p, "_id", ["downloads", "likes", "downloadsAllTime"], 20)
     return longitudinal.entity_series(p, pool).drop("t")
+
+
+# --- tags, topics, licences ---------------------------------------------------
+
+@query
+def tag_topics(spark, sf):
+    """B1 over every tag of every row: tag -> topic, with row counts."""
+    from pyspark.sql import functions as F
+    from ..functions.tags import topic
+    e = driver.panel(spark, sf).select(F.explode("tags").alias("tag"))
+    return e.groupBy("tag").agg(F.count(F.lit(1)).alias("n")).withColumn("topic", topic("tag"))
+
+
+@query
+def has_paper(spark, sf):
+    """B2 + B3 per row."""
+    from pyspark.sql import functions as F
+    from ..functions.tags import arxiv_ids, has_paper as hp
+    p = driver.panel(spark, sf)
+    return p.select("snapshot_date", "_id", hp("tags").alias("has_paper"),
+                    F.array_join(arxiv_ids("tags"), "|").alias("arxiv"))
+
+
+@query
+def license_groups(spark, sf):
+    """B4 + B5: first licence tag and its group, row counts."""
+    from pyspark.sql import functions as F
+    from ..functions.tags import license_from_tags, license_group
+    p = driver.panel(spark, sf).select(license_from_tags("tags").alias("license"))
+    return p.groupBy("license").agg(F.count(F.lit(1)).alias("n")).withColumn("license_group", license_group("license"))
+
+
+@query
+def size_midpoints(spark, sf):
+    """Rows per size midpoint (NULL = no or unmapped size tag) and type."""
+    from pyspark.sql import functions as F
+    from ..functions.tags import size_log10_mid
+    p = baked(spark, sf).select("org_type", size_log10_mid("tags").alias("x"))
+    return p.groupBy("org_type", "x").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def topic_vocab(spark, sf):
+    return topics.topic_vocab(driver.panel(spark, sf), top=60, latest_only=False)
+
+
+@query
+def topic_series(spark, sf):
+    p = driver.panel(spark, sf)
+    return topics.topic_series(p, topics.topic_vocab(p, top=60, latest_only=False))
+
+
+@query
+def freeform_topics(spark, sf):
+    return topics.freeform_topics(driver.panel(spark, sf))
+
+
+@query
+def license_long(spark, sf):
+    return topics.license_long(baked(spark, sf))
+
+
+@query
+def license_shares(spark, sf):
+    from ..operators.snapshots import snapshot_dim
+    p = baked(spark, sf)
+    return topics.license_shares(topics.license_long(p), snapshot_dim(p))
+
+
+@query
+def round_sig(spark, sf):
+    """Account series rounded to 3 significant figures."""
+    from pyspark.sql import functions as F
+    from ..functions.numeric import round_sig as rs
+    acc = ranking.by_account(driver.panel(spark, sf))
+    return acc.select("snapshot_date", "author", "dl", rs("dl").alias("dl_r"), rs("dlat").alias("dlat_r"),
+                      rs(F.col("lk") * 997).alias("lk_r"))
+
+
+@query
+def parse_abbrev(spark, sf):
+    """B11 over every count-like token of every document text."""
+    from pyspark.sql import functions as F
+    from ..functions.numeric import parse_abbrev as pa
+    d = driver.table(spark, sf, "documents").select(
+        "doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"([0-9][0-9.,]*[ ]?[kKmM]?)"), 1)).alias("pos", "token"))
+    return d.select("doc_id", "pos", "token", pa("token").alias("value"))
+
+
+# --- adoption ---------------------------------------------------------------------
+
+@query
+def adoption(spark, sf):
+    return adopt.adoption(driver.model_links(spark, sf))
+
+
+@query
+def adoption_totals(spark, sf):
+    return adopt.adoption_totals(driver.model_links(spark, sf))
+
+
+@query
+def adoption_join(spark, sf):
+    p = driver.panel(spark, sf).select("snapshot_date", "_id", "id")
+    return adopt.adoption_join(p, adopt.adoption(driver.model_links(spark, sf)))
+
+
+def _impact(spark, sf, top):
+    p = enrich.resolve_org_type(driver.panel(spark, sf), regime="org_only")
+    j = adopt.adoption_join(p, adopt.adoption(driver.model_links(spark, sf)))
+    return adopt.impact_index(j, top=top)
+
+
+@query
+def impact_all(spark, sf):
+    return _impact(spark, sf, None)
+
+
+@query
+def impact_top(spark, sf):
+    return _impact(spark, sf, 50)

@@ -419,3 +419,157 @@ def _round_sig(v: str, sig: int = 3) -> str:
 register("entity_series", f"""
 SELECT _id, snapshot_date, {_round_sig('downloads')} AS dl, {_round_sig('downloadsAllTime')} AS dlat, likes AS lk
 FROM panel WHERE _id IN (""" + " UNION ".join(_top("panel", m, "_id", 20) for m in ("downloads", "likes", "downloadsAllTime")) + ")")
+
+_TOPIC = ("CASE WHEN starts_with(x, 'task_categories:') THEN substr(x, 17) "
+          "WHEN NOT contains(x, ':') THEN x END")
+_TOPICS = f"list_distinct(list_filter(list_transform(COALESCE(tags, CAST([] AS VARCHAR[])), lambda x: {_TOPIC}), lambda y: y IS NOT NULL))"
+
+register("tag_topics", f"""
+SELECT x AS tag, COUNT(*) AS n, {_TOPIC} AS topic
+FROM (SELECT unnest(tags) AS x FROM panel) GROUP BY x
+""")
+
+register("has_paper", """
+SELECT snapshot_date, _id,
+       COALESCE(len(list_filter(tags, lambda x: starts_with(x, 'arxiv:'))) > 0, FALSE) AS has_paper,
+       array_to_string(list_transform(list_filter(COALESCE(tags, CAST([] AS VARCHAR[])), lambda x: starts_with(x, 'arxiv:')),
+                                      lambda x: substr(x, 7)), '|') AS arxiv
+FROM panel
+""")
+
+_LIC_OF = "substr(list_filter(tags, lambda x: starts_with(x, 'license:'))[1], 9)"
+
+
+def _lic_group(col: str) -> str:
+    from ..functions.fixed import LICENSE_TAXONOMY
+    whens = " ".join(f"WHEN '{slug}' THEN '{('AUP (' + sub + ')') if cat == 'AUP' else cat}'"
+                     for slug, (cat, sub) in LICENSE_TAXONOMY.items())
+    return f"CASE WHEN {col} IS NULL THEN 'unspecified' ELSE (CASE {col} {whens} ELSE 'Other' END) END"
+
+
+register("license_groups", f"""
+SELECT license, COUNT(*) AS n, {_lic_group('license')} AS license_group
+FROM (SELECT {_LIC_OF} AS license FROM panel) GROUP BY license
+""")
+
+register("size_midpoints", """
+SELECT org_type, x, COUNT(*) AS n FROM (
+  SELECT org_type, CASE substr(list_filter(tags, lambda t: starts_with(t, 'size_categories:'))[1], 17)
+    WHEN 'n<1K' THEN 1.5 WHEN '1K<n<10K' THEN 3.5 WHEN '10K<n<100K' THEN 4.5 WHEN '100K<n<1M' THEN 5.5
+    WHEN '1M<n<10M' THEN 6.5 WHEN '10M<n<100M' THEN 7.5 WHEN '100M<n<1B' THEN 8.5 WHEN '1B<n<10B' THEN 9.5
+    WHEN '10B<n<100B' THEN 10.5 WHEN '100B<n<1T' THEN 11.5 WHEN 'n>1T' THEN 12.5 END::DOUBLE AS x
+  FROM pb) GROUP BY 1, 2
+""")
+
+_TOPIC_COUNTS = f"""
+SELECT topic, COUNT(DISTINCT _id) AS n, bool_or(list_contains(tg, 'task_categories:' || topic)) AS is_task
+FROM (SELECT _id, COALESCE(tags, CAST([] AS VARCHAR[])) AS tg, unnest({_TOPICS}) AS topic FROM panel)
+GROUP BY topic
+"""
+_VOCAB = f"""
+SELECT topic, n, kind, CAST(row_number() OVER (ORDER BY CASE WHEN kind = 'task' THEN 0 ELSE 1 END, n DESC, topic) - 1 AS INTEGER) AS idx
+FROM (SELECT topic, n, 'task' AS kind FROM tc WHERE is_task
+      UNION ALL
+      SELECT * FROM (SELECT topic, n, 'community' AS kind FROM tc
+                     WHERE NOT is_task AND topic NOT IN (SELECT topic FROM tc WHERE is_task)
+                     ORDER BY n DESC, topic LIMIT 60))
+"""
+register("topic_vocab", _VOCAB, f"tc AS ({_TOPIC_COUNTS})")
+
+register("freeform_topics", """
+SELECT topic, n FROM tc WHERE NOT is_task AND topic NOT IN (SELECT topic FROM tc WHERE is_task)
+""", f"tc AS ({_TOPIC_COUNTS})")
+
+register("topic_series", f"""
+SELECT s.snapshot_date, v.topic, CAST(COALESCE(g.n, 0) AS BIGINT) AS n, CAST(COALESCE(g.dl, 0) AS BIGINT) AS dl,
+       CASE WHEN gate.tr > 0 THEN CAST(g.dlat AS BIGINT) END AS dlat, CAST(COALESCE(g.lk, 0) AS BIGINT) AS lk
+FROM _s s CROSS JOIN vocab v
+JOIN (SELECT snapshot_date, COUNT(downloadsAllTime) AS tr FROM panel GROUP BY 1) gate ON gate.snapshot_date = s.snapshot_date
+LEFT JOIN (SELECT snapshot_date, topic, COUNT(*) AS n, SUM(downloads) AS dl, COALESCE(SUM(downloadsAllTime), 0) AS dlat,
+                  SUM(likes) AS lk
+           FROM (SELECT snapshot_date, downloads, downloadsAllTime, likes, unnest({_TOPICS}) AS topic FROM panel)
+           WHERE topic IN (SELECT topic FROM vocab) GROUP BY 1, 2) g
+  ON g.snapshot_date = s.snapshot_date AND g.topic = v.topic
+""", f"tc AS ({_TOPIC_COUNTS})", f"vocab AS ({_VOCAB})")
+
+_LIC_LONG = f"""
+SELECT snapshot_date, CASE WHEN org_type = 'company' THEN 'company' ELSE 'public organisations' END AS org_group,
+       {_lic_group(_LIC_OF)} AS license_group, COUNT(*) AS n, CAST(COALESCE(SUM(downloads), 0) AS BIGINT) AS downloads
+FROM pb WHERE org_type <> 'individual' GROUP BY 1, 2, 3
+"""
+register("license_long", _LIC_LONG)
+
+register("license_shares", """
+SELECT snapshot_date, org_group, license_group, n, downloads,
+       CAST(COALESCE(CASE WHEN SUM(n) OVER w = 0 THEN NULL ELSE CAST(n AS DOUBLE) / SUM(n) OVER w END, 0) AS DECIMAL(20,6)) AS share_n,
+       CAST(COALESCE(CASE WHEN SUM(downloads) OVER w = 0 THEN NULL ELSE CAST(downloads AS DOUBLE) / SUM(downloads) OVER w END, 0)
+            AS DECIMAL(20,6)) AS share_dl
+FROM (SELECT s.snapshot_date, c.org_group, c.license_group, CAST(COALESCE(l.n, 0) AS BIGINT) AS n,
+             CAST(COALESCE(l.downloads, 0) AS BIGINT) AS downloads
+      FROM _s s
+      CROSS JOIN (SELECT * FROM (VALUES ('company'), ('public organisations')) a(org_group),
+                               (VALUES ('Permissive'), ('AUP (Community)'), ('AUP (BigTech)'), ('Non-Commercial'),
+                                       ('Other'), ('unspecified')) b(license_group)) c
+      LEFT JOIN ll l ON l.snapshot_date = s.snapshot_date AND l.org_group = c.org_group AND l.license_group = c.license_group)
+WINDOW w AS (PARTITION BY snapshot_date, org_group)
+""", f"ll AS ({_LIC_LONG})")
+
+register("round_sig", f"""
+SELECT snapshot_date, author, dl, {_round_sig('dl')} AS dl_r, {_round_sig('dlat')} AS dlat_r,
+       {_round_sig('(lk * 997)')} AS lk_r
+FROM acc
+""", "acc AS (" + _BY_ACCOUNT.format(src="panel") + ")")
+
+_PARSE_T = "replace(trim(token), ',', '')"
+_NUM = f"regexp_extract({_PARSE_T}, '^([0-9.]+)\\s*([kKmM]?)', 1)"
+_SUF = f"lower(regexp_extract({_PARSE_T}, '^([0-9.]+)\\s*([kKmM]?)', 2))"
+register("parse_abbrev", f"""
+SELECT doc_id, pos, token,
+       CASE WHEN {_NUM} = '' THEN 0
+            ELSE COALESCE(TRY_CAST(round_even(TRY_CAST({_NUM} AS DECIMAL(30,8))
+                   * CASE {_SUF} WHEN 'k' THEN 1000 WHEN 'm' THEN 1000000 ELSE 1 END, 0) AS BIGINT), 0) END AS value
+FROM (SELECT doc_id, generate_subscripts(l, 1) - 1 AS pos, unnest(l) AS token
+      FROM (SELECT doc_id, regexp_extract_all(text, '([0-9][0-9.,]*[ ]?[kKmM]?)', 1) AS l FROM documents))
+""")
+
+_LINKS = """
+links AS (
+  SELECT DISTINCT l_orderkey AS model_id, 'Customer#' || lpad(CAST(l_suppkey AS VARCHAR), 9, '0') AS dataset_id
+  FROM lineitem WHERE l_linenumber % 3 <> 0),
+models AS (SELECT DISTINCT l_orderkey AS model_id FROM lineitem),
+adopt AS (SELECT dataset_id, COUNT(*) AS n_models FROM links GROUP BY 1)
+"""
+register("adoption", "SELECT dataset_id, n_models FROM adopt", _LINKS)
+
+register("adoption_totals", """
+SELECT (SELECT COUNT(*) FROM models) AS models_seen,
+       (SELECT COUNT(DISTINCT model_id) FROM links) AS models_linked,
+       CAST(round(100.0 * (SELECT COUNT(DISTINCT model_id) FROM links) / (SELECT COUNT(*) FROM models), 1) AS DECIMAL(10,1)) AS linked_pct,
+       (SELECT COUNT(DISTINCT dataset_id) FROM links) AS datasets_adopted,
+       (SELECT COUNT(*) FROM links) AS total_links
+""", _LINKS)
+
+register("adoption_join", """
+SELECT p.snapshot_date, p._id, p.id, CAST(COALESCE(a.n_models, 0) AS BIGINT) AS n_models
+FROM panel p LEFT JOIN adopt a ON a.dataset_id = p.id
+""", _LINKS)
+
+_IMPACT = """
+SELECT g.snapshot_date, g.org_type, '{scope}' AS scope, g.n, pop.pop,
+       CAST((CAST(g.downloads AS DOUBLE) / NULLIF(SUM(g.downloads) OVER w, 0)) / (CAST(g.n AS DOUBLE) / SUM(g.n) OVER w) AS DECIMAL(20,4)) AS dl,
+       CAST((CAST(g.likes AS DOUBLE) / NULLIF(SUM(g.likes) OVER w, 0)) / (CAST(g.n AS DOUBLE) / SUM(g.n) OVER w) AS DECIMAL(20,4)) AS lk,
+       CAST((CAST(g.adoption AS DOUBLE) / NULLIF(SUM(g.adoption) OVER w, 0)) / (CAST(g.n AS DOUBLE) / SUM(g.n) OVER w) AS DECIMAL(20,4)) AS ad,
+       g.downloads, g.likes, g.adoption
+FROM (SELECT snapshot_date, org_type, COUNT(*) AS n, CAST(COALESCE(SUM(downloadsAllTime), 0) AS BIGINT) AS downloads,
+             CAST(COALESCE(SUM(likes), 0) AS BIGINT) AS likes, CAST(COALESCE(SUM(n_models), 0) AS BIGINT) AS adoption
+      FROM {src} GROUP BY 1, 2) g
+JOIN (SELECT snapshot_date, org_type, COUNT(*) AS pop FROM j GROUP BY 1, 2) pop
+  ON pop.snapshot_date = g.snapshot_date AND pop.org_type = g.org_type
+WINDOW w AS (PARTITION BY g.snapshot_date)
+"""
+_J = """j AS (SELECT p.*, CAST(COALESCE(a.n_models, 0) AS BIGINT) AS n_models
+      FROM panel p LEFT JOIN adopt a ON a.dataset_id = p.id WHERE p.org_type IS NOT NULL)"""
+register("impact_all", _IMPACT.format(scope="all", src="j"), _LINKS, _J)
+register("impact_top", _IMPACT.format(scope="top", src="""(SELECT * FROM (SELECT *, row_number() OVER
+      (PARTITION BY snapshot_date ORDER BY downloadsAllTime DESC, _id) AS rk FROM j WHERE downloadsAllTime IS NOT NULL)
+      WHERE rk <= 50)"""), _LINKS, _J)
