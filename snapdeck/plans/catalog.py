@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import adoption as adopt
+from ..operators import distributions as dist
 from ..operators import enrich, longitudinal, ranking, topics, trends
 from ..sources import driver
 
@@ -338,3 +339,126 @@ def impact_all(spark, sf):
 @query
 def impact_top(spark, sf):
     return _impact(spark, sf, 50)
+
+
+# --- distributions -------------------------------------------------------------
+
+_SD = ["snapshot_date", "org_type"]
+
+
+@query
+def box_stats(spark, sf):
+    return dist.box_stats(baked(spark, sf), "downloadsAllTime", part=_SD)
+
+
+@query
+def concentration(spark, sf):
+    """E13 at dataset grain."""
+    return dist.concentration(baked(spark, sf), "downloads", part=_SD)
+
+
+@query
+def quantile_segments(spark, sf):
+    """E13 + E14 at account grain."""
+    acc = ranking.by_account(rejoined(spark, sf), by_type=True)
+    return dist.concentration(acc, "dl", part=_SD)
+
+
+def _size_rows(spark, sf):
+    from pyspark.sql import functions as F
+    from ..functions.tags import size_log10_mid
+    return rejoined(spark, sf).withColumn("x", size_log10_mid("tags")).filter(F.col("x").isNotNull())
+
+
+@query
+def size_stats(spark, sf):
+    return dist.size_stats(_size_rows(spark, sf), "x", {"dl": "downloads", "lk": "likes", "dlat": "downloadsAllTime"},
+                           part=_SD)
+
+
+_BUCKETS = [2, 5, 10, 20, 25]
+
+
+def _buckets(spark, sf):
+    p = rejoined(spark, sf)
+    ranks = ranking.account_ranks(ranking.by_account(p), top=max(_BUCKETS))
+    return dist.bucket_stats(_size_rows(spark, sf), ranks, "x", {"dl": "downloads", "lk": "likes",
+                                                                "dlat": "downloadsAllTime"},
+                             _BUCKETS, part=["snapshot_date"])
+
+
+@query
+def bucket_stats(spark, sf):
+    from pyspark.sql import functions as F
+    b = _buckets(spark, sf)
+    return b.select("snapshot_date", "variant", "metric", "bkt", "org_type", "c",
+                    *[F.col(c).cast("decimal(24,4)").alias(c) for c in ("sx", "sx2", "sw", "swx", "swx2")])
+
+
+@query
+def prefix_stats(spark, sf):
+    return dist.prefix_stats(_buckets(spark, sf), part=["snapshot_date"])
+
+
+@query
+def account_hist(spark, sf):
+    from pyspark.sql import functions as F
+    from ..functions.fixed import HIST_COLS, HIST_EDGES
+    p = driver.panel(spark, sf)
+    out = None
+    for key, col in HIST_COLS.items():
+        h = dist.account_hist(p, col, HIST_EDGES[key], part=["snapshot_date", "author"]).withColumn("key", F.lit(key))
+        out = h if out is None else out.unionByName(h)
+    return out
+
+
+@query
+def log_density(spark, sf):
+    return dist.log_density(baked(spark, sf), "downloadsAllTime", part=["org_type"])
+
+
+@query
+def size_density(spark, sf):
+    return dist.log_density(baked(spark, sf), "mainSize", part=["org_type"], lower="p0.1", strict_positive=True)
+
+
+@query
+def rank_density(spark, sf):
+    acc = ranking.by_account(rejoined(spark, sf), by_type=True)
+    a = dist.rank_density(acc, "dlat", part=_SD, width=1.0)
+    b = dist.rank_density(acc, "dlat", part=_SD, width=0.1)
+    return a.unionByName(b)
+
+
+@query
+def weighted_quantiles(spark, sf):
+    from pyspark.sql import functions as F
+    p = rejoined(spark, sf).filter(F.col("mainSize") > 0)
+    u = dist.weighted_quantiles(p, "mainSize", None, part=_SD)
+    w = dist.weighted_quantiles(p, "mainSize", "downloadsAllTime", part=_SD).select(
+        *_SD, F.col("q1").alias("w_q1"), F.col("med").alias("w_med"), F.col("q3").alias("w_q3"), "sum_w")
+    return u.join(w, _SD)
+
+
+def _with_country(spark, sf):
+    from ..sources.readers import known_countries
+    return enrich.country_join(driver.panel(spark, sf), known_countries(driver.countries_dim(spark, sf)))
+
+
+@query
+def country_stats(spark, sf):
+    return dist.country_stats(_with_country(spark, sf))
+
+
+@query
+def country_top_rest(spark, sf):
+    return dist.top_k_with_rest(dist.country_stats(_with_country(spark, sf)).select("country", "dl"), 3, "country", "dl")
+
+
+@query
+def region_rollup(spark, sf):
+    """Countries rolled up to display regions."""
+    from pyspark.sql import functions as F
+    c = dist.country_stats(_with_country(spark, sf))
+    return c.groupBy(enrich.region_of(F.col("country")).alias("region")).agg(
+        F.sum("dl").cast("long").alias("dl"), F.sum("n").cast("long").alias("n"))

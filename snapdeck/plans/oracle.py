@@ -573,3 +573,245 @@ register("impact_all", _IMPACT.format(scope="all", src="j"), _LINKS, _J)
 register("impact_top", _IMPACT.format(scope="top", src="""(SELECT * FROM (SELECT *, row_number() OVER
       (PARTITION BY snapshot_date ORDER BY downloadsAllTime DESC, _id) AS rk FROM j WHERE downloadsAllTime IS NOT NULL)
       WHERE rk <= 50)"""), _LINKS, _J)
+
+# --- distributions -----------------------------------------------------------------
+
+
+def _near(q: float, v: str = "v", i: str = "i", n: str = "n") -> str:
+    return f"MIN({v}) FILTER (WHERE {i} = floor(({n} - 1)::DOUBLE * {q}::DOUBLE + 0.5))"
+
+
+register("box_stats", f"""
+SELECT c.snapshot_date, c.org_type, c.n_rows, CAST(c.share AS DECIMAL(20,6)) AS share,
+       {_near(0.05)} AS p5, {_near(0.25)} AS q1, {_near(0.5)} AS med, {_near(0.75)} AS q3,
+       {_near(0.95)} AS p95, {_near(0.99)} AS p99,
+       CAST(SUM(v)::DOUBLE / COUNT(*) AS DECIMAL(24,6)) AS mean, MAX(v) AS max
+FROM (SELECT snapshot_date, org_type, COUNT(*) AS n_rows,
+             AVG(CASE WHEN downloadsAllTime >= 1 THEN 1.0 WHEN downloadsAllTime IS NOT NULL THEN 0.0 END) AS share
+      FROM pb GROUP BY 1, 2) c
+JOIN (SELECT snapshot_date, org_type, downloadsAllTime AS v,
+             row_number() OVER (PARTITION BY snapshot_date, org_type ORDER BY downloadsAllTime) - 1 AS i,
+             COUNT(*) OVER (PARTITION BY snapshot_date, org_type) AS n
+      FROM pb WHERE downloadsAllTime >= 1) s
+  ON s.snapshot_date = c.snapshot_date AND s.org_type = c.org_type
+GROUP BY c.snapshot_date, c.org_type, c.n_rows, c.share
+""")
+
+
+def _conc(src: str, v: str) -> str:
+    def topk(p):
+        return f"SUM(v) FILTER (WHERE rn <= greatest(1, ceil(n::DOUBLE * {p}::DOUBLE)))"
+    c1, c10, c50 = (f"(CASE WHEN SUM(v) = 0 THEN NULL ELSE {topk(p)}::DOUBLE / SUM(v) END)" for p in (0.01, 0.1, 0.5))
+    return f"""
+SELECT snapshot_date, org_type, MAX(n) AS n, CAST(SUM(v) AS BIGINT) AS total,
+       CAST({c1} AS DECIMAL(20,6)) AS c1, CAST({c10} AS DECIMAL(20,6)) AS c10, CAST({c50} AS DECIMAL(20,6)) AS c50,
+       CAST({c1} AS DECIMAL(20,6)) AS top1, CAST({c10} - {c1} AS DECIMAL(20,6)) AS next9,
+       CAST({c50} - {c10} AS DECIMAL(20,6)) AS next40, CAST(1.0::DOUBLE - {c50} AS DECIMAL(20,6)) AS bottom50
+FROM (SELECT snapshot_date, org_type, COALESCE({v}, 0) AS v,
+             row_number() OVER (PARTITION BY snapshot_date, org_type ORDER BY COALESCE({v}, 0) DESC) AS rn,
+             COUNT(*) OVER (PARTITION BY snapshot_date, org_type) AS n FROM {src})
+GROUP BY 1, 2
+"""
+
+
+register("concentration", _conc("pb", "downloads"))
+_BY_ACCOUNT_TYPE = """
+SELECT snapshot_date, t, author, org_type, CAST(COALESCE(SUM(downloads), 0) AS BIGINT) AS dl,
+       CAST(COALESCE(SUM(likes), 0) AS BIGINT) AS lk, CAST(COALESCE(SUM(downloadsAllTime), 0) AS BIGINT) AS dlat,
+       COUNT(*) AS n
+FROM pr WHERE author IS NOT NULL GROUP BY 1, 2, 3, 4
+"""
+register("quantile_segments", _conc("acct", "dl"), ORGS_CTE, f"acct AS ({_BY_ACCOUNT_TYPE})")
+
+_SIZE_ROWS = """
+sz AS (SELECT *, CASE substr(list_filter(tags, lambda q: starts_with(q, 'size_categories:'))[1], 17)
+    WHEN 'n<1K' THEN 1.5 WHEN '1K<n<10K' THEN 3.5 WHEN '10K<n<100K' THEN 4.5 WHEN '100K<n<1M' THEN 5.5
+    WHEN '1M<n<10M' THEN 6.5 WHEN '10M<n<100M' THEN 7.5 WHEN '100M<n<1B' THEN 8.5 WHEN '1B<n<10B' THEN 9.5
+    WHEN '10B<n<100B' THEN 10.5 WHEN '100B<n<1T' THEN 11.5 WHEN 'n>1T' THEN 12.5 END::DOUBLE AS x FROM pr),
+szr AS (SELECT * FROM sz WHERE x IS NOT NULL)
+"""
+
+
+def _wstat(k: str, w: str) -> str:
+    wc = f"COALESCE({w}, 0)::DOUBLE"
+    m = f"(CASE WHEN SUM({wc}) = 0 THEN NULL ELSE SUM({wc} * x) / SUM({wc}) END)"
+    x2 = f"(CASE WHEN SUM({wc}) = 0 THEN NULL ELSE SUM({wc} * x * x) / SUM({wc}) END)"
+    return (f"CAST({m} AS DECIMAL(20,6)) AS {k}_m, "
+            f"CAST(CASE WHEN {m} IS NOT NULL THEN sqrt(greatest(0.0, {x2} - {m} * {m})) END AS DECIMAL(20,6)) AS {k}_s")
+
+
+register("size_stats", f"""
+SELECT snapshot_date, org_type, COUNT(*) AS cnt, CAST(AVG(x) AS DECIMAL(20,6)) AS u_m,
+       CAST(stddev_pop(x) AS DECIMAL(20,6)) AS u_s,
+       {_wstat('dl', 'downloads')}, {_wstat('lk', 'likes')}, {_wstat('dlat', 'downloadsAllTime')}
+FROM szr GROUP BY 1, 2
+""", ORGS_CTE, _SIZE_ROWS)
+
+_RANKS_BKT = """
+acc2 AS (""" + _BY_ACCOUNT.format(src="pr") + """),
+base2 AS (SELECT snapshot_date, author, org_type, m.metric,
+                 CASE m.metric WHEN 'dl' THEN dl WHEN 'lk' THEN lk ELSE dlat END AS v
+          FROM acc2 CROSS JOIN (VALUES ('dl'), ('lk'), ('dlat')) m(metric)),
+rk AS (SELECT snapshot_date, author, metric, 'a' AS variant,
+              row_number() OVER (PARTITION BY snapshot_date, metric ORDER BY v DESC, author) AS rk FROM base2
+       UNION ALL
+       SELECT snapshot_date, author, metric, 'o' AS variant,
+              row_number() OVER (PARTITION BY snapshot_date, metric ORDER BY v DESC, author) AS rk
+       FROM base2 WHERE org_type <> 'individual'),
+bk AS (SELECT *, CASE WHEN rk <= 2 THEN 0 WHEN rk <= 5 THEN 1 WHEN rk <= 10 THEN 2 WHEN rk <= 20 THEN 3
+                      WHEN rk <= 25 THEN 4 END AS bkt FROM rk),
+bs AS (SELECT s.snapshot_date, b.variant, b.metric, b.bkt, s.org_type, COUNT(*) AS c,
+              SUM(x) AS sx, SUM(x * x) AS sx2,
+              SUM(COALESCE(CASE b.metric WHEN 'dl' THEN s.downloads WHEN 'lk' THEN s.likes ELSE s.downloadsAllTime END, 0)::DOUBLE) AS sw,
+              SUM(COALESCE(CASE b.metric WHEN 'dl' THEN s.downloads WHEN 'lk' THEN s.likes ELSE s.downloadsAllTime END, 0)::DOUBLE * x) AS swx,
+              SUM(COALESCE(CASE b.metric WHEN 'dl' THEN s.downloads WHEN 'lk' THEN s.likes ELSE s.downloadsAllTime END, 0)::DOUBLE * x * x) AS swx2
+       FROM szr s JOIN bk b ON b.snapshot_date = s.snapshot_date AND b.author = s.author
+       WHERE b.bkt IS NOT NULL GROUP BY 1, 2, 3, 4, 5)
+"""
+register("bucket_stats", """
+SELECT snapshot_date, variant, metric, bkt, org_type, c, CAST(sx AS DECIMAL(24,4)) AS sx, CAST(sx2 AS DECIMAL(24,4)) AS sx2,
+       CAST(sw AS DECIMAL(24,4)) AS sw, CAST(swx AS DECIMAL(24,4)) AS swx, CAST(swx2 AS DECIMAL(24,4)) AS swx2
+FROM bs
+""", ORGS_CTE, _SIZE_ROWS, _RANKS_BKT)
+
+register("prefix_stats", """
+SELECT snapshot_date, variant, metric, org_type, bkt, CAST(c AS BIGINT) AS c,
+       CAST(sx / c AS DECIMAL(20,6)) AS mean,
+       CAST(sqrt(greatest(0.0, sx2 / c - (sx / c) * (sx / c))) AS DECIMAL(20,6)) AS sd,
+       CAST(CASE WHEN sw = 0 THEN NULL ELSE swx / sw END AS DECIMAL(20,6)) AS w_mean,
+       CAST(CASE WHEN sw = 0 THEN NULL ELSE sqrt(greatest(0.0, swx2 / sw - (swx / sw) * (swx / sw))) END AS DECIMAL(20,6)) AS w_sd
+FROM (SELECT snapshot_date, variant, metric, org_type, bkt,
+             SUM(c) OVER w AS c, SUM(sx) OVER w AS sx, SUM(sx2) OVER w AS sx2, SUM(sw) OVER w AS sw,
+             SUM(swx) OVER w AS swx, SUM(swx2) OVER w AS swx2
+      FROM bs WINDOW w AS (PARTITION BY snapshot_date, variant, metric, org_type ORDER BY bkt
+                           ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+""", ORGS_CTE, _SIZE_ROWS, _RANKS_BKT)
+
+
+def _hist(key: str, col: str, edges) -> str:
+    b = " + ".join(f"CASE WHEN {col} >= {float(e)!r}::DOUBLE THEN 1 ELSE 0 END" for e in edges)
+    return (f"SELECT snapshot_date, author, {b} AS bin, COUNT(*) AS c, '{key}' AS key FROM panel "
+            f"WHERE {col} IS NOT NULL GROUP BY 1, 2, 3")
+
+
+def _hist_all() -> str:
+    from ..functions.fixed import HIST_COLS, HIST_EDGES
+    return " UNION ALL ".join(_hist(k, c, HIST_EDGES[k]) for k, c in HIST_COLS.items())
+
+
+register("account_hist", _hist_all())
+
+
+def _density(src: str, lower: bool) -> str:
+    lo = _near(0.001, "x", "i", "n") if lower else "0.0::DOUBLE"
+    return f"""
+, xs AS ({src}),
+lim AS (SELECT {lo} AS lo, {_near(0.999, 'x', 'i', 'n')} AS hi
+        FROM (SELECT x, row_number() OVER (ORDER BY x) - 1 AS i, COUNT(*) OVER () AS n FROM xs)),
+h AS (SELECT org_type, lo, hi, CAST(least(floor((x - lo) / ((hi - lo) / 80)), 79) AS INTEGER) AS bin, COUNT(*)::DOUBLE AS h
+      FROM xs, lim WHERE x >= lo AND x <= hi GROUP BY 1, 2, 3, 4),
+k AS (SELECT 0.12::DOUBLE / ((hi - lo) / 80) AS s FROM lim),
+kr AS (SELECT s, CAST(ceil(4.0 * s) AS INTEGER) AS r FROM k),
+ks AS (SELECT SUM(exp(-0.5 * pow(j / s, 2))) AS ksum FROM kr, range(-r, r + 1) g(j)),
+sm AS (SELECT org_type, lo, hi, bin + j AS i, SUM(h * exp(-0.5 * pow(j / s, 2)) / ksum) AS d
+       FROM h, kr, ks, range(-r, r + 1) g(j) WHERE bin + j BETWEEN 0 AND 79 GROUP BY 1, 2, 3, 4),
+dn AS (SELECT g.org_type, g.lo, g.hi, b.bin, COALESCE(sm.d, 0.0) AS d
+       FROM (SELECT DISTINCT org_type, lo, hi FROM sm) g CROSS JOIN range(0, 80) b(bin)
+       LEFT JOIN sm ON sm.org_type = g.org_type AND sm.i = b.bin)
+SELECT org_type, CAST(bin AS INTEGER) AS bin, CAST(lo AS DECIMAL(20,6)) AS lo, CAST(hi AS DECIMAL(20,6)) AS hi,
+       CAST(d / MAX(d) OVER (PARTITION BY org_type) AS DECIMAL(20,6)) AS d
+FROM dn
+"""
+
+
+def _with_dash(body: str, *extra: str) -> str:
+    """Bodies starting with ', name AS (...)' continue the CTE list."""
+    ctes = ",\n".join([PANEL_CTES.strip(), *[e.strip() for e in extra]])
+    return f"WITH {ctes}\n{body.strip()}\n"
+
+
+SQL["log_density"] = _with_dash(_density("SELECT org_type, log10(downloadsAllTime) AS x FROM pb WHERE downloadsAllTime >= 1", False))
+SQL["size_density"] = _with_dash(_density("SELECT org_type, log10(mainSize) AS x FROM pb WHERE mainSize > 0", True))
+
+
+def _rank_density(width: float) -> str:
+    w = int(round(width * 1000))
+    return f"""
+SELECT snapshot_date, org_type, bin, {width}::DOUBLE AS width,
+       CAST(CASE WHEN MAX(d) OVER (PARTITION BY snapshot_date) = 0 THEN NULL
+                 ELSE d / MAX(d) OVER (PARTITION BY snapshot_date) END AS DECIMAL(20,6)) AS d
+FROM (SELECT g.snapshot_date, g.org_type, b.bin, COALESCE(sm.d, 0.0) AS d
+      FROM (SELECT DISTINCT snapshot_date, org_type FROM acct) g CROSS JOIN range(0, 80) b(bin)
+      LEFT JOIN sm_{w} sm ON sm.snapshot_date = g.snapshot_date AND sm.org_type = g.org_type AND sm.i = b.bin)
+"""
+
+
+def _rank_ctes(width: float) -> str:
+    w = int(round(width * 1000))
+    return f"""
+hr_{w} AS (SELECT snapshot_date, org_type, CAST(((2 * i + 1) * 80000) // (2 * n * {w}) AS INTEGER) AS bin,
+                  SUM(v::DOUBLE / tot) AS h
+           FROM (SELECT snapshot_date, org_type, COALESCE(dlat, 0) AS v,
+                        row_number() OVER (PARTITION BY snapshot_date, org_type ORDER BY COALESCE(dlat, 0) DESC) - 1 AS i,
+                        COUNT(*) OVER (PARTITION BY snapshot_date, org_type) AS n,
+                        SUM(CASE WHEN COALESCE(dlat, 0) >= 1 THEN COALESCE(dlat, 0) END)
+                            OVER (PARTITION BY snapshot_date, org_type) AS tot
+                 FROM acct)
+           WHERE v >= 1 AND ((2 * i + 1) * 80000) // (2 * n * {w}) < 80 GROUP BY 1, 2, 3),
+sm_{w} AS (SELECT snapshot_date, org_type, bin + j AS i,
+                  SUM(h * exp(-0.5 * pow(j / 0.64, 2)) / (SELECT SUM(exp(-0.5 * pow(jj / 0.64, 2))) FROM range(-3, 4) q(jj))) AS d
+           FROM hr_{w}, range(-3, 4) g(j) WHERE bin + j BETWEEN 0 AND 79 GROUP BY 1, 2, 3)
+"""
+
+
+register("rank_density", _rank_density(1.0) + " UNION ALL " + _rank_density(0.1), ORGS_CTE,
+         f"acct AS ({_BY_ACCOUNT_TYPE})", _rank_ctes(1.0), _rank_ctes(0.1))
+
+
+def _icdf(q: float, weighted: bool) -> str:
+    if weighted:
+        return f"MIN(v) FILTER (WHERE tw > 0 AND cw >= tw * {q}::DOUBLE)"
+    return f"MIN(v) FILTER (WHERE cn >= n * {q}::DOUBLE)"
+
+
+register("weighted_quantiles", f"""
+SELECT snapshot_date, org_type, {_icdf(.25, False)} AS q1, {_icdf(.5, False)} AS med, {_icdf(.75, False)} AS q3,
+       MAX(n) AS n, {_icdf(.25, True)} AS w_q1, {_icdf(.5, True)} AS w_med, {_icdf(.75, True)} AS w_q3,
+       CAST(MAX(tw) AS BIGINT) AS sum_w
+FROM (SELECT snapshot_date, org_type, mainSize AS v,
+             COUNT(*) OVER (PARTITION BY snapshot_date, org_type ORDER BY mainSize) AS cn,
+             COUNT(*) OVER (PARTITION BY snapshot_date, org_type) AS n,
+             SUM(COALESCE(downloadsAllTime, 0)) OVER (PARTITION BY snapshot_date, org_type ORDER BY mainSize) AS cw,
+             SUM(COALESCE(downloadsAllTime, 0)) OVER (PARTITION BY snapshot_date, org_type) AS tw
+      FROM pr WHERE mainSize > 0)
+GROUP BY 1, 2
+""", ORGS_CTE)
+
+_CSTATS = """
+cs AS (SELECT country, CAST(COALESCE(SUM(downloadsAllTime), 0) AS BIGINT) AS dl, COUNT(*) AS n,
+              COUNT(*) FILTER (WHERE mainSize > 0) AS n_size,
+              CAST(quantile_cont(CASE WHEN mainSize > 0 THEN log10(mainSize) END, 0.25) AS DECIMAL(20,6)) AS q1,
+              CAST(quantile_cont(CASE WHEN mainSize > 0 THEN log10(mainSize) END, 0.5) AS DECIMAL(20,6)) AS med,
+              CAST(quantile_cont(CASE WHEN mainSize > 0 THEN log10(mainSize) END, 0.75) AS DECIMAL(20,6)) AS q3
+       FROM (SELECT p.*, COALESCE(k.country, 'unknown') AS country FROM panel p
+             LEFT JOIN countries_known k ON k.account = p.author)
+       GROUP BY 1)
+"""
+register("country_stats", "SELECT * FROM cs", COUNTRY_CTE, _CSTATS)
+
+register("country_top_rest", """
+SELECT country, CAST(SUM(dl) AS BIGINT) AS dl, COUNT(*) AS members,
+       CAST(SUM(dl)::DOUBLE / (SELECT SUM(dl) FROM cs) AS DECIMAL(20,6)) AS share
+FROM (SELECT CASE WHEN row_number() OVER (ORDER BY dl DESC, country) <= 3 THEN country ELSE 'others' END AS country, dl
+      FROM cs)
+GROUP BY 1
+""", COUNTRY_CTE, _CSTATS)
+
+register("region_rollup", """
+SELECT CASE country WHEN 'US' THEN 'United States' WHEN 'CN' THEN 'China' WHEN 'unknown' THEN 'Unknown'
+                    WHEN 'ES' THEN 'Europe' WHEN 'FR' THEN 'Europe' WHEN 'GB' THEN 'Europe' WHEN 'NL' THEN 'Europe'
+                    WHEN 'DE' THEN 'Europe' WHEN 'CH' THEN 'Europe' WHEN 'PL' THEN 'Europe' WHEN 'FI' THEN 'Europe'
+                    WHEN 'CZ' THEN 'Europe' ELSE 'Rest of World' END AS region,
+       CAST(SUM(dl) AS BIGINT) AS dl, CAST(SUM(n) AS BIGINT) AS n
+FROM cs GROUP BY 1
+""", COUNTRY_CTE, _CSTATS)
