@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import adoption as adopt
 from ..operators import distributions as dist
-from ..operators import enrich, longitudinal, ranking, topics, trends
+from ..operators import enrich, hubs, longitudinal, profile, ranking, topics, trends
+from ..operators import explore as explorer
 from ..sources import driver
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -462,3 +463,159 @@ def region_rollup(spark, sf):
     c = dist.country_stats(_with_country(spark, sf))
     return c.groupBy(enrich.region_of(F.col("country")).alias("region")).agg(
         F.sum("dl").cast("long").alias("dl"), F.sum("n").cast("long").alias("n"))
+
+
+# --- hubs and user-facing queries ------------------------------------------------
+
+def _acc_ds(spark, sf):
+    return ranking.by_account(driver.panel(spark, sf))
+
+
+def _acc_md(spark, sf):
+    return ranking.by_account(driver.models_panel(spark, sf))
+
+
+@query
+def combined_hubs(spark, sf):
+    return hubs.combine_hubs(_acc_ds(spark, sf), _acc_md(spark, sf), how="inner")
+
+
+@query
+def aligned_dates(spark, sf):
+    from pyspark.sql import functions as F
+    from ..operators.snapshots import align_snapshots
+    a, b = driver.panel(spark, sf), driver.models_panel(spark, sf)
+    return (align_snapshots(a, b, "inner").withColumn("how", F.lit("inner"))
+            .unionByName(align_snapshots(a, b, "outer").withColumn("how", F.lit("outer"))))
+
+
+@query
+def account_totals(spark, sf):
+    return trends.account_totals(_acc_ds(spark, sf))
+
+
+@query
+def volume_proxy(spark, sf):
+    p = driver.panel(spark, sf)
+    return hubs.volume_proxy(p, hubs.dashboard_pool(ranking.by_account(p), 5))
+
+
+@query
+def account_series(spark, sf):
+    ds, md = _acc_ds(spark, sf), _acc_md(spark, sf)
+    cb = hubs.combine_hubs(ds, md, how="inner")
+    out = None
+    for mode, acc in (("ds", ds), ("md", md), ("cb", cb)):
+        s = hubs.account_series(acc, hubs.dashboard_pool(acc, 5), mode)
+        out = s if out is None else out.unionByName(s)
+    return out
+
+
+@query
+def explore(spark, sf):
+    r = explorer.explore(driver.panel(spark, sf), "downloads", 20, wanted_topics=["household", "machinery"],
+                         minimum=100000)
+    return r.select("snapshot_date", "_id", "id", "downloads", "rk")
+
+
+@query
+def rank_accounts(spark, sf):
+    return explorer.rank_accounts(_acc_ds(spark, sf), "dl", 5).drop("t")
+
+
+@query
+def top_share(spark, sf):
+    return explorer.top_share(_acc_ds(spark, sf), "dl", 5)
+
+
+@query
+def cohort_country(spark, sf):
+    from ..sources.readers import known_countries
+    cohort = explorer.rank_accounts(_acc_ds(spark, sf), "dl", 10)
+    c = enrich.country_join(cohort, known_countries(driver.countries_dim(spark, sf)))
+    return explorer.by_group(c, "country", "dl")
+
+
+@query
+def topn_sankey(spark, sf):
+    cohort = explorer.rank_accounts(ranking.by_account(rejoined(spark, sf)), "dl", 10)
+    return explorer.by_group(cohort, "org_type", "dl")
+
+
+@query
+def donut(spark, sf):
+    p = rejoined(spark, sf)
+    shares = trends.type_shares(trends.metric_by_type(p), "downloads")
+    return explorer.donut(shares, ranking.topn_accounts(p, n=2))
+
+
+@query
+def drill_down(spark, sf):
+    from ..functions.fixed import HIST_EDGES
+    p = driver.panel(spark, sf)
+    h = dist.account_hist(p, "likes", HIST_EDGES["hl"], part=["snapshot_date", "author"])
+    return explorer.drill_down(ranking.by_account(p), h, "NATION_1").drop("t")
+
+
+@query
+def tooltip_share(spark, sf):
+    """J10 after C6: shares among the types shown (small ones excluded)."""
+    return trends.type_shares(trends.metric_by_type(baked(spark, sf)), "downloadsAllTime",
+                              exclude=("individual", "classroom", "government"))
+
+
+@query
+def filtered_ranking(spark, sf):
+    """C1 + C5 + C3 + B18: organisations only, tracked rows with >= 2 likes,
+    per (snapshot, type) with a thin-sample flag."""
+    from pyspark.sql import functions as F
+    d = explorer.min_value(explorer.tracked_only(explorer.filter_types(baked(spark, sf), exclude=["individual"]),
+                                                 "downloadsAllTime"), "likes", 2)
+    g = d.groupBy("snapshot_date", "org_type").agg(F.count(F.lit(1)).alias("n"))
+    return g.withColumn("thin", explorer.thin_flag("n", 10))
+
+
+@query
+def left_enrich(spark, sf):
+    """Every row with the scrape's type and followers (NULL = no org page)."""
+    p = driver.panel(spark, sf).select("snapshot_date", "_id", "author")
+    return enrich.enrich(p, driver.orgs_dim(spark, sf), "author", "left")
+
+
+@query
+def country_join(spark, sf):
+    from ..sources.readers import known_countries
+    acc = _acc_ds(spark, sf).select("snapshot_date", "author", "dl")
+    return enrich.country_join(acc, known_countries(driver.countries_dim(spark, sf)))
+
+
+@query
+def snapshot_every_nth(spark, sf):
+    from ..operators.snapshots import select_snapshots, snapshot_dim
+    return select_snapshots(snapshot_dim(driver.panel(spark, sf)), since="1996-01-01", every=7)
+
+
+@query
+def slim_enriched(spark, sf):
+    """A6 without the write: slim columns + the scrape's type."""
+    from pyspark.sql import functions as F
+    from ..sources.ingest import enrich_slim
+    raw = driver.panel(spark, sf).drop("org_type", "t")
+    s = enrich_slim(raw, driver.orgs_dim(spark, sf))
+    return s.withColumn("tags", F.array_join(F.coalesce("tags", F.array().cast("array<string>")), "|"))
+
+
+@query
+def coverage_profile(spark, sf):
+    from pyspark.sql import functions as F
+    from ..functions.tags import has_paper as hp
+    p = driver.panel(spark, sf)
+    return profile.coverage(p, {"tags": F.size(F.coalesce("tags", F.array().cast("array<string>"))) > 0,
+                                "paper": hp("tags"), "dlat": F.col("downloadsAllTime").isNotNull(),
+                                "size": F.col("mainSize") > 0}, part=["snapshot_date"])
+
+
+@query
+def page_cards(spark, sf):
+    from ..sources.pages import extract_org_cards
+    return extract_org_cards(driver.table(spark, sf, "pages"))

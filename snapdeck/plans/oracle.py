@@ -528,7 +528,7 @@ SELECT doc_id, pos, token,
        CASE WHEN {_NUM} = '' THEN 0
             ELSE COALESCE(TRY_CAST(round_even(TRY_CAST({_NUM} AS DECIMAL(30,8))
                    * CASE {_SUF} WHEN 'k' THEN 1000 WHEN 'm' THEN 1000000 ELSE 1 END, 0) AS BIGINT), 0) END AS value
-FROM (SELECT doc_id, generate_subscripts(l, 1) - 1 AS pos, unnest(l) AS token
+FROM (SELECT doc_id, CAST(generate_subscripts(l, 1) - 1 AS INTEGER) AS pos, unnest(l) AS token
       FROM (SELECT doc_id, regexp_extract_all(text, '([0-9][0-9.,]*[ ]?[kKmM]?)', 1) AS l FROM documents))
 """)
 
@@ -737,7 +737,7 @@ SQL["size_density"] = _with_dash(_density("SELECT org_type, log10(mainSize) AS x
 def _rank_density(width: float) -> str:
     w = int(round(width * 1000))
     return f"""
-SELECT snapshot_date, org_type, bin, {width}::DOUBLE AS width,
+SELECT snapshot_date, org_type, CAST(bin AS INTEGER) AS bin, {width}::DOUBLE AS width,
        CAST(CASE WHEN MAX(d) OVER (PARTITION BY snapshot_date) = 0 THEN NULL
                  ELSE d / MAX(d) OVER (PARTITION BY snapshot_date) END AS DECIMAL(20,6)) AS d
 FROM (SELECT g.snapshot_date, g.org_type, b.bin, COALESCE(sm.d, 0.0) AS d
@@ -815,3 +815,207 @@ SELECT CASE country WHEN 'US' THEN 'United States' WHEN 'CN' THEN 'China' WHEN '
        CAST(SUM(dl) AS BIGINT) AS dl, CAST(SUM(n) AS BIGINT) AS n
 FROM cs GROUP BY 1
 """, COUNTRY_CTE, _CSTATS)
+
+# --- hubs and user-facing queries -----------------------------------------------------
+
+_ACC_CTES = ("acc AS (" + _BY_ACCOUNT.format(src="panel") + ")",
+             "macc AS (" + _BY_ACCOUNT.format(src="mpanel") + ")")
+_CB = """
+cbd AS (SELECT snapshot_date FROM acc INTERSECT SELECT snapshot_date FROM macc),
+cbg AS (SELECT snapshot_date, author, CAST(SUM(dl) AS BIGINT) AS dl, CAST(SUM(lk) AS BIGINT) AS lk,
+               CAST(SUM(dlat) AS BIGINT) AS dlat, CAST(SUM(n) AS BIGINT) AS n
+        FROM (SELECT snapshot_date, author, dl, lk, dlat, n FROM acc
+              UNION ALL SELECT snapshot_date, author, dl, lk, dlat, n FROM macc)
+        WHERE snapshot_date IN (SELECT snapshot_date FROM cbd) GROUP BY 1, 2),
+cb AS (SELECT g.*, s.t FROM cbg g JOIN (SELECT snapshot_date, CAST(row_number() OVER (ORDER BY snapshot_date) - 1 AS INTEGER) AS t
+                                       FROM (SELECT DISTINCT snapshot_date FROM cbg)) s ON s.snapshot_date = g.snapshot_date)
+"""
+register("combined_hubs", "SELECT snapshot_date, author, dl, lk, dlat, n, t FROM cb", MODELS_CTES, *_ACC_CTES, _CB)
+
+register("aligned_dates", """
+SELECT snapshot_date, 'inner' AS how FROM (SELECT snapshot_date FROM panel INTERSECT SELECT snapshot_date FROM mpanel)
+UNION ALL
+SELECT snapshot_date, 'outer' AS how FROM (SELECT snapshot_date FROM panel UNION SELECT snapshot_date FROM mpanel)
+""", MODELS_CTES)
+
+register("account_totals", """
+SELECT snapshot_date, CAST(COALESCE(SUM(dl), 0) AS BIGINT) AS dl, CAST(COALESCE(SUM(lk), 0) AS BIGINT) AS lk,
+       CAST(SUM(dlat) AS BIGINT) AS dlat, CAST(COALESCE(SUM(n), 0) AS BIGINT) AS n_repo, COUNT(*) AS n_auth
+FROM acc GROUP BY 1
+""", _ACC_CTES[0])
+
+
+def _pool(acc: str, n: int) -> str:
+    return f"""(
+SELECT author FROM (SELECT author, row_number() OVER (PARTITION BY snapshot_date ORDER BY dl DESC, author) AS r FROM {acc}) WHERE r <= {n}
+UNION
+SELECT author FROM (SELECT author, row_number() OVER (PARTITION BY snapshot_date ORDER BY dlat DESC, author) AS r FROM {acc}
+                    WHERE snapshot_date IN (SELECT snapshot_date FROM {acc} GROUP BY 1 HAVING SUM(dlat) <> 0)) WHERE r <= {n}
+UNION
+SELECT author FROM (SELECT author, row_number() OVER (PARTITION BY snapshot_date ORDER BY lkd DESC, author) AS r
+                    FROM (SELECT snapshot_date, author, lk - LAG(lk) OVER w AS lkd, t - LAG(t) OVER w AS dt
+                          FROM {acc} WINDOW w AS (PARTITION BY author ORDER BY t)) WHERE dt = 1) WHERE r <= {n})"""
+
+
+register("volume_proxy", f"""
+SELECT per.snapshot_date, per.author, per.bytes, hub.hub_bytes, hub.dl_cov
+FROM (SELECT snapshot_date, author, CAST(SUM(CAST(downloads AS DECIMAL(20,0)) * CAST(mainSize AS DECIMAL(20,2))) AS DECIMAL(38,2)) AS bytes
+      FROM panel WHERE author IS NOT NULL AND downloads IS NOT NULL AND mainSize IS NOT NULL
+        AND author IN {_pool('acc', 5)}
+      GROUP BY 1, 2) per
+JOIN (SELECT snapshot_date,
+             CAST(COALESCE(SUM(CASE WHEN author IS NOT NULL AND downloads IS NOT NULL AND mainSize IS NOT NULL
+                               THEN CAST(downloads AS DECIMAL(20,0)) * CAST(mainSize AS DECIMAL(20,2)) END), 0) AS DECIMAL(38,2)) AS hub_bytes,
+             CAST(COALESCE(SUM(CASE WHEN author IS NOT NULL AND downloads IS NOT NULL AND mainSize IS NOT NULL THEN downloads END), 0)::DOUBLE
+                  / greatest(1, COALESCE(SUM(downloads), 0)) AS DECIMAL(20,6)) AS dl_cov
+      FROM panel GROUP BY 1) hub ON hub.snapshot_date = per.snapshot_date
+WHERE per.bytes > 0
+""", _ACC_CTES[0])
+
+
+def _series(mode: str, acc: str) -> str:
+    return f"""
+SELECT '{mode}' AS mode, a.snapshot_date, a.author, {_round_sig('a.dl')} AS dl, a.lk, a.n,
+       CASE WHEN h.hd <> 0 THEN {_round_sig('a.dlat')} END AS dlat
+FROM {acc} a JOIN (SELECT snapshot_date, SUM(dlat) AS hd FROM {acc} GROUP BY 1) h ON h.snapshot_date = a.snapshot_date
+WHERE a.author IN {_pool(acc, 5)}"""
+
+
+register("account_series", " UNION ALL ".join([_series("ds", "acc"), _series("md", "macc"), _series("cb", "cb")]),
+         MODELS_CTES, *_ACC_CTES, _CB)
+
+register("explore", f"""
+SELECT snapshot_date, _id, id, downloads, rk FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY snapshot_date ORDER BY downloads DESC, _id) AS INTEGER) AS rk
+  FROM panel WHERE list_has_any({_TOPICS}, ['household', 'machinery']) AND downloads >= 100000 AND downloads IS NOT NULL)
+WHERE rk <= 20
+""")
+
+_RANKED = """
+SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY snapshot_date ORDER BY dl DESC, author) AS INTEGER) AS rk
+               FROM {acc}) WHERE rk <= {n}
+"""
+register("rank_accounts", "SELECT * EXCLUDE (t) FROM (" + _RANKED.format(acc="acc", n=5) + ")", _ACC_CTES[0])
+
+register("top_share", """
+SELECT t.snapshot_date, CAST(p.top AS BIGINT) AS top, CAST(t.total AS BIGINT) AS total,
+       CAST(CASE WHEN t.total = 0 THEN NULL ELSE p.top::DOUBLE / t.total END AS DECIMAL(20,6)) AS share
+FROM (SELECT snapshot_date, SUM(dl) AS total FROM acc GROUP BY 1) t
+JOIN (SELECT snapshot_date, SUM(dl) AS top FROM (""" + _RANKED.format(acc="acc", n=5) + """) GROUP BY 1) p
+  ON p.snapshot_date = t.snapshot_date
+""", _ACC_CTES[0])
+
+
+def _by_group(src: str, group: str) -> str:
+    return f"""
+SELECT snapshot_date, {group}, accounts, repos, value,
+       CAST(CASE WHEN SUM(repos) OVER w = 0 THEN NULL ELSE repos::DOUBLE / SUM(repos) OVER w END AS DECIMAL(20,6)) AS repo_share,
+       CAST(CASE WHEN SUM(value) OVER w = 0 THEN NULL ELSE value::DOUBLE / SUM(value) OVER w END AS DECIMAL(20,6)) AS value_share
+FROM (SELECT snapshot_date, {group}, COUNT(*) AS accounts, CAST(SUM(n) AS BIGINT) AS repos, CAST(SUM(dl) AS BIGINT) AS value
+      FROM ({src}) GROUP BY 1, 2)
+WINDOW w AS (PARTITION BY snapshot_date)
+"""
+
+
+register("cohort_country", _by_group("SELECT r.*, COALESCE(k.country, 'unknown') AS country FROM ("
+                                     + _RANKED.format(acc="acc", n=10) + ") r LEFT JOIN countries_known k ON k.account = r.author",
+                                     "country"), COUNTRY_CTE, _ACC_CTES[0])
+
+register("topn_sankey", _by_group(_RANKED.format(acc="racc", n=10), "org_type"), ORGS_CTE,
+         "racc AS (" + _BY_ACCOUNT.format(src="pr") + ")")
+
+register("donut", """
+SELECT sh.*, COALESCE(tp.top3, '') AS top3 FROM (""" + _SHARES.format(m="downloads").replace("WHERE ty.org_type <> 'individual'", "")
+         .replace("FROM pb GROUP BY", "FROM pr GROUP BY") + """) sh
+LEFT JOIN (SELECT snapshot_date, org_type,
+                  COALESCE(string_agg(COALESCE(author, '') || '=' || CAST(val AS VARCHAR), ',' ORDER BY rk)
+                           FILTER (WHERE rk <= 3 AND val <> 0), '') AS top3
+           FROM (SELECT *, row_number() OVER (PARTITION BY snapshot_date, org_type ORDER BY val DESC, author NULLS LAST) AS rk
+                 FROM (SELECT snapshot_date, org_type, author, CAST(COALESCE(SUM(downloads), 0) AS BIGINT) AS val
+                       FROM pr GROUP BY 1, 2, 3))
+           GROUP BY 1, 2) tp ON tp.snapshot_date = sh.snapshot_date AND tp.org_type = sh.org_type
+""", ORGS_CTE)
+
+register("drill_down", """
+SELECT a.snapshot_date, a.author, a.dl, a.lk, a.dlat, a.n, a.org_type, h.hist
+FROM acc a LEFT JOIN (SELECT snapshot_date, string_agg(CAST(bin AS VARCHAR) || ':' || CAST(c AS VARCHAR), '|' ORDER BY bin) AS hist
+                      FROM (""" + _hist("hl", "likes", [1, 10, 100, 1000, 10000]) + """) WHERE author = 'NATION_1' GROUP BY 1) h
+  ON h.snapshot_date = a.snapshot_date
+WHERE a.author = 'NATION_1'
+""", _ACC_CTES[0])
+
+register("tooltip_share", _SHARES.format(m="downloadsAllTime").replace(
+    "WHERE ty.org_type <> 'individual'", "WHERE ty.org_type NOT IN ('individual', 'classroom', 'government')"))
+
+register("filtered_ranking", """
+SELECT snapshot_date, org_type, COUNT(*) AS n, COUNT(*) < 10 AS thin
+FROM pb WHERE org_type NOT IN ('individual') AND downloadsAllTime IS NOT NULL AND likes >= 2
+GROUP BY 1, 2
+""")
+
+register("left_enrich", """
+SELECT p.snapshot_date, p._id, p.author, o.csv_type, o.followers
+FROM panel p LEFT JOIN orgs o ON o.author = p.author
+""", ORGS_CTE)
+
+register("country_join", """
+SELECT a.snapshot_date, a.author, a.dl, COALESCE(k.country, 'unknown') AS country
+FROM acc a LEFT JOIN countries_known k ON k.account = a.author
+""", COUNTRY_CTE, _ACC_CTES[0])
+
+register("snapshot_every_nth", """
+SELECT snapshot_date FROM (
+  SELECT snapshot_date, row_number() OVER (ORDER BY snapshot_date) - 1 AS i, COUNT(*) OVER () AS n
+  FROM _s WHERE snapshot_date >= DATE '1996-01-01')
+WHERE i % 7 = 0 OR i = n - 1
+""")
+
+register("slim_enriched", """
+SELECT p.snapshot_date, p._id, p.id, p.author, array_to_string(COALESCE(p.tags, CAST([] AS VARCHAR[])), '|') AS tags,
+       p.likes, p.downloads, p.downloadsAllTime, p.mainSize, o.csv_type AS org_type
+FROM panel p LEFT JOIN orgs o ON o.author = p.author
+""", ORGS_CTE)
+
+
+def _cov(name: str, e: str) -> str:
+    return (f"COUNT(*) FILTER (WHERE {e}) AS n_{name}, "
+            f"CAST(AVG(CASE WHEN COALESCE({e}, FALSE) THEN 1.0 ELSE 0.0 END) AS DECIMAL(20,6)) AS share_{name}")
+
+
+register("coverage_profile", f"""
+SELECT snapshot_date, COUNT(*) AS n,
+       {_cov('tags', "len(COALESCE(tags, CAST([] AS VARCHAR[]))) > 0")},
+       {_cov('paper', "COALESCE(len(list_filter(tags, lambda x: starts_with(x, 'arxiv:'))) > 0, FALSE)")},
+       {_cov('dlat', 'downloadsAllTime IS NOT NULL')}, {_cov('size', 'mainSize > 0')}
+FROM panel GROUP BY 1
+""")
+
+def _parse_count(tok: str) -> str:
+    t = f"replace(trim({tok}), ',', '')"
+    num = f"regexp_extract({t}, '^([0-9.]+)\\s*([kKmM]?)', 1)"
+    suf = f"lower(regexp_extract({t}, '^([0-9.]+)\\s*([kKmM]?)', 2))"
+    return (f"CASE WHEN {num} = '' THEN 0 ELSE COALESCE(TRY_CAST(round_even(TRY_CAST({num} AS DECIMAL(30,8)) * "
+            f"CASE {suf} WHEN 'k' THEN 1000 WHEN 'm' THEN 1000000 ELSE 1 END, 0) AS BIGINT), 0) END")
+
+
+def _vis(x: str) -> str:
+    return f"trim(regexp_replace(regexp_replace({x}, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g'))"
+
+
+_FOL = "regexp_extract(txt, '(?i)([\\d.,]+\\s*[km]?)\\s*followers?\\b', 1)"
+_MOD = "regexp_extract(txt, '(?i)([\\d.,]+\\s*[km]?)\\s*models?\\b', 1)"
+register("page_cards", f"""
+SELECT slug, arg_min(org_type, page_id * 1000000 + pos) AS org_type, arg_min(model_count, page_id * 1000000 + pos) AS model_count,
+       arg_min(followers, page_id * 1000000 + pos) AS followers, arg_min(badge, page_id * 1000000 + pos) AS badge
+FROM (
+  SELECT page_id, pos, substr(href, 2) AS slug,
+         NULLIF(lower({_vis("regexp_extract(a, '(?s)<span[^>]*class=\"[^\"]*\\bcapitalize\\b[^\"]*\"[^>]*>(.*?)</span>', 1)")}), '') AS org_type,
+         CASE WHEN {_MOD} <> '' THEN {_parse_count(_MOD)} ELSE CAST(0 AS BIGINT) END AS model_count,
+         CAST({_parse_count(_FOL)} AS BIGINT) AS followers,
+         NULLIF({_vis("regexp_extract(a, '(?s)<span[^>]*class=\"[^\"]*-skew-x-12[^\"]*\"[^>]*>(.*?)</span>', 1)")}, '') AS badge
+  FROM (SELECT page_id, generate_subscripts(l, 1) - 1 AS pos, unnest(l) AS a
+        FROM (SELECT page_id, regexp_extract_all(html, '(?s)(<a\\s[^>]*>.*?</a>)', 1) AS l FROM pages)),
+       LATERAL (SELECT regexp_extract(a, 'href="([^"]*)"', 1) AS href, {_vis('a')} AS txt)
+  WHERE starts_with(href, '/') AND NOT contains(substr(href, 2), '/') AND {_FOL} <> '')
+GROUP BY slug
+""")
