@@ -8,6 +8,8 @@ same result as a full outer join with missing = 0, one shuffle).
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,29 +31,41 @@ def combine_hubs(a: DataFrame, b: DataFrame, how: str = "inner") -> DataFrame:
     return with_ordinal(g)
 
 
-def dashboard_pool(acc: DataFrame, n: int) -> DataFrame:
+def dashboard_pool(acc: DataFrame, n: int, part: Sequence[str] = ()) -> DataFrame:
     """G1 (dashboard): accounts in a weekly top-n by 30-day downloads, by
     all-time downloads (weeks where the hub tracks it) or by like gain over
-    the previous snapshot."""
-    tracked = acc.groupBy("snapshot_date").agg(F.sum("dlat").alias("_hd")).filter(F.col("_hd") != 0)
-    a = top_rows(acc, ["snapshot_date"], "dl", "author", n).select("author")
-    b = top_rows(acc.join(F.broadcast(tracked.select("snapshot_date")), "snapshot_date", "left_semi"),
-                 ["snapshot_date"], "dlat", "author", n).select("author")
-    c = top_rows(like_gain(acc), ["snapshot_date"], "lkd", "author", n).select("author")
+    the previous snapshot.  ``part`` (e.g. ``mode``) computes several pools in
+    one plan."""
+    part = list(part)
+    tracked = acc.groupBy(*part, "snapshot_date").agg(F.sum("dlat").alias("_hd")).filter(F.col("_hd") != 0)
+    a = top_rows(acc, [*part, "snapshot_date"], "dl", "author", n).select(*part, "author")
+    b = top_rows(acc.join(tracked.select(*part, "snapshot_date"), [*part, "snapshot_date"], "left_semi"),
+                 [*part, "snapshot_date"], "dlat", "author", n).select(*part, "author")
+    c = top_rows(like_gain(acc, part), [*part, "snapshot_date"], "lkd", "author", n).select(*part, "author")
     return a.unionByName(b).unionByName(c).distinct()
 
 
-def account_series(acc: DataFrame, pool: DataFrame, mode: str) -> DataFrame:
-    """Weekly series of the pooled accounts for one mode (ds / md / cb):
-    dl and dlat at 3 significant figures, likes and repo counts exact; dlat
-    is NULL in weeks where the hub does not track it."""
-    hub = acc.groupBy("snapshot_date").agg(F.sum("dlat").alias("_hd"))
-    p = acc.join(pool.select("author"), "author", "left_semi").join(F.broadcast(hub), "snapshot_date")
-    return p.select(F.lit(mode).alias("mode"), "snapshot_date", "author", round_sig("dl").alias("dl"),
-                    F.col("lk"), F.col("n"),
+def account_series(acc: DataFrame, pool: DataFrame, part: Sequence[str] = ("mode",)) -> DataFrame:
+    """Weekly series of the pooled accounts per mode (ds / md / cb): dl
+    and dlat at 3 significant figures, likes and repo counts exact; dlat is
+    NULL in weeks where the hub does not track it."""
+    part = list(part)
+    hub = acc.groupBy(*part, "snapshot_date").agg(F.sum("dlat").alias("_hd"))
+    p = acc.join(pool.select(*part, "author"), [*part, "author"], "left_semi").join(hub, [*part, "snapshot_date"])
+    return p.select(*part, "snapshot_date", "author", round_sig("dl").alias("dl"), F.col("lk"), F.col("n"),
                     F.when(F.col("_hd") != 0, round_sig("dlat")).alias("dlat"))
 
 
+def modes(ds_acc: DataFrame, md_acc: DataFrame) -> DataFrame:
+    """Account aggregates of the three dashboard modes in one frame: each hub
+    alone (``ds``, ``md``) and both combined on their common dates (``cb``)."""
+    cols = [*ACC_COLS, "t"]
+    cb = combine_hubs(ds_acc, md_acc, "inner").select(*cols)
+    return (ds_acc.select(F.lit("ds").alias("mode"), *cols)
+            .unionByName(md_acc.select(F.lit("md").alias("mode"), *cols))
+            .unionByName(cb.select(F.lit("cb").alias("mode"), *cols)))
+
+
 def volume_proxy(panel: DataFrame, pool: DataFrame) -> DataFrame:
     """Size-weighted volume Σ downloads x mainSize per pooled account
     (bytes > 0) with the hub-wide volume and the download coverage (rows with

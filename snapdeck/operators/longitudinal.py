@@ -44,13 +44,14 @@ def spike_summary(sp: DataFrame, top: int = 25) -> DataFrame:
             .orderBy(F.col("delta").desc(), F.col("_id").asc()).limit(top))
 
 
-def like_gain(acc: DataFrame) -> DataFrame:
+def like_gain(acc: DataFrame, part: Sequence[str] = ()) -> DataFrame:
     """Per account, likes now minus likes in the previous snapshot
-    (accounts absent there have no gain)."""
-    w = Window.partitionBy("author").orderBy("t")
+    (accounts absent there have no gain).  ``part`` adds keys such as a hub
+    or mode column."""
+    w = Window.partitionBy(*part, "author").orderBy("t")
     return (acc.withColumn("_pt", F.lag("t").over(w)).withColumn("lk_prev", F.lag("lk").over(w))
             .filter(F.col("t") - F.col("_pt") == 1)
-            .select("snapshot_date", "t", "author", "lk", "lk_prev", (F.col("lk") - F.col("lk_prev")).alias("lkd")))
+            .select(*part, "snapshot_date", "t", "author", "lk", "lk_prev", (F.col("lk") - F.col("lk_prev")).alias("lkd")))
 
 
 def first_seen(panel: DataFrame) -> DataFrame:

@@ -87,18 +87,22 @@ def group_share(df: DataFrame, by: Sequence[str], value: str, alias: str = "shar
     return df.withColumn(alias, F.try_divide(F.col(value).cast("double"), F.sum(value).over(Window.partitionBy(*by))))
 
 
-def account_ranks(acc: DataFrame, metrics: Sequence[str] = ("dl", "lk", "dlat"), top: int = 2000) -> DataFrame:
+def account_ranks(acc: DataFrame, metrics: Sequence[str] = ("dl", "lk", "dlat"), top: int = 2000,
+                  part: Sequence[str] = ("snapshot_date",)) -> DataFrame:
     """ordinal ranks per snapshot and metric (NULL metric = 0), over all
-    accounts (variant ``a``) and over non-individual accounts (``o``); only
-    ranks <= top are kept, which lets the window prune before the shuffle."""
+    accounts (variant ``a``) and over non-individual accounts (``o``).  The
+    metrics are stacked into rows first, so there is one window per variant,
+    partitioned by (snapshot, metric); only ranks <= top are kept, which lets
+    the window prune before the shuffle."""
+    part = list(part)
+    st = acc.select(*part, "author", "org_type", F.explode(F.array(*[
+        F.struct(F.lit(m).alias("metric"), F.coalesce(F.col(m), F.lit(0)).cast("long").alias("v")) for m in metrics
+    ])).alias("s")).select(*part, "author", "org_type", "s.*")
     out = None
-    for m in metrics:
-        base = acc.select("snapshot_date", "author", "org_type", F.coalesce(F.col(m), F.lit(0)).alias("v"))
-        for variant, d in (("a", base), ("o", base.filter(F.col("org_type") != "individual"))):
-            r = top_rows(d, ["snapshot_date"], "v", "author", top).select(
-                "snapshot_date", "author", F.lit(m).alias("metric"), F.lit(variant).alias("variant"),
-                F.col("rk").cast("int").alias("rk"))
-            out = r if out is None else out.unionByName(r)
+    for variant, d in (("a", st), ("o", st.filter(F.col("org_type") != "individual"))):
+        r = top_rows(d, [*part, "metric"], "v", "author", top).select(
+            *part, "author", "metric", F.lit(variant).alias("variant"), F.col("rk").cast("int").alias("rk"))
+        out = r if out is None else out.unionByName(r)
     return out
 
 

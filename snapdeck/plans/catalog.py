@@ -119,7 +119,7 @@ def ever_in_pool(spark, sf):
 @query
 def pool_series(spark, sf):
     """G2 + D7: the full rows of the accounts ever in a weekly top-5 pool."""
-    acc = ranking.by_account(driver.panel(spark, sf))
+    acc = _acc_ds(spark, sf)
     pool = ranking.ever_in_pool(acc, "author", ["dl", "lk"], 5)
     return ranking.pool_rows(acc, pool, "author").drop("t")
 
@@ -164,8 +164,7 @@ def spike_summary(spark, sf):
 
 @query
 def account_gain(spark, sf):
-    acc = ranking.by_account(driver.panel(spark, sf))
-    return longitudinal.like_gain(acc).drop("t")
+    return longitudinal.like_gain(_acc_ds(spark, sf)).drop("t")
 
 
 @query
@@ -293,7 +292,7 @@ def round_sig(spark, sf):
     """Account series rounded to 3 significant figures."""
     from pyspark.sql import functions as F
     from ..functions.numeric import round_sig as rs
-    acc = ranking.by_account(driver.panel(spark, sf))
+    acc = _acc_ds(spark, sf)
     return acc.select("snapshot_date", "author", "dl", rs("dl").alias("dl_r"), rs("dlat").alias("dlat_r"),
                       rs(F.col("lk") * 997).alias("lk_r"))
 
@@ -468,11 +467,20 @@ def region_rollup(spark, sf):
 # --- hubs and user-facing queries ------------------------------------------------
 
 def _acc_ds(spark, sf):
-    return ranking.by_account(driver.panel(spark, sf))
+    """E7 of the dataset hub, stored once per application (it feeds D3, D5,
+    E8, E23, F6, G1 and J2-J5)."""
+    return driver.materialize(spark, ("acc_ds", sf), lambda: ranking.by_account(driver.panel(spark, sf)),
+                              sort=("author",))
 
 
 def _acc_md(spark, sf):
-    return ranking.by_account(driver.models_panel(spark, sf))
+    return driver.materialize(spark, ("acc_md", sf), lambda: ranking.by_account(driver.models_panel(spark, sf)),
+                              sort=("author",))
+
+
+def _modes(spark, sf):
+    return driver.materialize(spark, ("modes", sf), lambda: hubs.modes(_acc_ds(spark, sf), _acc_md(spark, sf)),
+                              sort=("mode", "author"))
 
 
 @query
@@ -502,13 +510,8 @@ def volume_proxy(spark, sf):
 
 @query
 def account_series(spark, sf):
-    ds, md = _acc_ds(spark, sf), _acc_md(spark, sf)
-    cb = hubs.combine_hubs(ds, md, how="inner")
-    out = None
-    for mode, acc in (("ds", ds), ("md", md), ("cb", cb)):
-        s = hubs.account_series(acc, hubs.dashboard_pool(acc, 5), mode)
-        out = s if out is None else out.unionByName(s)
-    return out
+    acc = _modes(spark, sf)
+    return hubs.account_series(acc, hubs.dashboard_pool(acc, 5, ["mode"]), ["mode"])
 
 
 @query
