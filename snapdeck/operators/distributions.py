@@ -172,6 +172,19 @@ def account_hist(df: DataFrame, col: str, edges: Sequence[float], part: Sequence
     return df.filter(F.col(col).isNotNull()).groupBy(*part, b.alias("bin")).agg(F.count(F.lit(1)).alias("c"))
 
 
+def np_bin(x: Column, lo: Column, step: Column, bins: int) -> Column:
+    """Bin of x on the grid ``lo + k * step`` (k = 0..bins, last edge closed)
+    exactly as a histogram over ``linspace`` edges assigns it: a first guess
+    by division, then one correction against the computed edges, so values
+    that fall on an edge land where floating-point comparison puts them."""
+    def edge(k):
+        return k.cast("double") * step + lo
+    cand = F.least(F.greatest(F.floor((x - lo) / step), F.lit(0)), F.lit(bins - 1)).cast("int")
+    return (F.when(x < edge(cand), cand - 1)
+            .when((cand < bins - 1) & (x >= edge(cand + 1)), cand + 1)
+            .otherwise(cand))
+
+
 def _const_join(df: DataFrame, scalars: DataFrame) -> DataFrame:
     """Attach a one-row aggregate to every row (broadcast equi-join on a
     constant key: a hash join, no nested loop)."""
@@ -219,7 +232,7 @@ def log_density(df: DataFrame, value: str, part: Sequence[str] = ("org_type",),
         lim = lim.withColumn("lo", F.lit(0.0))
     xs = _const_join(x, lim).filter((F.col("x") >= F.col("lo")) & (F.col("x") <= F.col("hi")))
     width = (F.col("hi") - F.col("lo")) / F.lit(bins)
-    b = F.least(F.floor((F.col("x") - F.col("lo")) / width), F.lit(bins - 1)).cast("int")
+    b = np_bin(F.col("x"), F.col("lo"), width, bins)
     hist = xs.groupBy(*part, b.alias("bin"), "lo", "hi").agg(F.count(F.lit(1)).cast("double").alias("h"))
     sm = _smooth(hist, [*part, "lo", "hi"], F.lit(sigma) / ((F.col("hi") - F.col("lo")) / F.lit(bins)), bins)
     d = _dense_bins(sm, [*part, "lo", "hi"], bins)
@@ -245,19 +258,34 @@ def rank_density(acc: DataFrame, value: str, part: Sequence[str] = ("org_type",)
     f = freq(acc.withColumn("_v", v), part, "_v", descending=True).withColumn("_before", F.col("cum") - F.col("c"))
     f = f.withColumn("_tot", F.sum(F.when(F.col("v") >= 1, F.col("v") * F.col("c"))).over(Window.partitionBy(*part)))
     f = f.filter(F.col("v") >= 1)
-    # rank i (0-based) lies in bin floor((i + .5) / N / width * bins), computed
-    # exactly in integers: bin(i) = ((2i + 1) A) div B with A = bins * 1000 and
-    # B = 2 N round(width * 1000); bin b holds ranks lo(b) .. lo(b + 1) - 1.
-    a_ = bins * 1000
-    f = f.withColumn("_B", F.col("n") * F.lit(2 * int(round(width * 1000))))
-    f = f.withColumn("_i0", F.col("_before")).withColumn("_i1", F.col("_before") + F.col("c") - 1)
-    b_first = F.expr(f"((2 * _i0 + 1) * {a_}) div _B")
-    b_last = F.least(F.expr(f"((2 * _i1 + 1) * {a_}) div _B"), F.lit(bins - 1))
-    e = (f.filter(b_first < bins)  # rank interval starts beyond the zoom width
-         .select(*part, "v", "c", "n", "_tot", "_i0", "_i1", "_B", F.explode(F.sequence(b_first, b_last)).alias("bin")))
-
-    i_lo = F.greatest(F.col("_i0"), F.ceil((F.expr(f"(bin * _B + {a_} - 1) div {a_}") - 1) / 2))
-    i_hi = F.least(F.col("_i1"), F.ceil((F.expr(f"((bin + 1) * _B + {a_} - 1) div {a_}") - 1) / 2) - 1)
+    # rank i (0-based) sits at x_i = (i + 0.5) / N on edges k * width / bins.
+    # A frequency row holds ranks i0..i1; it spans bins bin(x_i0)..bin(x_i1),
+    # and bin b holds the ranks lo(b) .. lo(b + 1) - 1 where lo(b) is the
+    # first rank with x_i >= edge_b (checked in floating point around the
+    # algebraic solution, so boundary ranks fall where a histogram puts them).
+    step = F.lit(width / bins)
+    n = F.col("n")
+
+    def x(i):
+        return (i + F.lit(0.5)) / n
+
+    def lo(b):
+        e = b.cast("double") * step
+        c0 = F.ceil(e * n - F.lit(0.5)).cast("long")
+        first = F.when(x(c0 - 1) >= e, c0 - 1).when(x(c0) >= e, c0).otherwise(c0 + 1)
+        return F.when(b <= 0, F.lit(0).cast("long")).otherwise(F.greatest(first, F.lit(0).cast("long")))
+
+    m0 = F.floor(F.lit(width) * n - F.lit(0.5)).cast("long")
+    last_rank = F.when(x(m0 + 1) <= F.lit(width), m0 + 1).when(x(m0) <= F.lit(width), m0).otherwise(m0 - 1)
+    f = (f.withColumn("_i0", F.col("_before")).withColumn("_i1", F.col("_before") + F.col("c") - 1)
+         .withColumn("_last", last_rank).filter(F.col("_i0") <= F.col("_last")))
+    b_first = np_bin(x(F.col("_i0")), F.lit(0.0), step, bins)
+    b_last = np_bin(x(F.least(F.col("_i1"), F.col("_last"))), F.lit(0.0), step, bins)
+    e = f.select(*part, "v", "c", "n", "_tot", "_i0", "_i1", "_last",
+                 F.explode(F.sequence(b_first, b_last)).alias("bin"))
+    i_lo = F.greatest(F.col("_i0"), lo(F.col("bin")))
+    i_hi = F.least(F.col("_i1"), F.col("_last"),
+                   F.when(F.col("bin") < bins - 1, lo(F.col("bin") + 1) - 1).otherwise(F.col("_last")))
     cnt = F.greatest(i_hi - i_lo + 1, F.lit(0))
     hist = e.groupBy(*part, "bin").agg(F.sum(cnt * F.col("v") / F.col("_tot")).alias("h"))
     sm = _smooth(hist, part, F.lit(sigma_bins), bins)

@@ -702,13 +702,22 @@ def _hist_all() -> str:
 register("account_hist", _hist_all())
 
 
+def _np_bin(x: str, lo: str, step: str, bins: int = 80) -> str:
+    """Histogram bin over linspace edges lo + k * step (floating point)."""
+    cand = f"CAST(least(greatest(floor(({x} - {lo}) / {step}), 0), {bins - 1}) AS INTEGER)"
+    def edge(k):
+        return f"(CAST({k} AS DOUBLE) * {step} + {lo})"
+    return (f"CAST(CASE WHEN {x} < {edge(cand)} THEN {cand} - 1 "
+            f"WHEN {cand} < {bins - 1} AND {x} >= {edge(cand + ' + 1')} THEN {cand} + 1 ELSE {cand} END AS INTEGER)")
+
+
 def _density(src: str, lower: bool) -> str:
     lo = _near(0.001, "x", "i", "n") if lower else "0.0::DOUBLE"
     return f"""
 , xs AS ({src}),
 lim AS (SELECT {lo} AS lo, {_near(0.999, 'x', 'i', 'n')} AS hi
         FROM (SELECT x, row_number() OVER (ORDER BY x) - 1 AS i, COUNT(*) OVER () AS n FROM xs)),
-h AS (SELECT org_type, lo, hi, CAST(least(floor((x - lo) / ((hi - lo) / 80)), 79) AS INTEGER) AS bin, COUNT(*)::DOUBLE AS h
+h AS (SELECT org_type, lo, hi, {_np_bin('x', 'lo', '((hi - lo) / 80)')} AS bin, COUNT(*)::DOUBLE AS h
       FROM xs, lim WHERE x >= lo AND x <= hi GROUP BY 1, 2, 3, 4),
 k AS (SELECT 0.12::DOUBLE / ((hi - lo) / 80) AS s FROM lim),
 kr AS (SELECT s, CAST(ceil(4.0 * s) AS INTEGER) AS r FROM k),
@@ -749,7 +758,7 @@ FROM (SELECT g.snapshot_date, g.org_type, b.bin, COALESCE(sm.d, 0.0) AS d
 def _rank_ctes(width: float) -> str:
     w = int(round(width * 1000))
     return f"""
-hr_{w} AS (SELECT snapshot_date, org_type, CAST(((2 * i + 1) * 80000) // (2 * n * {w}) AS INTEGER) AS bin,
+hr_{w} AS (SELECT snapshot_date, org_type, {_np_bin('((i + 0.5) / n)', '0.0', f'({width}::DOUBLE / 80)')} AS bin,
                   SUM(v::DOUBLE / tot) AS h
            FROM (SELECT snapshot_date, org_type, COALESCE(dlat, 0) AS v,
                         row_number() OVER (PARTITION BY snapshot_date, org_type ORDER BY COALESCE(dlat, 0) DESC) - 1 AS i,
@@ -757,7 +766,7 @@ hr_{w} AS (SELECT snapshot_date, org_type, CAST(((2 * i + 1) * 80000) // (2 * n
                         SUM(CASE WHEN COALESCE(dlat, 0) >= 1 THEN COALESCE(dlat, 0) END)
                             OVER (PARTITION BY snapshot_date, org_type) AS tot
                  FROM acct)
-           WHERE v >= 1 AND ((2 * i + 1) * 80000) // (2 * n * {w}) < 80 GROUP BY 1, 2, 3),
+           WHERE v >= 1 AND (i + 0.5) / n <= {width}::DOUBLE GROUP BY 1, 2, 3),
 sm_{w} AS (SELECT snapshot_date, org_type, bin + j AS i,
                   SUM(h * exp(-0.5 * pow(j / 0.64, 2)) / (SELECT SUM(exp(-0.5 * pow(jj / 0.64, 2))) FROM range(-3, 4) q(jj))) AS d
            FROM hr_{w}, range(-3, 4) g(j) WHERE bin + j BETWEEN 0 AND 79 GROUP BY 1, 2, 3)
