@@ -64,14 +64,15 @@ def linear(q: float) -> Column:
     return lo + frac * (hi - lo)
 
 
-def box_stats(df: DataFrame, col: str, part: Sequence[str] = ("org_type",)) -> DataFrame:
+def box_stats(df: DataFrame, col: str, part: Sequence[str] = ("org_type",), positive: bool = False) -> DataFrame:
     """E12 (+D12): per group: rows, share of non-null rows with value >= 1,
     nearest-rank quantiles, mean and max over the rows >= 1.  Groups without
-    a row >= 1 vanish."""
+    a row >= 1 vanish.  ``positive`` uses value > 0 instead (E19: sized rows,
+    coverage share and quantiles in bytes)."""
     part = list(part)
-    counts = df.groupBy(*part).agg(F.count(F.lit(1)).alias("n_rows"),
-                                   F.avg((F.col(col) >= 1).cast("double")).alias("share"))
-    sub = df.filter(F.col(col) >= 1)
+    keep = (F.col(col) > 0) if positive else (F.col(col) >= 1)
+    counts = df.groupBy(*part).agg(F.count(F.lit(1)).alias("n_rows"), F.avg(keep.cast("double")).alias("share"))
+    sub = df.filter(keep)
     f = freq(sub, part, col)
     q = f.groupBy(*part).agg(*[nearest(p).alias(k) for k, p in BOX_QUANTS],
                              F.max("v").alias("max"),
@@ -318,6 +319,13 @@ def country_stats(df: DataFrame, part: Sequence[str] = ("country",)) -> DataFram
     return base.join(q, part, "left")
 
 
+def distinct_accounts(df: DataFrame, part: Sequence[str] = ("org_type",)) -> DataFrame:
+    """Distinct accounts per group; a NULL author counts as one more
+    account (as a null-aware unique count does)."""
+    return df.groupBy(*part).agg(
+        (F.count_distinct("author") + F.max(F.col("author").isNull().cast("int"))).alias("n_accounts"))
+
+
 def top_k_with_rest(df: DataFrame, k: int, key: str, value: str, part: Sequence[str] = (),
                     rest: str = "others") -> DataFrame:
     """The top-k keys by value, everything else rolled into ``rest``

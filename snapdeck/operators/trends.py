@@ -114,3 +114,12 @@ def presence_outcome(panel: DataFrame, outcome: str = "downloadsAllTime") -> Dat
                     F.try_divide(F.col("outcome").cast("double"), F.sum("outcome").over(w)).cast("decimal(20,6)").alias("outcome_share"),
                     F.try_divide(F.sum("n").over(wg).cast("double"), F.sum("n").over(w)).cast("decimal(20,6)").alias("side_presence_share"),
                     F.try_divide(F.sum("outcome").over(wg).cast("double"), F.sum("outcome").over(w)).cast("decimal(20,6)").alias("side_outcome_share")))
+
+
+def group_order(by_type: DataFrame, value: str, by: str = "org_type") -> DataFrame:
+    """Order of the groups by their value in the latest snapshot (largest
+    first, ties by name) — e.g. the stacking order of a chart."""
+    last = by_type.agg(F.max("snapshot_date").alias("snapshot_date"))
+    d = by_type.join(F.broadcast(last), "snapshot_date", "left_semi")
+    w = Window.orderBy(F.col(value).desc(), F.col(by).asc())  # one row per group
+    return d.select(by, F.col(value).alias("value"), F.row_number().over(w).alias("position"))

@@ -622,3 +622,31 @@ def coverage_profile(spark, sf):
 def page_cards(spark, sf):
     from ..sources.pages import extract_org_cards
     return extract_org_cards(driver.table(spark, sf, "pages"))
+
+
+@query
+def size_box(spark, sf):
+    """E19 coverage and byte quantiles: share of rows with a positive size,
+    nearest-rank quantiles, mean and max of the sized rows."""
+    return dist.box_stats(rejoined(spark, sf), "mainSize", part=_SD, positive=True)
+
+
+@query
+def distinct_accounts(spark, sf):
+    return dist.distinct_accounts(rejoined(spark, sf), part=_SD)
+
+
+@query
+def type_order(spark, sf):
+    """Stacking order of the types by latest all-time downloads."""
+    return trends.group_order(trends.metric_by_type(baked(spark, sf)), "downloadsAllTime")
+
+
+@query
+def frozen_diff(spark, sf):
+    """H5: detected frozen snapshots versus the hub's known list."""
+    import datetime as _dt
+    from ..functions.fixed import KNOWN_FROZEN
+    found = longitudinal.frozen(driver.panel(spark, sf)).filter("frozen")
+    known = spark.createDataFrame([(_dt.date.fromisoformat(d),) for d in KNOWN_FROZEN], "snapshot_date date")
+    return longitudinal.diff_expected(found, known)

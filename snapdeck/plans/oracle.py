@@ -1028,3 +1028,40 @@ FROM (
   WHERE starts_with(href, '/') AND NOT contains(substr(href, 2), '/') AND {_FOL} <> '')
 GROUP BY slug
 """)
+
+
+register("size_box", f"""
+SELECT c.snapshot_date, c.org_type, c.n_rows, CAST(c.share AS DECIMAL(20,6)) AS share,
+       {_near(0.05)} AS p5, {_near(0.25)} AS q1, {_near(0.5)} AS med, {_near(0.75)} AS q3,
+       {_near(0.95)} AS p95, {_near(0.99)} AS p99,
+       CAST(SUM(v) / COUNT(*) AS DECIMAL(24,6)) AS mean, MAX(v) AS max
+FROM (SELECT snapshot_date, org_type, COUNT(*) AS n_rows,
+             AVG(CASE WHEN mainSize > 0 THEN 1.0 WHEN mainSize IS NOT NULL THEN 0.0 END) AS share
+      FROM pr GROUP BY 1, 2) c
+JOIN (SELECT snapshot_date, org_type, mainSize AS v,
+             row_number() OVER (PARTITION BY snapshot_date, org_type ORDER BY mainSize) - 1 AS i,
+             COUNT(*) OVER (PARTITION BY snapshot_date, org_type) AS n
+      FROM pr WHERE mainSize > 0) s
+  ON s.snapshot_date = c.snapshot_date AND s.org_type = c.org_type
+GROUP BY c.snapshot_date, c.org_type, c.n_rows, c.share
+""", ORGS_CTE)
+
+register("distinct_accounts", """
+SELECT snapshot_date, org_type, COUNT(DISTINCT author) + MAX(CASE WHEN author IS NULL THEN 1 ELSE 0 END) AS n_accounts
+FROM pr GROUP BY 1, 2
+""", ORGS_CTE)
+
+register("type_order", """
+SELECT org_type, value, CAST(row_number() OVER (ORDER BY value DESC, org_type) AS INTEGER) AS position
+FROM (SELECT ty.org_type, CAST(COALESCE(SUM(p.downloadsAllTime), 0) AS BIGINT) AS value
+      FROM types ty LEFT JOIN pb p ON p.org_type = ty.org_type AND p.snapshot_date = (SELECT MAX(snapshot_date) FROM pb)
+      GROUP BY 1)
+""")
+
+register("frozen_diff", """
+SELECT snapshot_date, 'unexpected' AS side FROM (SELECT * FROM fz EXCEPT ALL SELECT * FROM known)
+UNION ALL
+SELECT snapshot_date, 'missing' AS side FROM (SELECT * FROM known EXCEPT ALL SELECT * FROM fz)
+""", "fz AS (SELECT snapshot_date FROM (" + _FROZEN.format(src="panel") + ") WHERE frozen)",
+         """known AS (SELECT CAST(d AS DATE) AS snapshot_date FROM (VALUES ('2024-08-07'), ('2025-07-02'), ('2025-11-12'),
+          ('2025-11-19'), ('2026-04-08'), ('2026-05-27'), ('2026-06-03')) v(d))""")
