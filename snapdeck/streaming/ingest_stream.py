@@ -7,6 +7,11 @@ ingest (dynamic partition overwrite of its snapshot dates), and first
 appearances are found with a ``left_anti`` join against a ``seen`` table of
 every id so far — the only streaming state, kept as a table in the shared
 folder rather than in executor memory.
+
+Files are taken in arrival (modification-time) order, one week per
+micro-batch by default.  A late or re-issued week is re-ingested with
+``ingest(..., force=True)``, and the first-appearance counts from that week
+onwards are recomputed with ``longitudinal.newly_added``.
 """
 
 from __future__ import annotations

@@ -95,9 +95,11 @@ def test_streaming_ingest_equals_batch(spark, tmpdir_path):
     src = f"{tmpdir_path}/incoming"
     weeks = {"2024-01-01": [("1", "o", 1), ("2", "p", 2)], "2024-01-08": [("1", "o", 3), ("3", "o", 4)],
              "2024-01-15": [("3", "o", 5), ("4", "p", 6), ("2", "p", 1)]}
-    for d, rows in weeks.items():
-        _write(f"{src}/hf_datasets_min_{d}.parquet",
-               pa.table({"_id": [r[0] for r in rows], "author": [r[1] for r in rows], "downloads": [r[2] for r in rows]}))
+    for k, (d, rows) in enumerate(weeks.items()):
+        f = f"{src}/hf_datasets_min_{d}.parquet"
+        _write(f, pa.table({"_id": [r[0] for r in rows], "author": [r[1] for r in rows],
+                            "downloads": [r[2] for r in rows]}))
+        os.utime(f, (1_700_000_000 + 3600 * k, 1_700_000_000 + 3600 * k))  # weekly files arrive in date order
     orgs = spark.createDataFrame([("o", "company", 1)], "author string, csv_type string, followers bigint")
     out, ck, seen, new = (f"{tmpdir_path}/{x}" for x in ("out", "ckpt", "seen", "new"))
     ingest_stream(spark, src, out, ck, orgs, schema, seen=seen, new_out=new, max_files=1)
