@@ -24,20 +24,51 @@ BOX_QUANTS = [("p5", 0.05), ("q1", 0.25), ("med", 0.5), ("q3", 0.75), ("p95", 0.
 
 
 def freq(df: DataFrame, part: Sequence[str], value: str, weight: str | None = None,
-         descending: bool = False) -> DataFrame:
+         descending: bool = False, slices: int = 64) -> DataFrame:
     """Frequency rows (part, v, c[, w]) with ``cum`` (inclusive running count
-    in value order), ``cum_w`` when weighted, and the group size ``n``."""
+    in value order), ``cum_w`` when weighted, and the group size ``n``.
+
+    Running sums are exact but never computed in one task per group: each
+    group's distinct values are cut into ``slices`` value ranges at
+    approximate quantiles of the distinct values (the cut points only decide
+    the ranges, not the result), the window runs per (group, range), and a
+    small per-range table supplies the offsets.  A type holding most rows,
+    with a near-continuous value such as byte sizes, is thus spread over
+    ``slices`` tasks.
+    """
+    part = list(part)
     aggs = [F.count(F.lit(1)).alias("c")]
     if weight:
         aggs.append(F.coalesce(F.sum(weight), F.lit(0)).alias("w"))
     g = df.groupBy(*part, F.col(value).alias("v")).agg(*aggs)
+    probs = [i / slices for i in range(1, slices)]
+    cuts = g.groupBy(*part).agg(F.percentile_approx("v", probs, 1000).alias("_cuts"))  # groups x slices values
+    if descending:
+        sl = F.size(F.filter("_cuts", lambda b: b > F.col("v")))
+    else:
+        sl = F.size(F.filter("_cuts", lambda b: b < F.col("v")))
+    g = g.join(cuts, part) if part else _const_join(g, cuts)
+    g = g.withColumn("_s", sl.cast("int")).drop("_cuts")
     order = F.col("v").desc() if descending else F.col("v").asc()
-    wo = Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    wl = Window.partitionBy(*part, "_s").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    g = g.withColumn("_lc", F.sum("c").over(wl))
+    sums = [F.sum("c").alias("_sc")]
+    if weight:
+        g = g.withColumn("_lw", F.sum("w").over(wl))
+        sums.append(F.sum("w").alias("_sw"))
+    t = g.groupBy(*part, "_s").agg(*sums)  # one row per (group, slice)
+    wo = Window.partitionBy(*part).orderBy("_s")
     wa = Window.partitionBy(*part)
-    g = g.withColumn("cum", F.sum("c").over(wo)).withColumn("n", F.sum("c").over(wa))
+    t = t.withColumn("_oc", F.coalesce(F.sum("_sc").over(wo.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    t = t.withColumn("n", F.sum("_sc").over(wa))
+    if weight:
+        t = (t.withColumn("_ow", F.coalesce(F.sum("_sw").over(wo.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+             .withColumn("tot_w", F.sum("_sw").over(wa)))
+    g = g.join(t, [*part, "_s"]).withColumn("cum", F.col("_oc") + F.col("_lc"))
     if weight:
-        g = g.withColumn("cum_w", F.sum("w").over(wo)).withColumn("tot_w", F.sum("w").over(wa))
-    return g
+        g = g.withColumn("cum_w", F.col("_ow") + F.col("_lw"))
+    keep = [*part, "v", "c", "cum", "n"] + (["w", "cum_w", "tot_w"] if weight else [])
+    return g.select(*keep)
 
 
 def nearest(q: float) -> Column:
@@ -257,8 +288,9 @@ def rank_density(acc: DataFrame, value: str, part: Sequence[str] = ("org_type",)
     part = list(part)
     v = F.coalesce(F.col(value), F.lit(0))
     f = freq(acc.withColumn("_v", v), part, "_v", descending=True).withColumn("_before", F.col("cum") - F.col("c"))
-    f = f.withColumn("_tot", F.sum(F.when(F.col("v") >= 1, F.col("v") * F.col("c"))).over(Window.partitionBy(*part)))
+    tot = f.groupBy(*part).agg(F.sum(F.when(F.col("v") >= 1, F.col("v") * F.col("c"))).alias("_tot"))
     f = f.filter(F.col("v") >= 1)
+    f = f.join(tot, part) if part else _const_join(f, tot)
     # rank i (0-based) sits at x_i = (i + 0.5) / N on edges k * width / bins.
     # A frequency row holds ranks i0..i1; it spans bins bin(x_i0)..bin(x_i1),
     # and bin b holds the ranks lo(b) .. lo(b + 1) - 1 where lo(b) is the

@@ -35,9 +35,9 @@ def dedupe_orgs(orgs: DataFrame) -> DataFrame:
     """One row per author.  Loaders keep the first row per slug already
     (``load_orgs``); here a deterministic pick guards derived dims."""
     if "_order" in orgs.columns:
-        from pyspark.sql import Window
-        w = Window.partitionBy("author").orderBy("_order")
-        return orgs.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn", "_order")
+        rest = [c for c in orgs.columns if c not in ("author", "_order")]
+        return (orgs.groupBy("author").agg(F.min_by(F.struct(*rest), "_order").alias("_f"))
+                .select("author", "_f.*"))
     return orgs.dropDuplicates(["author"])
 
 

@@ -83,8 +83,15 @@ def topn_accounts(panel: DataFrame, n: int = 10, metric: str | None = "downloads
 
 
 def group_share(df: DataFrame, by: Sequence[str], value: str, alias: str = "share") -> DataFrame:
-    """value / Σ value within ``by`` (NULL when the group total is 0)."""
-    return df.withColumn(alias, F.try_divide(F.col(value).cast("double"), F.sum(value).over(Window.partitionBy(*by))))
+    """value / Σ value within ``by`` (NULL when the group total is 0).
+
+    The group totals are aggregated first (partial sums, one small shuffle)
+    and joined back, instead of a window that would put a whole hot group
+    into one task."""
+    by = list(by)
+    tot = df.groupBy(*by).agg(F.sum(value).alias("_gt"))
+    return (df.join(tot, by).withColumn(alias, F.try_divide(F.col(value).cast("double"), F.col("_gt")))
+            .drop("_gt"))
 
 
 def account_ranks(acc: DataFrame, metrics: Sequence[str] = ("dl", "lk", "dlat"), top: int = 2000,

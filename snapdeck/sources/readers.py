@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -97,9 +97,9 @@ def load_orgs(spark: SparkSession, path: str) -> DataFrame:
           .withColumn("_pos", F.monotonically_increasing_id()))
     newest = df.agg(F.max("_file").alias("_file"))
     df = df.join(F.broadcast(newest), "_file", "left_semi")
-    w = Window.partitionBy("slug").orderBy("_pos")
-    return (df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1")
-            .select(F.col("slug").alias("author"), F.col("org_type").alias("csv_type"), "followers"))
+    first = F.min_by(F.struct("org_type", "followers"), "_pos")  # reduced map-side even for a hot slug
+    return (df.groupBy("slug").agg(first.alias("f"))
+            .select(F.col("slug").alias("author"), F.col("f.org_type").alias("csv_type"), F.col("f.followers")))
 
 
 COUNTRY_SCHEMA = T.StructType([T.StructField("account", T.StringType()), T.StructField("country", T.StringType()),
