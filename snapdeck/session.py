@@ -48,10 +48,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not d:
         d = tempfile.mkdtemp(prefix="snapdeck-ckpt-", dir=os.environ.get("SNAPDECK_SCRATCH", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
+    try:
+        spark.sparkContext.setCheckpointDir(d)
+    except Exception:  # noqa: BLE001 - sessions without a local SparkContext
+        pass
     return d
 
 
+def app_id(spark: SparkSession) -> str:
+    """Identifier of the running application."""
+    return spark.conf.get("spark.app.id", None) or spark.sparkContext.applicationId
+
+
 def cut_lineage(df):
     """Reliable checkpoint into the shared checkpoint folder (never a local one)."""
     checkpoint_dir(df.sparkSession)

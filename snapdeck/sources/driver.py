@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.snapshots import with_ordinal
-from ..session import checkpoint_dir
+from ..session import app_id, checkpoint_dir
 
 # FIXED VALUES of the driver-table mapping (not of the analysed hub).
 REGION_ORG_TYPE = {"AFRICA": "company", "AMERICA": "university", "ASIA": "non-profit", "EUROPE": "community"}
@@ -57,7 +57,7 @@ def materialize(spark: SparkSession, key: tuple, build, sort: tuple = ("_id",))
     lineage back to the raw tables.  ``rebalance`` lets AQE split a large
     snapshot over several writers and merge small ones.
     """
-    app = spark.sparkContext.applicationId
+    app = app_id(spark)
     k = (app, *key)
     if k not in _WRITTEN:
         base = checkpoint_dir(spark).rstrip("/")

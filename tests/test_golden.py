@@ -88,3 +88,15 @@ def test_top_k_with_rest_remainder(spark):
     assert got["others"]["dl"] == NOT_SHOWN and got["others"]["members"] == 27
     assert sum(r["dl"] for r in got.values()) == TOTAL_DL
     assert abs(float(got["United States"]["share"]) - 1173708460 / TOTAL_DL) < 1e-6
+
+
+def test_frozen_week_smoothing_published_cells(spark):
+    """Published company likes around the frozen week 2024-08-07: the frozen
+    snapshot repeats the previous week (30134) and is smoothed to 30592,
+    halfway to the next fresh value 31050."""
+    from snapdeck.operators.longitudinal import smooth_frozen
+    raw = spark.createDataFrame([("company", 0, 30134), ("company", 1, 30134), ("company", 2, 31050)],
+                                "org_type string, t int, lk bigint")
+    fz = spark.createDataFrame([(1,)], "t int")
+    got = [r["lk"] for r in smooth_frozen(raw, fz, ["org_type"], "lk").orderBy("t").collect()]
+    assert got == [30134, 30592, 31050]

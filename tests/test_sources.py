@@ -115,3 +115,17 @@ def test_streaming_ingest_equals_batch(spark, tmpdir_path):
     # a second run with no new files processes nothing new
     ingest_stream(spark, src, out, ck, orgs, schema, seen=seen, new_out=new, max_files=1)
     assert spark.read.parquet(seen).count() == 4
+
+
+def test_read_hubs_and_sinks(spark, tmpdir_path):
+    ds = spark.createDataFrame([(dt.date(2024, 1, 1), "a", 1)], "snapshot_date date, author string, downloads bigint")
+    md = spark.createDataFrame([(dt.date(2024, 1, 1), "a", 5, 2)],
+                               "snapshot_date date, author string, downloads bigint, likes bigint")
+    h = R.read_hubs(ds, md)
+    assert sorted((r["hub"], r["downloads"], r["likes"]) for r in h.collect()) == [("ds", 1, None), ("md", 5, 2)]
+    for fmt in ("parquet", "csv", "json"):
+        out = f"{tmpdir_path}/res_{fmt}"
+        ING.write_result(h, out, fmt=fmt, sort=["hub"])
+        back = (spark.read.option("header", True).csv(out) if fmt == "csv" else
+                spark.read.json(out) if fmt == "json" else spark.read.parquet(out))
+        assert back.count() == 2
