@@ -23,33 +23,57 @@ from ..functions.fixed import CONCENTRATION_PS, DENSITY_BINS, LOG_SIGMA, RANK_SI
 BOX_QUANTS = [("p5", 0.05), ("q1", 0.25), ("med", 0.5), ("q3", 0.75), ("p95", 0.95), ("p99", 0.99)]
 
 
+def _slice_key(v: Column, per_octave: int) -> Column:
+    """Monotone, value-derived slice number: ``per_octave`` slices per
+    doubling of |v| (signed), so slices are contiguous value ranges and need
+    no extra pass over the data to place."""
+    m = F.floor(F.log2(F.abs(v) + F.lit(1.0)) * F.lit(per_octave))
+    # NULL values form their own slice, ordered first (as NULLs sort first ascending, last descending)
+    return F.coalesce((F.signum(v) * m).cast("long"), F.lit(-(1 << 63)).cast("long"))
+
+
+# Estimated input size above which running sums are sliced (see ``freq``).
+SLICE_ABOVE_BYTES = 64 * 1024 * 1024
+
+
+def _estimated_bytes(df: DataFrame) -> int:
+    """Catalyst's size estimate of a plan (no job runs)."""
+    try:
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # noqa: BLE001 - no estimate: assume large
+        return 1 << 62
+
+
 def freq(df: DataFrame, part: Sequence[str], value: str, weight: str | None = None,
-         descending: bool = False, slices: int = 64) -> DataFrame:
+         descending: bool = False, per_octave: int = 64, sliced: bool | None = None) -> DataFrame:
     """Frequency rows (part, v, c[, w]) with ``cum`` (inclusive running count
     in value order), ``cum_w`` when weighted, and the group size ``n``.
 
-    Running sums are exact but never computed in one task per group: each
-    group's distinct values are cut into ``slices`` value ranges at
-    approximate quantiles of the distinct values (the cut points only decide
-    the ranges, not the result), the window runs per (group, range), and a
-    small per-range table supplies the offsets.  A type holding most rows,
-    with a near-continuous value such as byte sizes, is thus spread over
-    ``slices`` tasks.
+    Large inputs (Catalyst's estimate above ``SLICE_ABOVE_BYTES``, or
+    ``sliced=True``) never compute running sums in one task per group: the
+    window runs per (group, value slice) — slices are contiguous value ranges
+    (``per_octave`` per doubling of |v|) — and a small per-slice table adds
+    the counts of the slices before, so a type holding most rows, even with a
+    near-continuous value such as byte sizes, is spread over many tasks.
+    Small inputs use one window per group (fewer stages).  Both give the
+    same exact result.
     """
     part = list(part)
     aggs = [F.count(F.lit(1)).alias("c")]
     if weight:
         aggs.append(F.coalesce(F.sum(weight), F.lit(0)).alias("w"))
+    if sliced is None:
+        sliced = _estimated_bytes(df) > SLICE_ABOVE_BYTES
     g = df.groupBy(*part, F.col(value).alias("v")).agg(*aggs)
-    probs = [i / slices for i in range(1, slices)]
-    cuts = g.groupBy(*part).agg(F.percentile_approx("v", probs, 1000).alias("_cuts"))  # groups x slices values
-    if descending:
-        sl = F.size(F.filter("_cuts", lambda b: b > F.col("v")))
-    else:
-        sl = F.size(F.filter("_cuts", lambda b: b < F.col("v")))
-    g = g.join(cuts, part) if part else _const_join(g, cuts)
-    g = g.withColumn("_s", sl.cast("int")).drop("_cuts")
     order = F.col("v").desc() if descending else F.col("v").asc()
+    if not sliced:
+        wo = Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        wa = Window.partitionBy(*part)
+        g = g.withColumn("cum", F.sum("c").over(wo)).withColumn("n", F.sum("c").over(wa))
+        if weight:
+            g = g.withColumn("cum_w", F.sum("w").over(wo)).withColumn("tot_w", F.sum("w").over(wa))
+        return g
+    g = g.withColumn("_s", _slice_key(F.col("v"), per_octave))
     wl = Window.partitionBy(*part, "_s").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     g = g.withColumn("_lc", F.sum("c").over(wl))
     sums = [F.sum("c").alias("_sc")]
@@ -57,12 +81,13 @@ def freq(df: DataFrame, part: Sequence[str], value: str, weight: str | None = No
         g = g.withColumn("_lw", F.sum("w").over(wl))
         sums.append(F.sum("w").alias("_sw"))
     t = g.groupBy(*part, "_s").agg(*sums)  # one row per (group, slice)
-    wo = Window.partitionBy(*part).orderBy("_s")
+    so = F.col("_s").desc() if descending else F.col("_s").asc()
+    wo = Window.partitionBy(*part).orderBy(so).rowsBetween(Window.unboundedPreceding, -1)
     wa = Window.partitionBy(*part)
-    t = t.withColumn("_oc", F.coalesce(F.sum("_sc").over(wo.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    t = t.withColumn("n", F.sum("_sc").over(wa))
+    t = (t.withColumn("_oc", F.coalesce(F.sum("_sc").over(wo), F.lit(0)))
+         .withColumn("n", F.sum("_sc").over(wa)))
     if weight:
-        t = (t.withColumn("_ow", F.coalesce(F.sum("_sw").over(wo.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        t = (t.withColumn("_ow", F.coalesce(F.sum("_sw").over(wo), F.lit(0)))
              .withColumn("tot_w", F.sum("_sw").over(wa)))
     g = g.join(t, [*part, "_s"]).withColumn("cum", F.col("_oc") + F.col("_lc"))
     if weight:

@@ -30,7 +30,9 @@ def baked(spark, sf):
 
 
 def rejoined(spark, sf):
-    return enrich.resolve_org_type(driver.panel(spark, sf), driver.orgs_dim(spark, sf), regime="rejoined")
+    """The panel under regime b (scrape type first), stored once per application."""
+    return driver.materialize(spark, ("rejoined", sf), lambda: enrich.resolve_org_type(
+        driver.panel(spark, sf), driver.orgs_dim(spark, sf), regime="rejoined"))
 
 
 @query
