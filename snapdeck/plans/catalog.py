@@ -652,3 +652,19 @@ def frozen_diff(spark, sf):
     found = longitudinal.frozen(driver.panel(spark, sf)).filter("frozen")
     known = spark.createDataFrame([(_dt.date.fromisoformat(d),) for d in KNOWN_FROZEN], "snapshot_date date")
     return longitudinal.diff_expected(found, known)
+
+
+@query
+def entity_topics(spark, sf):
+    """B13 + I1 metadata: each dataset's latest name, type and sorted
+    vocabulary indices of its latest tags."""
+    from pyspark.sql import functions as F
+    from ..functions.tags import topic_ids
+    p = driver.panel(spark, sf)
+    vocab = topics.topic_vocab(p, top=60, latest_only=False)
+    vmap = vocab.agg(F.map_from_entries(F.collect_list(F.struct("topic", "idx"))).alias("_vm"))  # tasks + 60 entries
+    a = longitudinal.latest_attrs(p).withColumn("_k", F.lit(1))
+    j = a.join(F.broadcast(vmap.withColumn("_k", F.lit(1))), "_k")
+    return j.select("_id", "id", "org_type",
+                    F.array_join(F.transform(topic_ids("tags", F.col("_vm")), lambda x: x.cast("string")), ",")
+                    .alias("topic_ids"))

@@ -1065,3 +1065,16 @@ SELECT snapshot_date, 'missing' AS side FROM (SELECT * FROM known EXCEPT ALL SEL
 """, "fz AS (SELECT snapshot_date FROM (" + _FROZEN.format(src="panel") + ") WHERE frozen)",
          """known AS (SELECT CAST(d AS DATE) AS snapshot_date FROM (VALUES ('2024-08-07'), ('2025-07-02'), ('2025-11-12'),
           ('2025-11-19'), ('2026-04-08'), ('2026-05-27'), ('2026-06-03')) v(d))""")
+
+register("entity_topics", f"""
+SELECT l._id, l.id, o.org_type, COALESCE(t.ids, '') AS topic_ids
+FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY _id ORDER BY t DESC) AS rn FROM panel) WHERE rn = 1) l
+LEFT JOIN (SELECT _id, arg_max(org_type, t) AS org_type FROM panel WHERE org_type IS NOT NULL GROUP BY 1) o ON o._id = l._id
+LEFT JOIN (SELECT _id, string_agg(CAST(idx AS VARCHAR), ',' ORDER BY idx) AS ids
+           FROM (SELECT DISTINCT x._id, v.idx
+                 FROM (SELECT _id, unnest({_TOPICS}) AS topic
+                       FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY _id ORDER BY t DESC) AS rn FROM panel)
+                             WHERE rn = 1)) x
+                 JOIN vocab v ON v.topic = x.topic)
+           GROUP BY 1) t ON t._id = l._id
+""", f"tc AS ({_TOPIC_COUNTS})", f"vocab AS ({_VOCAB})")
