@@ -81,4 +81,4 @@ def volume_proxy(panel: DataFrame, pool: DataFrame) -> DataFrame:
     per = (p.filter("_cov").join(pool.select("author"), "author", "left_semi")
            .groupBy("snapshot_date", "author").agg(F.sum("_b").cast("decimal(38,2)").alias("bytes"))
            .filter(F.col("bytes") > 0))
-    return per.join(F.broadcast(hub), "snapshot_date")
+    return per.join(F.broadcast(hub), "snapshot_date")  # one row per snapshot

@@ -150,6 +150,7 @@ def smooth_frozen(series: DataFrame, frozen_t: DataFrame, part: Sequence[str], v
 
     ``series`` is dense in ``t`` per partition; ``frozen_t`` lists frozen ``t``.
     """
+    # frozen snapshots: at most one row per snapshot (calendar-bounded)
     s = series.join(F.broadcast(frozen_t.select("t").withColumn("_fz", F.lit(True))), "t", "left") \
         .withColumn("_fz", F.coalesce("_fz", F.lit(False)))
     fresh = F.when(~F.col("_fz"), F.struct(F.col("t").alias("at"), F.col(value).alias("av")))
@@ -175,6 +176,7 @@ def drivers(panel: DataFrame, types: Sequence[str] = ORG_TYPES) -> DataFrame:
         F.coalesce(F.sum("likes"), F.lit(0)).cast("long").alias("lk"))
     dim = snapshot_dim(panel)
     gate = panel.groupBy("snapshot_date").agg(F.count("downloadsAllTime").alias("_tr"))
+    # dim / gate: one row per snapshot (calendar-bounded)
     grid = type_grid(dim, types).join(F.broadcast(dim), "snapshot_date")
     d = (grid.join(g, ["snapshot_date", "org_type"], "left").join(F.broadcast(gate), "snapshot_date")
          .withColumn("dlat", F.when(F.col("_tr") > 0, F.col("dlat")))

@@ -29,7 +29,7 @@ def snapshot_dim(df: DataFrame, date_col: str = "snapshot_date") -> DataFrame:
 
 def with_ordinal(df: DataFrame, date_col: str = "snapshot_date") -> DataFrame:
     """Attach ``t`` to every row via a broadcast join with the snapshots dim."""
-    return df.join(F.broadcast(snapshot_dim(df, date_col)), date_col)
+    return df.join(F.broadcast(snapshot_dim(df, date_col)), date_col)  # one row per snapshot
 
 
 def select_snapshots(dim: DataFrame, since: str | None = None, until: str | None = None,
@@ -67,7 +67,7 @@ def select_snapshots(dim: DataFrame, since: str | None = None, until: str | None
 def restrict(panel: DataFrame, selected: DataFrame, date_col: str = "snapshot_date") -> DataFrame:
     """Keep the panel rows of the selected snapshots (partition pruning on a
     date-partitioned table through dynamic partition pruning)."""
-    return panel.join(F.broadcast(selected.select(date_col)), date_col, "left_semi")
+    return panel.join(F.broadcast(selected.select(date_col)), date_col, "left_semi")  # <= one row per snapshot
 
 
 def align_snapshots(a: DataFrame, b: DataFrame, how: str = "inner", date_col: str = "snapshot_date") -> DataFrame:

@@ -67,7 +67,7 @@ def topic_series(panel: DataFrame, vocab: DataFrame) -> DataFrame:
         F.coalesce(F.sum("likes"), F.lit(0)).cast("long").alias("lk"))
     gate = panel.groupBy("snapshot_date").agg(F.count("downloadsAllTime").alias("_tr"))
     grid = _grid(panel, vocab)
-    d = grid.join(g, ["snapshot_date", "topic"], "left").join(F.broadcast(gate), "snapshot_date")
+    d = grid.join(g, ["snapshot_date", "topic"], "left").join(F.broadcast(gate), "snapshot_date")  # per snapshot
     return d.select("snapshot_date", "topic", F.coalesce("n", F.lit(0)).cast("long").alias("n"),
                     F.coalesce("dl", F.lit(0)).cast("long").alias("dl"),
                     F.when(F.col("_tr") > 0, F.col("dlat")).alias("dlat"),

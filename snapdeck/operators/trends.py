@@ -38,6 +38,7 @@ def count_by_type(panel: DataFrame, by: str = "org_type", types: Sequence[str] =
     g = panel.groupBy("snapshot_date", by).agg(F.count(F.lit(1)).alias("n"))
     dim = snapshot_dim(panel)
     d = densify(g, type_grid(dim, types, by), ["snapshot_date", by], {"n": 0})
+    # dim: one row per snapshot (calendar-bounded)
     tot = d.groupBy("snapshot_date").agg(F.sum("n").alias("total")).join(F.broadcast(dim), "snapshot_date")
     w = Window.orderBy("t")  # one row per snapshot
     tot = tot.withColumn("delta", F.coalesce(F.col("total") - F.lag("total").over(w), F.lit(0)))
@@ -61,7 +62,7 @@ def type_vectors(panel: DataFrame, types: Sequence[str] = ORG_TYPES) -> DataFram
     gate = panel.groupBy("snapshot_date").agg(F.count("downloadsAllTime").alias("_tracked"))
     grid = type_grid(gate.select("snapshot_date"), types)
     d = densify(g, grid, ["snapshot_date", "org_type"], {"dl": 0, "dlat": 0, "lk": 0, "n": 0, "new": 0})
-    return (d.join(F.broadcast(gate), "snapshot_date")
+    return (d.join(F.broadcast(gate), "snapshot_date")  # gate: one row per snapshot
             .withColumn("dlat", F.when(F.col("_tracked") > 0, F.col("dlat")))
             .select("snapshot_date", "org_type", "dl", "dlat", "lk", F.col("n").cast("long").alias("n"),
                     F.col("new").cast("long").alias("new")))
@@ -120,6 +121,6 @@ def group_order(by_type: DataFrame, value: str, by: str = "org_type") -> DataFra
     """Order of the groups by their value in the latest snapshot (largest
     first, ties by name) — e.g. the stacking order of a chart."""
     last = by_type.agg(F.max("snapshot_date").alias("snapshot_date"))
-    d = by_type.join(F.broadcast(last), "snapshot_date", "left_semi")
+    d = by_type.join(F.broadcast(last), "snapshot_date", "left_semi")  # one row
     w = Window.orderBy(F.col(value).desc(), F.col(by).asc())  # one row per group
     return d.select(by, F.col(value).alias("value"), F.row_number().over(w).alias("position"))
