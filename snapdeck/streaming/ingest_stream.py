@@ -54,3 +54,20 @@ def ingest_stream(spark: SparkSession, src: str, out: str, ckpt: str, orgs: Data
          .trigger(availableNow=True).start())
     q.awaitTermination()
     return q
+
+
+def adoption_stream(spark: SparkSession, src: str, schema: T.StructType, ckpt: str, query_name: str,
+                    prefix: str = "dataset:", max_files: int = 1):
+    """E21 as a streaming aggregation: model rows arriving as files, distinct
+    links per model (inside the row), running count of models per dataset.
+    The state is one count per dataset; each micro-batch updates it.  Output
+    goes to an in-memory table named ``query_name`` (complete mode), which a
+    real deployment replaces with a table sink in ``foreachBatch``."""
+    from ..operators.adoption import _links
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(src)
+    counts = (_links(stream, prefix).select(F.explode("ds").alias("dataset_id"))
+              .groupBy("dataset_id").agg(F.count(F.lit(1)).alias("n_models")))
+    q = (counts.writeStream.outputMode("complete").format("memory").queryName(query_name)
+         .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
+    q.awaitTermination()
+    return q

@@ -129,3 +129,20 @@ def test_read_hubs_and_sinks(spark, tmpdir_path):
         back = (spark.read.option("header", True).csv(out) if fmt == "csv" else
                 spark.read.json(out) if fmt == "json" else spark.read.parquet(out))
         assert back.count() == 2
+
+
+def test_adoption_stream_equals_batch(spark, tmpdir_path):
+    from snapdeck.operators.adoption import adoption
+    from snapdeck.sources import driver
+    from snapdeck.streaming.ingest_stream import adoption_stream
+    models = driver.model_links(spark, "/root/testdata/sf0.001")
+    src = f"{tmpdir_path}/models"
+    for k in range(3):  # three arrivals of model rows
+        part = models.filter(F.col("model_id") % 3 == k).toPandas()
+        f = f"{src}/models_{k}.parquet"
+        _write(f, pa.Table.from_pandas(part, preserve_index=False))
+        os.utime(f, (1_700_000_000 + k, 1_700_000_000 + k))
+    adoption_stream(spark, src, models.schema, f"{tmpdir_path}/ck", "adoption_live")
+    got = sorted(tuple(r) for r in spark.sql("SELECT dataset_id, n_models FROM adoption_live").collect())
+    exp = sorted(tuple(r) for r in adoption(models).collect())
+    assert got == exp and len(got) > 0
