@@ -41,11 +41,16 @@ def build_session(master: str | None = None, app: str = "snapdeck", shuffle_part
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    Only when the setting is absent (local tests) a scratch folder is created
-    and registered; a cluster always names a shared folder itself.
+    Only when the setting is absent in local mode (tests) a scratch folder is
+    created and registered; on a cluster the setting must name a shared
+    folder, and its absence is an error rather than a silent local path.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        master = spark.conf.get("spark.master", "") or ""
+        if not master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
+        # local mode (tests): one process, so a scratch folder is shared by all tasks
         d = tempfile.mkdtemp(prefix="snapdeck-ckpt-", dir=os.environ.get("SNAPDECK_SCRATCH", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", d)
     try:
