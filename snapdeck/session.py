@@ -15,6 +15,9 @@ DEFAULT_CONF = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # top-N pools go up to 2000 per snapshot and metric: let Spark prune them
+    # map-side (WindowGroupLimit) instead of only up to its default of 1000
+    "spark.sql.optimizer.windowGroupLimitThreshold": "5000",
 }
 
 

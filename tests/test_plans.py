@@ -48,3 +48,17 @@ def test_snapshot_selection_prunes_partitions(spark):
 def test_id_lookup_pushed_to_scan(spark):
     p = driver.panel(spark, SF).filter(F.col("id") == "Customer#000000007")
     assert "PushedFilters: [IsNotNull(id), EqualTo(id,Customer#000000007)]" in _plan(p)
+
+
+TOP_N_QUERIES = ["topn_items", "topn_accounts", "account_ranks", "weekly_spikes", "growth_since_baseline",
+                 "ever_in_pool", "topn_membership", "explore", "rank_accounts", "top_share", "impact_top"]
+
+
+@pytest.mark.parametrize("name", TOP_N_QUERIES)
+def test_top_n_queries_use_window_group_limit(spark, name):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        p = _plan(E.queries()[name](spark, SF))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert "WindowGroupLimit" in p
