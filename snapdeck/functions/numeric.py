@@ -1,4 +1,4 @@
-"""Scalar helpers (B9-B11, B14, B18) as built-in column expressions."""
+"""Scalar helpers (B9-B11, B14) as built-in column expressions."""
 
 from __future__ import annotations
 
@@ -49,8 +49,3 @@ def created_date(c) -> Column:
     """Creation time of either era (string or timestamp) -> DATE."""
     col = _c(c)
     return F.to_date(col.cast("string").substr(1, 10))
-
-
-def thin_flag(n, k: int = 10) -> Column:
-    """Thin-sample flag."""
-    return _c(n) < F.lit(k)

@@ -12,7 +12,6 @@ Gaussian smoothing is a per-row explode over the kernel offsets (at most
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -394,10 +393,3 @@ def top_k_with_rest(df: DataFrame, k: int, key: str, value: str, part: Sequence[
     g = r.groupBy(*part, lab.alias(key)).agg(F.sum(value).cast("long").alias(value), F.count(F.lit(1)).alias("members"))
     tot = F.sum(value).over(Window.partitionBy(*part))
     return g.withColumn("share", F.try_divide(F.col(value).cast("double"), tot).cast("decimal(20,6)"))
-
-
-def _log_k(sigma_bins: float) -> list[float]:  # pragma: no cover - reference helper for tests
-    r = int(math.ceil(4 * sigma_bins))
-    k = [math.exp(-0.5 * (j / sigma_bins) ** 2) for j in range(-r, r + 1)]
-    s = sum(k)
-    return [v / s for v in k]

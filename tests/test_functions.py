@@ -72,3 +72,12 @@ def test_topic_ids(spark):
     rows = [(["task_categories:a", "a", "b", "license:x", "zzz"],)]
     got = _one(spark, rows, "t array<string>", tags.topic_ids("t", vocab))
     assert got == [[0, 2]]
+
+
+def test_log10_pos_and_created_date(spark):
+    import datetime as dt
+    got = _one(spark, [(100.0,), (0.0,), (-5.0,), (None,)], "v double", numeric.log10_pos("v"))
+    assert got == [2.0, None, None, None]
+    rows = [("2023-01-05T10:00:00.000Z",), ("2024-12-31",), (None,)]
+    got = _one(spark, rows, "c string", numeric.created_date("c"))
+    assert got == [dt.date(2023, 1, 5), dt.date(2024, 12, 31), None]
