@@ -60,6 +60,13 @@ def by_account(panel: DataFrame, by_type: bool = False) -> DataFrame:
     return panel.filter(F.col("author").isNotNull()).groupBy(*keys).agg(*aggs)
 
 
+def account_values(panel: DataFrame, metric: str, part: Sequence[str] = ("snapshot_date", "org_type")) -> DataFrame:
+    """Per-account sums of one metric (NULL = 0) inside ``part``; a NULL
+    author forms its own group, as a null-keeping group-by does (used by the
+    distribution views at account grain)."""
+    return panel.groupBy(*part, "author").agg(_zsum(metric).alias("v"))
+
+
 def topn_accounts(panel: DataFrame, n: int = 10, metric: str | None = "downloads", by: str = "org_type",
                   types: Sequence[str] = ORG_TYPES) -> DataFrame:
     """F2 (+C7): per (snapshot, type): total, top-N-account sum (metric summed

@@ -348,22 +348,37 @@ def impact_top(spark, sf):
 _SD = ["snapshot_date", "org_type"]
 
 
+_BOX_METRICS = {"dlat": "downloadsAllTime", "lk": "likes"}
+
+
+def _per_metric(build):
+    from pyspark.sql import functions as F
+    out = None
+    for m, col in _BOX_METRICS.items():
+        d = build(col).withColumn("metric", F.lit(m))
+        out = d if out is None else out.unionByName(d)
+    return out
+
+
 @query
 def box_stats(spark, sf):
-    return dist.box_stats(baked(spark, sf), "downloadsAllTime", part=_SD)
+    """E12 for all-time downloads and likes."""
+    p = rejoined(spark, sf)
+    return _per_metric(lambda col: dist.box_stats(p, col, part=_SD))
 
 
 @query
 def concentration(spark, sf):
-    """E13 at dataset grain."""
-    return dist.concentration(baked(spark, sf), "downloads", part=_SD)
+    """E13 at dataset grain (NULL = 0, every dataset counts)."""
+    p = rejoined(spark, sf)
+    return _per_metric(lambda col: dist.concentration(p, col, part=_SD))
 
 
 @query
 def quantile_segments(spark, sf):
-    """E13 + E14 at account grain."""
-    acc = ranking.by_account(rejoined(spark, sf), by_type=True)
-    return dist.concentration(acc, "dl", part=_SD)
+    """E13 + E14 at account grain: each author's datasets summed first."""
+    p = rejoined(spark, sf)
+    return _per_metric(lambda col: dist.concentration(ranking.account_values(p, col), "v", part=_SD))
 
 
 def _size_rows(spark, sf):
@@ -416,19 +431,21 @@ def account_hist(spark, sf):
 
 @query
 def log_density(spark, sf):
-    return dist.log_density(baked(spark, sf), "downloadsAllTime", part=["org_type"])
+    """E18 for all-time downloads and likes (values >= 1, pooled grid per metric)."""
+    p = rejoined(spark, sf)
+    return _per_metric(lambda col: dist.log_density(p, col, part=["org_type"]))
 
 
 @query
 def size_density(spark, sf):
-    return dist.log_density(baked(spark, sf), "mainSize", part=["org_type"], lower="p0.1", strict_positive=True)
+    return dist.log_density(rejoined(spark, sf), "mainSize", part=["org_type"], lower="p0.1", strict_positive=True)
 
 
 @query
 def rank_density(spark, sf):
-    acc = ranking.by_account(rejoined(spark, sf), by_type=True)
-    a = dist.rank_density(acc, "dlat", part=_SD, width=1.0)
-    b = dist.rank_density(acc, "dlat", part=_SD, width=0.1)
+    acc = ranking.account_values(rejoined(spark, sf), "downloadsAllTime")
+    a = dist.rank_density(acc, "v", part=_SD, width=1.0)
+    b = dist.rank_density(acc, "v", part=_SD, width=0.1)
     return a.unionByName(b)
 
 

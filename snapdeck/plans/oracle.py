@@ -581,24 +581,31 @@ def _near(q: float, v: str = "v", i: str = "i", n: str = "n") -> str:
     return f"MIN({v}) FILTER (WHERE {i} = floor(({n} - 1)::DOUBLE * {q}::DOUBLE + 0.5))"
 
 
-register("box_stats", f"""
+_BOX = """
 SELECT c.snapshot_date, c.org_type, c.n_rows, CAST(c.share AS DECIMAL(20,6)) AS share,
-       {_near(0.05)} AS p5, {_near(0.25)} AS q1, {_near(0.5)} AS med, {_near(0.75)} AS q3,
-       {_near(0.95)} AS p95, {_near(0.99)} AS p99,
-       CAST(SUM(v)::DOUBLE / COUNT(*) AS DECIMAL(24,6)) AS mean, MAX(v) AS max
+       {p5} AS p5, {q1} AS q1, {med} AS med, {q3} AS q3, {p95} AS p95, {p99} AS p99,
+       CAST(SUM(v)::DOUBLE / COUNT(*) AS DECIMAL(24,6)) AS mean, MAX(v) AS max, '{m}' AS metric
 FROM (SELECT snapshot_date, org_type, COUNT(*) AS n_rows,
-             AVG(CASE WHEN downloadsAllTime >= 1 THEN 1.0 WHEN downloadsAllTime IS NOT NULL THEN 0.0 END) AS share
-      FROM pb GROUP BY 1, 2) c
-JOIN (SELECT snapshot_date, org_type, downloadsAllTime AS v,
-             row_number() OVER (PARTITION BY snapshot_date, org_type ORDER BY downloadsAllTime) - 1 AS i,
+             AVG(CASE WHEN {col} >= 1 THEN 1.0 WHEN {col} IS NOT NULL THEN 0.0 END) AS share
+      FROM pr GROUP BY 1, 2) c
+JOIN (SELECT snapshot_date, org_type, {col} AS v,
+             row_number() OVER (PARTITION BY snapshot_date, org_type ORDER BY {col}) - 1 AS i,
              COUNT(*) OVER (PARTITION BY snapshot_date, org_type) AS n
-      FROM pb WHERE downloadsAllTime >= 1) s
+      FROM pr WHERE {col} >= 1) s
   ON s.snapshot_date = c.snapshot_date AND s.org_type = c.org_type
 GROUP BY c.snapshot_date, c.org_type, c.n_rows, c.share
-""")
+"""
+
+
+def _box(m: str, col: str) -> str:
+    return _BOX.format(m=m, col=col, p5=_near(0.05), q1=_near(0.25), med=_near(0.5), q3=_near(0.75),
+                       p95=_near(0.95), p99=_near(0.99))
+
 
+register("box_stats", _box("dlat", "downloadsAllTime") + " UNION ALL " + _box("lk", "likes"), ORGS_CTE)
 
-def _conc(src: str, v: str) -> str:
+
+def _conc(src: str, v: str, label: str | None = None) -> str:
     def topk(p):
         return f"SUM(v) FILTER (WHERE rn <= greatest(1, ceil(n::DOUBLE * {p}::DOUBLE)))"
     c1, c10, c50 = (f"(CASE WHEN SUM(v) = 0 THEN NULL ELSE {topk(p)}::DOUBLE / SUM(v) END)" for p in (0.01, 0.1, 0.5))
@@ -607,6 +614,7 @@ SELECT snapshot_date, org_type, MAX(n) AS n, CAST(SUM(v) AS BIGINT) AS total,
        CAST({c1} AS DECIMAL(20,6)) AS c1, CAST({c10} AS DECIMAL(20,6)) AS c10, CAST({c50} AS DECIMAL(20,6)) AS c50,
        CAST({c1} AS DECIMAL(20,6)) AS top1, CAST({c10} - {c1} AS DECIMAL(20,6)) AS next9,
        CAST({c50} - {c10} AS DECIMAL(20,6)) AS next40, CAST(1.0::DOUBLE - {c50} AS DECIMAL(20,6)) AS bottom50
+       {"" if label is None else f", '{label}' AS metric"}
 FROM (SELECT snapshot_date, org_type, COALESCE({v}, 0) AS v,
              row_number() OVER (PARTITION BY snapshot_date, org_type ORDER BY COALESCE({v}, 0) DESC) AS rn,
              COUNT(*) OVER (PARTITION BY snapshot_date, org_type) AS n FROM {src})
@@ -614,14 +622,19 @@ GROUP BY 1, 2
 """
 
 
-register("concentration", _conc("pb", "downloads"))
+register("concentration", _conc("pr", "downloadsAllTime", "dlat") + " UNION ALL " + _conc("pr", "likes", "lk"),
+         ORGS_CTE)
 _BY_ACCOUNT_TYPE = """
 SELECT snapshot_date, t, author, org_type, CAST(COALESCE(SUM(downloads), 0) AS BIGINT) AS dl,
        CAST(COALESCE(SUM(likes), 0) AS BIGINT) AS lk, CAST(COALESCE(SUM(downloadsAllTime), 0) AS BIGINT) AS dlat,
        COUNT(*) AS n
 FROM pr WHERE author IS NOT NULL GROUP BY 1, 2, 3, 4
 """
-register("quantile_segments", _conc("acct", "dl"), ORGS_CTE, f"acct AS ({_BY_ACCOUNT_TYPE})")
+_ACC_V = """
+SELECT snapshot_date, org_type, author, CAST(COALESCE(SUM({col}), 0) AS BIGINT) AS v FROM pr GROUP BY 1, 2, 3
+"""
+register("quantile_segments", _conc("av_dlat", "v", "dlat") + " UNION ALL " + _conc("av_lk", "v", "lk"), ORGS_CTE,
+         f"av_dlat AS ({_ACC_V.format(col='downloadsAllTime')})", f"av_lk AS ({_ACC_V.format(col='likes')})")
 
 _SIZE_ROWS = """
 sz AS (SELECT *, CASE substr(list_filter(tags, lambda q: starts_with(q, 'size_categories:'))[1], 17)
@@ -711,36 +724,36 @@ def _np_bin(x: str, lo: str, step: str, bins: int = 80) -> str:
             f"WHEN {cand} < {bins - 1} AND {x} >= {edge(cand + ' + 1')} THEN {cand} + 1 ELSE {cand} END AS INTEGER)")
 
 
-def _density(src: str, lower: bool) -> str:
+def _density_ctes(src: str, lower: bool, k: str) -> str:
     lo = _near(0.001, "x", "i", "n") if lower else "0.0::DOUBLE"
     return f"""
-, xs AS ({src}),
-lim AS (SELECT {lo} AS lo, {_near(0.999, 'x', 'i', 'n')} AS hi
-        FROM (SELECT x, row_number() OVER (ORDER BY x) - 1 AS i, COUNT(*) OVER () AS n FROM xs)),
-h AS (SELECT org_type, lo, hi, {_np_bin('x', 'lo', '((hi - lo) / 80)')} AS bin, COUNT(*)::DOUBLE AS h
-      FROM xs, lim WHERE x >= lo AND x <= hi GROUP BY 1, 2, 3, 4),
-k AS (SELECT 0.12::DOUBLE / ((hi - lo) / 80) AS s FROM lim),
-kr AS (SELECT s, CAST(ceil(4.0 * s) AS INTEGER) AS r FROM k),
-ks AS (SELECT SUM(exp(-0.5 * pow(j / s, 2))) AS ksum FROM kr, range(-r, r + 1) g(j)),
-sm AS (SELECT org_type, lo, hi, bin + j AS i, SUM(h * exp(-0.5 * pow(j / s, 2)) / ksum) AS d
-       FROM h, kr, ks, range(-r, r + 1) g(j) WHERE bin + j BETWEEN 0 AND 79 GROUP BY 1, 2, 3, 4),
-dn AS (SELECT g.org_type, g.lo, g.hi, b.bin, COALESCE(sm.d, 0.0) AS d
-       FROM (SELECT DISTINCT org_type, lo, hi FROM sm) g CROSS JOIN range(0, 80) b(bin)
-       LEFT JOIN sm ON sm.org_type = g.org_type AND sm.i = b.bin)
+xs_{k} AS ({src}),
+lim_{k} AS (SELECT {lo} AS lo, {_near(0.999, 'x', 'i', 'n')} AS hi
+        FROM (SELECT x, row_number() OVER (ORDER BY x) - 1 AS i, COUNT(*) OVER () AS n FROM xs_{k})),
+h_{k} AS (SELECT org_type, lo, hi, {_np_bin('x', 'lo', '((hi - lo) / 80)')} AS bin, COUNT(*)::DOUBLE AS h
+      FROM xs_{k}, lim_{k} WHERE x >= lo AND x <= hi GROUP BY 1, 2, 3, 4),
+kr_{k} AS (SELECT s, CAST(ceil(4.0 * s) AS INTEGER) AS r FROM (SELECT 0.12::DOUBLE / ((hi - lo) / 80) AS s FROM lim_{k})),
+ks_{k} AS (SELECT SUM(exp(-0.5 * pow(j / s, 2))) AS ksum FROM kr_{k}, range(-r, r + 1) g(j)),
+sm_{k} AS (SELECT org_type, lo, hi, bin + j AS i, SUM(h * exp(-0.5 * pow(j / s, 2)) / ksum) AS d
+       FROM h_{k}, kr_{k}, ks_{k}, range(-r, r + 1) g(j) WHERE bin + j BETWEEN 0 AND 79 GROUP BY 1, 2, 3, 4),
+dn_{k} AS (SELECT g.org_type, g.lo, g.hi, b.bin, COALESCE(sm.d, 0.0) AS d
+       FROM (SELECT DISTINCT org_type, lo, hi FROM sm_{k}) g CROSS JOIN range(0, 80) b(bin)
+       LEFT JOIN sm_{k} sm ON sm.org_type = g.org_type AND sm.i = b.bin)"""
+
+
+def _density_select(k: str, label: str | None) -> str:
+    extra = "" if label is None else f", '{label}' AS metric"
+    return f"""
 SELECT org_type, CAST(bin AS INTEGER) AS bin, CAST(lo AS DECIMAL(20,6)) AS lo, CAST(hi AS DECIMAL(20,6)) AS hi,
-       CAST(d / MAX(d) OVER (PARTITION BY org_type) AS DECIMAL(20,6)) AS d
-FROM dn
-"""
-
-
-def _with_dash(body: str, *extra: str) -> str:
-    """Bodies starting with ', name AS (...)' continue the CTE list."""
-    ctes = ",\n".join([PANEL_CTES.strip(), *[e.strip() for e in extra]])
-    return f"WITH {ctes}\n{body.strip()}\n"
+       CAST(d / MAX(d) OVER (PARTITION BY org_type) AS DECIMAL(20,6)) AS d{extra}
+FROM dn_{k}"""
 
 
-SQL["log_density"] = _with_dash(_density("SELECT org_type, log10(downloadsAllTime) AS x FROM pb WHERE downloadsAllTime >= 1", False))
-SQL["size_density"] = _with_dash(_density("SELECT org_type, log10(mainSize) AS x FROM pb WHERE mainSize > 0", True))
+register("log_density", _density_select("dlat", "dlat") + " UNION ALL " + _density_select("lk", "lk"), ORGS_CTE,
+         _density_ctes("SELECT org_type, log10(downloadsAllTime) AS x FROM pr WHERE downloadsAllTime >= 1", False, "dlat"),
+         _density_ctes("SELECT org_type, log10(likes) AS x FROM pr WHERE likes >= 1", False, "lk"))
+register("size_density", _density_select("sz", None), ORGS_CTE,
+         _density_ctes("SELECT org_type, log10(mainSize) AS x FROM pr WHERE mainSize > 0", True, "sz"))
 
 
 def _rank_density(width: float) -> str:
@@ -760,11 +773,10 @@ def _rank_ctes(width: float) -> str:
     return f"""
 hr_{w} AS (SELECT snapshot_date, org_type, {_np_bin('((i + 0.5) / n)', '0.0', f'({width}::DOUBLE / 80)')} AS bin,
                   SUM(v::DOUBLE / tot) AS h
-           FROM (SELECT snapshot_date, org_type, COALESCE(dlat, 0) AS v,
-                        row_number() OVER (PARTITION BY snapshot_date, org_type ORDER BY COALESCE(dlat, 0) DESC) - 1 AS i,
+           FROM (SELECT snapshot_date, org_type, v,
+                        row_number() OVER (PARTITION BY snapshot_date, org_type ORDER BY v DESC) - 1 AS i,
                         COUNT(*) OVER (PARTITION BY snapshot_date, org_type) AS n,
-                        SUM(CASE WHEN COALESCE(dlat, 0) >= 1 THEN COALESCE(dlat, 0) END)
-                            OVER (PARTITION BY snapshot_date, org_type) AS tot
+                        SUM(CASE WHEN v >= 1 THEN v END) OVER (PARTITION BY snapshot_date, org_type) AS tot
                  FROM acct)
            WHERE v >= 1 AND (i + 0.5) / n <= {width}::DOUBLE GROUP BY 1, 2, 3),
 sm_{w} AS (SELECT snapshot_date, org_type, bin + j AS i,
@@ -774,7 +786,7 @@ sm_{w} AS (SELECT snapshot_date, org_type, bin + j AS i,
 
 
 register("rank_density", _rank_density(1.0) + " UNION ALL " + _rank_density(0.1), ORGS_CTE,
-         f"acct AS ({_BY_ACCOUNT_TYPE})", _rank_ctes(1.0), _rank_ctes(0.1))
+         f"acct AS ({_ACC_V.format(col='downloadsAllTime')})", _rank_ctes(1.0), _rank_ctes(0.1))
 
 
 def _icdf(q: float, weighted: bool) -> str:
