@@ -46,18 +46,26 @@ def topn_items(panel: DataFrame, n: int = 10, metric: str = "downloads", by: str
     return densify(v, grid, ["snapshot_date", by], {"total": 0, "topn": 0})
 
 
-def by_account(panel: DataFrame, by_type: bool = False) -> DataFrame:
+def by_account(panel: DataFrame, by_type: bool = False, keep_null_author: bool = False) -> DataFrame:
     """Per (snapshot, author): dl, lk, dlat, n and the org type.
 
-    Null authors are dropped (pandas / dashboard semantics).  ``dlat`` is 0
-    when the hub does not track it.  The org type is the smallest non-null
-    stored value (functional in author, so a deterministic pick)."""
+    Null authors are dropped (pandas / dashboard semantics) unless
+    ``keep_null_author`` (the org-type trends keep them as one group).
+    ``dlat`` is 0 when the hub does not track it.  The org type is the
+    smallest non-null stored value (functional in author, so a deterministic
+    pick)."""
     keys = ["snapshot_date", "t", "author"] + (["org_type"] if by_type else [])
     aggs = [_zsum("downloads").alias("dl"), _zsum("likes").alias("lk"), _zsum("downloadsAllTime").alias("dlat"),
             F.count(F.lit(1)).alias("n")]
     if not by_type:
         aggs.append(F.min("org_type").alias("org_type"))
-    return panel.filter(F.col("author").isNotNull()).groupBy(*keys).agg(*aggs)
+    p = panel if keep_null_author else panel.filter(F.col("author").isNotNull())
+    return p.groupBy(*keys).agg(*aggs)
+
+
+def tracked_snapshots(panel: DataFrame, metric: str = "downloadsAllTime") -> DataFrame:
+    """Snapshots where ``metric`` has at least one value (the tracking gate)."""
+    return panel.groupBy("snapshot_date").agg(F.count(metric).alias("_n")).filter("_n > 0").select("snapshot_date")
 
 
 def account_values(panel: DataFrame, metric: str, part: Sequence[str] = ("snapshot_date", "org_type")) -> DataFrame:
@@ -102,16 +110,21 @@ def group_share(df: DataFrame, by: Sequence[str], value: str, alias: str = "shar
 
 
 def account_ranks(acc: DataFrame, metrics: Sequence[str] = ("dl", "lk", "dlat"), top: int = 2000,
-                  part: Sequence[str] = ("snapshot_date",)) -> DataFrame:
+                  part: Sequence[str] = ("snapshot_date",), tracked: DataFrame | None = None) -> DataFrame:
     """ordinal ranks per snapshot and metric (NULL metric = 0), over all
     accounts (variant ``a``) and over non-individual accounts (``o``).  The
     metrics are stacked into rows first, so there is one window per variant,
     partitioned by (snapshot, metric); only ranks <= top are kept, which lets
-    the window prune before the shuffle."""
+    the window prune before the shuffle.  ``tracked`` (snapshots with
+    all-time data) restricts the ``dlat`` ranks to tracked snapshots."""
     part = list(part)
     st = acc.select(*part, "author", "org_type", F.explode(F.array(*[
         F.struct(F.lit(m).alias("metric"), F.coalesce(F.col(m), F.lit(0)).cast("long").alias("v")) for m in metrics
     ])).alias("s")).select(*part, "author", "org_type", "s.*")
+    if tracked is not None:
+        tr = tracked.select("snapshot_date").withColumn("_tr", F.lit(True))  # one row per snapshot
+        st = (st.join(tr, "snapshot_date", "left")
+              .filter((F.col("metric") != "dlat") | F.col("_tr").isNotNull()).drop("_tr"))
     out = None
     for variant, d in (("a", st), ("o", st.filter(F.col("org_type") != "individual"))):
         r = top_rows(d, [*part, "metric"], "v", "author", top).select(

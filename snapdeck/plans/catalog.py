@@ -104,8 +104,11 @@ def by_account(spark, sf):
 
 @query
 def account_ranks(spark, sf):
-    acc = ranking.by_account(rejoined(spark, sf))
-    return ranking.account_ranks(acc, top=2000)
+    """F6 as in the org-type trends: null authors form a group; all-time
+    ranks only where all-time downloads are tracked."""
+    p = rejoined(spark, sf)
+    acc = ranking.by_account(p, keep_null_author=True)
+    return ranking.account_ranks(acc, top=2000, tracked=ranking.tracked_snapshots(p))
 
 
 @query
@@ -398,7 +401,8 @@ _BUCKETS = [2, 5, 10, 20, 25]
 
 def _buckets(spark, sf):
     p = rejoined(spark, sf)
-    ranks = ranking.account_ranks(ranking.by_account(p), top=max(_BUCKETS))
+    ranks = ranking.account_ranks(ranking.by_account(p, keep_null_author=True), top=max(_BUCKETS),
+                                  tracked=ranking.tracked_snapshots(p))
     return dist.bucket_stats(_size_rows(spark, sf), ranks, "x", {"dl": "downloads", "lk": "likes",
                                                                 "dlat": "downloadsAllTime"},
                              _BUCKETS, part=["snapshot_date"])

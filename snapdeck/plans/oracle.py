@@ -238,10 +238,12 @@ UNION ALL
 SELECT snapshot_date, author, metric, 'o' AS variant,
        CAST(row_number() OVER (PARTITION BY snapshot_date, metric ORDER BY v DESC, author) AS INTEGER) AS rk
 FROM base WHERE org_type <> 'individual'
-""", ORGS_CTE, "acc AS (" + _BY_ACCOUNT.format(src="pr") + ")", """
+""", ORGS_CTE, "acc AS (" + _BY_ACCOUNT.format(src="pr").replace("WHERE author IS NOT NULL ", "") + ")", """
 base AS (SELECT snapshot_date, author, org_type, m.metric,
                 CASE m.metric WHEN 'dl' THEN dl WHEN 'lk' THEN lk ELSE dlat END AS v
-         FROM acc CROSS JOIN (VALUES ('dl'), ('lk'), ('dlat')) m(metric))""")
+         FROM acc CROSS JOIN (VALUES ('dl'), ('lk'), ('dlat')) m(metric)
+         WHERE m.metric <> 'dlat'
+            OR snapshot_date IN (SELECT snapshot_date FROM pr GROUP BY 1 HAVING COUNT(downloadsAllTime) > 0))""")
 
 _GROWTH = """
 SELECT snapshot_date, _id, base, value, g, rk FROM (
@@ -661,10 +663,12 @@ FROM szr GROUP BY 1, 2
 """, ORGS_CTE, _SIZE_ROWS)
 
 _RANKS_BKT = """
-acc2 AS (""" + _BY_ACCOUNT.format(src="pr") + """),
+acc2 AS (""" + _BY_ACCOUNT.format(src="pr").replace("WHERE author IS NOT NULL ", "") + """),
 base2 AS (SELECT snapshot_date, author, org_type, m.metric,
                  CASE m.metric WHEN 'dl' THEN dl WHEN 'lk' THEN lk ELSE dlat END AS v
-          FROM acc2 CROSS JOIN (VALUES ('dl'), ('lk'), ('dlat')) m(metric)),
+          FROM acc2 CROSS JOIN (VALUES ('dl'), ('lk'), ('dlat')) m(metric)
+          WHERE m.metric <> 'dlat'
+             OR snapshot_date IN (SELECT snapshot_date FROM pr GROUP BY 1 HAVING COUNT(downloadsAllTime) > 0)),
 rk AS (SELECT snapshot_date, author, metric, 'a' AS variant,
               row_number() OVER (PARTITION BY snapshot_date, metric ORDER BY v DESC, author) AS rk FROM base2
        UNION ALL
