@@ -464,26 +464,32 @@ def weighted_quantiles(spark, sf):
 
 
 def _with_country(spark, sf):
+    """The top-100 cohort by all-time downloads of every snapshot, with the
+    owner's country (a miss is ``unknown``)."""
     from ..sources.readers import known_countries
-    return enrich.country_join(driver.panel(spark, sf), known_countries(driver.countries_dim(spark, sf)))
+    p = enrich.country_join(driver.panel(spark, sf), known_countries(driver.countries_dim(spark, sf)))
+    return ranking.top_rows(p, ["snapshot_date"], "downloadsAllTime", "_id", 100)
 
 
 @query
 def country_stats(spark, sf):
-    return dist.country_stats(_with_country(spark, sf))
+    """E24 per snapshot over the top-100 cohort."""
+    return dist.country_stats(_with_country(spark, sf), part=["snapshot_date", "country"])
 
 
 @query
 def country_top_rest(spark, sf):
-    return dist.top_k_with_rest(dist.country_stats(_with_country(spark, sf)).select("country", "dl"), 3, "country", "dl")
+    """Top-3 countries per snapshot plus the rolled-up rest."""
+    c = dist.country_stats(_with_country(spark, sf), part=["snapshot_date", "country"])
+    return dist.top_k_with_rest(c.select("snapshot_date", "country", "dl"), 3, "country", "dl", part=["snapshot_date"])
 
 
 @query
 def region_rollup(spark, sf):
-    """Countries rolled up to display regions."""
+    """The cohort's countries rolled up to display regions, per snapshot."""
     from pyspark.sql import functions as F
-    c = dist.country_stats(_with_country(spark, sf))
-    return c.groupBy(enrich.region_of(F.col("country")).alias("region")).agg(
+    c = dist.country_stats(_with_country(spark, sf), part=["snapshot_date", "country"])
+    return c.groupBy("snapshot_date", enrich.region_of(F.col("country")).alias("region")).agg(
         F.sum("dl").cast("long").alias("dl"), F.sum("n").cast("long").alias("n"))
 
 

@@ -813,32 +813,38 @@ GROUP BY 1, 2
 """, ORGS_CTE)
 
 _CSTATS = """
-cs AS (SELECT country, CAST(COALESCE(SUM(downloadsAllTime), 0) AS BIGINT) AS dl, COUNT(*) AS n,
+coh AS (SELECT * FROM (SELECT p.*, COALESCE(k.country, 'unknown') AS country,
+                              row_number() OVER (PARTITION BY p.snapshot_date ORDER BY p.downloadsAllTime DESC, p._id) AS rk
+                       FROM panel p LEFT JOIN countries_known k ON k.account = p.author
+                       WHERE p.downloadsAllTime IS NOT NULL) WHERE rk <= 100),
+cs AS (SELECT snapshot_date, country, CAST(COALESCE(SUM(downloadsAllTime), 0) AS BIGINT) AS dl, COUNT(*) AS n,
               COUNT(*) FILTER (WHERE mainSize > 0) AS n_size,
               CAST(quantile_cont(CASE WHEN mainSize > 0 THEN log10(mainSize) END, 0.25) AS DECIMAL(20,6)) AS q1,
               CAST(quantile_cont(CASE WHEN mainSize > 0 THEN log10(mainSize) END, 0.5) AS DECIMAL(20,6)) AS med,
               CAST(quantile_cont(CASE WHEN mainSize > 0 THEN log10(mainSize) END, 0.75) AS DECIMAL(20,6)) AS q3
-       FROM (SELECT p.*, COALESCE(k.country, 'unknown') AS country FROM panel p
-             LEFT JOIN countries_known k ON k.account = p.author)
-       GROUP BY 1)
+       FROM coh GROUP BY 1, 2)
 """
 register("country_stats", "SELECT * FROM cs", COUNTRY_CTE, _CSTATS)
 
 register("country_top_rest", """
-SELECT country, CAST(SUM(dl) AS BIGINT) AS dl, COUNT(*) AS members,
-       CAST(SUM(dl)::DOUBLE / (SELECT SUM(dl) FROM cs) AS DECIMAL(20,6)) AS share
-FROM (SELECT CASE WHEN row_number() OVER (ORDER BY dl DESC, country) <= 3 THEN country ELSE 'others' END AS country, dl
+SELECT snapshot_date, country, CAST(SUM(dl) AS BIGINT) AS dl, COUNT(*) AS members,
+       CAST(CASE WHEN SUM(SUM(dl)) OVER (PARTITION BY snapshot_date) = 0 THEN NULL
+                 ELSE SUM(dl)::DOUBLE / SUM(SUM(dl)) OVER (PARTITION BY snapshot_date) END AS DECIMAL(20,6)) AS share
+FROM (SELECT snapshot_date,
+             CASE WHEN row_number() OVER (PARTITION BY snapshot_date ORDER BY dl DESC, country) <= 3 THEN country
+                  ELSE 'others' END AS country, dl
       FROM cs)
-GROUP BY 1
+GROUP BY 1, 2
 """, COUNTRY_CTE, _CSTATS)
 
 register("region_rollup", """
-SELECT CASE country WHEN 'US' THEN 'United States' WHEN 'CN' THEN 'China' WHEN 'unknown' THEN 'Unknown'
+SELECT snapshot_date,
+       CASE country WHEN 'US' THEN 'United States' WHEN 'CN' THEN 'China' WHEN 'unknown' THEN 'Unknown'
                     WHEN 'ES' THEN 'Europe' WHEN 'FR' THEN 'Europe' WHEN 'GB' THEN 'Europe' WHEN 'NL' THEN 'Europe'
                     WHEN 'DE' THEN 'Europe' WHEN 'CH' THEN 'Europe' WHEN 'PL' THEN 'Europe' WHEN 'FI' THEN 'Europe'
                     WHEN 'CZ' THEN 'Europe' ELSE 'Rest of World' END AS region,
        CAST(SUM(dl) AS BIGINT) AS dl, CAST(SUM(n) AS BIGINT) AS n
-FROM cs GROUP BY 1
+FROM cs GROUP BY 1, 2
 """, COUNTRY_CTE, _CSTATS)
 
 # --- hubs and user-facing queries -----------------------------------------------------
