@@ -9,12 +9,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators import adoption as adopt
 from ..operators import distributions as dist
+from ..functions import tags as tagfn
 from ..operators import enrich, hubs, longitudinal, profile, ranking, topics, trends
 from ..operators import explore as explorer
+from ..operators.snapshots import snapshot_dim
 from ..sources import driver
+from ..sources.readers import known_countries
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -45,7 +49,6 @@ def metric_by_type(spark, sf):
 @query
 def org_type_resolved(spark, sf):
     """B8 regime b (scrape type first, non-canonical -> individual), per type."""
-    from pyspark.sql import functions as F
     return rejoined(spark, sf).groupBy("snapshot_date", "org_type").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -61,9 +64,8 @@ def type_vectors(spark, sf):
 
 @query
 def hub_totals(spark, sf):
-    from ..functions.tags import has_paper
     p = driver.panel(spark, sf)
-    return trends.hub_totals(p.withColumn("has_paper", has_paper("tags")), flag="has_paper")
+    return trends.hub_totals(p.withColumn("has_paper", tagfn.has_paper("tags")), flag="has_paper")
 
 
 @query
@@ -75,7 +77,6 @@ def type_shares(spark, sf):
 @query
 def company_share(spark, sf):
     """Company share of non-individual likes per snapshot."""
-    from pyspark.sql import functions as F
     s = trends.type_shares(trends.metric_by_type(baked(spark, sf)), "likes", exclude=("individual",))
     return s.filter(F.col("org_type") == "company").select("snapshot_date", "value", "total", "share")
 
@@ -150,7 +151,6 @@ def top7_per_type(spark, sf):
 @query
 def group_share(spark, sf):
     """each dataset's share of its type's 30-day downloads, per snapshot."""
-    from pyspark.sql import functions as F
     d = ranking.group_share(baked(spark, sf), ["snapshot_date", "org_type"], "downloads")
     return d.select("snapshot_date", "_id", "org_type", F.col("share").cast("decimal(20,8)").alias("share"))
 
@@ -189,7 +189,6 @@ def growth_since_baseline(spark, sf):
 
 @query
 def latest_attrs(spark, sf):
-    from pyspark.sql import functions as F
     a = longitudinal.latest_attrs(driver.panel(spark, sf))
     return a.withColumn("tags", F.array_join(F.array_sort("tags"), "|"))
 
@@ -202,7 +201,6 @@ def series_bounds(spark, sf):
 @query
 def entity_history(spark, sf):
     """The full history of one dataset looked up by its current name."""
-    from pyspark.sql import functions as F
     h = longitudinal.entity_history(driver.panel(spark, sf), "Customer#000000007")
     return h.withColumn("tags", F.array_join(F.coalesce("tags", F.array().cast("array<string>")), "|"))
 
@@ -230,7 +228,6 @@ def entity_series(spark, sf):
 @query
 def tag_topics(spark, sf):
     """B1 over every tag of every row: tag -> topic, with row counts."""
-    from pyspark.sql import functions as F
     from ..functions.tags import topic
     e = driver.panel(spark, sf).select(F.explode("tags").alias("tag"))
     return e.groupBy("tag").agg(F.count(F.lit(1)).alias("n")).withColumn("topic", topic("tag"))
@@ -239,7 +236,6 @@ def tag_topics(spark, sf):
 @query
 def has_paper(spark, sf):
     """B2 + B3 per row."""
-    from pyspark.sql import functions as F
     from ..functions.tags import arxiv_ids, has_paper as hp
     p = driver.panel(spark, sf)
     return p.select("snapshot_date", "_id", hp("tags").alias("has_paper"),
@@ -249,7 +245,6 @@ def has_paper(spark, sf):
 @query
 def license_groups(spark, sf):
     """B4 + B5: first licence tag and its group, row counts."""
-    from pyspark.sql import functions as F
     from ..functions.tags import license_from_tags, license_group
     p = driver.panel(spark, sf).select(license_from_tags("tags").alias("license"))
     return p.groupBy("license").agg(F.count(F.lit(1)).alias("n")).withColumn("license_group", license_group("license"))
@@ -258,7 +253,6 @@ def license_groups(spark, sf):
 @query
 def size_midpoints(spark, sf):
     """Rows per size midpoint (NULL = no or unmapped size tag) and type."""
-    from pyspark.sql import functions as F
     from ..functions.tags import size_log10_mid
     p = baked(spark, sf).select("org_type", size_log10_mid("tags").alias("x"))
     return p.groupBy("org_type", "x").agg(F.count(F.lit(1)).alias("n"))
@@ -287,7 +281,6 @@ def license_long(spark, sf):
 
 @query
 def license_shares(spark, sf):
-    from ..operators.snapshots import snapshot_dim
     p = baked(spark, sf)
     return topics.license_shares(topics.license_long(p), snapshot_dim(p))
 
@@ -295,7 +288,6 @@ def license_shares(spark, sf):
 @query
 def round_sig(spark, sf):
     """Account series rounded to 3 significant figures."""
-    from pyspark.sql import functions as F
     from ..functions.numeric import round_sig as rs
     acc = _acc_ds(spark, sf)
     return acc.select("snapshot_date", "author", "dl", rs("dl").alias("dl_r"), rs("dlat").alias("dlat_r"),
@@ -305,7 +297,6 @@ def round_sig(spark, sf):
 @query
 def parse_abbrev(spark, sf):
     """B11 over every count-like token of every document text."""
-    from pyspark.sql import functions as F
     from ..functions.numeric import parse_abbrev as pa
     d = driver.table(spark, sf, "documents").select(
         "doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"([0-9][0-9.,]*[ ]?[kKmM]?)"), 1)).alias("pos", "token"))
@@ -355,7 +346,6 @@ _BOX_METRICS = {"dlat": "downloadsAllTime", "lk": "likes"}
 
 
 def _per_metric(build):
-    from pyspark.sql import functions as F
     out = None
     for m, col in _BOX_METRICS.items():
         d = build(col).withColumn("metric", F.lit(m))
@@ -385,7 +375,6 @@ def quantile_segments(spark, sf):
 
 
 def _size_rows(spark, sf):
-    from pyspark.sql import functions as F
     from ..functions.tags import size_log10_mid
     return rejoined(spark, sf).withColumn("x", size_log10_mid("tags")).filter(F.col("x").isNotNull())
 
@@ -410,7 +399,6 @@ def _buckets(spark, sf):
 
 @query
 def bucket_stats(spark, sf):
-    from pyspark.sql import functions as F
     b = _buckets(spark, sf)
     return b.select("snapshot_date", "variant", "metric", "bkt", "org_type", "c",
                     *[F.col(c).cast("decimal(24,4)").alias(c) for c in ("sx", "sx2", "sw", "swx", "swx2")])
@@ -423,7 +411,6 @@ def prefix_stats(spark, sf):
 
 @query
 def account_hist(spark, sf):
-    from pyspark.sql import functions as F
     from ..functions.fixed import HIST_COLS, HIST_EDGES
     p = driver.panel(spark, sf)
     out = None
@@ -455,7 +442,6 @@ def rank_density(spark, sf):
 
 @query
 def weighted_quantiles(spark, sf):
-    from pyspark.sql import functions as F
     p = rejoined(spark, sf).filter(F.col("mainSize") > 0)
     u = dist.weighted_quantiles(p, "mainSize", None, part=_SD)
     w = dist.weighted_quantiles(p, "mainSize", "downloadsAllTime", part=_SD).select(
@@ -466,7 +452,6 @@ def weighted_quantiles(spark, sf):
 def _with_country(spark, sf):
     """The top-100 cohort by all-time downloads of every snapshot, with the
     owner's country (a miss is ``unknown``)."""
-    from ..sources.readers import known_countries
     p = enrich.country_join(driver.panel(spark, sf), known_countries(driver.countries_dim(spark, sf)))
     return ranking.top_rows(p, ["snapshot_date"], "downloadsAllTime", "_id", 100)
 
@@ -487,7 +472,6 @@ def country_top_rest(spark, sf):
 @query
 def region_rollup(spark, sf):
     """The cohort's countries rolled up to display regions, per snapshot."""
-    from pyspark.sql import functions as F
     c = dist.country_stats(_with_country(spark, sf), part=["snapshot_date", "country"])
     return c.groupBy("snapshot_date", enrich.region_of(F.col("country")).alias("region")).agg(
         F.sum("dl").cast("long").alias("dl"), F.sum("n").cast("long").alias("n"))
@@ -519,7 +503,6 @@ def combined_hubs(spark, sf):
 
 @query
 def aligned_dates(spark, sf):
-    from pyspark.sql import functions as F
     from ..operators.snapshots import align_snapshots
     a, b = driver.panel(spark, sf), driver.models_panel(spark, sf)
     return (align_snapshots(a, b, "inner").withColumn("how", F.lit("inner"))
@@ -562,7 +545,6 @@ def top_share(spark, sf):
 
 @query
 def cohort_country(spark, sf):
-    from ..sources.readers import known_countries
     cohort = explorer.rank_accounts(_acc_ds(spark, sf), "dl", 10)
     c = enrich.country_join(cohort, known_countries(driver.countries_dim(spark, sf)))
     return explorer.by_group(c, "country", "dl")
@@ -600,7 +582,6 @@ def tooltip_share(spark, sf):
 def filtered_ranking(spark, sf):
     """C1 + C5 + C3 + B18: organisations only, tracked rows with >= 2 likes,
     per (snapshot, type) with a thin-sample flag."""
-    from pyspark.sql import functions as F
     d = explorer.min_value(explorer.tracked_only(explorer.filter_types(baked(spark, sf), exclude=["individual"]),
                                                  "downloadsAllTime"), "likes", 2)
     g = d.groupBy("snapshot_date", "org_type").agg(F.count(F.lit(1)).alias("n"))
@@ -616,7 +597,6 @@ def left_enrich(spark, sf):
 
 @query
 def country_join(spark, sf):
-    from ..sources.readers import known_countries
     acc = _acc_ds(spark, sf).select("snapshot_date", "author", "dl")
     return enrich.country_join(acc, known_countries(driver.countries_dim(spark, sf)))
 
@@ -630,7 +610,6 @@ def snapshot_every_nth(spark, sf):
 @query
 def slim_enriched(spark, sf):
     """A6 without the write: slim columns + the scrape's type."""
-    from pyspark.sql import functions as F
     from ..sources.ingest import enrich_slim
     raw = driver.panel(spark, sf).drop("org_type", "t")
     s = enrich_slim(raw, driver.orgs_dim(spark, sf))
@@ -639,7 +618,6 @@ def slim_enriched(spark, sf):
 
 @query
 def coverage_profile(spark, sf):
-    from pyspark.sql import functions as F
     from ..functions.tags import has_paper as hp
     p = driver.panel(spark, sf)
     return profile.coverage(p, {"tags": F.size(F.coalesce("tags", F.array().cast("array<string>"))) > 0,
@@ -685,7 +663,6 @@ def frozen_diff(spark, sf):
 def entity_topics(spark, sf):
     """B13 + I1 metadata: each dataset's latest name, type and sorted
     vocabulary indices of its latest tags."""
-    from pyspark.sql import functions as F
     from ..functions.tags import topic_ids
     p = driver.panel(spark, sf)
     vocab = topics.topic_vocab(p, top=60, latest_only=False)
