@@ -146,3 +146,22 @@ def test_adoption_stream_equals_batch(spark, tmpdir_path):
     got = sorted(tuple(r) for r in spark.sql("SELECT dataset_id, n_models FROM adoption_live").collect())
     exp = sorted(tuple(r) for r in adoption(models).collect())
     assert got == exp and len(got) > 0
+
+
+def test_trend_and_org_builds_write_consistent_tables(spark, tmpdir_path):
+    from snapdeck.plans import catalog as C
+    from snapdeck.plans.builds import org_build, trend_build
+    from snapdeck.sources import driver
+    sf = "/root/testdata/sf0.001"
+    p = driver.panel(spark, sf)
+    paths = trend_build(p, f"{tmpdir_path}/trends", pool=50)
+    series = spark.read.parquet(paths["series"])
+    pool = spark.read.parquet(paths["pool"])
+    assert series.select("_id").distinct().count() == pool.count() > 0
+    hub = {r["snapshot_date"]: r["n"] for r in spark.read.parquet(paths["hub"]).collect()}
+    assert sum(hub.values()) == p.count()
+    opaths = org_build(C.rejoined(spark, sf), f"{tmpdir_path}/orgs", top_pool=2000)
+    by_type = spark.read.parquet(opaths["by_type"])
+    assert by_type.groupBy().sum("n").collect()[0][0] == p.count()
+    for name in ("concentration", "ranks", "org_series", "size", "size_f", "hists", "frozen", "drivers"):
+        assert spark.read.parquet(opaths[name]).count() > 0, name
