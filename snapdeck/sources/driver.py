@@ -21,6 +21,7 @@ Every table here grows with the input tables; nothing is collected.
 from __future__ import annotations
 
 import hashlib
+import threading
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -44,6 +45,7 @@ COUNTRY_BY_NATION_MOD = {0: "US", 1: "CN", 2: "FR", 3: "unknown", 4: "JP", 5: "G
 
 
 _WRITTEN: dict[tuple, str] = {}
+_LOCK = threading.RLock()  # re-entrant: a build may materialise its inputs first
 
 
 def materialize(spark: SparkSession, key: tuple, build, sort: tuple = ("_id",)) -> DataFrame:
@@ -59,6 +61,12 @@ def materialize(spark: SparkSession, key: tuple, build, sort: tuple = ("_id",))
     """
     app = app_id(spark)
     k = (app, *key)
+    with _LOCK:  # one writer per table even when queries are submitted from several threads
+        return spark.read.parquet(_materialize_locked(spark, k, key, build, sort))
+
+
+def _materialize_locked(spark: SparkSession, k: tuple, key: tuple, build, sort: tuple) -> str:
+    app = k[0]
     if k not in _WRITTEN:
         base = checkpoint_dir(spark).rstrip("/")
         tag = hashlib.sha1(repr(key).encode()).hexdigest()[:16]
@@ -67,7 +75,7 @@ def materialize(spark: SparkSession, key: tuple, build, sort: tuple = ("_id",))
         (df.hint("rebalance", "snapshot_date").sortWithinPartitions("snapshot_date", *sort)
          .write.mode("overwrite").partitionBy("snapshot_date").parquet(path))
         _WRITTEN[k] = path
-    return spark.read.parquet(_WRITTEN[k])
+    return _WRITTEN[k]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
