@@ -45,6 +45,7 @@ COUNTRY_BY_NATION_MOD = {0: "US", 1: "CN", 2: "FR", 3: "unknown", 4: "JP", 5: "G
 
 
 _WRITTEN: dict[tuple, str] = {}
+_FRAMES: dict[tuple, DataFrame] = {}
 _LOCK = threading.RLock()  # re-entrant: a build may materialise its inputs first
 
 
@@ -62,7 +63,10 @@ def materialize(spark: SparkSession, key: tuple, build, sort: tuple = ("_id",))
     app = app_id(spark)
     k = (app, *key)
     with _LOCK:  # one writer per table even when queries are submitted from several threads
-        return spark.read.parquet(_materialize_locked(spark, k, key, build, sort))
+        path = _materialize_locked(spark, k, key, build, sort)
+        if k not in _FRAMES:  # list the partition folders once, reuse the file index
+            _FRAMES[k] = spark.read.parquet(path)
+        return _FRAMES[k]
 
 
 def _materialize_locked(spark: SparkSession, k: tuple, key: tuple, build, sort: tuple) -> str:
