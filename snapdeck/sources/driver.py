@@ -83,7 +83,12 @@ def _materialize_locked(spark: SparkSession, k: tuple, key: tuple, build, sort:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One of the driver tables (footer read and file listing once per application)."""
+    k = (app_id(spark), "table", sf_dir, name)
+    with _LOCK:
+        if k not in _FRAMES:
+            _FRAMES[k] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        return _FRAMES[k]
 
 
 def _case(col: Column, mapping: dict, default=None) -> Column:
