@@ -90,6 +90,14 @@ def growth(panel: DataFrame, metric: str = "downloadsAllTime", top: int = 1000,
         "snapshot_date", key, "base", F.col(metric).alias("value"), "g", F.col("rk").cast("int").alias("rk"))
 
 
+def with_growth(panel: DataFrame, metric: str = "downloadsAllTime", key: str = "_id") -> DataFrame:
+    """D8 as a column: ``growth`` = value - first tracked value of the key
+    (NULL where the metric is NULL), for explorer queries ranking by growth."""
+    w = Window.partitionBy(key).orderBy("t").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    base = F.first(F.col(metric), ignorenulls=True).over(w)
+    return panel.withColumn("growth", F.col(metric) - base)
+
+
 def latest_attrs(panel: DataFrame, cols: Sequence[str] = ("id", "author", "tags"), key: str = "_id") -> DataFrame:
     """F8: latest-wins attributes per key; org type = latest non-null."""
     return panel.groupBy(key).agg(

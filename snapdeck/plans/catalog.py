@@ -533,11 +533,34 @@ def explore(spark, sf):
     return r.select("snapshot_date", "_id", "id", "downloads", "rk")
 
 
+@query
+def explore_growth(spark, sf):
+    """J1 ranked by growth since the first tracked all-time value."""
+    p = longitudinal.with_growth(driver.panel(spark, sf))
+    r = explorer.explore(p, "growth", 20, wanted_topics=["household"], minimum=1)
+    return r.select("snapshot_date", "_id", "id", "growth", "rk")
+
+
 @query
 def rank_accounts(spark, sf):
     return explorer.rank_accounts(_acc_ds(spark, sf), "dl", 5).drop("t")
 
 
+@query
+def rank_modes(spark, sf):
+    """J2 over the whole mode x metric matrix: top-5 accounts per (mode,
+    snapshot) by 30-day downloads, all-time downloads and weekly like gain."""
+    acc = _modes(spark, sf)
+    gain = longitudinal.like_gain(acc, ["mode"]).select("mode", "snapshot_date", "author", F.col("lkd").alias("v"))
+    out = None
+    for metric, d in (("dl", acc.select("mode", "snapshot_date", "author", F.col("dl").alias("v"))),
+                      ("dlat", acc.select("mode", "snapshot_date", "author", F.col("dlat").alias("v"))),
+                      ("lkd", gain)):
+        r = ranking.top_rows(d, ["mode", "snapshot_date"], "v", "author", 5).withColumn("metric", F.lit(metric))
+        out = r if out is None else out.unionByName(r)
+    return out.select("mode", "metric", "snapshot_date", "author", "v", F.col("rk").cast("int").alias("rk"))
+
+
 @query
 def top_share(spark, sf):
     return explorer.top_share(_acc_ds(spark, sf), "dl", 5)

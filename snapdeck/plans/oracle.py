@@ -922,6 +922,31 @@ SELECT snapshot_date, _id, id, downloads, rk FROM (
 WHERE rk <= 20
 """)
 
+register("explore_growth", f"""
+SELECT snapshot_date, _id, id, growth, rk FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY snapshot_date ORDER BY growth DESC, _id) AS INTEGER) AS rk
+  FROM (SELECT *, downloadsAllTime - first_value(downloadsAllTime IGNORE NULLS) OVER (PARTITION BY _id ORDER BY t
+                   ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS growth
+        FROM panel)
+  WHERE list_has_any({_TOPICS}, ['household']) AND growth >= 1 AND growth IS NOT NULL)
+WHERE rk <= 20
+""")
+
+register("rank_modes", """
+SELECT mode, metric, snapshot_date, author, v, CAST(rk AS INTEGER) AS rk FROM (
+  SELECT *, row_number() OVER (PARTITION BY mode, metric, snapshot_date ORDER BY v DESC, author) AS rk
+  FROM (SELECT mode, 'dl' AS metric, snapshot_date, author, dl AS v FROM modes
+        UNION ALL SELECT mode, 'dlat', snapshot_date, author, dlat FROM modes
+        UNION ALL SELECT mode, 'lkd', snapshot_date, author, lkd FROM (
+            SELECT mode, snapshot_date, author, lk - LAG(lk) OVER w AS lkd, t - LAG(t) OVER w AS dt
+            FROM modes WINDOW w AS (PARTITION BY mode, author ORDER BY t)) WHERE dt = 1)
+  WHERE v IS NOT NULL)
+WHERE rk <= 5
+""", MODELS_CTES, *_ACC_CTES, _CB, """
+modes AS (SELECT 'ds' AS mode, snapshot_date, author, dl, lk, dlat, n, t FROM acc
+          UNION ALL SELECT 'md', snapshot_date, author, dl, lk, dlat, n, t FROM macc
+          UNION ALL SELECT 'cb', snapshot_date, author, dl, lk, dlat, n, t FROM cb)""")
+
 _RANKED = """
 SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY snapshot_date ORDER BY dl DESC, author) AS INTEGER) AS rk
                FROM {acc}) WHERE rk <= {n}
