@@ -272,21 +272,24 @@ def _dense_bins(sm: DataFrame, part: Sequence[str], bins: int, keys: DataFrame |
 
 def log_density(df: DataFrame, value: str, part: Sequence[str] = ("org_type",), lower: str | None = None,
                 bins: int = DENSITY_BINS, sigma: float = LOG_SIGMA, lo_q: float = 0.001, hi_q: float = 0.999,
-                min_value: float = 1.0, strict_positive: bool = False) -> DataFrame:
+                min_value: float = 1.0, strict_positive: bool = False, pool: Sequence[str] = ()) -> DataFrame:
     """Peak-normalised smoothed histogram of log10(value) per group.
 
     Grid: ``bins`` equal bins on [0, pooled nearest p99.9] (E18, values >= 1)
     or on [pooled p0.1, p99.9] when ``lower`` is set (E19, values > 0); the
-    right edge is closed and values outside the grid are dropped.
+    right edge is closed and values outside the grid are dropped.  The grid
+    limits are pooled over everything, or per ``pool`` group (e.g. metric).
     """
     part = list(part)
     cond = (F.col(value) > 0) if strict_positive else (F.col(value) >= F.lit(min_value))
+    pool = list(pool)
     x = df.filter(cond).select(*part, F.log10(F.col(value)).alias("x"))
-    fr = freq(x, [], "x")
-    lim = fr.agg(nearest(hi_q).alias("hi"), *( [nearest(lo_q).alias("lo")] if lower else []))
+    fr = freq(x, pool, "x")
+    lim = fr.groupBy(*pool).agg(nearest(hi_q).alias("hi"), *([nearest(lo_q).alias("lo")] if lower else []))
     if not lower:
         lim = lim.withColumn("lo", F.lit(0.0))
-    xs = _const_join(x, lim).filter((F.col("x") >= F.col("lo")) & (F.col("x") <= F.col("hi")))
+    xs = (x.join(F.broadcast(lim), pool) if pool else _const_join(x, lim))  # one row per pool group
+    xs = xs.filter((F.col("x") >= F.col("lo")) & (F.col("x") <= F.col("hi")))
     width = (F.col("hi") - F.col("lo")) / F.lit(bins)
     b = np_bin(F.col("x"), F.col("lo"), width, bins)
     hist = xs.groupBy(*part, b.alias("bin"), "lo", "hi").agg(F.count(F.lit(1)).cast("double").alias("h"))

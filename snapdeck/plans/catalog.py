@@ -345,33 +345,33 @@ _SD = ["snapshot_date", "org_type"]
 _BOX_METRICS = {"dlat": "downloadsAllTime", "lk": "likes"}
 
 
-def _per_metric(build):
-    out = None
-    for m, col in _BOX_METRICS.items():
-        d = build(col).withColumn("metric", F.lit(m))
-        out = d if out is None else out.unionByName(d)
-    return out
+def _stacked(p, keep=("snapshot_date", "org_type", "author")):
+    """Both metrics as rows (metric, value): one plan keyed by metric instead
+    of one plan per metric."""
+    pairs = [F.struct(F.lit(m).alias("metric"), F.col(c).alias("value")) for m, c in _BOX_METRICS.items()]
+    return p.select(*keep, F.explode(F.array(*pairs)).alias("_m")).select(*keep, "_m.metric", "_m.value")
+
+
+_SDM = ["snapshot_date", "org_type", "metric"]
 
 
 @query
 def box_stats(spark, sf):
     """E12 for all-time downloads and likes."""
-    p = rejoined(spark, sf)
-    return _per_metric(lambda col: dist.box_stats(p, col, part=_SD))
+    return dist.box_stats(_stacked(rejoined(spark, sf)), "value", part=_SDM)
 
 
 @query
 def concentration(spark, sf):
     """E13 at dataset grain (NULL = 0, every dataset counts)."""
-    p = rejoined(spark, sf)
-    return _per_metric(lambda col: dist.concentration(p, col, part=_SD))
+    return dist.concentration(_stacked(rejoined(spark, sf)), "value", part=_SDM)
 
 
 @query
 def quantile_segments(spark, sf):
     """E13 + E14 at account grain: each author's datasets summed first."""
-    p = rejoined(spark, sf)
-    return _per_metric(lambda col: dist.concentration(ranking.account_values(p, col), "v", part=_SD))
+    acc = ranking.account_values(_stacked(rejoined(spark, sf)), "value", part=_SDM)
+    return dist.concentration(acc, "v", part=_SDM)
 
 
 def _size_rows(spark, sf):
@@ -423,8 +423,7 @@ def account_hist(spark, sf):
 @query
 def log_density(spark, sf):
     """E18 for all-time downloads and likes (values >= 1, pooled grid per metric)."""
-    p = rejoined(spark, sf)
-    return _per_metric(lambda col: dist.log_density(p, col, part=["org_type"]))
+    return dist.log_density(_stacked(rejoined(spark, sf)), "value", part=["metric", "org_type"], pool=["metric"])
 
 
 @query
