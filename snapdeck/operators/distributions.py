@@ -242,9 +242,9 @@ def np_bin(x: Column, lo: Column, step: Column, bins: int) -> Column:
 
 
 def _const_join(df: DataFrame, scalars: DataFrame) -> DataFrame:
-    """Attach a one-row aggregate to every row (broadcast equi-join on a
-    constant key: a hash join, no nested loop)."""
-    return df.withColumn("_k", F.lit(1)).join(F.broadcast(scalars.withColumn("_k", F.lit(1))), "_k").drop("_k")
+    """Attach the columns of a one-row aggregate to every row as scalar
+    subqueries (evaluated once, then used as values: no join at all)."""
+    return df.withColumns({c: scalars.select(c).scalar() for c in scalars.columns})
 
 
 def _smooth(hist: DataFrame, part: Sequence[str], sigma_bins: Column, bins: int) -> DataFrame:

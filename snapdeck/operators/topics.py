@@ -75,12 +75,11 @@ def topic_series(panel: DataFrame, vocab: DataFrame) -> DataFrame:
 
 
 def _grid(panel: DataFrame, vocab: DataFrame) -> DataFrame:
-    """Snapshots x vocabulary, generated from an aggregated vocabulary array
-    (one row) attached to each snapshot row — no cross join."""
-    arr = vocab.agg(F.array_sort(F.collect_list("topic")).alias("_v"))  # bounded: tasks + top free-form
-    dim = snapshot_dim(panel).select("snapshot_date").withColumn("_k", F.lit(1))
-    return (dim.join(F.broadcast(arr.withColumn("_k", F.lit(1))), "_k")
-            .select("snapshot_date", F.explode("_v").alias("topic")))
+    """Snapshots x vocabulary, generated from the vocabulary array (a scalar
+    subquery, bounded by tasks + top free-form) exploded on each snapshot row:
+    no join."""
+    arr = vocab.agg(F.array_sort(F.collect_list("topic")).alias("_v")).scalar()
+    return snapshot_dim(panel).select("snapshot_date", F.explode(arr).alias("topic"))
 
 
 def license_long(panel: DataFrame) -> DataFrame:

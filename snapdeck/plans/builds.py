@@ -41,9 +41,8 @@ def trend_build(panel: DataFrame, out: str, pool: int = 1000, top_freeform: int
     paths["pool"] = _write(ids, out, "pool")
     pooled = spark.read.parquet(paths["pool"])
     paths["series"] = _write(longitudinal.entity_series(panel, pooled), out, "series")
-    vmap = vocab.agg(F.map_from_entries(F.collect_list(F.struct("topic", "idx"))).alias("_vm"))  # tasks + top
-    meta = (longitudinal.latest_attrs(panel.join(pooled, "_id", "left_semi"))
-            .withColumn("_k", F.lit(1)).join(F.broadcast(vmap.withColumn("_k", F.lit(1))), "_k")
+    vmap = vocab.agg(F.map_from_entries(F.collect_list(F.struct("topic", "idx")))).scalar()  # tasks + top
+    meta = (longitudinal.latest_attrs(panel.join(pooled, "_id", "left_semi")).withColumn("_vm", vmap)
             .select("_id", "id", "org_type", topic_ids("tags", F.col("_vm")).alias("topic_ids"),
                     F.transform(F.filter(F.coalesce("tags", F.array().cast("array<string>")),
                                          lambda x: x.startswith("arxiv:")),

@@ -688,9 +688,8 @@ def entity_topics(spark, sf):
     from ..functions.tags import topic_ids
     p = driver.panel(spark, sf)
     vocab = topics.topic_vocab(p, top=60, latest_only=False)
-    vmap = vocab.agg(F.map_from_entries(F.collect_list(F.struct("topic", "idx"))).alias("_vm"))  # tasks + 60 entries
-    a = longitudinal.latest_attrs(p).withColumn("_k", F.lit(1))
-    j = a.join(F.broadcast(vmap.withColumn("_k", F.lit(1))), "_k")
-    return j.select("_id", "id", "org_type",
+    vmap = vocab.agg(F.map_from_entries(F.collect_list(F.struct("topic", "idx")))).scalar()  # tasks + 60 entries
+    a = longitudinal.latest_attrs(p).withColumn("_vm", vmap)  # bound once, then used inside the lambda
+    return a.select("_id", "id", "org_type",
                     F.array_join(F.transform(topic_ids("tags", F.col("_vm")), lambda x: x.cast("string")), ",")
                     .alias("topic_ids"))

@@ -62,3 +62,13 @@ def test_top_n_queries_use_window_group_limit(spark, name):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert "WindowGroupLimit" in p
+
+
+@pytest.mark.parametrize("name", sorted(E.queries()))
+def test_no_cross_or_nested_loop_joins(spark, name):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        p = _plan(E.queries()[name](spark, SF))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
