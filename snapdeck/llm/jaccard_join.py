@@ -20,8 +20,8 @@ the texts that only share passages. The rest are compared in two steps:
 1. In every signature group each member is verified against one centre (the member with the
    most popular signatures): a number of pairs linear in the group. Links give components.
 2. Pairs of different components in one group are left. They are compared in blocks
-   of ``BLOCK`` members by their number of common signatures, which must reach both ``need``; the few
-   that do are verified. A pair is sent on from one group only (its least common signature).
+   of ``BLOCK`` members by their sizes and by parity sketches, which may not differ more than linked sets
+   can. The few pairs that remain are verified.
 Links inside a component found in step 1 need no further look: components stay exact.
 
 Skew. Copies are one class. A signature that many classes of one task hold is settled there
@@ -41,17 +41,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from snapdeck.llm.common import Scratch, arrow_rows, bitmap_filter, components, mix, ngram_hashes, rolling_hashes, split_by, word_hashes
 
 SHINGLE = 5
 LEVELS = (1, 2, 8, 4096)
-FLUSH = 1_500_000
+FLUSH = 600_000
 LOCAL_HOT = 64
-BUCKET_ITEMS = 1_000_000
+BUCKET_ITEMS = 600_000
 BLOCK = 1024
+TASK_ROWS = 8192
 _U = np.uint64
 _SIG = 6  # bytes of a signature in the shuffle; the bucket adds bits
 
@@ -273,6 +274,21 @@ def _sets(k: int):
     return run
 
 
+def sketch(s: np.ndarray, label: int) -> bytes:
+    """Parity bits: every shingle flips one bit, so two sketches of a label differ in at most as many bits as the sets in shingles."""
+    bits = 2 * (EDGES[label + 1] - 1) // 64 * 64 + 64
+    flips = np.bincount((mix(s ^ _U(0x94D049BB)) % _U(bits)).astype(np.int64), minlength=bits)
+    return np.packbits((flips & 1).astype(np.uint8)).tobytes()
+
+
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        rows = [(node, label, sketch(s, label)) for node, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)
+                for s in [np.frombuffer(x, _U)] for label, _ in labels_of(len(s))]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()),
+                                          pa.array([r[2] for r in rows], pa.binary())], names=["node", "label", "sketch"])
+
+
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The pairs (a, b, x, y) of sets that are linked."""
     for b in batches:
@@ -293,24 +309,38 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _cross(t: pa.Table) -> pa.Table:
-    """Pairs of different components in two blocks of a group that have enough common signatures, if this group's is the least of them."""
-    node, comp = t.column("node").to_numpy(), t.column("comp").to_numpy()
-    need, block = t.column("need").to_numpy(), t.column("block").to_numpy()
-    lists = t.column("sigs").to_pylist()
-    this, x, y = (t.column(c)[0].as_py() for c in ("sig", "bx", "by"))
-    ids, flat = np.unique(np.concatenate([np.array(v, np.int64) for v in lists]), return_inverse=True)
-    here = np.zeros((len(lists), len(ids)), np.float32)
-    here[np.repeat(np.arange(len(lists)), [len(v) for v in lists]), flat] = 1
-    left, right = np.flatnonzero(block == x), np.flatnonzero(block == y)
-    common = here[left] @ here[right].T
-    ok = (comp[left][:, None] != comp[right][None, :]) & (common >= need[left][:, None]) & (common >= need[right][None, :])
-    if x == y:
-        ok &= node[left][:, None] < node[right][None, :]
-    i, j = np.nonzero(ok)
-    i, j = left[i], right[j]
-    least = np.array([ids[np.argmax(here[p] * here[q])] for p, q in zip(i, j, strict=True)], np.int64)
-    i, j = i[least == this] if len(i) else i, j[least == this] if len(j) else j
-    return pa.table({"a": pa.array(np.minimum(node[i], node[j]), pa.int64()), "b": pa.array(np.maximum(node[i], node[j]), pa.int64())})
+    """Pairs of different components in two blocks of a group whose sizes and sketches allow a link.
+    A pair is looked at under one label only, the band of its larger set."""
+    t = t.combine_chunks()
+    col = lambda c: t.column(c).to_numpy()
+    sig, bx, by = col("sig"), col("bx"), col("by")
+    order = np.lexsort((by, bx, sig))
+    key = np.stack((sig, bx, by))[:, order]
+    turn = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
+    node, comp, n, label, block = (col(c) for c in ("node", "comp", "n", "label", "block"))
+    sketches = t.column("sketch").to_pylist()
+    found = []
+    for u in np.split(order, turn):
+        left, right = u[block[u] == bx[u[0]]], u[block[u] == by[u[0]]]
+        if not len(left) or not len(right):
+            continue
+        x, y = n[left][:, None], n[right][None, :]
+        ok = ((comp[left][:, None] != comp[right][None, :]) & (5 * np.minimum(x, y) >= 4 * np.maximum(x, y))
+              & (np.maximum(x, y) >= EDGES[label[u[0]]]))
+        if bx[u[0]] == by[u[0]]:
+            ok &= node[left][:, None] < node[right][None, :]
+        i, j = np.nonzero(ok)
+        if not len(i):
+            continue
+        p, q = (np.frombuffer(b"".join(sketches[k] for k in v), _U).reshape(len(v), -1) for v in (left, right))
+        most = (n[left[i]] + n[right[j]]) // 9
+        for c in range(0, len(i), 8192):  # the sketches bound the difference from below
+            d = slice(c, c + 8192)
+            near = np.flatnonzero(np.bitwise_count(p[i[d]] ^ q[j[d]]).sum(axis=1) <= most[d]) + c
+            if len(near):
+                found.append(np.stack((node[left[i[near]]], node[right[j[near]]])))
+    pairs = np.unique(np.sort(np.concatenate(found, axis=1), axis=0), axis=1) if found else np.zeros((2, 0), np.int64)
+    return pa.table({"a": pa.array(pairs[0], pa.int64()), "b": pa.array(pairs[1], pa.int64())})
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE) -> DataFrame:
@@ -339,8 +369,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         s.drop("shared" if turn == 0 else "members-0")
         shared = nxt
 
-    classes = nodes.filter("n > 0").groupBy("node").agg(F.min("id").alias("label"))
+    classes = nodes.filter("n > 0").groupBy("node").agg(F.min("id").alias("label"), F.first("n").alias("n"))
     active = s.write(classes.join(shared.select("node").distinct(), "node"), "active")
+    sizes = active.select("node", "n")
     near = bitmap_filter(src.filter("id is not null"), "id", active, "label")
     with arrow_rows(spark, 500):
         sets = s.write(near.join(active.select("node", F.col("label").alias("id")), "id").select("node", "text")
@@ -355,22 +386,28 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         links = s.write(_verify(stars, sets), "links-1")
     comps = components(active.select("node", "label"), links, s, "first")
 
-    # step 2: what is left between components
-    placed = s.write(shared.join(comps.select("node", F.col("label").alias("comp")), "node"), "placed")
-    mixed = placed.groupBy("sig").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).filter("_lo < _hi").select("sig")
-    lists = placed.groupBy("node", "label").agg(F.collect_list("sig").alias("sigs"))
-    open_ = placed.join(mixed, "sig", "left_semi").join(lists, ["node", "label"])
-    count = F.ceil(F.col("size") / BLOCK)
-    open_ = (open_.withColumn("_count", count).withColumn("block", F.pmod(F.xxhash64("node"), F.col("_count")))
-             .withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_count") - 1)))
-             .select("sig", "node", "comp", "need", "sigs", "block", F.least("block", "_other").alias("bx"), F.greatest("block", "_other").alias("by")))
+    # step 2: what is left between components. A linked pair has ``need`` common signatures from either side, so it
+    # meets in one of the first (count - need + 1) of each member's signatures, rarest first
+    mine = Window.partitionBy("node", "label")
+    placed = s.write(shared.withColumn("_rank", F.row_number().over(mine.orderBy("size", "sig"))).withColumn("_count", F.count("*").over(mine))
+                     .join(comps.select("node", F.col("label").alias("comp")), "node").join(sizes, "node"), "placed")
+    probes = placed.filter("_rank <= _count - need + 1")
+    mixed = (probes.groupBy("sig").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.count("*").alias("_members"))
+             .filter("_lo < _hi").select("sig", F.ceil(F.col("_members") / BLOCK).alias("_blocks")))
+    open_ = s.write(probes.join(mixed, "sig").withColumn("block", F.pmod(F.xxhash64("node"), F.col("_blocks")))
+                    .withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
+                    .select("sig", "node", "label", "comp", "n", "block", F.least("block", "_other").alias("bx"), F.greatest("block", "_other").alias("by")), "open")
+    many = max(1, -(-open_.count() // TASK_ROWS))
+    with arrow_rows(spark, 500):
+        bits = s.write(sets.mapInArrow(_sketches, "node long, label int, sketch binary"), "sketches")
+    open_ = open_.join(bits, ["node", "label"]).withColumn("_task", F.pmod(F.xxhash64("sig", "bx", "by"), F.lit(many)))
     with arrow_rows(spark, 500):
-        rest = s.write(open_.groupBy("sig", "bx", "by").applyInArrow(_cross, "a long, b long").distinct(), "rest")
+        rest = s.write(open_.groupBy("_task").applyInArrow(_cross, "a long, b long").distinct(), "rest")
         more = s.write(_verify(rest, sets), "links-2")
     final = components(comps, more, s, "second")
-    for table in ("sets", "placed", "rest", "members-1", "links-1"):
+    for table in ("sets", "sketches", "placed", "open", "rest", "members-1", "links-1"):
         s.drop(table)
-    named = (nodes.select("id", "n", "node").join(classes.withColumnRenamed("label", "_least"), "node", "left")
+    named = (nodes.select("id", "n", "node").join(classes.select("node", F.col("label").alias("_least")), "node", "left")
              .join(final.withColumnRenamed("label", "_final"), "node", "left"))
     return named.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("_final", "_least", "id").alias("component_id"))
 
