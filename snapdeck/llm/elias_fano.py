@@ -94,14 +94,17 @@ class EliasFano:
         top, low = top[inside], low[inside]
         at = np.where(top > 0, self._select0(np.maximum(top - 1, 0)) - top + 1, 0)
         end = np.minimum(self._select0(top) - top, self.n)
+        stop = end.copy()
         live = np.flatnonzero(at < end)
-        while len(live):
-            got = self._low(at[live])
-            hit = live[got == low[live]]
-            out[inside[hit]] = at[hit]
-            live = live[got < low[live]]
-            at[live] += 1
+        while len(live):  # the values of one bucket are sorted by their low bits
+            mid = (at[live] + end[live]) // 2
+            less = self._low(mid) < low[live]
+            at[live] = np.where(less, mid + 1, at[live])
+            end[live] = np.where(less, end[live], mid)
             live = live[at[live] < end[live]]
+        here = np.flatnonzero(at < stop)
+        hit = here[self._low(at[here]) == low[here]]
+        out[inside[hit]] = at[hit]
         return out
 
 
