@@ -188,22 +188,36 @@ def rolling_hashes(h: np.ndarray, *ks: int) -> list[np.ndarray]:
     return [mix((run[k:] - run[:n - k + 1]) * inv[:n - k + 1] + _U(k)) if n >= k else np.zeros(0, _U) for k in ks]
 
 
+def pack_texts(texts: list[bytes]) -> tuple[list[int], bytes]:
+    """Lengths and one compressed block, so that stored and shuffled texts stay small."""
+    import pyarrow as pa
+    return [len(t) for t in texts], pa.Codec("zstd").compress(b"".join(texts), asbytes=True)
+
+
+def unpack_texts(lengths: list[int], block: bytes) -> list[bytes]:
+    import pyarrow as pa
+    data = pa.Codec("zstd").decompress(block, sum(lengths), asbytes=True)
+    ends = np.cumsum([0, *lengths]).tolist()
+    return [data[x:y] for x, y in zip(ends, ends[1:], strict=False)]
+
+
 def write_batches(docs: DataFrame, s: Scratch, table: str, id_col: str, text_col: str, most_bytes: int = 1 << 22) -> DataFrame:
-    """(batch, ids, texts): the documents in rows of about ``most_bytes`` of text, written once
-    so that later steps can address them by batch and place. Null texts are empty."""
+    """(batch, ids, lengths, texts): the documents in rows of about ``most_bytes`` of text, written
+    once so that later steps can address them by batch and place; ``unpack_texts`` gives the UTF-8 texts. Null texts are empty."""
     import pyarrow as pa
     src = docs.select(F.col(id_col).cast("long").alias("_id"), text_of(text_col).alias("_text"))
 
     def run(parts):
         part, k = partition_id(), 0
-        rows = ((i, t) for b in parts for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
-        for block in blocks(rows, lambda r: 4 * len(r[1]) // 3 + 32, most_bytes):
+        rows = ((i, t.encode()) for b in parts for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+        for block in blocks(rows, lambda r: len(r[1]) + 32, most_bytes):
+            lengths, data = pack_texts([t for _, t in block])
             yield pa.RecordBatch.from_arrays([pa.array([part << 32 | k], pa.int64()), pa.array([[i for i, _ in block]], pa.list_(pa.int64())),
-                                              pa.array([[t for _, t in block]], pa.list_(pa.string()))], names=["batch", "ids", "texts"])
+                                              pa.array([lengths], pa.list_(pa.int32())), pa.array([data], pa.binary())], names=["batch", "ids", "lengths", "texts"])
             k += 1
 
     with arrow_rows(docs.sparkSession, 500):
-        return s.write(src.mapInArrow(run, "batch long, ids array<long>, texts array<string>"), table, compression="zstd")
+        return s.write(src.mapInArrow(run, "batch long, ids array<long>, lengths array<int>, texts binary"), table)
 
 
 def split_by(target: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:

@@ -40,11 +40,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from snapdeck.llm.common import Scratch, arrow_rows, mix, split_by, word_hashes, write_batches
+from snapdeck.llm.common import Scratch, arrow_rows, mix, split_by, unpack_texts, word_hashes, write_batches
 from snapdeck.llm.elias_fano import SUCC_BITS, Trie
 
-BATCH_BYTES = 6 << 20
-SHARD_ITEMS = 1_000_000
+BATCH_BYTES = 4 << 20
+SHARD_ITEMS = 600_000
 MU = 8.0
 HOT_SHARE = 0.002
 HOT_SHARDS = 16
@@ -71,11 +71,11 @@ def dequantise(code: np.ndarray) -> np.ndarray:
 class Requests:
     """What one batch asks: its distinct words and bigrams with their training counts."""
 
-    def __init__(self, ids: list, texts: list[str]):
+    def __init__(self, ids: list, texts: list[bytes]):
         self.ids = ids
         seqs, train = [], []
         for i, t in zip(ids, texts, strict=True):
-            h = word_hashes(t.encode())
+            h = word_hashes(t)
             seqs.append(np.concatenate(([BEGIN], h, [END])).astype(_U))
             train.append(not held_out(i))
         self.lengths = np.array([len(x) for x in seqs])
@@ -139,7 +139,7 @@ def _ask(shards: int, hot: dict[int, list[int]]):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts:
             for r in b.to_pylist():
-                q = Requests(r["ids"], r["texts"])
+                q = Requests(r["ids"], unpack_texts(r["lengths"], r["texts"]))
                 out = [(shard, q.payload(w, p)) for shard, w, p in q.deal(shards, hot)]
                 yield pa.RecordBatch.from_arrays([pa.array([r["batch"]] * len(out), pa.int64()), pa.array([x[0] for x in out], pa.int64()),
                                                   pa.array([x[1] for x in out], pa.binary())], names=["batch", "shard", "payload"])
@@ -190,7 +190,7 @@ def _score(shards: int, hot: dict[int, list[int]], mu: float, total: int, distin
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts:
             for r in b.to_pylist():
-                q = Requests(r["ids"], r["texts"])
+                q = Requests(r["ids"], unpack_texts(r["lengths"], r["texts"]))
                 given = {x["shard"]: x["payload"] for x in r["answers"]}
                 count, code = np.zeros(len(q.words), np.int64), np.zeros(len(q.context), np.uint8)
                 for shard, w, p in q.deal(shards, hot):
@@ -214,8 +214,9 @@ def _score(shards: int, hot: dict[int, list[int]], mu: float, total: int, distin
 def _frequent(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per batch its frequent words, and with word null the number of its tokens."""
     for b in parts:
-        for texts in b.column(0).to_pylist():
-            h, n = np.unique(np.concatenate([np.full(len(texts), BEGIN), *(word_hashes(t.encode()) for t in texts)]), return_counts=True)
+        for r in b.to_pylist():
+            texts = unpack_texts(r["lengths"], r["texts"])
+            h, n = np.unique(np.concatenate([np.full(len(texts), BEGIN), *(word_hashes(t) for t in texts)]), return_counts=True)
             big = np.flatnonzero(n >= HOT_SHARE / 2 * n.sum())
             yield pa.RecordBatch.from_arrays([pa.array([None, *h[big].astype(np.int64).tolist()], pa.int64()),
                                               pa.array([int(n.sum()), *n[big].tolist()], pa.int64())], names=["word", "n"])
@@ -223,7 +224,7 @@ def _frequent(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def hot_contexts(batches: DataFrame, shards: int) -> dict[int, list[int]]:
     """The shards of each frequent context; at most 2 / HOT_SHARE words are counted for a batch, 1 / HOT_SHARE are returned."""
-    seen = batches.select("texts").mapInArrow(_frequent, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    seen = batches.select("lengths", "texts").mapInArrow(_frequent, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
     total = F.max(F.when(F.col("word").isNull(), F.col("n"))).over(_everything())
     rows = seen.orderBy(F.col("n").desc()).limit(int(2 / HOT_SHARE) + 1).select("word", "n", total.alias("all")).collect()
     out = {}
@@ -246,14 +247,14 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
     s = Scratch(spark, "lm-scoring")
     batches = write_batches(docs, s, "batches", id_col, text_col, batch_bytes)
     shards = max(1, -(-batches.count() * (batch_bytes // 8) // SHARD_ITEMS))
-    with arrow_rows(spark, 2):
+    with arrow_rows(spark, 1):
         hot = hot_contexts(batches, shards)
         answers = (batches.mapInArrow(_ask(shards, hot), "batch long, shard long, payload binary")
                    .groupBy("shard").applyInArrow(_answer(hot, mu), "batch long, shard long, payload binary, tokens long, types long"))
         answers = s.write(answers, "answers", compression="zstd")
         total, distinct = answers.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()
         by_batch = answers.groupBy("batch").agg(F.collect_list(F.struct("shard", "payload")).alias("answers"))
-        out = s.write(batches.join(by_batch, "batch").select("ids", "texts", "answers")
+        out = s.write(batches.join(by_batch, "batch").select("ids", "lengths", "texts", "answers")
                       .mapInArrow(_score(shards, hot, mu, total, distinct),
                                   "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"), "scores")
     s.drop("answers")

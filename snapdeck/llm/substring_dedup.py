@@ -11,7 +11,7 @@ smallest start) are marked, and overlapping marks join into maximal repeats.
 2. Most suffixes share no window with any other. They are left out exactly: of
    the ``gram``-word runs inside a window the one with the least hash is its
    anchor, equal windows have equal anchors, so only windows whose anchor
-   occurs twice go on. About one position in seven is an anchor, and only anchor hashes travel.
+   occurs twice go on. About two positions in nine are anchors, and only their hashes travel.
 3. The remaining suffixes go to groups by the hash of their first ``PREFIX`` words;
    a group beyond ``group_items`` is split by twice as long a prefix, so prefixes have
    variable length. Equal windows of one batch are merged first (only the
@@ -37,13 +37,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from snapdeck.llm.common import Scratch, arrow_rows, rolling_hashes, split_by, word_hashes, write_batches
+from snapdeck.llm.common import Scratch, arrow_rows, pack_texts, rolling_hashes, split_by, unpack_texts, word_hashes, write_batches
 
 WINDOW = 20
-GRAM = 8
+GRAM = 13
 PREFIX = 5
 BATCH_BYTES = 1 << 22
-GROUP_ITEMS = 1_000_000
+GROUP_ITEMS = 500_000
 _ENTRY = np.dtype([("key", "<u8"), ("deep", "<u2"), ("id", "<i8"), ("row", "<u4"), ("start", "<u4")])
 _MARK = np.dtype([("row", "<u4"), ("start", "<u4")])
 
@@ -70,10 +70,6 @@ def _anchors(h: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndar
     return least, g[_slide(np.concatenate((pad, least, pad)), span, np.maximum) == g]
 
 
-def _hashes(text: str | None) -> np.ndarray:
-    return word_hashes((text or "").encode())
-
-
 def _binary(arrays: list) -> pa.Array:
     return pa.array(arrays, pa.binary())
 
@@ -81,10 +77,10 @@ def _binary(arrays: list) -> pa.Array:
 def _find_anchors(groups: int, window: int, gram: int):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts:
-            for batch, texts in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                found = []
-                for t in texts:
-                    places = _anchors(_hashes(t), window, gram)[1]
+            for r in b.to_pylist():
+                batch, found = r["batch"], []
+                for t in unpack_texts(r["lengths"], r["texts"]):
+                    places = _anchors(word_hashes(t), window, gram)[1]
                     if len(places):
                         found.append(places)
                 if not found:
@@ -120,8 +116,7 @@ def _suffixes(groups: int, window: int, gram: int):
             for r in b.to_pylist():
                 again = np.sort(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x, np.uint64) for x in r["anchors"] or [])]))
                 docs, entries, read = [], [], []
-                for row, (i, t) in enumerate(zip(r["ids"], r["texts"], strict=True)):
-                    data = t.encode()
+                for row, (i, data) in enumerate(zip(r["ids"], unpack_texts(r["lengths"], r["texts"]), strict=True)):
                     h = word_hashes(data)
                     docs.append((row, i, len(h), hashlib.sha256(b" ".join(data.split())).hexdigest()))
                     a = _anchors(h, window, gram)[0]
@@ -138,11 +133,11 @@ def _suffixes(groups: int, window: int, gram: int):
                     e["deep"] = (long[start] >> np.uint64(48)).astype(np.uint16)
                     e["id"] = np.iinfo(np.int64).min if i is None else i
                     entries.append((e, (short[start] % np.uint64(groups)).astype(np.int64)))
-                    read.append((row, t))
-                rows = {"kind": [], "batch": [], "group": [], "payload": [], "rows": [], "ids": [], "words": [], "shas": [], "texts": []}
+                    read.append((row, data))
+                rows = {"kind": [], "batch": [], "group": [], "payload": [], "rows": [], "ids": [], "words": [], "shas": [], "lengths": [], "texts": []}
 
-                def put(kind, group=None, payload=None, rows_=None, ids=None, words=None, shas=None, texts=None, rows=rows, batch=r["batch"]):
-                    for k, v in zip(rows, (kind, batch, group, payload, rows_, ids, words, shas, texts), strict=True):
+                def put(kind, group=None, payload=None, rows_=None, ids=None, words=None, shas=None, lengths=None, texts=None, rows=rows, batch=r["batch"]):
+                    for k, v in zip(rows, (kind, batch, group, payload, rows_, ids, words, shas, lengths, texts), strict=True):
                         rows[k].append(v)
 
                 put("doc", rows_=[d[0] for d in docs], ids=[d[1] for d in docs], words=[d[2] for d in docs], shas=[d[3] for d in docs])
@@ -156,16 +151,17 @@ def _suffixes(groups: int, window: int, gram: int):
                     e, g = e[first], g[first]
                     for group, i in split_by(g, groups):
                         put("suffix", group=group, payload=e[i].tobytes())
-                    put("text", rows_=[x for x, _ in read], texts=[x for _, x in read])
+                    lengths, data = pack_texts([x for _, x in read])
+                    put("text", rows_=[x for x, _ in read], lengths=lengths, texts=data)
                 yield pa.RecordBatch.from_arrays([
                     pa.array(rows["kind"], pa.string()), pa.array(rows["batch"], pa.int64()), pa.array(rows["group"], pa.int64()), _binary(rows["payload"]),
                     pa.array(rows["rows"], pa.list_(pa.int32())), pa.array(rows["ids"], pa.list_(pa.int64())), pa.array(rows["words"], pa.list_(pa.int64())),
-                    pa.array(rows["shas"], pa.list_(pa.string())), pa.array(rows["texts"], pa.list_(pa.string()))], names=list(rows))
+                    pa.array(rows["shas"], pa.list_(pa.string())), pa.array(rows["lengths"], pa.list_(pa.int32())), _binary(rows["texts"])], names=list(rows))
     return run
 
 
 _SUFFIX_SCHEMA = ("kind string, batch long, group long, payload binary, rows array<int>, ids array<long>, words array<long>, "
-                  "shas array<string>, texts array<string>")
+                  "shas array<string>, lengths array<int>, texts binary")
 
 
 def _marks(e: np.ndarray) -> bytes:
@@ -206,11 +202,11 @@ def _cut(window: int):
             for r in b.to_pylist():
                 m = np.concatenate([np.frombuffer(x, _MARK) for x in r["marks"]])
                 m = m[np.argsort(m["row"], kind="stable")]
-                text = dict(zip(r["rows"], r["texts"], strict=True))
+                text = dict(zip(r["rows"], unpack_texts(r["lengths"], r["texts"]), strict=True))
                 out = []
                 at = np.flatnonzero(np.concatenate(([True], m["row"][1:] != m["row"][:-1])))
                 for row, starts in zip(m["row"][at].tolist(), np.split(m["start"], at[1:]), strict=True):
-                    words = text[row].encode().split()
+                    words = text[row].split()
                     edge = np.zeros(len(words) + 1, np.int64)
                     np.add.at(edge, starts, 1)
                     np.add.at(edge, starts + np.uint32(window), -1)
@@ -233,28 +229,30 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     s = Scratch(spark, "substring-dedup")
     batches = write_batches(docs, s, "batches", id_col, text_col, batch_bytes)
     n = batches.count()
-    groups = max(1, -(-n * (batch_bytes // 24) // group_items))  # about one anchor for 24 bytes of text at most
-    with arrow_rows(spark, 2):
-        anchors = (batches.select("batch", "texts").mapInArrow(_find_anchors(groups, window, gram), "batch long, group long, payload binary")
+    groups = max(1, -(-n * (batch_bytes // 24) // group_items))  # about one anchor for 24 bytes of text
+    with arrow_rows(spark, 1):
+        anchors = (batches.select("batch", "lengths", "texts").mapInArrow(_find_anchors(groups, window, gram), "batch long, group long, payload binary")
                    .groupBy("group").applyInArrow(_repeated, "batch long, payload binary")
                    .groupBy("batch").agg(F.collect_list("payload").alias("anchors")))
         anchors = s.write(anchors, "anchors")
         # about a sixth of the words' suffixes remain; groups follow the input
         groups = max(1, -(-n * (batch_bytes // 36) // group_items))
-        parts = s.write(batches.join(anchors, "batch", "left").select("batch", "ids", "texts", "anchors")
+        parts = s.write(batches.join(anchors, "batch", "left").select("batch", "ids", "lengths", "texts", "anchors")
                         .mapInArrow(_suffixes(groups, window, gram), _SUFFIX_SCHEMA), "suffixes", compression="zstd")
     s.drop("batches")
     s.drop("anchors")
     suffix = parts.filter("kind = 'suffix'").select("batch", "group", "payload")
-    sizes = suffix.groupBy("group").agg(F.sum(F.length("payload")).alias("bytes"))
-    pieces = sizes.select("group", F.ceil(F.col("bytes") / (_ENTRY.itemsize * group_items)).alias("pieces"))
+    # the groups to be split are few; written first, their size is known to the planner
+    over = s.write(suffix.groupBy("group").agg(F.ceil(F.sum(F.length("payload")) / (_ENTRY.itemsize * group_items)).alias("pieces"))
+                   .filter("pieces > 1"), "oversize")
     with arrow_rows(spark, 200):
-        found = (suffix.join(pieces, "group").mapInArrow(_split, "batch long, group long, piece long, payload binary")
+        found = (suffix.join(over, "group", "left").withColumn("pieces", F.coalesce("pieces", F.lit(1)))
+                 .select("batch", "group", "payload", "pieces").mapInArrow(_split, "batch long, group long, piece long, payload binary")
                  .groupBy("group", "piece").applyInArrow(_subtree, "batch long, payload binary"))
         marks = s.write(found.unionByName(parts.filter("kind = 'mark'").select("batch", "payload"))
                         .groupBy("batch").agg(F.collect_list("payload").alias("marks")), "marks")
-    with arrow_rows(spark, 2):
-        cut = s.write(parts.filter("kind = 'text'").select("batch", "rows", "texts").join(marks, "batch")
+    with arrow_rows(spark, 1):
+        cut = s.write(parts.filter("kind = 'text'").select("batch", "rows", "lengths", "texts").join(marks, "batch")
                       .mapInArrow(_cut(window), "batch long, row int, n_removed long, sha string, spans array<struct<start:int,stop:int>>"), "cut")
     s.drop("marks")
     whole = (parts.filter("kind = 'doc'").select("batch", F.explode(F.arrays_zip("rows", "ids", "words", "shas")).alias("d"))
