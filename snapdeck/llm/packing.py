@@ -88,12 +88,14 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     cluster = F.xxhash64(text_of(text_col)) if cluster is None else cluster
     src = docs.select(F.col(id_col).alias("_id"), word_count(text_of(text_col)).alias("_words"),
                       F.when(F.col(source_col).isNotNull(), F.xxhash64(F.col(source_col))).alias("_source"), cluster.cast("long").alias("_cluster"))
-    pieces = s.write(src.withColumn("_p", F.when(F.col("_words") > 0, F.sequence(F.lit(0).cast("long"), F.floor((F.col("_words") - 1) / capacity)))
+    lengths = s.write(src, "lengths")  # the texts are scanned once
+    pieces = s.write(lengths.withColumn("_p", F.when(F.col("_words") > 0, F.sequence(F.lit(0).cast("long"), F.floor((F.col("_words") - 1) / capacity)))
                                     .otherwise(F.array(F.lit(0).cast("long"))))
                      .select("_id", "_words", "_source", "_cluster", F.explode("_p").alias("piece"))
                      .withColumn("start", F.col("piece") * capacity)
                      .withColumn("n_words", F.least(F.lit(capacity).cast("long"), F.col("_words") - F.col("start")))
                      .drop("_words"), "pieces")
+    s.drop("lengths")
     empty = pieces.filter("n_words = 0")
     full = pieces.filter("n_words > 0")
     shards = max(1, -(-full.count() // shard_items))

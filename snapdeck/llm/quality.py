@@ -149,18 +149,23 @@ def fit(labelled: DataFrame) -> Model:
     return fit_moments(sums[:, 0], sums[:, 1:1 + d], sums[:, 1 + d:].reshape(2, d, d))
 
 
+def learned(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str, text_col: str, label_col: str) -> tuple[Model, DataFrame]:
+    """The model, and the feature table (_id, x) it was learned from."""
+    spark = docs.sparkSession
+    s = Scratch(spark, "quality")
+    with arrow_rows(spark, 1000):
+        x = s.write(feature_table(docs, id_col, text_col), "features")
+    marks = labels.filter(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("label"))
+    return fit(x.filter(learn).join(marks.filter(learn), "_id")), x
+
+
 def classify(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text",
              label_col: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
     """Per document: id, score, predicted (1 if the score reaches ``threshold``).
 
     ``learn`` is a condition on the id column ``_id``: the rows whose labels may be learned.
     """
-    spark = docs.sparkSession
-    s = Scratch(spark, "quality")
-    with arrow_rows(spark, 1000):
-        x = s.write(feature_table(docs, id_col, text_col), "features")
-    marks = labels.filter(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("label"))
-    model = fit(x.filter(learn).join(marks.filter(learn), "_id"))
+    model, x = learned(docs, labels, learn, id_col, text_col, label_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -174,8 +179,16 @@ def classify(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "d
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text",
-              threshold: float = THRESHOLD) -> DataFrame:
-    """The documents that the classifier accepts, with all their columns."""
-    bad = (classify(docs, labels, learn, id_col, text_col, threshold=threshold).filter("predicted = 0")
-           .select(F.col(id_col).alias("_qc_id")).distinct())
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("_qc_id")), "left_anti")
+              label_col: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
+    """The documents that the classifier accepts, with all their columns. Each row is scored where
+    it is read: a second pass over the texts instead of a shuffle of them."""
+    model, _ = learned(docs, labels, learn, id_col, text_col, label_col)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                score = model.score(np.array([features(t.as_py()) for t in b.column(at)]))
+                yield b.filter(pa.array(score >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
