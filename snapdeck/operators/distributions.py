@@ -25,54 +25,36 @@ BOX_QUANTS = [("p5", 0.05), ("q1", 0.25), ("med", 0.5), ("q3", 0.75), ("p95", 0.
 def _slice_key(v: Column, per_octave: int) -> Column:
     """Monotone, value-derived slice number: ``per_octave`` slices per
     doubling of |v| (signed), so slices are contiguous value ranges and need
-    no extra pass over the data to place."""
-    m = F.floor(F.log2(F.abs(v) + F.lit(1.0)) * F.lit(per_octave))
-    # NULL values form their own slice, ordered first (as NULLs sort first ascending, last descending)
-    return F.coalesce((F.signum(v) * m).cast("long"), F.lit(-(1 << 63)).cast("long"))
-
-
-# Estimated input size above which running sums are sliced (see ``freq``).
-SLICE_ABOVE_BYTES = 64 * 1024 * 1024
-
-
-def _estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of a plan (no job runs)."""
-    try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # noqa: BLE001 - no estimate: assume large
-        return 1 << 62
+    no extra pass over the data to place.  NULL, NaN and the infinities are
+    slices of their own, placed where Spark sorts them."""
+    x = v.cast("double")
+    m = F.floor(F.log2(F.abs(x) + F.lit(1.0)) * F.lit(per_octave))
+    return (F.when(x.isNull(), F.lit(-(1 << 63)).cast("long"))
+            .when(F.isnan(x), F.lit((1 << 63) - 1).cast("long"))
+            .when(x == F.lit(float("inf")), F.lit((1 << 63) - 2).cast("long"))
+            .when(x == F.lit(float("-inf")), F.lit(-(1 << 63) + 1).cast("long"))
+            .otherwise((F.signum(x) * m).cast("long")))
 
 
 def freq(df: DataFrame, part: Sequence[str], value: str, weight: str | None = None,
-         descending: bool = False, per_octave: int = 64, sliced: bool | None = None) -> DataFrame:
+         descending: bool = False, per_octave: int = 64) -> DataFrame:
     """Frequency rows (part, v, c[, w]) with ``cum`` (inclusive running count
     in value order), ``cum_w`` when weighted, and the group size ``n``.
 
-    Large inputs (Catalyst's estimate above ``SLICE_ABOVE_BYTES``, or
-    ``sliced=True``) never compute running sums in one task per group: the
-    window runs per (group, value slice) — slices are contiguous value ranges
+    Running sums never run in one task per group: the window runs per
+    (group, value slice) — slices are contiguous value ranges
     (``per_octave`` per doubling of |v|) — and a small per-slice table adds
     the counts of the slices before, so a type holding most rows, even with a
-    near-continuous value such as byte sizes, is spread over many tasks.
-    Small inputs use one window per group (fewer stages).  Both give the
-    same exact result.
+    near-continuous value such as byte sizes, is spread over many tasks.  The
+    slices of a group number at most a few thousand per ``per_octave``,
+    whatever the rows.
     """
     part = list(part)
     aggs = [F.count(F.lit(1)).alias("c")]
     if weight:
         aggs.append(F.coalesce(F.sum(weight), F.lit(0)).alias("w"))
-    if sliced is None:
-        sliced = _estimated_bytes(df) > SLICE_ABOVE_BYTES
-    g = df.groupBy(*part, F.col(value).alias("v")).agg(*aggs)
     order = F.col("v").desc() if descending else F.col("v").asc()
-    if not sliced:
-        wo = Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        wa = Window.partitionBy(*part)
-        g = g.withColumn("cum", F.sum("c").over(wo)).withColumn("n", F.sum("c").over(wa))
-        if weight:
-            g = g.withColumn("cum_w", F.sum("w").over(wo)).withColumn("tot_w", F.sum("w").over(wa))
-        return g
-    g = g.withColumn("_s", _slice_key(F.col("v"), per_octave))
+    g = df.groupBy(*part, F.col(value).alias("v")).agg(*aggs).withColumn("_s", _slice_key(F.col("v"), per_octave))
     wl = Window.partitionBy(*part, "_s").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     g = g.withColumn("_lc", F.sum("c").over(wl))
     sums = [F.sum("c").alias("_sc")]
@@ -88,7 +70,10 @@ def freq(df: DataFrame, part: Sequence[str], value: str, weight: str | None = No
     if weight:
         t = (t.withColumn("_ow", F.coalesce(F.sum("_sw").over(wo), F.lit(0)))
              .withColumn("tot_w", F.sum("_sw").over(wa)))
-    g = g.join(t, [*part, "_s"]).withColumn("cum", F.col("_oc") + F.col("_lc"))
+    keys = [*part, "_s"]
+    t = t.withColumnsRenamed({k: f"_k{i}" for i, k in enumerate(keys)})
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]  # a NULL group is a group
+    g = g.join(t, same).withColumn("cum", F.col("_oc") + F.col("_lc"))
     if weight:
         g = g.withColumn("cum_w", F.col("_ow") + F.col("_lw"))
     keep = [*part, "v", "c", "cum", "n"] + (["w", "cum_w", "tot_w"] if weight else [])
@@ -278,7 +263,9 @@ def log_density(df: DataFrame, value: str, part: Sequence[str] = ("org_type",),
     Grid: ``bins`` equal bins on [0, pooled nearest p99.9] (E18, values >= 1)
     or on [pooled p0.1, p99.9] when ``lower`` is set (E19, values > 0); the
     right edge is closed and values outside the grid are dropped.  The grid
-    limits are pooled over everything, or per ``pool`` group (e.g. metric).
+    limits are pooled over everything, or per ``pool`` group (e.g. snapshot
+    and metric).  A grid without width (all values equal) puts everything,
+    unsmoothed, into bin 0.
     """
     part = list(part)
     cond = (F.col(value) > 0) if strict_positive else (F.col(value) >= F.lit(min_value))
@@ -290,10 +277,11 @@ def log_density(df: DataFrame, value: str, part: Sequence[str] = ("org_type",),
         lim = lim.withColumn("lo", F.lit(0.0))
     xs = (x.join(F.broadcast(lim), pool) if pool else _const_join(x, lim))  # one row per pool group
     xs = xs.filter((F.col("x") >= F.col("lo")) & (F.col("x") <= F.col("hi")))
-    width = (F.col("hi") - F.col("lo")) / F.lit(bins)
+    flat = F.col("hi") <= F.col("lo")
+    width = F.when(flat, F.lit(1.0)).otherwise((F.col("hi") - F.col("lo")) / F.lit(bins))
     b = np_bin(F.col("x"), F.col("lo"), width, bins)
     hist = xs.groupBy(*part, b.alias("bin"), "lo", "hi").agg(F.count(F.lit(1)).cast("double").alias("h"))
-    sm = _smooth(hist, [*part, "lo", "hi"], F.lit(sigma) / ((F.col("hi") - F.col("lo")) / F.lit(bins)), bins)
+    sm = _smooth(hist, [*part, "lo", "hi"], F.when(flat, F.lit(1e-3)).otherwise(F.lit(sigma) / width), bins)
     d = _dense_bins(sm, [*part, "lo", "hi"], bins)
     peak = F.max("d").over(Window.partitionBy(*part))  # <= bins rows per group
     return d.select(*part, "bin", F.col("lo").cast("decimal(20,6)").alias("lo"),

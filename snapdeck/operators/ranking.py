@@ -31,8 +31,14 @@ def top_rows(df: DataFrame, part: Sequence[str], metric: str, key: str, n: int,
 
 
 def latest(panel: DataFrame) -> DataFrame:
-    """Rows of the latest snapshot (semi join with a one-row aggregate)."""
-    return panel.join(F.broadcast(panel.agg(F.max("t").alias("t"))), "t", "left_semi")
+    """Rows of the latest snapshot.  The date is a scalar subquery on the
+    partition column, so only that snapshot's files are read."""
+    return panel.filter(F.col("snapshot_date") == panel.agg(F.max("snapshot_date").alias("d")).scalar())
+
+
+def complete(panel: DataFrame) -> DataFrame:
+    """Rows of all snapshots but the last, which may still be filling."""
+    return panel.filter(F.col("snapshot_date") < panel.agg(F.max("snapshot_date").alias("d")).scalar())
 
 
 def topn_items(panel: DataFrame, n: int = 10, metric: str = "downloads", by: str = "org_type",
@@ -97,15 +103,16 @@ def topn_accounts(panel: DataFrame, n: int = 10, metric: str | None = "downloads
     return densify(v, grid, ["snapshot_date", by], {"total": 0, "topn": 0, "top3": ""})
 
 
-def group_share(df: DataFrame, by: Sequence[str], value: str, alias: str = "share") -> DataFrame:
+def group_share(df: DataFrame, by: Sequence[str], value: str, alias: str = "share", bounded: bool = False) -> DataFrame:
     """value / Σ value within ``by`` (NULL when the group total is 0).
 
     The group totals are aggregated first (partial sums, one small shuffle)
     and joined back, instead of a window that would put a whole hot group
-    into one task."""
+    into one task.  ``bounded`` states that the groups are few whatever the
+    rows (snapshots x types); their totals are then broadcast."""
     by = list(by)
     tot = df.groupBy(*by).agg(F.sum(value).alias("_gt"))
-    return (df.join(tot, by).withColumn(alias, F.try_divide(F.col(value).cast("double"), F.col("_gt")))
+    return (df.join(F.broadcast(tot) if bounded else tot, by).withColumn(alias, F.try_divide(F.col(value).cast("double"), F.col("_gt")))
             .drop("_gt"))
 
 

@@ -38,7 +38,7 @@ def topic_vocab(panel: DataFrame, top: int = TOP_FREEFORM, latest_only: bool = T
     by name."""
     c = topic_counts(latest(panel) if latest_only else panel)
     tasks = c.filter("is_task").select("topic", "n", F.lit("task").alias("kind"))
-    free = (c.filter(~F.col("is_task")).join(tasks.select("topic"), "topic", "left_anti")
+    free = (c.filter(~F.col("is_task"))  # one row per topic: none of these is a task name
             .orderBy(F.col("n").desc(), F.col("topic").asc()).limit(top)
             .select("topic", "n", F.lit("community").alias("kind")))
     v = tasks.unionByName(free)
@@ -49,9 +49,7 @@ def topic_vocab(panel: DataFrame, top: int = TOP_FREEFORM, latest_only: bool = T
 
 def freeform_topics(panel: DataFrame) -> DataFrame:
     """H4: free-form topics (never a task) with their counts, over all rows."""
-    c = topic_counts(panel)
-    return c.filter(~F.col("is_task")).join(c.filter("is_task").select("topic"), "topic", "left_anti") \
-        .select("topic", "n")
+    return topic_counts(panel).filter(~F.col("is_task")).select("topic", "n")
 
 
 def topic_series(panel: DataFrame, vocab: DataFrame) -> DataFrame:
@@ -60,7 +58,7 @@ def topic_series(panel: DataFrame, vocab: DataFrame) -> DataFrame:
     ``dlat`` is NULL in untracked snapshots."""
     e = panel.select("snapshot_date", "downloads", "downloadsAllTime", "likes",
                      F.explode(topics("tags")).alias("topic"))
-    e = e.join(F.broadcast(vocab.select("topic")), "topic", "left_semi")  # vocabulary: tasks + 60
+    e = e.join(vocab.select("topic"), "topic", "left_semi")  # task names come from users: left to the planner
     g = e.groupBy("snapshot_date", "topic").agg(
         F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("downloads"), F.lit(0)).cast("long").alias("dl"),
         F.coalesce(F.sum("downloadsAllTime"), F.lit(0)).cast("long").alias("dlat"),

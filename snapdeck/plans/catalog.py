@@ -132,8 +132,8 @@ def pool_series(spark, sf):
 
 @query
 def top_latest(spark, sf):
-    """The 100 largest datasets of the latest snapshot by all-time downloads."""
-    return ranking.top_latest(driver.panel(spark, sf), 100, "downloadsAllTime").select(
+    """The 100 largest datasets of the last complete snapshot by all-time downloads."""
+    return ranking.top_latest(ranking.complete(driver.panel(spark, sf)), 100, "downloadsAllTime").select(
         "_id", "id", "downloadsAllTime")
 
 
@@ -145,13 +145,13 @@ def topn_membership(spark, sf):
 @query
 def top7_per_type(spark, sf):
     acc = ranking.by_account(rejoined(spark, sf))
-    return ranking.top_k_panel(ranking.latest(acc), k=2, metric="dl")
+    return ranking.top_k_panel(ranking.latest(ranking.complete(acc)), k=2, metric="dl")
 
 
 @query
 def group_share(spark, sf):
     """each dataset's share of its type's 30-day downloads, per snapshot."""
-    d = ranking.group_share(baked(spark, sf), ["snapshot_date", "org_type"], "downloads")
+    d = ranking.group_share(baked(spark, sf), ["snapshot_date", "org_type"], "downloads", bounded=True)
     return d.select("snapshot_date", "_id", "org_type", F.col("share").cast("decimal(20,8)").alias("share"))
 
 
@@ -258,15 +258,20 @@ def size_midpoints(spark, sf):
     return p.groupBy("org_type", "x").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _vocab(spark, sf):
+    return topics.topic_vocab(ranking.complete(driver.panel(spark, sf)), top=60)
+
+
 @query
 def topic_vocab(spark, sf):
-    return topics.topic_vocab(driver.panel(spark, sf), top=60, latest_only=False)
+    """E5 over the last complete snapshot."""
+    return _vocab(spark, sf)
 
 
 @query
 def topic_series(spark, sf):
     p = driver.panel(spark, sf)
-    return topics.topic_series(p, topics.topic_vocab(p, top=60, latest_only=False))
+    return topics.topic_series(p, _vocab(spark, sf))
 
 
 @query
@@ -422,13 +427,14 @@ def account_hist(spark, sf):
 
 @query
 def log_density(spark, sf):
-    """E18 for all-time downloads and likes (values >= 1, pooled grid per metric)."""
-    return dist.log_density(_stacked(rejoined(spark, sf)), "value", part=["metric", "org_type"], pool=["metric"])
+    """E18 for all-time downloads and likes (values >= 1, one grid per snapshot and metric)."""
+    return dist.log_density(_stacked(rejoined(spark, sf)), "value", part=["snapshot_date", "metric", "org_type"],
+                            pool=["snapshot_date", "metric"])
 
 
 @query
 def size_density(spark, sf):
-    return dist.log_density(rejoined(spark, sf), "mainSize", part=["org_type"], lower="p0.1", strict_positive=True)
+    return dist.log_density(rejoined(spark, sf), "mainSize", part=_SD, lower="p0.1", strict_positive=True, pool=["snapshot_date"])
 
 
 @query
@@ -449,15 +455,13 @@ def weighted_quantiles(spark, sf):
 
 
 def _with_country(spark, sf):
-    """The top-100 cohort by all-time downloads of every snapshot, with the
-    owner's country (a miss is ``unknown``)."""
-    p = enrich.country_join(driver.panel(spark, sf), known_countries(driver.countries_dim(spark, sf)))
-    return ranking.top_rows(p, ["snapshot_date"], "downloadsAllTime", "_id", 100)
+    """Every row with its owner's country (a miss is ``unknown``)."""
+    return enrich.country_join(driver.panel(spark, sf), known_countries(driver.countries_dim(spark, sf)))
 
 
 @query
 def country_stats(spark, sf):
-    """E24 per snapshot over the top-100 cohort."""
+    """E24 per snapshot over all rows."""
     return dist.country_stats(_with_country(spark, sf), part=["snapshot_date", "country"])
 
 
@@ -470,7 +474,7 @@ def country_top_rest(spark, sf):
 
 @query
 def region_rollup(spark, sf):
-    """The cohort's countries rolled up to display regions, per snapshot."""
+    """The countries rolled up to display regions, per snapshot."""
     c = dist.country_stats(_with_country(spark, sf), part=["snapshot_date", "country"])
     return c.groupBy("snapshot_date", enrich.region_of(F.col("country")).alias("region")).agg(
         F.sum("dl").cast("long").alias("dl"), F.sum("n").cast("long").alias("n"))
@@ -687,7 +691,7 @@ def entity_topics(spark, sf):
     vocabulary indices of its latest tags."""
     from ..functions.tags import topic_ids
     p = driver.panel(spark, sf)
-    vocab = topics.topic_vocab(p, top=60, latest_only=False)
+    vocab = _vocab(spark, sf)
     vmap = vocab.agg(F.map_from_entries(F.collect_list(F.struct("topic", "idx")))).scalar()  # tasks + 60 entries
     a = longitudinal.latest_attrs(p).withColumn("_vm", vmap)  # bound once, then used inside the lambda
     return a.select("_id", "id", "org_type",

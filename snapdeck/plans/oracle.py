@@ -270,7 +270,7 @@ SELECT * EXCLUDE (t) FROM acc WHERE author IN (""" + _top("acc", "dl", "author",
 
 register("top_latest", """
 SELECT _id, id, downloadsAllTime FROM panel
-WHERE t = (SELECT MAX(t) FROM panel) AND downloadsAllTime IS NOT NULL
+WHERE t = (SELECT MAX(t) - 1 FROM panel) AND downloadsAllTime IS NOT NULL
 ORDER BY downloadsAllTime DESC, _id LIMIT 100
 """)
 
@@ -290,7 +290,7 @@ SELECT org_type, author, value, rk, group_total,
 FROM (SELECT org_type, author, dl AS value, CAST(rk AS INTEGER) AS rk,
              CAST(SUM(dl) OVER (PARTITION BY org_type) AS BIGINT) AS group_total
       FROM (SELECT *, row_number() OVER (PARTITION BY org_type ORDER BY dl DESC, author) AS rk
-            FROM acc WHERE t = (SELECT MAX(t) FROM acc)) WHERE rk <= 2)
+            FROM acc WHERE t = (SELECT MAX(t) - 1 FROM panel)) WHERE rk <= 2)
 """, ORGS_CTE, "acc AS (" + _BY_ACCOUNT.format(src="pr") + ")")
 
 register("group_share", """
@@ -476,7 +476,9 @@ FROM (SELECT topic, n, 'task' AS kind FROM tc WHERE is_task
                      WHERE NOT is_task AND topic NOT IN (SELECT topic FROM tc WHERE is_task)
                      ORDER BY n DESC, topic LIMIT 60))
 """
-register("topic_vocab", _VOCAB, f"tc AS ({_TOPIC_COUNTS})")
+_FULL = "snapshot_date < (SELECT MAX(snapshot_date) FROM panel)"
+_VOCAB_COUNTS = _TOPIC_COUNTS.replace("FROM panel)", f"FROM panel WHERE snapshot_date = (SELECT MAX(snapshot_date) FROM panel WHERE {_FULL}))")
+register("topic_vocab", _VOCAB, f"tc AS ({_VOCAB_COUNTS})")
 
 register("freeform_topics", """
 SELECT topic, n FROM tc WHERE NOT is_task AND topic NOT IN (SELECT topic FROM tc WHERE is_task)
@@ -492,7 +494,7 @@ LEFT JOIN (SELECT snapshot_date, topic, COUNT(*) AS n, SUM(downloads) AS dl, COA
            FROM (SELECT snapshot_date, downloads, downloadsAllTime, likes, unnest({_TOPICS}) AS topic FROM panel)
            WHERE topic IN (SELECT topic FROM vocab) GROUP BY 1, 2) g
   ON g.snapshot_date = s.snapshot_date AND g.topic = v.topic
-""", f"tc AS ({_TOPIC_COUNTS})", f"vocab AS ({_VOCAB})")
+""", f"tc AS ({_VOCAB_COUNTS})", f"vocab AS ({_VOCAB})")
 
 _LIC_LONG = f"""
 SELECT snapshot_date, CASE WHEN org_type = 'company' THEN 'company' ELSE 'public organisations' END AS org_group,
@@ -732,32 +734,35 @@ def _density_ctes(src: str, lower: bool, k: str) -> str:
     lo = _near(0.001, "x", "i", "n") if lower else "0.0::DOUBLE"
     return f"""
 xs_{k} AS ({src}),
-lim_{k} AS (SELECT {lo} AS lo, {_near(0.999, 'x', 'i', 'n')} AS hi
-        FROM (SELECT x, row_number() OVER (ORDER BY x) - 1 AS i, COUNT(*) OVER () AS n FROM xs_{k})),
-h_{k} AS (SELECT org_type, lo, hi, {_np_bin('x', 'lo', '((hi - lo) / 80)')} AS bin, COUNT(*)::DOUBLE AS h
-      FROM xs_{k}, lim_{k} WHERE x >= lo AND x <= hi GROUP BY 1, 2, 3, 4),
-kr_{k} AS (SELECT s, CAST(ceil(4.0 * s) AS INTEGER) AS r FROM (SELECT 0.12::DOUBLE / ((hi - lo) / 80) AS s FROM lim_{k})),
-ks_{k} AS (SELECT SUM(exp(-0.5 * pow(j / s, 2))) AS ksum FROM kr_{k}, range(-r, r + 1) g(j)),
-sm_{k} AS (SELECT org_type, lo, hi, bin + j AS i, SUM(h * exp(-0.5 * pow(j / s, 2)) / ksum) AS d
-       FROM h_{k}, kr_{k}, ks_{k}, range(-r, r + 1) g(j) WHERE bin + j BETWEEN 0 AND 79 GROUP BY 1, 2, 3, 4),
-dn_{k} AS (SELECT g.org_type, g.lo, g.hi, b.bin, COALESCE(sm.d, 0.0) AS d
-       FROM (SELECT DISTINCT org_type, lo, hi FROM sm_{k}) g CROSS JOIN range(0, 80) b(bin)
-       LEFT JOIN sm_{k} sm ON sm.org_type = g.org_type AND sm.i = b.bin)"""
+lim_{k} AS (SELECT *, CASE WHEN hi > lo THEN (hi - lo) / 80 ELSE 1.0::DOUBLE END AS w, CASE WHEN hi > lo THEN 0.12::DOUBLE / ((hi - lo) / 80) ELSE 1e-3::DOUBLE END AS s
+        FROM (SELECT snapshot_date AS sd, {lo} AS lo, {_near(0.999, 'x', 'i', 'n')} AS hi
+              FROM (SELECT snapshot_date, x, row_number() OVER (PARTITION BY snapshot_date ORDER BY x) - 1 AS i,
+                           COUNT(*) OVER (PARTITION BY snapshot_date) AS n FROM xs_{k}) GROUP BY 1)),
+h_{k} AS (SELECT snapshot_date, org_type, lo, hi, s, {_np_bin('x', 'lo', 'w')} AS bin, COUNT(*)::DOUBLE AS h
+      FROM xs_{k} JOIN lim_{k} ON sd = snapshot_date WHERE x >= lo AND x <= hi GROUP BY 1, 2, 3, 4, 5, 6),
+kj_{k} AS (SELECT sd, s, unnest(range(-CAST(ceil(4.0 * s) AS BIGINT), CAST(ceil(4.0 * s) AS BIGINT) + 1)) AS j FROM lim_{k}),
+ks_{k} AS (SELECT sd, SUM(exp(-0.5 * pow(j / s, 2))) AS ksum FROM kj_{k} GROUP BY 1),
+sm_{k} AS (SELECT snapshot_date, org_type, lo, hi, bin + j AS i, SUM(h * exp(-0.5 * pow(j / kj.s, 2)) / ksum) AS d
+       FROM h_{k} h JOIN kj_{k} kj ON kj.sd = snapshot_date JOIN ks_{k} ks ON ks.sd = snapshot_date
+       WHERE bin + j BETWEEN 0 AND 79 GROUP BY 1, 2, 3, 4, 5),
+dn_{k} AS (SELECT g.snapshot_date, g.org_type, g.lo, g.hi, b.bin, COALESCE(sm.d, 0.0) AS d
+       FROM (SELECT DISTINCT snapshot_date, org_type, lo, hi FROM sm_{k}) g CROSS JOIN range(0, 80) b(bin)
+       LEFT JOIN sm_{k} sm ON sm.snapshot_date = g.snapshot_date AND sm.org_type = g.org_type AND sm.i = b.bin)"""
 
 
 def _density_select(k: str, label: str | None) -> str:
     extra = "" if label is None else f", '{label}' AS metric"
     return f"""
-SELECT org_type, CAST(bin AS INTEGER) AS bin, CAST(lo AS DECIMAL(20,6)) AS lo, CAST(hi AS DECIMAL(20,6)) AS hi,
-       CAST(d / MAX(d) OVER (PARTITION BY org_type) AS DECIMAL(20,6)) AS d{extra}
+SELECT snapshot_date, org_type, CAST(bin AS INTEGER) AS bin, CAST(lo AS DECIMAL(20,6)) AS lo, CAST(hi AS DECIMAL(20,6)) AS hi,
+       CAST(d / MAX(d) OVER (PARTITION BY snapshot_date, org_type) AS DECIMAL(20,6)) AS d{extra}
 FROM dn_{k}"""
 
 
 register("log_density", _density_select("dlat", "dlat") + " UNION ALL " + _density_select("lk", "lk"), ORGS_CTE,
-         _density_ctes("SELECT org_type, log10(downloadsAllTime) AS x FROM pr WHERE downloadsAllTime >= 1", False, "dlat"),
-         _density_ctes("SELECT org_type, log10(likes) AS x FROM pr WHERE likes >= 1", False, "lk"))
+         _density_ctes("SELECT snapshot_date, org_type, log10(downloadsAllTime) AS x FROM pr WHERE downloadsAllTime >= 1", False, "dlat"),
+         _density_ctes("SELECT snapshot_date, org_type, log10(likes) AS x FROM pr WHERE likes >= 1", False, "lk"))
 register("size_density", _density_select("sz", None), ORGS_CTE,
-         _density_ctes("SELECT org_type, log10(mainSize) AS x FROM pr WHERE mainSize > 0", True, "sz"))
+         _density_ctes("SELECT snapshot_date, org_type, log10(mainSize) AS x FROM pr WHERE mainSize > 0", True, "sz"))
 
 
 def _rank_density(width: float) -> str:
@@ -813,10 +818,8 @@ GROUP BY 1, 2
 """, ORGS_CTE)
 
 _CSTATS = """
-coh AS (SELECT * FROM (SELECT p.*, COALESCE(k.country, 'unknown') AS country,
-                              row_number() OVER (PARTITION BY p.snapshot_date ORDER BY p.downloadsAllTime DESC, p._id) AS rk
-                       FROM panel p LEFT JOIN countries_known k ON k.account = p.author
-                       WHERE p.downloadsAllTime IS NOT NULL) WHERE rk <= 100),
+coh AS (SELECT p.*, COALESCE(k.country, 'unknown') AS country
+        FROM panel p LEFT JOIN countries_known k ON k.account = p.author),
 cs AS (SELECT snapshot_date, country, CAST(COALESCE(SUM(downloadsAllTime), 0) AS BIGINT) AS dl, COUNT(*) AS n,
               COUNT(*) FILTER (WHERE mainSize > 0) AS n_size,
               CAST(quantile_cont(CASE WHEN mainSize > 0 THEN log10(mainSize) END, 0.25) AS DECIMAL(20,6)) AS q1,
@@ -1124,4 +1127,4 @@ LEFT JOIN (SELECT _id, string_agg(CAST(idx AS VARCHAR), ',' ORDER BY idx) AS ids
                              WHERE rn = 1)) x
                  JOIN vocab v ON v.topic = x.topic)
            GROUP BY 1) t ON t._id = l._id
-""", f"tc AS ({_TOPIC_COUNTS})", f"vocab AS ({_VOCAB})")
+""", f"tc AS ({_VOCAB_COUNTS})", f"vocab AS ({_VOCAB})")
