@@ -33,12 +33,10 @@ def resolve_org_type(panel: DataFrame, orgs: DataFrame | None = None, regime: st
 
 def dedupe_orgs(orgs: DataFrame) -> DataFrame:
     """One row per author.  Loaders keep the first row per slug already
-    (``load_orgs``); here a deterministic pick guards derived dims."""
-    if "_order" in orgs.columns:
-        rest = [c for c in orgs.columns if c not in ("author", "_order")]
-        return (orgs.groupBy("author").agg(F.min_by(F.struct(*rest), "_order").alias("_f"))
-                .select("author", "_f.*"))
-    return orgs.dropDuplicates(["author"])
+    (``load_orgs``); a derived dim with repeats keeps the least row, so the
+    pick does not depend on partitioning."""
+    rest = [c for c in orgs.columns if c != "author"]
+    return orgs.groupBy("author").agg(F.min(F.struct(*rest)).alias("_f")).select("author", "_f.*") if rest else orgs.distinct()
 
 
 def enrich(df: DataFrame, dim: DataFrame, on, how: str = "left", fill: dict | None = None) -> DataFrame:

@@ -24,11 +24,11 @@ ACC_COLS = ["snapshot_date", "author", "dl", "lk", "dlat", "n"]
 def combine_hubs(a: DataFrame, b: DataFrame, how: str = "inner") -> DataFrame:
     """D3 (+D9): element-wise sum of two hubs' account aggregates on the
     aligned dates (``inner``: dates both hubs have)."""
-    dates = align_snapshots(a, b, how)
+    dates = with_ordinal(align_snapshots(a, b, how).select("snapshot_date"))  # ordinals from the dates alone
     u = a.select(*ACC_COLS).unionByName(b.select(*ACC_COLS))
-    u = u.join(F.broadcast(dates), "snapshot_date", "left_semi")  # bounded by the calendar
-    g = u.groupBy("snapshot_date", "author").agg(*[F.sum(c).cast("long").alias(c) for c in ("dl", "lk", "dlat", "n")])
-    return with_ordinal(g)
+    u = u.join(F.broadcast(dates), "snapshot_date")  # bounded by the calendar
+    return (u.groupBy("snapshot_date", "t", "author").agg(*[F.sum(c).cast("long").alias(c) for c in ("dl", "lk", "dlat", "n")])
+            .select("snapshot_date", "author", "dl", "lk", "dlat", "n", "t"))
 
 
 def dashboard_pool(acc: DataFrame, n: int, part: Sequence[str] = ()) -> DataFrame:

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,16 +30,26 @@ def enrich_slim(raw: DataFrame, orgs: DataFrame, cols: Sequence[str] = SLIM_COLS
     return raw.select("snapshot_date", *keep).join(o, "author", "left")
 
 
+def table_or_none(spark, path: str) -> DataFrame | None:
+    """The table at ``path``, or None where there is none yet.  Any other
+    failure (permission, corruption) is raised, not taken for an empty table."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
 def existing_dates(spark, out: str) -> set:
     """Partition values already written (file listing only)."""
-    try:
-        return {r[0] for r in spark.read.parquet(out).select("snapshot_date").distinct().collect()}
-    except Exception:  # noqa: BLE001 - no table yet
-        return set()
+    df = table_or_none(spark, out)
+    return set() if df is None else {r[0] for r in df.select("snapshot_date").distinct().collect()}
 
 
 def ingest(raw: DataFrame, orgs: DataFrame, out: str, dates: Sequence | None = None, force: bool = False) -> dict:
-    """Write the slim panel; returns {"written": [...], "skipped": [...], "failed": [...]}.
+    """Write the slim panel; returns {"written": [...], "skipped": [...], "failed": [...],
+    "reasons": {date: message}}.
 
     ``dates`` is the (small) list of snapshot dates to process — the only loop
     over snapshots in the library; its default is every date of ``raw``.
@@ -48,7 +59,7 @@ def ingest(raw: DataFrame, orgs: DataFrame, out: str, dates: Sequence | None = N
     if dates is None:
         dates = sorted(r[0] for r in raw.select("snapshot_date").distinct().collect())
     have = set() if force else existing_dates(spark, out)
-    report = {"written": [], "skipped": [], "failed": []}
+    report = {"written": [], "skipped": [], "failed": [], "reasons": {}}
     slim = enrich_slim(raw, orgs)
     for d in dates:
         if d in have:
@@ -56,11 +67,12 @@ def ingest(raw: DataFrame, orgs: DataFrame, out: str, dates: Sequence | None = N
             continue
         try:
             (slim.filter(F.col("snapshot_date") == F.lit(d))
-             .repartition("snapshot_date").sortWithinPartitions("_id")
+             .hint("rebalance").sortWithinPartitions("_id")  # a week is written by as many tasks as its size asks for
              .write.mode("overwrite").partitionBy("snapshot_date").parquet(out))
             report["written"].append(d)
-        except Exception:  # noqa: BLE001 - reported, the loop goes on
+        except Exception as e:  # noqa: BLE001 - reported with its reason, the loop goes on
             report["failed"].append(d)
+            report["reasons"][d] = str(e)
     return report
 
 

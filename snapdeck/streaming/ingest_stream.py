@@ -6,7 +6,9 @@ processes new weeks only.  Each micro-batch is written with the batch
 ingest (dynamic partition overwrite of its snapshot dates), and first
 appearances are found with a ``left_anti`` join against a ``seen`` table of
 every id so far — the only streaming state, kept as a table in the shared
-folder rather than in executor memory.
+folder rather than in executor memory.  Both outputs are keyed by the
+micro-batch (``epoch=``) and overwritten, so a replay after a crash gives
+the same rows once.
 
 Files are taken in arrival (modification-time) order, one week per
 micro-batch by default.  A late or re-issued week is re-ingested with
@@ -20,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..sources.ingest import enrich_slim
+from ..sources.ingest import enrich_slim, table_or_none
 from ..sources.readers import SNAPSHOT_FILE_RE
 
 
@@ -37,18 +39,17 @@ def ingest_stream(spark: SparkSession, src: str, out: str, ckpt: str, orgs: Data
         slim = enrich_slim(df, orgs)
         slim.write.mode("overwrite").partitionBy("snapshot_date").parquet(out)
         if seen and new_out:
-            try:
-                known = s.read.parquet(seen)
-            except Exception:  # noqa: BLE001 - first batch: nothing seen yet
-                known = None
+            known = table_or_none(s, seen)
+            if known is not None:  # a replayed batch does not see what it wrote before
+                known = known.filter(F.col("epoch") < epoch)
             ids = slim.select("snapshot_date", "_id", "org_type")
             # ids of this batch's earliest week inside the batch, then against history
             first = ids.groupBy("_id").agg(F.min("snapshot_date").alias("first_date"))
             fresh = first if known is None else first.join(known.select("_id"), "_id", "left_anti")
             new_rows = ids.join(fresh, (ids._id == fresh._id) & (ids.snapshot_date == fresh.first_date), "left_semi")
             new_rows.groupBy("snapshot_date", "org_type").agg(F.count(F.lit(1)).alias("new")) \
-                .write.mode("append").parquet(new_out)
-            fresh.select("_id").write.mode("append").parquet(seen)
+                .write.mode("overwrite").parquet(f"{new_out}/epoch={epoch}")
+            fresh.select("_id").write.mode("overwrite").parquet(f"{seen}/epoch={epoch}")
 
     q = (stream.writeStream.foreachBatch(batch).option("checkpointLocation", ckpt)
          .trigger(availableNow=True).start())
@@ -56,18 +57,27 @@ def ingest_stream(spark: SparkSession, src: str, out: str, ckpt: str, orgs: Data
     return q
 
 
-def adoption_stream(spark: SparkSession, src: str, schema: T.StructType, ckpt: str, query_name: str,
+def adoption_stream(spark: SparkSession, src: str, schema: T.StructType, ckpt: str, out: str,
                     prefix: str = "dataset:", max_files: int = 1):
     """E21 as a streaming aggregation: model rows arriving as files, distinct
     links per model (inside the row), running count of models per dataset.
-    The state is one count per dataset; each micro-batch updates it.  Output
-    goes to an in-memory table named ``query_name`` (complete mode), which a
-    real deployment replaces with a table sink in ``foreachBatch``."""
+    The state is one count per dataset.  Every micro-batch writes the counts
+    that changed to ``out/epoch=<n>`` (overwritten on replay);
+    ``adoption_counts`` reads the current ones."""
     from ..operators.adoption import _links
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(src)
     counts = (_links(stream, prefix).select(F.explode("ds").alias("dataset_id"))
               .groupBy("dataset_id").agg(F.count(F.lit(1)).alias("n_models")))
-    q = (counts.writeStream.outputMode("complete").format("memory").queryName(query_name)
+
+    def batch(df: DataFrame, epoch: int) -> None:
+        df.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+
+    q = (counts.writeStream.outputMode("update").foreachBatch(batch)
          .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
     q.awaitTermination()
     return q
+
+
+def adoption_counts(spark: SparkSession, out: str) -> DataFrame:
+    """The current count per dataset written by ``adoption_stream`` (counts only grow)."""
+    return spark.read.parquet(out).groupBy("dataset_id").agg(F.max("n_models").alias("n_models"))

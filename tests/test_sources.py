@@ -115,6 +115,21 @@ def test_streaming_ingest_equals_batch(spark, tmpdir_path):
     # a second run with no new files processes nothing new
     ingest_stream(spark, src, out, ck, orgs, schema, seen=seen, new_out=new, max_files=1)
     assert spark.read.parquet(seen).count() == 4
+    # a crash before the last commit replays the batch: same rows, once
+    for name in ("2", ".2.crc"):
+        os.remove(f"{ck}/commits/{name}")
+    ingest_stream(spark, src, out, ck, orgs, schema, seen=seen, new_out=new, max_files=1)
+    assert spark.read.parquet(seen).count() == 4 and spark.read.parquet(new).agg(F.sum("new")).first()[0] == 4
+
+
+def test_only_a_missing_table_counts_as_none(spark, tmpdir_path):
+    import pytest
+    assert ING.table_or_none(spark, f"{tmpdir_path}/nothing") is None
+    os.makedirs(f"{tmpdir_path}/bad")
+    with open(f"{tmpdir_path}/bad/part-0.parquet", "w") as f:
+        f.write("not parquet")
+    with pytest.raises(Exception, match="bad"):
+        ING.existing_dates(spark, f"{tmpdir_path}/bad")
 
 
 def test_read_hubs_and_sinks(spark, tmpdir_path):
@@ -134,7 +149,7 @@ def test_read_hubs_and_sinks(spark, tmpdir_path):
 def test_adoption_stream_equals_batch(spark, tmpdir_path):
     from snapdeck.operators.adoption import adoption
     from snapdeck.sources import driver
-    from snapdeck.streaming.ingest_stream import adoption_stream
+    from snapdeck.streaming.ingest_stream import adoption_counts, adoption_stream
     models = driver.model_links(spark, "/root/testdata/sf0.001")
     src = f"{tmpdir_path}/models"
     for k in range(3):  # three arrivals of model rows
@@ -142,8 +157,8 @@ def test_adoption_stream_equals_batch(spark, tmpdir_path):
         f = f"{src}/models_{k}.parquet"
         _write(f, pa.Table.from_pandas(part, preserve_index=False))
         os.utime(f, (1_700_000_000 + k, 1_700_000_000 + k))
-    adoption_stream(spark, src, models.schema, f"{tmpdir_path}/ck", "adoption_live")
-    got = sorted(tuple(r) for r in spark.sql("SELECT dataset_id, n_models FROM adoption_live").collect())
+    adoption_stream(spark, src, models.schema, f"{tmpdir_path}/ck", f"{tmpdir_path}/live")
+    got = sorted(tuple(r) for r in adoption_counts(spark, f"{tmpdir_path}/live").collect())
     exp = sorted(tuple(r) for r in adoption(models).collect())
     assert got == exp and len(got) > 0
 
