@@ -97,11 +97,8 @@ HIST_COLS = {"hs": "mainSize", "hl": "likes", "hd": "downloadsAllTime"}
 TOP_ACCOUNT_BUCKETS = [10, 100, 500, 1000, 2000]
 
 # Pool sizes.
-DATASET_POOL = 1000
-DASHBOARD_POOL = 500
 ORG_TREND_POOL = 2000
 TOP_FREEFORM = 60
-TOP_N_CONCENTRATION = 10
 
 # Tag prefixes.
 TASK_PREFIX = "task_categories:"
@@ -117,15 +114,14 @@ CONCENTRATION_PS = [0.01, 0.1, 0.5]
 DENSITY_BINS = 80
 LOG_SIGMA = 0.12          # log10 units
 RANK_SIGMA_BINS = 0.64    # bins
-RANK_WIDTHS = [1.0, 0.1]
 
 # Country (ISO-2 code) -> display region; unlisted codes are "Rest of World".
+# CH, PL, FI and CZ are additions of this library, the other codes are the hub's.
 COUNTRY_REGION = {
     "US": "United States", "CN": "China", "unknown": "Unknown",
     "ES": "Europe", "FR": "Europe", "GB": "Europe", "NL": "Europe", "DE": "Europe",
     "CH": "Europe", "PL": "Europe", "FI": "Europe", "CZ": "Europe",
 }
-REGION_ORDER = ["United States", "Europe", "China", "Rest of World", "Unknown"]
 
 # Snapshot dates of the dataset hub known to repeat the previous week.
 KNOWN_FROZEN = ["2024-08-07", "2025-07-02", "2025-11-12", "2025-11-19", "2026-04-08", "2026-05-27", "2026-06-03"]

@@ -66,9 +66,3 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def app_id(spark: SparkSession) -> str:
     """Identifier of the running application."""
     return spark.conf.get("spark.app.id", None) or spark.sparkContext.applicationId
-
-
-def cut_lineage(df):
-    """Reliable checkpoint into the shared checkpoint folder (never a local one)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
