@@ -23,9 +23,9 @@ def _zsum(c) -> Column:
 
 
 def top_rows(df: DataFrame, part: Sequence[str], metric: str, key: str, n: int, rk: str = "rk") -> DataFrame:
-    """Rows with rank <= n per partition (metric DESC, key ASC); NULL metrics
-    never rank."""
-    w = Window.partitionBy(*part).orderBy(F.col(metric).desc(), F.col(key).asc())
+    """Rows with rank <= n per partition (metric DESC, key ASC with a NULL key
+    last); NULL metrics never rank."""
+    w = Window.partitionBy(*part).orderBy(F.col(metric).desc(), F.col(key).asc_nulls_last())
     return (df.filter(F.col(metric).isNotNull()).withColumn(rk, F.row_number().over(w))
             .filter(F.col(rk) <= n))
 

@@ -654,7 +654,7 @@ def coverage_profile(spark, sf):
 @query
 def page_cards(spark, sf):
     from ..sources.pages import extract_org_cards
-    return extract_org_cards(driver.table(spark, sf, "pages"))
+    return extract_org_cards(driver.listing_pages(spark, sf))
 
 
 @query

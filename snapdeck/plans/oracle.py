@@ -14,17 +14,26 @@ _acc AS (
          CASE r.r_name WHEN 'AFRICA' THEN 'company' WHEN 'AMERICA' THEN 'university'
                        WHEN 'ASIA' THEN 'non-profit' WHEN 'EUROPE' THEN 'community' END AS org_type
   FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey),
-_m AS (
+_m0 AS (
   SELECT o_custkey, CAST(date_trunc('month', o_orderdate) AS DATE) AS snapshot_date,
          CAST(SUM(CAST(floor(o_totalprice) AS BIGINT)) AS BIGINT) AS downloads,
          COUNT(*) AS likes, MIN(o_orderpriority) AS pmin, MAX(o_orderpriority) AS pmax,
          MAX(o_orderstatus) AS st
   FROM orders GROUP BY 1, 2),
+_fz AS (SELECT CAST(b AS DATE) AS b, CAST(d AS DATE) AS d
+        FROM (VALUES ('1995-05-01', '1995-06-01'), ('1996-08-01', '1996-09-01'), ('1998-02-01', '1998-03-01'),
+                     ('1998-02-01', '1998-04-01'), ('2001-07-01', '2001-08-01')) v(b, d)),
+_m AS (
+  SELECT *, TRUE AS fresh FROM _m0 WHERE snapshot_date NOT IN (SELECT d FROM _fz)
+  UNION ALL
+  SELECT o_custkey, d, downloads, likes, pmin, pmax, st, FALSE FROM _m0 JOIN _fz ON snapshot_date = b),
 _s AS (
   SELECT snapshot_date, CAST(row_number() OVER (ORDER BY snapshot_date) - 1 AS INTEGER) AS t
   FROM (SELECT DISTINCT snapshot_date FROM _m)),
 panel AS (
-  SELECT s.snapshot_date, s.t, m.o_custkey AS _id, c.c_name AS id, a.author, a.org_type,
+  SELECT s.snapshot_date, s.t, m.o_custkey AS _id, c.c_name AS id,
+         CASE WHEN c.c_custkey % 23 <> 0 THEN a.author END AS author,
+         CASE WHEN c.c_custkey % 23 <> 0 THEN a.org_type END AS org_type,
          m.likes, m.downloads, c.c_acctbal AS mainSize,
          CASE WHEN c.c_custkey % 26 = 0 THEN CAST([] AS VARCHAR[])
               WHEN c.c_custkey % 13 = 0 THEN CAST(NULL AS VARCHAR[])
@@ -45,7 +54,7 @@ panel AS (
                                                      ELSE '10M<n<100M' END END
               ], lambda x: x IS NOT NULL) END AS tags,
          CASE WHEN s.snapshot_date >= DATE '1996-01-01'
-              THEN CAST(SUM(m.downloads) OVER (PARTITION BY m.o_custkey ORDER BY s.t
+              THEN CAST(SUM(m.downloads) FILTER (WHERE m.fresh) OVER (PARTITION BY m.o_custkey ORDER BY s.t
                                                ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) END
            AS downloadsAllTime
   FROM _m m JOIN customer c ON m.o_custkey = c.c_custkey
@@ -83,7 +92,8 @@ orgs AS (
          CASE n.n_nationkey % 5 WHEN 0 THEN 'government' WHEN 1 THEN 'classroom' WHEN 2 THEN 'Lab' END AS csv_type,
          CAST(COALESCE(f.followers, 0) AS BIGINT) AS followers
   FROM nation n LEFT JOIN (SELECT s_nationkey, COUNT(*) AS followers FROM supplier GROUP BY 1) f
-    ON n.n_nationkey = f.s_nationkey),
+    ON n.n_nationkey = f.s_nationkey
+  WHERE n.n_nationkey % 12 <> 7),
 pr AS (
   SELECT p.* REPLACE (
            CASE WHEN COALESCE(o.csv_type, p.org_type, 'individual') IN
@@ -1064,8 +1074,7 @@ def _vis(x: str) -> str:
 _FOL = "regexp_extract(txt, '(?i)([\\d.,]+\\s*[km]?)\\s*followers?\\b', 1)"
 _MOD = "regexp_extract(txt, '(?i)([\\d.,]+\\s*[km]?)\\s*models?\\b', 1)"
 register("page_cards", f"""
-SELECT slug, arg_min(org_type, page_id * 1000000 + pos) AS org_type, arg_min(model_count, page_id * 1000000 + pos) AS model_count,
-       arg_min(followers, page_id * 1000000 + pos) AS followers, arg_min(badge, page_id * 1000000 + pos) AS badge
+SELECT slug, org_type, model_count, followers, badge
 FROM (
   SELECT page_id, pos, substr(href, 2) AS slug,
          NULLIF(lower({_vis("regexp_extract(a, '(?s)<span[^>]*class=\"[^\"]*\\bcapitalize\\b[^\"]*\"[^>]*>(.*?)</span>', 1)")}), '') AS org_type,
@@ -1073,10 +1082,25 @@ FROM (
          CAST({_parse_count(_FOL)} AS BIGINT) AS followers,
          NULLIF({_vis("regexp_extract(a, '(?s)<span[^>]*class=\"[^\"]*-skew-x-12[^\"]*\"[^>]*>(.*?)</span>', 1)")}, '') AS badge
   FROM (SELECT page_id, generate_subscripts(l, 1) - 1 AS pos, unnest(l) AS a
-        FROM (SELECT page_id, regexp_extract_all(html, '(?s)(<a\\s[^>]*>.*?</a>)', 1) AS l FROM pages)),
+        FROM (SELECT page_id, regexp_extract_all(html, '(?s)(<a\\s[^>]*>.*?</a>)', 1) AS l FROM listing)),
        LATERAL (SELECT regexp_extract(a, 'href="([^"]*)"', 1) AS href, {_vis('a')} AS txt)
   WHERE starts_with(href, '/') AND NOT contains(substr(href, 2), '/') AND {_FOL} <> '')
-GROUP BY slug
+QUALIFY row_number() OVER (PARTITION BY slug ORDER BY page_id, pos) = 1
+""", """
+listing AS (
+  SELECT page_id, html FROM pages UNION ALL
+  SELECT s_suppkey + 1000000000,
+         '<html><body><a class="c" href="/org-' || s_nationkey || '"><h4>' || s_name || '</h4>'
+         || CASE s_suppkey % 3 WHEN 1 THEN '<span class="x capitalize">Company</span>'
+                               WHEN 2 THEN '<span class="x capitalize">university</span>' ELSE '' END
+         || CASE WHEN s_suppkey % 5 = 0 THEN '<span class="a -skew-x-12">Team</span>' ELSE '' END || ' <b>'
+         || CASE WHEN s_suppkey % 7 <> 0 THEN (s_suppkey % 50) || ' models' ELSE '' END || '</b>' || chr(10) || '<i>'
+         || CASE s_suppkey % 4 WHEN 0 THEN (s_suppkey * 37 % 900) || '.' || lpad(CAST(s_suppkey % 100 AS VARCHAR), 2, '0') || 'k followers'
+                               WHEN 1 THEN (s_suppkey * 37 % 900) || '.' || lpad(CAST(s_suppkey % 100 AS VARCHAR), 2, '0') || 'M followers'
+                               WHEN 2 THEN (s_suppkey % 9 + 1) || ',' || lpad(CAST(s_suppkey * 7 % 1000 AS VARCHAR), 3, '0') || ' followers'
+                               ELSE '' END
+         || '</i></a><a href="/org-' || s_nationkey || '/repo">repo 9 followers</a></body></html>'
+  FROM supplier)
 """)
 
 

@@ -10,6 +10,9 @@ Mapping (one row per customer and calendar month that has orders):
 * ``downloads`` = sum of whole order prices in the month; ``likes`` = orders
 * ``downloadsAllTime`` = running ``downloads`` per ``_id``, NULL before 1996-01
   (the all-time metric is only tracked from that snapshot on)
+* frozen months repeat the rows of the month before their run (the month's own
+  orders are left out and the all-time count stands still)
+* customers whose key is a multiple of 23 have no author (and no org type)
 * ``mainSize`` = ``c_acctbal`` (some are <= 0)
 * ``tags`` = task / licence / free-form / arxiv / size tags from the columns
 
@@ -38,6 +41,13 @@ SIZE_BANDS = [(50_000, "n<1K"), (150_000, "1K<n<10K"), (300_000, "10K<n<100K"),
               (600_000, "100K<n<1M"), (1_000_000, "1M<n<10M")]
 SIZE_TOP_BAND = "10M<n<100M"
 ALLTIME_START = "1996-01-01"
+# First month that stays -> the frozen months after it (one before all-time
+# tracking, a single, a double and a trailing run).
+FROZEN_RUNS = {"1995-05-01": ["1995-06-01"], "1996-08-01": ["1996-09-01"],
+               "1998-02-01": ["1998-03-01", "1998-04-01"], "2001-07-01": ["2001-08-01"]}
+NO_AUTHOR_KEY_MOD = 23
+# Nations without an organisation page: key modulo 12.
+NO_ORG_NATION_MOD = 7
 # Nation key modulo 5 -> org type written in the organisation scrape.
 CSV_TYPE_BY_NATION_MOD = {0: "government", 1: "classroom", 2: "Lab"}
 # Nation key modulo 6 -> ISO country code of the account.
@@ -137,6 +147,20 @@ def _tags(key: Column, seg: Column, pmin: Column, pmax: Column, status: Column,
             .otherwise(arr))
 
 
+def _freeze(monthly: DataFrame) -> DataFrame:
+    """Replace every frozen month by copies of the month before its run;
+    ``fresh`` is false on the copies."""
+    d = F.col("snapshot_date")
+    frozen = [m for run in FROZEN_RUNS.values() for m in run]
+    dates = F.array(d)
+    for base, run in FROZEN_RUNS.items():
+        dates = F.when(d == F.lit(base).cast("date"),
+                       F.array(*[F.lit(m).cast("date") for m in (base, *run)])).otherwise(dates)
+    return (monthly.filter(~d.isin(*[F.lit(m).cast("date") for m in frozen]))
+            .withColumn("_own", d).withColumn("snapshot_date", F.explode(dates))
+            .withColumn("fresh", F.col("snapshot_date") == F.col("_own")).drop("_own"))
+
+
 def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The dataset-hub panel: one row per (_id, snapshot), materialised once
     per application as a snapshot-partitioned table (see ``materialize``)."""
@@ -155,20 +179,21 @@ def panel_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.max("o_orderstatus").alias("st")))
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
     acc = F.broadcast(accounts(spark, sf_dir))  # 25 rows by construction
-    rows = (monthly.join(c, monthly.o_custkey == c.c_custkey)
+    rows = (_freeze(monthly).join(c, F.col("o_custkey") == c.c_custkey)
             .join(acc, F.col("c_nationkey") == acc.n_nationkey))
     rows = with_ordinal(rows, "snapshot_date")
     w = Window.partitionBy("_id").orderBy("t").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     key = F.col("o_custkey")
+    owned = key % NO_AUTHOR_KEY_MOD != 0
     return (rows.select(
-        "snapshot_date", "t",
-        key.alias("_id"), F.col("c_name").alias("id"), "author", "org_type",
-        "likes", "downloads",
+        "snapshot_date", "t", "fresh",
+        key.alias("_id"), F.col("c_name").alias("id"), F.when(owned, F.col("author")).alias("author"),
+        F.when(owned, F.col("org_type")).alias("org_type"), "likes", "downloads",
         F.col("c_acctbal").alias("mainSize"),
         _tags(key, F.col("c_mktsegment"), F.col("pmin"), F.col("pmax"), F.col("st"), F.col("downloads")).alias("tags"),
     ).withColumn("downloadsAllTime",
                  F.when(F.col("snapshot_date") >= F.lit(ALLTIME_START).cast("date"),
-                        F.sum("downloads").over(w))))
+                        F.sum(F.when(F.col("fresh"), F.col("downloads"))).over(w))).drop("fresh"))
 
 
 PANEL_COLUMNS = ["snapshot_date", "t", "_id", "id", "author", "org_type", "likes", "downloads",
@@ -214,8 +239,9 @@ def model_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def orgs_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Organisation scrape: (author, csv_type, followers) — one row per nation."""
-    n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    """Organisation scrape: (author, csv_type, followers) — one row per nation with a page."""
+    n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name").filter(
+        F.col("n_nationkey") % 12 != NO_ORG_NATION_MOD)
     s = table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.count(F.lit(1)).alias("followers"))
     return (n.join(s, n.n_nationkey == s.s_nationkey, "left")
             .select(F.col("n_name").alias("author"),
@@ -229,3 +255,30 @@ def countries_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select(F.col("n_name").alias("account"),
                     _case(F.col("n_nationkey") % 6, COUNTRY_BY_NATION_MOD).alias("country"),
                     F.when(F.col("n_nationkey") % 3 == 0, F.lit("high")).otherwise(F.lit("low")).alias("confidence"))
+
+
+def listing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page_id, url, html): the crawled ``pages`` and one listing page per
+    supplier, whose first anchor is the card of its nation's organisation (so
+    slugs repeat) and whose second links to a repository.  Counts come as
+    ``1.09k``, ``4.66M`` or ``1,234``; every fourth card has no followers."""
+    k = F.col("s_suppkey")
+    dec = F.concat((k * 37 % 900).cast("string"), F.lit("."), F.lpad((k % 100).cast("string"), 2, "0"))
+    fol = (F.when(k % 4 == 0, F.concat(dec, F.lit("k followers"))).when(k % 4 == 1, F.concat(dec, F.lit("M followers")))
+           .when(k % 4 == 2, F.concat((k % 9 + 1).cast("string"), F.lit(","),
+                                      F.lpad((k * 7 % 1000).cast("string"), 3, "0"), F.lit(" followers")))
+           .otherwise(F.lit("")))
+    kind = F.when(k % 3 != 0, F.concat(F.lit('<span class="x capitalize">'),
+                                       F.when(k % 3 == 1, F.lit("Company")).otherwise(F.lit("university")), F.lit("</span>")))
+    badge = F.when(k % 5 == 0, F.lit('<span class="a -skew-x-12">Team</span>'))
+    models = F.when(k % 7 != 0, F.concat((k % 50).cast("string"), F.lit(" models")))
+    slug = F.concat(F.lit("org-"), F.col("s_nationkey").cast("string"))
+    none = F.lit("")
+    html = F.concat(F.lit('<html><body><a class="c" href="/'), slug, F.lit('"><h4>'), F.col("s_name"), F.lit("</h4>"),
+                    F.coalesce(kind, none), F.coalesce(badge, none), F.lit(" <b>"), F.coalesce(models, none),
+                    F.lit("</b>\n<i>"), fol, F.lit('</i></a><a href="/'), slug,
+                    F.lit('/repo">repo 9 followers</a></body></html>'))
+    cards = table(spark, sf_dir, "supplier").select(
+        (k + 1_000_000_000).cast("long").alias("page_id"),
+        F.concat(F.lit("https://hub.example.org/orgs?p="), k.cast("string")).alias("url"), html.alias("html"))
+    return table(spark, sf_dir, "pages").select(F.col("page_id").cast("long"), "url", "html").unionByName(cards)

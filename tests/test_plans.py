@@ -3,8 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-import __spark_entry__ as E
 from snapdeck.operators import ranking, snapshots
+from snapdeck.plans.catalog import QUERIES
 from snapdeck.sources import driver
 
 SF = "/root/testdata/sf0.001"
@@ -14,9 +14,9 @@ def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_python_udf(spark, name):
-    p = E.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    p = QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "PythonUDF" not in p and "BatchEvalPython" not in p and "ArrowEvalPython" not in p
 
 
@@ -58,17 +58,17 @@ TOP_N_QUERIES = ["topn_items", "topn_accounts", "account_ranks", "weekly_spikes"
 def test_top_n_queries_use_window_group_limit(spark, name):
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        p = _plan(E.queries()[name](spark, SF))
+        p = _plan(QUERIES[name](spark, SF))
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert "WindowGroupLimit" in p
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_cross_or_nested_loop_joins(spark, name):
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        p = _plan(E.queries()[name](spark, SF))
+        p = _plan(QUERIES[name](spark, SF))
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
