@@ -27,6 +27,14 @@ def round_sig(v, sig: int = 3) -> Column:
     return F.when(x.isNull() | (x == 0), x).otherwise(F.signum(x).cast("long") * rounded)
 
 
+def round_sig_float(v, sig: int = 4) -> Column:
+    """B10 for float statistics: ``sig`` significant figures, ties to even;
+    NULL and 0 pass through."""
+    x = _c(v).cast("double")
+    unit = F.pow(F.lit(10.0), F.floor(F.log10(F.abs(x))) - (sig - 1))
+    return F.when(x.isNull() | (x == 0), x).otherwise(F.rint(x / unit) * unit)
+
+
 def parse_abbrev(text) -> Column:
     """``128k``, ``1.09k``, ``4.66M``, ``1,234`` -> integer; no match -> 0.
 

@@ -94,13 +94,32 @@ def donut(type_shares: DataFrame, top3: DataFrame) -> DataFrame:
     return type_shares.join(top3.select("snapshot_date", "org_type", "top3"), ["snapshot_date", "org_type"], "left")
 
 
-def drill_down(acc: DataFrame, hist: DataFrame, author: str) -> DataFrame:
-    """One organisation's weekly series with its likes histogram per week
-    (``bin:count`` pairs in bin order)."""
+def drill_down(acc: DataFrame, hists: dict[str, DataFrame], author: str) -> DataFrame:
+    """One organisation's weekly series with its histograms per week, one
+    column per entry of ``hists`` (``bin:count`` pairs in bin order; NULL for
+    weeks without a value)."""
     s = acc.filter(F.col("author") == author)
-    h = (hist.filter(F.col("author") == author)
-         .groupBy("snapshot_date")
-         .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bin", "c"))),
-                                       lambda x: F.concat_ws(":", x["bin"].cast("string"), x["c"].cast("string"))),
-                           "|").alias("hist")))
-    return s.join(h, "snapshot_date", "left")
+    for name, hist in hists.items():
+        h = (hist.filter(F.col("author") == author)
+             .groupBy("snapshot_date")
+             .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bin", "c"))),
+                                           lambda x: F.concat_ws(":", x["bin"].cast("string"), x["c"].cast("string"))),
+                               "|").alias(name)))
+        s = s.join(h, "snapshot_date", "left")
+    return s
+
+
+def volume_share(panel: DataFrame, n: int) -> DataFrame:
+    """J3 size-weighted: share of the hub's volume (downloads x mainSize over
+    rows with author and both values) that the top ``n`` accounts by downloads
+    carry per snapshot; only positive account volumes count."""
+    cov = F.col("author").isNotNull() & F.col("downloads").isNotNull() & F.col("mainSize").isNotNull()
+    vol = F.when(cov, F.col("downloads").cast("decimal(20,0)") * F.col("mainSize").cast("decimal(20,2)"))
+    acc = panel.groupBy("snapshot_date", "author").agg(F.sum("downloads").alias("dl"),
+                                                       F.sum(vol).cast("decimal(38,2)").alias("bytes"))
+    hub = acc.groupBy("snapshot_date").agg(F.sum("bytes").cast("decimal(38,2)").alias("hub_bytes"))
+    top = (rank_accounts(acc.filter(F.col("author").isNotNull()), "dl", n).filter(F.col("bytes") > 0)
+           .groupBy("snapshot_date").agg(F.sum("bytes").cast("decimal(38,2)").alias("top_bytes")))
+    share = F.try_divide(F.col("top_bytes").cast("double"), F.col("hub_bytes").cast("double"))
+    return hub.join(top, "snapshot_date", "left").select(
+        "snapshot_date", "hub_bytes", "top_bytes", share.cast("decimal(20,6)").alias("share"))

@@ -127,11 +127,25 @@ def entity_series(panel: DataFrame, pool: DataFrame, key: str = "_id", sig: int
 def entity_history(panel: DataFrame, ident: str) -> DataFrame:
     """D11 + J9: resolve ``_id`` from the latest snapshot carrying ``id`` and
     return every row of that ``_id`` (so renames do not cut the history).
-    An unknown ``id`` yields no rows."""
-    target = panel.filter(F.col("id") == ident).agg(F.max_by("_id", "t").alias("_id"))
+    An unknown ``id`` is an error when the result is read."""
+    target = panel.filter(F.col("id") == ident).agg(
+        F.coalesce(F.max_by("_id", "t"), F.raise_error(F.lit(f"unknown id: {ident}"))).alias("_id"))
     return panel.join(target, "_id", "left_semi")
 
 
+def trimmed_series(panel: DataFrame, metrics: Sequence[str], key: str = "_id") -> DataFrame:
+    """(key, metric, t, value) from a key's first to its last value of the
+    metric; snapshots without a value in between are NULL rows.  Keys without
+    any value have no series.  A key contributes at most one row per snapshot
+    and metric."""
+    long = panel.select(key, F.explode(F.array(*[
+        F.struct(F.lit(m).alias("metric"), F.col("t"), F.col(m).alias("value")) for m in metrics])).alias("s")).select(
+        key, "s.*").filter(F.col("value").isNotNull())
+    axis = long.groupBy(key, "metric").agg(F.min("t").alias("a"), F.max("t").alias("b")).select(
+        key, "metric", F.explode(F.sequence("a", "b")).alias("t"))
+    return axis.join(long, [key, "metric", "t"], "left")
+
+
 def frozen(panel: DataFrame) -> DataFrame:
     """Snapshots whose (row count, likes sum) signature equals the
     previous snapshot's."""

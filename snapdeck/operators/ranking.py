@@ -149,6 +149,40 @@ def ever_in_pool(df: DataFrame, key: str, metrics: Sequence[str], n: int) -> Dat
     return out.distinct()
 
 
+def org_pool(panel: DataFrame, n: int = 2000, names: int = 3) -> DataFrame:
+    """G1 of the organisation trends: accounts ever in a weekly top ``n`` by
+    downloads, likes, repositories or (tracked snapshots) all-time downloads,
+    or among the ``names`` largest non-zero accounts of their type by any of
+    these; with how often each rule took them.  Untracked snapshots have no
+    all-time ranks; the NULL-author group can hold a rank but is no account."""
+    aggs = [_zsum("downloads").alias("dl"), _zsum("likes").alias("lk"), F.count(F.lit(1)).alias("n"),
+            F.sum("downloadsAllTime").alias("dlat")]
+    typed = panel.groupBy("snapshot_date", "org_type", "author").agg(*aggs)
+    acc = typed.groupBy("snapshot_date", "author").agg(*[F.sum(c).alias(c) for c in ("dl", "lk", "n", "dlat")])
+    tracked = F.broadcast(tracked_snapshots(panel).withColumn("_t", F.lit(True)))  # one row per snapshot
+
+    def stack(d, *keys):
+        s = d.select("snapshot_date", "author", *keys, F.explode(F.array(*[
+            F.struct(F.lit(m).alias("metric"), F.coalesce(F.col(m), F.lit(0)).cast("long").alias("v"))
+            for m in ("dl", "lk", "n", "dlat")])).alias("s")).select("snapshot_date", "author", *keys, "s.*")
+        return s.join(tracked, "snapshot_date", "left").filter((F.col("metric") != "dlat") | F.col("_t"))
+
+    top = top_rows(stack(acc), ["snapshot_date", "metric"], "v", "author", n)
+    top3 = top_rows(stack(typed, "org_type").filter(F.col("v") != 0), ["snapshot_date", "org_type", "metric"],
+                    "v", "author", names)
+    return (top.select("author", F.lit(1).alias("a"), F.lit(0).alias("b"))
+            .unionByName(top3.select("author", F.lit(0).alias("a"), F.lit(1).alias("b")))
+            .filter(F.col("author").isNotNull())
+            .groupBy("author").agg(F.sum("a").cast("long").alias("top_n"), F.sum("b").cast("long").alias("type_top")))
+
+
+def name_order(names: DataFrame, name: str) -> DataFrame:
+    """Case-insensitive name order of a bounded list of labels (equal
+    folded names in plain order); NULL names are left out."""
+    w = Window.orderBy(F.lower(name), F.col(name))  # labels of one display
+    return names.filter(F.col(name).isNotNull()).select(name, F.row_number().over(w).alias("position"))
+
+
 def pool_rows(df: DataFrame, pool: DataFrame, key: str) -> DataFrame:
     """Rows whose key is in the pool (semi join; AQE broadcasts a
     small pool at runtime, sort-merge beyond the threshold)."""

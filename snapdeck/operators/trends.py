@@ -121,6 +121,10 @@ def group_order(by_type: DataFrame, value: str, by: str = "org_type") -> DataFra
     """Order of the groups by their value in the latest snapshot (largest
     first, ties by name) — e.g. the stacking order of a chart."""
     last = by_type.agg(F.max("snapshot_date").alias("snapshot_date"))
-    d = by_type.join(F.broadcast(last), "snapshot_date", "left_semi")  # one row
-    w = Window.orderBy(F.col(value).desc(), F.col(by).asc())  # one row per group
-    return d.select(by, F.col(value).alias("value"), F.row_number().over(w).alias("position"))
+    return order_groups(by_type.join(F.broadcast(last), "snapshot_date", "left_semi"), value, by)  # one row
+
+
+def order_groups(groups: DataFrame, value: str, by: str = "org_type") -> DataFrame:
+    """G4 by any value with one row per group: largest first, NULL last, ties by name."""
+    w = Window.orderBy(F.col(value).desc_nulls_last(), F.col(by).asc())  # one row per group
+    return groups.select(by, F.col(value).alias("value"), F.row_number().over(w).alias("position"))

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.fixed import HIST_COLS, HIST_EDGES, ORG_TREND_POOL, TOP_ACCOUNT_BUCKETS
+from ..functions.numeric import log10_pos
 from ..functions.tags import has_paper, size_log10_mid, topic_ids
 from ..operators import distributions as dist
 from ..operators import longitudinal, ranking, topics, trends
@@ -65,11 +66,12 @@ def org_build(panel: DataFrame, out: str, top_n: int = 10, top_pool: int = ORG_T
         t = items.join(accts, ["snapshot_date", "org_type"])
         conc = t if conc is None else conc.unionByName(t)
     paths["concentration"] = _write(conc, out, "concentration")
+    paths["accounts_n"] = _write(ranking.topn_accounts(panel, n=top_n, metric=None), out, "accounts_n")
     acc = ranking.by_account(panel, keep_null_author=True)
     tracked = ranking.tracked_snapshots(panel)
     paths["ranks"] = _write(ranking.account_ranks(acc, top=top_pool, tracked=tracked), out, "ranks")
     ranks = spark.read.parquet(paths["ranks"])
-    paths["pool"] = _write(ranks.select("author").distinct(), out, "pool")
+    paths["pool"] = _write(ranking.org_pool(panel, top_pool).select("author"), out, "pool")
     pool = spark.read.parquet(paths["pool"])
     paths["org_series"] = _write(ranking.pool_rows(acc, pool, "author"), out, "org_series")
     sized = panel.withColumn("x", size_log10_mid("tags")).filter(F.col("x").isNotNull())
@@ -77,6 +79,11 @@ def org_build(panel: DataFrame, out: str, top_n: int = 10, top_pool: int = ORG_T
     paths["size"] = _write(dist.size_stats(sized, "x", weights, part=["snapshot_date", "org_type"]), out, "size")
     paths["size_f"] = _write(dist.bucket_stats(sized, ranks, "x", weights, TOP_ACCOUNT_BUCKETS,
                                                part=["snapshot_date"]), out, "size_f")
+    if "mainSize" in panel.columns:  # absent before the byte-size era
+        sized_b = panel.withColumn("x", log10_pos("mainSize")).filter(F.col("x").isNotNull())
+        paths["size_b"] = _write(dist.size_stats(sized_b, "x", weights, part=["snapshot_date", "org_type"]), out, "size_b")
+        paths["size_fb"] = _write(dist.bucket_stats(sized_b, ranks, "x", weights, TOP_ACCOUNT_BUCKETS,
+                                                    part=["snapshot_date"]), out, "size_fb")
     latest = ranking.latest(panel).join(pool, "author", "left_semi")
     hist = None
     for key, col in HIST_COLS.items():

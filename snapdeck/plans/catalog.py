@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 from ..operators import adoption as adopt
 from ..operators import distributions as dist
 from ..functions import tags as tagfn
+from ..functions.numeric import log10_pos, round_sig_float
 from ..operators import enrich, hubs, longitudinal, profile, ranking, topics, trends
 from ..operators import explore as explorer
+from ..operators.snapshots import first_tracked as tracked_from
 from ..operators.snapshots import snapshot_dim
 from ..sources import driver
 from ..sources.readers import known_countries
@@ -98,6 +100,18 @@ def topn_accounts(spark, sf):
     return ranking.topn_accounts(rejoined(spark, sf), n=2)
 
 
+@query
+def topn_accounts_count(spark, sf):
+    """F2 by number of repositories."""
+    return ranking.topn_accounts(rejoined(spark, sf), n=2, metric=None)
+
+
+@query
+def org_pool(spark, sf):
+    """G1 of the organisation trends, with how often each rule took an account."""
+    return ranking.org_pool(rejoined(spark, sf), n=2)
+
+
 @query
 def by_account(spark, sf):
     return ranking.by_account(driver.panel(spark, sf)).drop("t")
@@ -198,6 +212,20 @@ def series_bounds(spark, sf):
     return longitudinal.series_bounds(driver.panel(spark, sf), ["downloads", "downloadsAllTime"])
 
 
+@query
+def trimmed_series(spark, sf):
+    """F9 over all datasets: series from first to last value, gaps as NULL."""
+    return longitudinal.trimmed_series(driver.panel(spark, sf), ["downloads", "downloadsAllTime"])
+
+
+@query
+def first_tracked(spark, sf):
+    """the hub's first snapshot with a value, per metric."""
+    p = driver.panel(spark, sf)
+    d = p.agg(*[tracked_from(p, m).alias(m) for m in ("downloads", "likes", "downloadsAllTime")])
+    return d.select(F.explode(F.create_map(*[x for m in d.columns for x in (F.lit(m), F.col(m))])).alias("metric", "t"))
+
+
 @query
 def entity_history(spark, sf):
     """The full history of one dataset looked up by its current name."""
@@ -379,27 +407,34 @@ def quantile_segments(spark, sf):
     return dist.concentration(acc, "v", part=_SDM)
 
 
-def _size_rows(spark, sf):
-    from ..functions.tags import size_log10_mid
-    return rejoined(spark, sf).withColumn("x", size_log10_mid("tags")).filter(F.col("x").isNotNull())
+def _size_rows(spark, sf, measure=None):
+    """Rows with a size ``x``: the size tag's midpoint, or log10 of ``measure``."""
+    x = tagfn.size_log10_mid("tags") if measure is None else log10_pos(measure)
+    return rejoined(spark, sf).withColumn("x", x).filter(F.col("x").isNotNull())
+
+
+_WEIGHTS = {"dl": "downloads", "lk": "likes", "dlat": "downloadsAllTime"}
 
 
 @query
 def size_stats(spark, sf):
-    return dist.size_stats(_size_rows(spark, sf), "x", {"dl": "downloads", "lk": "likes", "dlat": "downloadsAllTime"},
-                           part=_SD)
+    return dist.size_stats(_size_rows(spark, sf), "x", _WEIGHTS, part=_SD)
+
+
+@query
+def size_stats_bytes(spark, sf):
+    """E15 over log10(mainSize)."""
+    return dist.size_stats(_size_rows(spark, sf, "mainSize"), "x", _WEIGHTS, part=_SD)
 
 
 _BUCKETS = [2, 5, 10, 20, 25]
 
 
-def _buckets(spark, sf):
+def _buckets(spark, sf, measure=None):
     p = rejoined(spark, sf)
     ranks = ranking.account_ranks(ranking.by_account(p, keep_null_author=True), top=max(_BUCKETS),
                                   tracked=ranking.tracked_snapshots(p))
-    return dist.bucket_stats(_size_rows(spark, sf), ranks, "x", {"dl": "downloads", "lk": "likes",
-                                                                "dlat": "downloadsAllTime"},
-                             _BUCKETS, part=["snapshot_date"])
+    return dist.bucket_stats(_size_rows(spark, sf, measure), ranks, "x", _WEIGHTS, _BUCKETS, part=["snapshot_date"])
 
 
 @query
@@ -409,6 +444,14 @@ def bucket_stats(spark, sf):
                     *[F.col(c).cast("decimal(24,4)").alias(c) for c in ("sx", "sx2", "sw", "swx", "swx2")])
 
 
+@query
+def bucket_stats_bytes(spark, sf):
+    """E16 over log10(mainSize)."""
+    b = _buckets(spark, sf, "mainSize")
+    return b.select("snapshot_date", "variant", "metric", "bkt", "org_type", "c",
+                    *[F.col(c).cast("decimal(24,1)").alias(c) for c in ("sx", "sx2", "sw", "swx", "swx2")])
+
+
 @query
 def prefix_stats(spark, sf):
     return dist.prefix_stats(_buckets(spark, sf), part=["snapshot_date"])
@@ -523,6 +566,21 @@ def volume_proxy(spark, sf):
     return hubs.volume_proxy(p, hubs.dashboard_pool(ranking.by_account(p), 5))
 
 
+@query
+def volume_rounded(spark, sf):
+    """E23 with B10: hub volume at 4 and account volumes at 3 significant figures."""
+    return volume_proxy(spark, sf).select(
+        "snapshot_date", "author", round_sig_float("hub_bytes").cast("decimal(38,2)").alias("hub_bytes"),
+        round_sig_float("bytes", 3).cast("decimal(38,2)").alias("bytes"),
+        round_sig_float("dl_cov").cast("decimal(20,6)").alias("dl_cov"))
+
+
+@query
+def volume_share(spark, sf):
+    """J3 size-weighted: volume carried by the top-5 accounts by downloads."""
+    return explorer.volume_share(driver.panel(spark, sf), 5)
+
+
 @query
 def account_series(spark, sf):
     acc = _modes(spark, sf)
@@ -536,6 +594,18 @@ def explore(spark, sf):
     return r.select("snapshot_date", "_id", "id", "downloads", "rk")
 
 
+@query
+def explore_paper(spark, sf):
+    """J1 + C4: datasets with a paper, by likes and by all-time downloads."""
+    p = driver.panel(spark, sf)
+    out = None
+    for metric in ("likes", "downloadsAllTime"):
+        r = explorer.explore(p, metric, 20, paper=True, minimum=2).select(
+            F.lit(metric).alias("metric"), "snapshot_date", "_id", "id", F.col(metric).alias("value"), "rk")
+        out = r if out is None else out.unionByName(r)
+    return out
+
+
 @query
 def explore_growth(spark, sf):
     """J1 ranked by growth since the first tracked all-time value."""
@@ -591,10 +661,10 @@ def donut(spark, sf):
 
 @query
 def drill_down(spark, sf):
-    from ..functions.fixed import HIST_EDGES
+    from ..functions.fixed import HIST_COLS, HIST_EDGES
     p = driver.panel(spark, sf)
-    h = dist.account_hist(p, "likes", HIST_EDGES["hl"], part=["snapshot_date", "author"])
-    return explorer.drill_down(ranking.by_account(p), h, "NATION_1").drop("t")
+    hists = {k: dist.account_hist(p, c, HIST_EDGES[k], part=["snapshot_date", "author"]) for k, c in HIST_COLS.items()}
+    return explorer.drill_down(ranking.by_account(p), hists, "NATION_1").drop("t")
 
 
 @query
@@ -675,6 +745,30 @@ def type_order(spark, sf):
     return trends.group_order(trends.metric_by_type(baked(spark, sf)), "downloadsAllTime")
 
 
+@query
+def type_orders(spark, sf):
+    """G4 by the sum over all snapshots, and by the median all-time downloads
+    and the download-weighted median size of the last complete snapshot."""
+    p = rejoined(spark, sf)
+    last = ranking.latest(ranking.complete(p))
+    med = dist.box_stats(last, "downloadsAllTime", part=["org_type"]).select("org_type", F.col("med").alias("v"))
+    wmed = dist.weighted_quantiles(last.filter(F.col("mainSize") > 0), "mainSize", "downloadsAllTime",
+                                   part=["org_type"]).select("org_type", F.col("med").alias("v"))
+    total = p.groupBy("org_type").agg(F.sum("downloads").alias("v"))
+    out = None
+    for label, d in (("total", total), ("median", med), ("weighted_median", wmed)):
+        o = trends.order_groups(d.withColumn("v", F.col("v").cast("decimal(24,2)")), "v").withColumn("order_by", F.lit(label))
+        out = o if out is None else out.unionByName(o)
+    return out
+
+
+@query
+def name_order(spark, sf):
+    """The labels of one display, pooled accounts and vocabulary topics."""
+    pool = ranking.ever_in_pool(_acc_ds(spark, sf), "author", ["dl", "lk"], 5).select(F.col("author").alias("name"))
+    return ranking.name_order(pool.unionByName(_vocab(spark, sf).select(F.col("topic").alias("name"))).distinct(), "name")
+
+
 @query
 def frozen_diff(spark, sf):
     """H5: detected frozen snapshots versus the hub's known list."""

@@ -814,7 +814,7 @@ def _icdf(q: float, weighted: bool) -> str:
     return f"MIN(v) FILTER (WHERE cn >= n * {q}::DOUBLE)"
 
 
-register("weighted_quantiles", f"""
+_WEIGHTED = f"""
 SELECT snapshot_date, org_type, {_icdf(.25, False)} AS q1, {_icdf(.5, False)} AS med, {_icdf(.75, False)} AS q3,
        MAX(n) AS n, {_icdf(.25, True)} AS w_q1, {_icdf(.5, True)} AS w_med, {_icdf(.75, True)} AS w_q3,
        CAST(MAX(tw) AS BIGINT) AS sum_w
@@ -825,7 +825,8 @@ FROM (SELECT snapshot_date, org_type, mainSize AS v,
              SUM(COALESCE(downloadsAllTime, 0)) OVER (PARTITION BY snapshot_date, org_type) AS tw
       FROM pr WHERE mainSize > 0)
 GROUP BY 1, 2
-""", ORGS_CTE)
+"""
+register("weighted_quantiles", _WEIGHTED, ORGS_CTE)
 
 _CSTATS = """
 coh AS (SELECT p.*, COALESCE(k.country, 'unknown') AS country
@@ -1005,11 +1006,18 @@ LEFT JOIN (SELECT snapshot_date, org_type,
            GROUP BY 1, 2) tp ON tp.snapshot_date = sh.snapshot_date AND tp.org_type = sh.org_type
 """, ORGS_CTE)
 
+def _hist_text(key: str, col: str, edges) -> str:
+    return f"""LEFT JOIN (SELECT snapshot_date, string_agg(CAST(bin AS VARCHAR) || ':' || CAST(c AS VARCHAR), '|' ORDER BY bin) AS {key}
+                      FROM ({_hist(key, col, edges)}) WHERE author = 'NATION_1' GROUP BY 1) t_{key}
+  ON t_{key}.snapshot_date = a.snapshot_date
+"""
+
+
 register("drill_down", """
-SELECT a.snapshot_date, a.author, a.dl, a.lk, a.dlat, a.n, a.org_type, h.hist
-FROM acc a LEFT JOIN (SELECT snapshot_date, string_agg(CAST(bin AS VARCHAR) || ':' || CAST(c AS VARCHAR), '|' ORDER BY bin) AS hist
-                      FROM (""" + _hist("hl", "likes", [1, 10, 100, 1000, 10000]) + """) WHERE author = 'NATION_1' GROUP BY 1) h
-  ON h.snapshot_date = a.snapshot_date
+SELECT a.snapshot_date, a.author, a.dl, a.lk, a.dlat, a.n, a.org_type, hs, hl, hd
+FROM acc a """ + _hist_text("hs", "mainSize", [10.0 ** k for k in range(3, 13)])
+         + _hist_text("hl", "likes", [1, 10, 100, 1000, 10000])
+         + _hist_text("hd", "downloadsAllTime", [1, 10, 100, 1000, 10000, 100000, 1000000]) + """
 WHERE a.author = 'NATION_1'
 """, _ACC_CTES[0])
 
@@ -1152,3 +1160,98 @@ LEFT JOIN (SELECT _id, string_agg(CAST(idx AS VARCHAR), ',' ORDER BY idx) AS ids
                  JOIN vocab v ON v.topic = x.topic)
            GROUP BY 1) t ON t._id = l._id
 """, f"tc AS ({_VOCAB_COUNTS})", f"vocab AS ({_VOCAB})")
+
+SQL["topn_accounts_count"] = SQL["topn_accounts"].replace(
+    "CAST(COALESCE(SUM(downloads), 0) AS BIGINT) AS val", "COUNT(*) AS val")
+
+_BYTES = "szr AS (SELECT *, log10(CAST(mainSize AS DOUBLE)) AS x FROM pr WHERE mainSize > 0)"
+register("size_stats_bytes", f"""
+SELECT snapshot_date, org_type, COUNT(*) AS cnt, CAST(AVG(x) AS DECIMAL(20,6)) AS u_m,
+       CAST(stddev_pop(x) AS DECIMAL(20,6)) AS u_s,
+       {_wstat('dl', 'downloads')}, {_wstat('lk', 'likes')}, {_wstat('dlat', 'downloadsAllTime')}
+FROM szr GROUP BY 1, 2
+""", ORGS_CTE, _BYTES)
+
+register("bucket_stats_bytes", """
+SELECT snapshot_date, variant, metric, bkt, org_type, c, CAST(sx AS DECIMAL(24,1)) AS sx, CAST(sx2 AS DECIMAL(24,1)) AS sx2,
+       CAST(sw AS DECIMAL(24,1)) AS sw, CAST(swx AS DECIMAL(24,1)) AS swx, CAST(swx2 AS DECIMAL(24,1)) AS swx2
+FROM bs
+""", ORGS_CTE, _BYTES, _RANKS_BKT)
+
+register("org_pool", """
+SELECT author, CAST(SUM(a) AS BIGINT) AS top_n, CAST(SUM(b) AS BIGINT) AS type_top
+FROM (SELECT author, 1 AS a, 0 AS b
+      FROM (SELECT *, row_number() OVER (PARTITION BY snapshot_date, metric ORDER BY v DESC, author NULLS LAST) AS rk
+            FROM (SELECT snapshot_date, author, metric, SUM(v) AS v FROM st GROUP BY 1, 2, 3)) WHERE rk <= 2
+      UNION ALL
+      SELECT author, 0, 1
+      FROM (SELECT *, row_number() OVER (PARTITION BY snapshot_date, org_type, metric ORDER BY v DESC, author NULLS LAST) AS rk
+            FROM st WHERE v <> 0) WHERE rk <= 3)
+WHERE author IS NOT NULL GROUP BY 1
+""", ORGS_CTE, """st AS (
+  SELECT snapshot_date, org_type, author, m.metric,
+         CASE m.metric WHEN 'dl' THEN dl WHEN 'lk' THEN lk WHEN 'n' THEN n ELSE COALESCE(dlat, 0) END AS v
+  FROM (SELECT snapshot_date, org_type, author, SUM(downloads) AS dl, SUM(likes) AS lk, COUNT(*) AS n,
+               SUM(downloadsAllTime) AS dlat FROM pr GROUP BY 1, 2, 3)
+       CROSS JOIN (VALUES ('dl'), ('lk'), ('n'), ('dlat')) m(metric)
+  WHERE m.metric <> 'dlat' OR snapshot_date IN (SELECT snapshot_date FROM panel WHERE downloadsAllTime IS NOT NULL))""")
+
+register("trimmed_series", """
+SELECT a._id, a.metric, CAST(a.t AS INTEGER) AS t, l.value
+FROM (SELECT _id, metric, unnest(range(MIN(t), MAX(t) + 1)) AS t FROM lg GROUP BY 1, 2) a
+LEFT JOIN lg l ON l._id = a._id AND l.metric = a.metric AND l.t = a.t
+""", """lg AS (SELECT _id, 'downloads' AS metric, t, downloads AS value FROM panel WHERE downloads IS NOT NULL
+       UNION ALL SELECT _id, 'downloadsAllTime', t, downloadsAllTime FROM panel WHERE downloadsAllTime IS NOT NULL)""")
+
+register("first_tracked", """
+SELECT 'downloads' AS metric, MIN(t) AS t FROM panel WHERE downloads IS NOT NULL
+UNION ALL SELECT 'likes', MIN(t) FROM panel WHERE likes IS NOT NULL
+UNION ALL SELECT 'downloadsAllTime', MIN(t) FROM panel WHERE downloadsAllTime IS NOT NULL
+""")
+
+
+def _sig_float(x: str, sig: int) -> str:
+    x = f"CAST({x} AS DOUBLE)"
+    unit = f"pow(10.0::DOUBLE, floor(log10(abs({x}))) - {sig - 1})"
+    return f"(CASE WHEN {x} IS NULL OR {x} = 0 THEN {x} ELSE round_even({x} / {unit}, 0) * {unit} END)"
+
+
+SQL["volume_rounded"] = f"""
+SELECT snapshot_date, author, CAST({_sig_float('hub_bytes', 4)} AS DECIMAL(38,2)) AS hub_bytes,
+       CAST({_sig_float('bytes', 3)} AS DECIMAL(38,2)) AS bytes, CAST({_sig_float('dl_cov', 4)} AS DECIMAL(20,6)) AS dl_cov
+FROM ({SQL['volume_proxy']})
+"""
+
+register("volume_share", """
+SELECT h.snapshot_date, h.hub_bytes, t.top_bytes,
+       CAST(CASE WHEN h.hub_bytes = 0 THEN NULL ELSE t.top_bytes::DOUBLE / h.hub_bytes::DOUBLE END AS DECIMAL(20,6)) AS share
+FROM (SELECT snapshot_date, CAST(SUM(bytes) AS DECIMAL(38,2)) AS hub_bytes FROM va GROUP BY 1) h
+LEFT JOIN (SELECT snapshot_date, CAST(SUM(bytes) AS DECIMAL(38,2)) AS top_bytes
+           FROM (SELECT *, row_number() OVER (PARTITION BY snapshot_date ORDER BY dl DESC, author) AS rk FROM va
+                 WHERE author IS NOT NULL)
+           WHERE rk <= 5 AND bytes > 0 GROUP BY 1) t ON t.snapshot_date = h.snapshot_date
+""", """va AS (SELECT snapshot_date, author, SUM(downloads) AS dl,
+       SUM(CASE WHEN author IS NOT NULL THEN CAST(downloads AS DECIMAL(20,0)) * CAST(mainSize AS DECIMAL(20,2)) END) AS bytes
+       FROM panel GROUP BY 1, 2)""")
+
+register("explore_paper", " UNION ALL ".join(f"""
+SELECT '{m}' AS metric, snapshot_date, _id, id, {m} AS value, rk FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY snapshot_date ORDER BY {m} DESC, _id) AS INTEGER) AS rk
+  FROM panel WHERE len(list_filter(tags, lambda x: starts_with(x, 'arxiv:'))) > 0 AND {m} >= 2)
+WHERE rk <= 20""" for m in ("likes", "downloadsAllTime")))
+
+_LAST_FULL = "(SELECT MAX(snapshot_date) FROM panel WHERE snapshot_date < (SELECT MAX(snapshot_date) FROM panel))"
+register("type_orders", f"""
+SELECT order_by, org_type, CAST(v AS DECIMAL(24,2)) AS value,
+       CAST(row_number() OVER (PARTITION BY order_by ORDER BY v DESC NULLS LAST, org_type) AS INTEGER) AS position
+FROM (SELECT 'total' AS order_by, org_type, CAST(SUM(downloads) AS DOUBLE) AS v FROM pr GROUP BY 2
+      UNION ALL SELECT 'median', org_type, med FROM ({_box('dlat', 'downloadsAllTime')}) WHERE snapshot_date = {_LAST_FULL}
+      UNION ALL SELECT 'weighted_median', org_type, w_med FROM ({_WEIGHTED}) WHERE snapshot_date = {_LAST_FULL})
+""", ORGS_CTE)
+
+register("name_order", f"""
+SELECT name, CAST(row_number() OVER (ORDER BY lower(name), name) AS INTEGER) AS position
+FROM (SELECT author AS name FROM ({_top('acc', 'dl', 'author', 5)})
+      UNION SELECT author FROM ({_top('acc', 'lk', 'author', 5)})
+      UNION SELECT topic FROM ({_VOCAB}))
+""", _ACC_CTES[0], f"tc AS ({_VOCAB_COUNTS})")

@@ -81,3 +81,12 @@ def test_log10_pos_and_created_date(spark):
     rows = [("2023-01-05T10:00:00.000Z",), ("2024-12-31",), (None,)]
     got = _one(spark, rows, "c string", numeric.created_date("c"))
     assert got == [dt.date(2023, 1, 5), dt.date(2024, 12, 31), None]
+
+
+def test_round_sig_float(spark):
+    from snapdeck.functions.numeric import round_sig_float
+    cases = {123456.0: 123500.0, -0.00123449: -0.001234, 99996.0: 100000.0, 12345.0: 12340.0, 12355.0: 12360.0, 0.0: 0.0}
+    df = spark.createDataFrame([(k,) for k in cases] + [(None,)], "x double")
+    got = {r["x"]: r["y"] for r in df.select("x", round_sig_float("x").alias("y")).collect()}
+    assert got.pop(None) is None
+    assert all(abs(got[k] - v) <= 1e-12 * max(1.0, abs(v)) for k, v in cases.items()), got

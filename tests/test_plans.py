@@ -51,7 +51,8 @@ def test_id_lookup_pushed_to_scan(spark):
 
 
 TOP_N_QUERIES = ["topn_items", "topn_accounts", "account_ranks", "weekly_spikes", "growth_since_baseline",
-                 "ever_in_pool", "topn_membership", "explore", "rank_accounts", "top_share", "impact_top"]
+                 "ever_in_pool", "topn_membership", "explore", "rank_accounts", "top_share", "impact_top", "explore_paper", "org_pool",
+                 "volume_share"]
 
 
 @pytest.mark.parametrize("name", TOP_N_QUERIES)
