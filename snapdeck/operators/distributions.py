@@ -174,19 +174,27 @@ def bucket_stats(rows: DataFrame, ranks: DataFrame, x: str, weight_of: dict[str,
     """Additive sufficient statistics (c, Σx, Σx², Σw, Σwx, Σwx²) per
     (part, variant, metric, rank bucket, type).  Rows are bucketed by their
     author's rank (``ranks`` from ``account_ranks``: part, author, metric,
-    variant, rk); ranks beyond the last bucket are dropped."""
+    variant, rk); ranks beyond the last bucket are dropped.  The rows are
+    summed per account and type first, so a row meets its up to six ranks as
+    one account sum instead of six times."""
     part = list(part)
     bkt = None
     for i, b in enumerate(buckets):
         bkt = F.when(F.col("rk") <= b, F.lit(i)) if bkt is None else bkt.when(F.col("rk") <= b, F.lit(i))
     r = ranks.withColumn("bkt", bkt).filter(F.col("bkt").isNotNull())
-    j = rows.join(r, [*part, "author"])
-    w = F.coalesce(F.element_at(F.create_map(*[v for k, c in weight_of.items() for v in (F.lit(k), F.col(c))]),
-                                F.col("metric")), F.lit(0)).cast("double")
     xc = F.col(x)
-    return j.groupBy(*part, "variant", "metric", "bkt", "org_type").agg(
-        F.count(F.lit(1)).alias("c"), F.sum(xc).alias("sx"), F.sum(xc * xc).alias("sx2"),
-        F.sum(w).alias("sw"), F.sum(w * xc).alias("swx"), F.sum(w * xc * xc).alias("swx2"))
+    aggs = [F.count(F.lit(1)).alias("c"), F.sum(xc).alias("sx"), F.sum(xc * xc).alias("sx2")]
+    for k, c in weight_of.items():
+        w = F.coalesce(F.col(c), F.lit(0)).cast("double")
+        aggs += [F.sum(w).alias(f"sw_{k}"), F.sum(w * xc).alias(f"swx_{k}"), F.sum(w * xc * xc).alias(f"swx2_{k}")]
+    j = rows.groupBy(*part, "author", "org_type").agg(*aggs).join(r, [*part, "author"])
+    picked = None  # the sums weighted by the rank's own metric
+    for k in weight_of:
+        t = F.struct(*[F.col(f"{n}_{k}").alias(n) for n in BUCKET_NAMES[3:]])
+        picked = F.when(F.col("metric") == k, t) if picked is None else picked.when(F.col("metric") == k, t)
+    return (j.withColumn("_w", picked).groupBy(*part, "variant", "metric", "bkt", "org_type")
+            .agg(*[F.sum(n).alias(n) for n in BUCKET_NAMES[:3]],
+                 *[F.coalesce(F.sum(f"_w.{n}"), F.lit(0.0)).alias(n) for n in BUCKET_NAMES[3:]]))
 
 
 def prefix_stats(b: DataFrame, part: Sequence[str] = ()) -> DataFrame:
@@ -213,6 +221,16 @@ def account_hist(df: DataFrame, col: str, edges: Sequence[float], part: Sequence
     return df.filter(F.col(col).isNotNull()).groupBy(*part, b.alias("bin")).agg(F.count(F.lit(1)).alias("c"))
 
 
+def account_hists(df: DataFrame, cols: dict[str, str], edges: dict[str, Sequence[float]],
+                  part: Sequence[str] = ("author",)) -> DataFrame:
+    """E17 for several columns in one pass: (part, bin, c, key)."""
+    cells = [F.when(F.col(c).isNotNull(), F.struct(F.lit(k).alias("key"),
+                    sum((F.col(c) >= F.lit(e)).cast("int") for e in edges[k]).alias("bin"))) for k, c in cols.items()]
+    return (df.select(*part, F.explode(F.array_compact(F.array(*cells))).alias("_h"))
+            .groupBy(*part, F.col("_h.bin").alias("bin"), F.col("_h.key").alias("key"))
+            .agg(F.count(F.lit(1)).alias("c")).select(*part, "bin", "c", "key"))
+
+
 def np_bin(x: Column, lo: Column, step: Column, bins: int) -> Column:
     """Bin of x on the grid ``lo + k * step`` (k = 0..bins, last edge closed)
     exactly as a histogram over ``linspace`` edges assigns it: a first guess

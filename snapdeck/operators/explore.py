@@ -94,19 +94,16 @@ def donut(type_shares: DataFrame, top3: DataFrame) -> DataFrame:
     return type_shares.join(top3.select("snapshot_date", "org_type", "top3"), ["snapshot_date", "org_type"], "left")
 
 
-def drill_down(acc: DataFrame, hists: dict[str, DataFrame], author: str) -> DataFrame:
+def drill_down(acc: DataFrame, hists: DataFrame, keys: Sequence[str], author: str) -> DataFrame:
     """One organisation's weekly series with its histograms per week, one
-    column per entry of ``hists`` (``bin:count`` pairs in bin order; NULL for
+    column per key of ``hists`` (``bin:count`` pairs in bin order; NULL for
     weeks without a value)."""
-    s = acc.filter(F.col("author") == author)
-    for name, hist in hists.items():
-        h = (hist.filter(F.col("author") == author)
-             .groupBy("snapshot_date")
-             .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bin", "c"))),
-                                           lambda x: F.concat_ws(":", x["bin"].cast("string"), x["c"].cast("string"))),
-                               "|").alias(name)))
-        s = s.join(h, "snapshot_date", "left")
-    return s
+    def text(k):
+        cells = F.array_sort(F.collect_list(F.when(F.col("key") == k, F.struct("bin", "c"))))  # one entry per bin
+        pairs = F.transform(cells, lambda x: F.concat_ws(":", x["bin"].cast("string"), x["c"].cast("string")))
+        return F.when(F.size(pairs) > 0, F.array_join(pairs, "|")).alias(k)
+    h = hists.filter(F.col("author") == author).groupBy("snapshot_date").agg(*[text(k) for k in keys])
+    return acc.filter(F.col("author") == author).join(h, "snapshot_date", "left")
 
 
 def volume_share(panel: DataFrame, n: int) -> DataFrame:

@@ -85,11 +85,7 @@ def org_build(panel: DataFrame, out: str, top_n: int = 10, top_pool: int = ORG_T
         paths["size_fb"] = _write(dist.bucket_stats(sized_b, ranks, "x", weights, TOP_ACCOUNT_BUCKETS,
                                                     part=["snapshot_date"]), out, "size_fb")
     latest = ranking.latest(panel).join(pool, "author", "left_semi")
-    hist = None
-    for key, col in HIST_COLS.items():
-        h = dist.account_hist(latest, col, HIST_EDGES[key]).withColumn("key", F.lit(key))
-        hist = h if hist is None else hist.unionByName(h)
-    paths["hists"] = _write(hist, out, "hists")
+    paths["hists"] = _write(dist.account_hists(latest, HIST_COLS, HIST_EDGES), out, "hists")
     paths["frozen"] = _write(longitudinal.frozen(panel), out, "frozen")
     paths["drivers"] = _write(longitudinal.drivers(panel), out, "drivers")
     return paths

@@ -457,15 +457,15 @@ def prefix_stats(spark, sf):
     return dist.prefix_stats(_buckets(spark, sf), part=["snapshot_date"])
 
 
+def _hists(spark, sf):
+    from ..functions.fixed import HIST_COLS, HIST_EDGES
+    return dist.account_hists(driver.panel(spark, sf), HIST_COLS, HIST_EDGES, part=["snapshot_date", "author"])
+
+
 @query
 def account_hist(spark, sf):
-    from ..functions.fixed import HIST_COLS, HIST_EDGES
-    p = driver.panel(spark, sf)
-    out = None
-    for key, col in HIST_COLS.items():
-        h = dist.account_hist(p, col, HIST_EDGES[key], part=["snapshot_date", "author"]).withColumn("key", F.lit(key))
-        out = h if out is None else out.unionByName(h)
-    return out
+    """E17 for sizes, likes and all-time downloads, in one pass."""
+    return _hists(spark, sf)
 
 
 @query
@@ -661,10 +661,8 @@ def donut(spark, sf):
 
 @query
 def drill_down(spark, sf):
-    from ..functions.fixed import HIST_COLS, HIST_EDGES
-    p = driver.panel(spark, sf)
-    hists = {k: dist.account_hist(p, c, HIST_EDGES[k], part=["snapshot_date", "author"]) for k, c in HIST_COLS.items()}
-    return explorer.drill_down(ranking.by_account(p), hists, "NATION_1").drop("t")
+    h = _hists(spark, sf)
+    return explorer.drill_down(ranking.by_account(driver.panel(spark, sf)), h, ("hs", "hl", "hd"), "NATION_1").drop("t")
 
 
 @query
