@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from snapdeck.llm.common import Scratch, remainder
 from snapdeck.llm.decontaminate import clean_documents
 from snapdeck.llm.jaccard_join import one_of_each
-from snapdeck.llm.line_dedup import line_dedup
+from snapdeck.llm.line_dedup import SITE_PERCENT, line_dedup
 from snapdeck.llm.packing import pack
 from snapdeck.llm.quality import keep_good
 
@@ -22,8 +22,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 8: boilerplate lines of a source go."""
-    return line_dedup(docs)
+    """Operator 8: boilerplate lines of a source go, those of a section of a large source too."""
+    return line_dedup(docs, site_percent=SITE_PERCENT)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

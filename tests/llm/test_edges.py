@@ -132,6 +132,24 @@ def test_line_dedup(spark):
     assert line_dedup(frame(spark, [])).count() == 0
 
 
+def test_lines_stage_on_large_host(spark):
+    import corpus_pipeline
+    rows = []
+    for i in range(400):  # lines on 15, 8, 5, 3 and 2 percent of the pages of a large host
+        text = [f"own {i}"] + [f"  on {p} " for p in (15, 8, 5, 3, 2) if i < 4 * p]
+        rows.append((i, "\n".join(text), "large"))
+    rows += [(1000 + i, f"own {i}\n" + ("twice" if i < 9 else "menu"), "small") for i in range(50)]  # 18 and 82 percent
+    got = {r.doc_id: r.text for r in corpus_pipeline.lines(spark, frame(spark, rows), "").collect()}
+    want = {}
+    for i, t, s in rows:
+        pages = [set(map(str.strip, u.split("\n"))) for _, u, v in rows if v == s]
+        n = {x: sum(x in p for p in pages) for x in map(str.strip, t.split("\n"))}
+        bad = {x for x, c in n.items() if 100 * c > 20 * len(pages) or (c >= 20 and 100 * c > 3 * len(pages))}
+        want[i] = "\n".join(x for x in t.split("\n") if x.strip() not in bad)
+    assert got == want
+    assert got[0] == "own 0\n  on 3 \n  on 2 " and got[1000] == "own 0\ntwice" and got[1049] == "own 49"
+
+
 def brute_hits(t, items, n=10):
     norm = lambda x: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), x or ""))
     w, hit, who = norm(t), set(), set()
