@@ -29,8 +29,9 @@ Skew. Copies are one class. A signature that many classes of one task hold is se
 task a bounded number of entries; its groups are compared in blocks.
 
 Defined cases: null and empty texts have the empty set, linked with nothing; fewer words
-than a shingle make one shingle; rows with the same set are linked; a null id is never the
-component's name unless alone; repeated rows are linked with each other; an empty table gives an empty result; extra
+than a shingle make one shingle; rows with the same set are linked; rows with a null id take part
+like others, but a null id only names a component without any id; an id used for several texts names
+the component of each; repeated rows are linked with each other; an empty table gives an empty result; extra
 columns are ignored.
 """
 
@@ -41,10 +42,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from snapdeck.llm.common import Scratch, arrow_rows, bitmap_filter, components, mix, ngram_hashes, rolling_hashes, split_by, word_hashes
+from snapdeck.llm.common import WORD, Scratch, arrow_rows, bitmap_filter, components, mix, ngram_hashes, rolling_hashes, split_by, word_hashes
 
 SHINGLE = 5
 LEVELS = (1, 2, 8, 4096)
@@ -114,7 +115,7 @@ def signatures(s: np.ndarray, label: int, level: int) -> np.ndarray:
 
 
 def _nodes(k: int):
-    """Per row: id, set size, set identity, and the labels whose parts must be finer for this set."""
+    """Per row: id, row hash, set size, set identity, and the labels whose parts must be finer for this set."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sizes, names, finer = [], [], []
@@ -131,8 +132,8 @@ def _nodes(k: int):
                         raised.append({"label": label, "level": level})
                 finer.append(raised)
             yield pa.RecordBatch.from_arrays([
-                b.column(0), pa.array(sizes, pa.int64()), pa.array(names, pa.int64()),
-                pa.array(finer, pa.list_(pa.struct([("label", pa.int32()), ("level", pa.int32())])))], names=["id", "n", "node", "finer"])
+                b.column(0), b.column(2), pa.array(sizes, pa.int64()), pa.array(names, pa.int64()),
+                pa.array(finer, pa.list_(pa.struct([("label", pa.int32()), ("level", pa.int32())])))], names=["id", "row", "n", "node", "finer"])
     return run
 
 
@@ -269,7 +270,8 @@ def _direct(buckets: int):
 def _sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t.as_py(), k).tobytes() for t in b.column(1)], pa.binary())],
+            sets = [x for t in b.column(0) if len(x := shingles(t.as_py(), k))]
+            yield pa.RecordBatch.from_arrays([pa.array([set_id(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())],
                                              names=["node", "items"])
     return run
 
@@ -343,14 +345,19 @@ def _cross(t: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(pairs[0], pa.int64()), "b": pa.array(pairs[1], pa.int64())})
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE) -> DataFrame:
-    """Per document: id, n_shingles, component_id (least id reachable by links)."""
+def _row(id_col: str, text_col: str) -> Column:
+    """Identity of a row's id and text; rows without id are told apart by their text."""
+    return F.xxhash64(F.col(id_col), F.col(text_col).cast("string"))
+
+
+def _members(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
+    """Per document: id, row, n, name (least id reachable by links) and the row hash of the document that names the component; a null id comes last."""
     spark = docs.sparkSession
     s = Scratch(spark, "jaccard")
-    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), _row(id_col, text_col).alias("row"))
     kind = docs.schema[id_col].dataType.simpleString()
     with arrow_rows(spark, 500):
-        nodes = s.write(src.mapInArrow(_nodes(k), f"id {kind}, n long, node long, finer array<struct<label:int,level:int>>"), "nodes")
+        nodes = s.write(src.mapInArrow(_nodes(k), f"id {kind}, row long, n long, node long, finer array<struct<label:int,level:int>>"), "nodes")
         finer = dict(nodes.select(F.explode("finer").alias("f")).groupBy("f.label").agg(F.max("f.level")).collect())  # one row per band at most
         total = nodes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
         buckets = max(1, -(-total * 6 // 10 // BUCKET_ITEMS))
@@ -369,12 +376,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         s.drop("shared" if turn == 0 else "members-0")
         shared = nxt
 
-    classes = nodes.filter("n > 0").groupBy("node").agg(F.min("id").alias("label"), F.first("n").alias("n"))
+    # labels are ordered by the least id, a null one last; row and node tell classes with one id apart
+    classes = (nodes.filter("n > 0").groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("missing"), "id", "row")).alias("_least"), F.first("n").alias("n"))
+               .select("node", F.struct("_least.missing", "_least.id", "_least.row", "node").alias("label"), "n"))
     active = s.write(classes.join(shared.select("node").distinct(), "node"), "active")
     sizes = active.select("node", "n")
-    near = bitmap_filter(src.filter("id is not null"), "id", active, "label")
+    rows = active.select(F.col("label.row").alias("row"))
+    near = bitmap_filter(src.select("row", "text"), "row", rows, "row")
     with arrow_rows(spark, 500):
-        sets = s.write(near.join(active.select("node", F.col("label").alias("id")), "id").select("node", "text")
+        sets = s.write(near.join(rows, "row", "left_semi").select("text")
                        .mapInArrow(_sets(k), "node long, items binary").dropDuplicates(["node"]), "sets")
 
     # step 1: each member with the centre of its group
@@ -390,7 +400,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # meets in one of the first (count - need + 1) of each member's signatures, rarest first
     mine = Window.partitionBy("node", "label")
     placed = s.write(shared.withColumn("_rank", F.row_number().over(mine.orderBy("size", "sig"))).withColumn("_count", F.count("*").over(mine))
-                     .join(comps.select("node", F.col("label").alias("comp")), "node").join(sizes, "node"), "placed")
+                     .join(comps.select("node", F.col("label.node").alias("comp")), "node").join(sizes, "node"), "placed")
     probes = placed.filter("_rank <= _count - need + 1")
     mixed = (probes.groupBy("sig").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.count("*").alias("_members"))
              .filter("_lo < _hi").select("sig", F.ceil(F.col("_members") / BLOCK).alias("_blocks")))
@@ -407,13 +417,23 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     final = components(comps, more, s, "second")
     for table in ("sets", "sketches", "placed", "open", "rest", "members-1", "links-1"):
         s.drop(table)
-    named = (nodes.select("id", "n", "node").join(classes.select("node", F.col("label").alias("_least")), "node", "left")
-             .join(final.withColumnRenamed("label", "_final"), "node", "left"))
-    return named.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("_final", "_least", "id").alias("component_id"))
+    named = (nodes.select("id", "row", "n", "node").join(classes.select("node", F.col("label").alias("_least")), "node", "left")
+             .join(final.withColumnRenamed("label", "_final"), "node", "left").withColumn("_label", F.coalesce("_final", "_least")))
+    return named.select("id", "row", "n", F.coalesce("_label.id", "id").alias("name"), F.col("_label.row").alias("first"))
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE) -> DataFrame:
+    """Per document: id, n_shingles, component_id (least id reachable by links)."""
+    return _members(docs, id_col, text_col, k).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("name").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE) -> DataFrame:
-    """The documents without near copies: of each component the document that names it stays, with all columns."""
-    drop = (jaccard_components(docs, id_col, text_col, k).filter(f"component_id != {id_col}")
-            .select(F.col(id_col).alias("_jc_id")).distinct())
-    return docs.join(drop, F.col(id_col) == F.col("_jc_id"), "left_anti")
+    """The documents without near copies: of each component the document that names it stays, with all columns.
+    Rows are judged by id and text: repeated rows with the same id and text stay together; of equal
+    texts without id any one stays. Texts without words all stay."""
+    s = Scratch(docs.sparkSession, "one-of-each")
+    drop = s.write(_members(docs, id_col, text_col, k).filter("row != first").select(F.col("row").alias("_jc_row")).distinct(), "drop")
+    keyed = docs.withColumn("_jc_row", _row(id_col, text_col))
+    nameless = F.col(id_col).isNull() & F.coalesce(F.col(text_col).cast("string").rlike(WORD), F.lit(False))
+    left = keyed.filter(~nameless).unionByName(keyed.filter(nameless).dropDuplicates(["_jc_row"]))
+    return left.join(drop, "_jc_row", "left_anti").select(*docs.columns)

@@ -95,6 +95,33 @@ def test_jaccard_empty_and_one_of_each(spark):
     assert 1 in ids and not ids & {2, 3, 8} and {4, 5, 6, 7, 9, 12} <= ids and df.columns[0] == "doc_id"
 
 
+def test_jaccard_null_and_reused_ids(spark):
+    def text(name, *edits):
+        w = [f"{name}{i}" for i in range(60)]
+        for e in edits:
+            w[e] = f"edit{e}"
+        return " ".join(w)
+    rows = [
+        (1, text("a"), "s"), (None, text("a", 30), "s"), (None, text("a", 30), "s"),  # a copy without id
+        (20, text("b"), "s"), (None, text("b", 59), "s"), (None, text("b", 59, 0), "s"), (21, text("b", 59, 0, 30), "s"),  # a chain through it
+        (None, text("c"), "s"), (None, text("c", 9), "t"), (None, text("c", 9), "u"),  # no id at all
+        (None, text("d"), "s"), (None, text("d"), "s"), (None, None, "s"), (None, None, "s"), (None, " ", "s"),
+        (5, text("e"), "s"), (5, text("f"), "s"), (6, text("e", 30), "s"), (7, text("f", 30), "s"), (7, text("g"), "s"),  # reused ids
+        (3, text("h"), "s"), (9, text("h", 30), "s"), (9, text("i"), "s"), (10, text("i", 30), "s"), (10, text("i", 30), "s"), (11, text("j"), "s"), (11, text("j", 3), "s"),
+    ]
+    for k in range(40):  # one id for many pairs
+        rows += [(50, text(f"k{k}x"), "s"), (50 + k % 2, text(f"k{k}x", 59), "s")]
+    got = jaccard_components(frame(spark, rows)).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == brute_components(rows)
+    # one (id, text) of each component stays; without an id one row
+    kept = Counter((r.doc_id, r.text) for r in one_of_each(frame(spark, rows)).collect())
+    names = {"a": 1, "b": 20, "c": None, "d": None, "e": 5, "f": 5, "g": 7, "h": 3, "i": 9, "j": 11} | {f"k{k}x": 50 for k in range(40)}
+    family = lambda t: re.match("[a-j]|k[0-9]+x", next(w for w in t.split() if not w.startswith("edit")))[0]
+    assert all(kept[i, t] == n for i, t, n in ((None, None, 2), (None, " ", 1)))
+    full = {(i, t): n for (i, t), n in kept.items() if (t or "").strip()}
+    assert sorted((family(t), i) for i, t in full) == sorted(names.items()) and set(full.values()) == {1}
+
+
 def brute_cut(rows, window=20):
     order = sorted(range(len(rows)), key=lambda k: (rows[k][0] is not None, rows[k][0] or 0, k))
     words = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for _, t, _ in rows]
