@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from snapdeck.llm.centroid_clustering import cluster, with_inertia
 from snapdeck.llm.common import remainder, text_of
 from snapdeck.llm.decontaminate import decontaminate
 from snapdeck.llm.exact_dedup import exact_dedup
+from snapdeck.llm.importance_resampling import resample
 from snapdeck.llm.jaccard_join import jaccard_components
 from snapdeck.llm.line_dedup import line_dedup
 from snapdeck.llm.lm_scoring import lm_scores
 from snapdeck.llm.packing import pack
 from snapdeck.llm.quality import classify
+from snapdeck.llm.source_mixing import mix_sources
 from snapdeck.llm.substring_dedup import substring_dedup
 from snapdeck.llm.token_counts import token_counts
 from snapdeck.llm.url_filter import url_filter
@@ -66,6 +69,20 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, centroids = cluster(_table(spark, sf_dir, "embeddings"))
+    return with_inertia(found, centroids).select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
@@ -73,4 +90,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_exact_dedup, op2_best_fit_packing, op3_quality_classifier, op4_ngram_jaccard_join, op5_url_filters, op6_lm_scoring,
-    op7_substring_dedup, op8_line_dedup, op9_benchmark_decontamination, op10_token_counts, pipeline)}
+    op7_substring_dedup, op8_line_dedup, op9_benchmark_decontamination, op10_token_counts, op11_centroid_clustering,
+    op12_importance_resampling, op13_source_mixing, pipeline)}

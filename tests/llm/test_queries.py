@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "labels", "pages"):
+    for t in ("documents", "benchmark", "labels", "pages", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     return con
 
@@ -29,7 +29,7 @@ def test_query_matches_sql(spark, duck, name):
 
 
 def test_every_operator_has_a_query():
-    assert [k.split("_")[0] for k in QUERIES] == [f"op{i}" for i in range(1, 11)] + ["pipeline"]
+    assert [k.split("_")[0] for k in QUERIES] == [f"op{i}" for i in range(1, 14)] + ["pipeline"]
 
 
 def test_pipeline_keeps_its_promises(spark, tmp_path):
