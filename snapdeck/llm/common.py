@@ -201,11 +201,12 @@ def unpack_texts(lengths: list[int], block: bytes) -> list[bytes]:
     return [data[x:y] for x, y in zip(ends, ends[1:], strict=False)]
 
 
-def write_batches(docs: DataFrame, s: Scratch, table: str, id_col: str, text_col: str, most_bytes: int = 1 << 22) -> DataFrame:
+def write_batches(docs: DataFrame, s: Scratch, table: str, id_col: str, text_col: str, most_bytes: int = 1 << 22, lower: bool = False) -> DataFrame:
     """(batch, ids, lengths, texts): the documents in rows of about ``most_bytes`` of text, written
-    once so that later steps can address them by batch and place; ``unpack_texts`` gives the UTF-8 texts. Null texts are empty."""
+    once so that later steps can address them by batch and place; ``unpack_texts`` gives the UTF-8 texts. Null texts
+    are empty; with ``lower`` A-Z are lower-cased."""
     import pyarrow as pa
-    src = docs.select(F.col(id_col).cast("long").alias("_id"), text_of(text_col).alias("_text"))
+    src = docs.select(F.col(id_col).cast("long").alias("_id"), (ascii_lower(text_of(text_col)) if lower else text_of(text_col)).alias("_text"))
 
     def run(parts):
         part, k = partition_id(), 0

@@ -11,7 +11,7 @@ The batch then scores its whole texts:
     p(w | v) = a(v, w) + g(v) * p1(w),  a = c(v, w) / (c(v) + MU),  g = MU / (c(v) + MU)
     p1(w)    = (c(w) + 0.5) / (N + 0.5 * (V + 1))
 
-a is an 8-bit code on a logarithmic grid, c and g are exact. A text starts
+a is an 8-bit code on a logarithmic grid, c and g are exact. A-Z are lower-cased; a text starts
 after a begin mark and finishes with an end token.
 
 Scale: shards follow the input, so what a shard holds stays the same. Frequent
@@ -245,7 +245,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
     """Per document: id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10)."""
     spark = docs.sparkSession
     s = Scratch(spark, "lm-scoring")
-    batches = write_batches(docs, s, "batches", id_col, text_col, batch_bytes)
+    batches = write_batches(docs, s, "batches", id_col, text_col, batch_bytes, lower=True)
     shards = max(1, -(-batches.count() * (batch_bytes // 8) // SHARD_ITEMS))
     with arrow_rows(spark, 1):
         hot = hot_contexts(batches, shards)

@@ -44,15 +44,15 @@ SQL = {
         SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
         FROM d LEFT JOIN kept USING (doc_id)""",
     "op8_line_dedup": """
-        WITH d AS (SELECT doc_id, source, string_split(coalesce(text, ''), chr(10)) AS l, text FROM documents),
-        line AS (SELECT doc_id, source, unnest(l) AS v, unnest(range(1, len(l) + 1)) AS p FROM d),
+        WITH d AS (SELECT row_number() OVER () AS page, doc_id, source, string_split(coalesce(text, ''), chr(10)) AS l, text FROM documents),
+        line AS (SELECT page, source, unnest(l) AS v, unnest(range(1, len(l) + 1)) AS p FROM d),
         pages AS (SELECT source, count(*) AS n FROM documents GROUP BY 1),
-        seen AS (SELECT source, trim(v, ' ' || chr(9) || chr(13)) AS k, count(DISTINCT doc_id) AS c FROM line GROUP BY 1, 2),
-        bad AS (SELECT source, k FROM seen JOIN pages USING (source) WHERE k <> '' AND n >= 10 AND 100 * c > 20 * n),
-        kept AS (SELECT doc_id, string_agg(v, chr(10) ORDER BY p) AS t, count(*) AS n FROM line
-                 WHERE NOT EXISTS (SELECT 1 FROM bad WHERE bad.source = line.source AND bad.k = trim(v, ' ' || chr(9) || chr(13))) GROUP BY 1)
+        seen AS (SELECT source, trim(v, ' ' || chr(9) || chr(13)) AS k, count(DISTINCT page) AS c FROM line GROUP BY 1, 2),
+        bad AS (SELECT seen.source, k FROM seen JOIN pages ON seen.source IS NOT DISTINCT FROM pages.source WHERE k <> '' AND 100 * c > 3 * (n + 100)),
+        kept AS (SELECT page, string_agg(v, chr(10) ORDER BY p) AS t, count(*) AS n FROM line
+                 WHERE NOT EXISTS (SELECT 1 FROM bad WHERE bad.source IS NOT DISTINCT FROM line.source AND bad.k = trim(v, ' ' || chr(9) || chr(13))) GROUP BY 1)
         SELECT doc_id, len(l)::BIGINT AS n_lines, (len(l) - coalesce(n, 0))::BIGINT AS n_dropped, sha256(coalesce(t, '')) AS kept_sha256
-        FROM d LEFT JOIN kept USING (doc_id)""",
+        FROM d LEFT JOIN kept USING (page)""",
     "op9_benchmark_decontamination": rf"""
         WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
         b AS (SELECT item_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),

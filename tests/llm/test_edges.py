@@ -150,31 +150,50 @@ def test_substring_dedup_empty(spark):
     assert substring_dedup(frame(spark, [])).count() == 0
 
 
+def brute_lines(rows, ratio=3, prior=100):
+    """(id, n_lines, n_dropped, text) per row, pages counted row by row."""
+    pages, count = Counter(), Counter()
+    trim = lambda x: x.strip(" \t\r")
+    for _, t, s in rows:
+        pages[s] += 1
+        count.update((s, x) for x in set(map(trim, (t or "").split("\n"))) if x)
+    out = []
+    for i, t, s in rows:
+        lines = (t or "").split("\n")
+        kept = [x for x in lines if 100 * count[s, trim(x)] <= ratio * (pages[s] + prior)]
+        out.append((i, len(lines), len(lines) - len(kept), t if len(kept) == len(lines) else "\n".join(kept)))
+    return out
+
+
 def test_line_dedup(spark):
-    rows = [(i, f"own {i}\n  menu \nown too {i}\n\n" + ("rare" if i < 2 else f"z{i}"), "h") for i in range(10)]
-    rows += [(20 + i, "menu\nfoot", "small") for i in range(3)] + [(30, None, None), (31, "", "h")]
-    got = {r.doc_id: r for r in line_dedup(frame(spark, rows), stats=True).collect()}
-    assert len(got) == len(rows) and got[0].text == "own 0\nown too 0\n\nrare" and got[0].n_dropped == 1 and got[0].n_lines == 5
-    assert got[20].text == "menu\nfoot" and got[30].text is None and got[31].text == "" and got[30].n_lines == 1
+    rows = [(i, f"own {i}\n  menu \nown too {i}\n\n" + ("rare" if i < 2 else f"z{i}"), "h") for i in range(20)]
+    rows += [(50 + i, "menu\nfoot", "small") for i in range(3)] + [(30, None, None), (31, "", "h"), (None, "menu\nno id", "h")]
+    rows += [(60, "again\nmenu", "h")] * 4 + [(70 + i, f"nowhere\nline {i}\n\n \t", None) for i in range(9)] + [(80, "foot\r\n\xa0foot\n foot", "feet")] * 5
+    rows += [(100 + i, ("tie\n" if i < 6 else "") + ("over\n" if i < 7 else "") + f"t {i}", "even") for i in range(100)]  # 6 of 100 + 100 is just 3 percent
+    got = line_dedup(frame(spark, rows), stats=True)
+    assert got.columns[:7] == frame(spark, []).columns
+    order = lambda x: (str(x[0]), str(x[3]))
+    assert sorted(((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in got.collect()), key=order) == sorted(brute_lines(rows), key=order)
+    by = {r.doc_id: r for r in got.collect()}
+    assert by[0].text == "own 0\nown too 0\n\nrare" and by[50].text == "menu\nfoot" and by[30].text is None and by[31].text == ""
+    assert by[70].text == "line 0\n\n \t" and by[100].text == "tie\nt 0" and by[None].text == "no id" and by[60].text == ""
     assert line_dedup(frame(spark, [])).count() == 0
 
 
-def test_lines_stage_on_large_host(spark):
+def test_lines_of_a_large_host(spark, tmp_path):
     import corpus_pipeline
+    from snapdeck.llm.queries import QUERIES
     rows = []
-    for i in range(400):  # lines on 15, 8, 5, 3 and 2 percent of the pages of a large host
-        text = [f"own {i}"] + [f"  on {p} " for p in (15, 8, 5, 3, 2) if i < 4 * p]
+    for i in range(1000):  # lines on 15, 8, 5, 4, 3 and 1 percent of the pages of a large host
+        text = [f"own {i}"] + [f"  on {p} " for p in (15, 8, 5, 4, 3, 1) if i < 10 * p]
         rows.append((i, "\n".join(text), "large"))
-    rows += [(1000 + i, f"own {i}\n" + ("twice" if i < 9 else "menu"), "small") for i in range(50)]  # 18 and 82 percent
-    got = {r.doc_id: r.text for r in corpus_pipeline.lines(spark, frame(spark, rows), "").collect()}
-    want = {}
-    for i, t, s in rows:
-        pages = [set(map(str.strip, u.split("\n"))) for _, u, v in rows if v == s]
-        n = {x: sum(x in p for p in pages) for x in map(str.strip, t.split("\n"))}
-        bad = {x for x, c in n.items() if 100 * c > 20 * len(pages) or (c >= 20 and 100 * c > 3 * len(pages))}
-        want[i] = "\n".join(x for x in t.split("\n") if x.strip() not in bad)
-    assert got == want
-    assert got[0] == "own 0\n  on 3 \n  on 2 " and got[1000] == "own 0\ntwice" and got[1049] == "own 49"
+    rows += [(2000 + i, f"own {i}\n" + ("some" if i < 4 else "menu"), "small") for i in range(50)]
+    want = {i: t for i, _, _, t in brute_lines(rows)}
+    assert {r.doc_id: r.text for r in corpus_pipeline.lines(spark, frame(spark, rows), "").collect()} == want
+    assert want[0] == "own 0\n  on 3 \n  on 1 " and want[2000] == "own 0\nsome" and want[2049] == "own 49"
+    frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    query = {r.doc_id: (r.n_dropped, r.kept_sha256) for r in QUERIES["op8_line_dedup"](spark, str(tmp_path)).collect()}
+    assert query == {i: (n, hashlib.sha256(t.encode()).hexdigest()) for i, _, n, t in brute_lines(rows)}
 
 
 def brute_hits(t, items, n=10):

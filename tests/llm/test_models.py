@@ -1,5 +1,6 @@
 """Classifier, url rules, language model, packing and token counts against brute force or held-out rows."""
 
+import itertools
 import math
 import random
 import re
@@ -96,6 +97,66 @@ def test_mined_rules_are_the_confident_token_sets(spark):
     assert got[82].mined_rule is None and got[82].verdict == "allow"
 
 
+def brute_verdicts(urls, tokens, min_support, min_confidence=0.8):
+    """(verdict, confidence, support) of the best rule of each undecided url: all class combinations of the labelled pages, counted directly."""
+    labels = [(brute_rule(u)[2], frozenset(t)) for u, t in zip(urls, tokens, strict=True)]
+    labelled = [(r[2], t) for r, t in labels if r]
+    places = defaultdict(set)
+    for _, t in labelled:
+        for x in t:
+            places[x].add(t)
+    support = {x: sum(x in t for _, t in labelled) for x in places}
+    cls = {x: min(y for y in places if places[y] == places[x]) for x in places if support[x] >= min_support * len(labelled)}
+    rows = [(v, frozenset(cls[x] for x in t if x in cls)) for v, t in labelled]
+    combos = {frozenset(c) for _, t in rows for n in range(1, len(t) + 1) for c in itertools.combinations(sorted(t), n)}
+    rules = []
+    for c in combos:
+        hits = Counter(v for v, t in rows if c <= t)
+        for v, n in hits.items():
+            if n >= min_support * len(rows) and n / sum(hits.values()) >= min_confidence:
+                rules.append((n / sum(hits.values()), n / len(rows), len(c), v, c))
+    out = []
+    for r, t in labels:
+        has = {cls[x] for x in t if x in cls}
+        best = max((x[:4] for x in rules if x[4] <= has), default=None)
+        out.append(None if r else (best[3], best[0]) if best else ("allow", None))
+    return out
+
+
+@pytest.mark.parametrize("min_support", [0.02, 0.1])
+def test_mined_half_by_brute_force(spark, min_support):
+    from pyspark.sql import functions as F
+    from snapdeck.llm.url_filter import parse_url, url_tokens
+    rnd = random.Random(8)
+    words = ["shop", "news", "win", "free", "blog", "a1"]
+    urls = []
+    for i in range(160):
+        path = "/".join(rnd.sample(words, rnd.randint(0, 4)))
+        host = rnd.choice(["x.net", "y.net", "example.net", "site.org", "a.com", "b.com", "example.com"])
+        lead = {"site.org": "/fr/", "example.net": "/en/", "example.com": "/de/"}.get(host, "/") if rnd.random() < 0.7 else "/"
+        urls.append(f"http://{host}{lead}{path}" + ("?q=1" if "win" in path and rnd.random() < 0.8 else "") + ("#f" if i % 9 == 0 else ""))
+    urls += [None, "", *urls[:20]]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    host, path = parse_url(F.col("url"))
+    tokens = {r.page_id: r.t for r in pages.select("page_id", url_tokens(F.col("url"), host, path).alias("t")).collect()}
+    want = brute_verdicts(urls, [tokens[i] for i in range(len(urls))], min_support)
+    got = {r.page_id: r for r in url_filter(pages, min_support=min_support).collect()}
+    assert sum(w is not None and w[1] is not None for w in want) > 20
+    for i, w in enumerate(want):
+        if w:
+            assert (got[i].verdict, got[i].confidence) == (w[0], w[1] and pytest.approx(w[1]))
+
+
+def test_long_labelled_urls(spark):
+    """A url of 200 tokens of its own, and one whose tokens all occur elsewhere too, among few labelled pages."""
+    rows = [f"http://s{i}.net/word{i}" for i in range(30)] + ["http://t.net/" + "/".join(f"long{i}x" for i in range(200)) + "?" + "&".join(f"k{i}y=1" for i in range(200))]
+    rows += ["http://u.net/" + "/".join(f"word{i}/s" for i in range(30)), "http://a.com/long7x", "http://b.com/word3", "http://c.de/"]
+    got = {r.url: r for r in spark.createDataFrame(list(enumerate(rows)), "page_id long, url string")
+           .join(url_filter(spark.createDataFrame(list(enumerate(rows)), "page_id long, url string")), "page_id").collect()}
+    assert got["http://a.com/long7x"].verdict == "block" and got["http://a.com/long7x"].confidence == 1.0
+    assert got["http://b.com/word3"].verdict == "block" and got["http://c.de/"].verdict == "allow"
+
+
 # --- language model ------------------------------------------------------------------------
 
 def test_elias_fano_round_trip():
@@ -126,17 +187,20 @@ def test_trie_file(tmp_path):
 
 
 def brute_lm(rows):
-    toks = {i: [*(w.decode() for w in (t or "").encode().split()), None] for i, t in rows}
-    learn = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 5 != 1]
-    c = Counter(w for i in learn for w in toks[i])
-    ctx, big = Counter(), Counter()
-    for i in learn:
-        prev = ["<s>", *toks[i][:-1]]
-        ctx.update(prev)
-        big.update(zip(prev, toks[i], strict=True))
+    """One entry per row, in order: A-Z lower-cased, words between the six white-space characters, an end token."""
+    lower = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
+    toks = [[*re.findall(r"[^\x20\x09-\x0D]+", lower(t)), None] for _, t in rows]
+    held = [zlib.crc32(("" if i is None else str(i)).encode()) % 5 == 1 for i, _ in rows]
+    c, ctx, big = Counter(), Counter(), Counter()
+    for t, out in zip(toks, held, strict=True):
+        if not out:
+            prev = ["<s>", *t[:-1]]
+            c.update(t)
+            ctx.update(prev)
+            big.update(zip(prev, t, strict=True))
     n, v = sum(c.values()), len(c)
-    out = {}
-    for i, t in toks.items():
+    found = []
+    for (i, _), t, out in zip(rows, toks, held, strict=True):
         base = [math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in t]
         score = 0
         for prev, w, b in zip(["<s>", *t[:-1]], t, base, strict=True):
@@ -145,8 +209,17 @@ def brute_lm(rows):
             if a:
                 a = 10 ** (round(min(max((math.log10(a) + GRID) / GRID, 0), 1) * 254) / 254 * GRID - GRID)
             score += math.log10(a + MU / (k + MU) * 10 ** b)
-        out[i] = (i not in learn, len(t), sum(c[w] > 0 for w in t), n, sum(base), score)
-    return out
+        found.append((i, out, len(t), sum(c[w] > 0 for w in t), n, sum(base), score))
+    return found
+
+
+def same_scores(got, want):
+    order = lambda r: (r[0] is None, r[0] or 0, *r[1:4], round(r[5], 6), round(r[6], 6))
+    got = sorted(((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in got), key=order)
+    want = sorted(want, key=order)
+    assert [r[:5] for r in got] == [r[:5] for r in want]
+    assert [r[5] for r in got] == pytest.approx([r[5] for r in want], rel=1e-9)
+    assert [r[6] for r in got] == pytest.approx([r[6] for r in want], rel=1e-9)
 
 
 @pytest.mark.parametrize("size", [{}, {"batch_bytes": 2000}])
@@ -154,13 +227,33 @@ def test_lm_scores(spark, size):
     rnd = random.Random(1)
     words = [f"w{int(rnd.expovariate(0.1))}" for _ in range(4000)]
     rows = [(i, " ".join(words[40 * i:40 * i + 40])) for i in range(100)] + [(200, None), (201, ""), (202, "new words only"), (203, "w1 " * 3000)]
+    rows += [(204, "W1 w2 W3\x0bw1\x0cEnd \u00c9t\u00c9 \u0130 K"), (205, "w1 end \u00e9t\u00e9 k"), (None, "W1 null id"), (None, "w1 w1"), (206, "Same Row"), (206, "Same Row"), (206, "other text")]
     got = lm_scores(spark.createDataFrame([(i, t, "s") for i, t in rows], "doc_id long, text string, score string"), **size).collect()
-    want = brute_lm(rows)
-    assert len(got) == len(rows)
-    for r in got:
-        held, n, known, total, base, score = want[r.doc_id]
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held, n, known, total)
-        assert r.base_score == pytest.approx(base, rel=1e-9) and r.score == pytest.approx(score, rel=1e-9)
+    same_scores(got, brute_lm(rows))
+
+
+def test_lm_query_over_the_whole_table(spark):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    assert any(re.search("[A-Z]", t or "") for _, t in rows)
+    same_scores(QUERIES["op6_lm_scoring"](spark, SF).collect(), brute_lm(rows))
+
+
+def test_lm_base_columns_match_sql(spark):
+    """n_tokens, n_known, train_tokens and base_score by DuckDB from the stated definition."""
+    import duckdb
+    con = duckdb.connect()
+    train = sorted(r.doc_id for r in spark.read.parquet(f"{SF}/documents.parquet").collect() if zlib.crc32(str(r.doc_id).encode()) % 5 != 1)
+    con.execute("CREATE TABLE train AS SELECT unnest(?::BIGINT[]) AS doc_id", [train])
+    want = con.execute(rf"""
+        WITH tok AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                              '[^\x20\x09-\x0D]+') || ['<end of text>']) AS w FROM '{SF}/documents.parquet'),
+        c AS (SELECT w, count(*) AS c FROM tok SEMI JOIN train USING (doc_id) GROUP BY w),
+        n AS (SELECT sum(c) AS n, count(*) AS v FROM c)
+        SELECT doc_id, count(*), count(c), any_value(n)::BIGINT, sum(log10((coalesce(c, 0) + 0.5) / (n + 0.5 * (v + 1)))) FROM tok LEFT JOIN c USING (w), n GROUP BY doc_id""").fetchall()
+    got = {r.doc_id: r for r in QUERIES["op6_lm_scoring"](spark, SF).collect()}
+    assert len(got) == len(want)
+    for i, tokens, known, total, base in want:
+        assert (got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (tokens, known, total) and got[i].base_score == pytest.approx(base, rel=1e-9)
 
 
 def test_lm_beats_unigrams_on_held_out_rows(spark):
