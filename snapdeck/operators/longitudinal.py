@@ -79,6 +79,13 @@ def newly_added_cumulative(panel: DataFrame) -> DataFrame:
     return d.select("snapshot_date", "newly_added", F.sum("newly_added").over(w).cast("long").alias("cumulative"))
 
 
+def running(totals: DataFrame) -> DataFrame:
+    """Per snapshot (total, newly_added, t): ``delta`` to the previous total (first 0) and ``cumulative`` newly added."""
+    w = Window.orderBy("t")  # one row per snapshot
+    return (totals.withColumn("delta", F.coalesce(F.col("total") - F.lag("total").over(w), F.lit(0)))
+            .withColumn("cumulative", F.sum("newly_added").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))))
+
+
 def growth(panel: DataFrame, metric: str = "downloadsAllTime", top: int = 1000, key: str = "_id") -> DataFrame:
     """D8 + F11: growth since the first tracked (non-null) value per key, and
     the weekly top pool by growth."""
@@ -149,8 +156,12 @@ def trimmed_series(panel: DataFrame, metrics: Sequence[str], key: str = "_id") -
 def frozen(panel: DataFrame) -> DataFrame:
     """Snapshots whose (row count, likes sum) signature equals the
     previous snapshot's."""
-    s = panel.groupBy("snapshot_date", "t").agg(F.count(F.lit(1)).alias("n"),
-                                                F.coalesce(F.sum("likes"), F.lit(0)).cast("long").alias("lk"))
+    return frozen_weeks(panel.groupBy("snapshot_date", "t").agg(
+        F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("likes"), F.lit(0)).cast("long").alias("lk")))
+
+
+def frozen_weeks(s: DataFrame) -> DataFrame:
+    """E28 from the signatures (snapshot_date, t, n, lk)."""
     w = Window.orderBy("t")  # one row per snapshot
     return s.select("snapshot_date", "n", "lk",
                     F.coalesce((F.col("n") == F.lag("n").over(w)) & (F.col("lk") == F.lag("lk").over(w)),
@@ -196,14 +207,20 @@ def drivers(panel: DataFrame, types: Sequence[str] = ORG_TYPES) -> DataFrame:
     g = panel.groupBy("snapshot_date", "org_type").agg(
         F.coalesce(F.sum("downloadsAllTime"), F.lit(0)).cast("long").alias("dlat"),
         F.coalesce(F.sum("likes"), F.lit(0)).cast("long").alias("lk"))
-    dim = snapshot_dim(panel)
-    gate = panel.groupBy("snapshot_date").agg(F.count("downloadsAllTime").alias("_tr"))
+    gate = panel.groupBy("snapshot_date").agg(F.count("downloadsAllTime").alias("tracked"))
+    return smoothed_drivers(g, gate, snapshot_dim(panel), frozen(panel), types)
+
+
+def smoothed_drivers(g: DataFrame, gate: DataFrame, dim: DataFrame, frozen_flags: DataFrame,
+                     types: Sequence[str] = ORG_TYPES) -> DataFrame:
+    """I5 from the sums (snapshot_date, org_type, dlat, lk), the rows with an all-time value per snapshot
+    (``tracked``), the snapshots dim and the frozen flags."""
     # dim / gate: one row per snapshot (calendar-bounded)
     grid = type_grid(dim, types).join(F.broadcast(dim), "snapshot_date")
     d = (grid.join(g, ["snapshot_date", "org_type"], "left").join(F.broadcast(gate), "snapshot_date")
-         .withColumn("dlat", F.when(F.col("_tr") > 0, F.col("dlat")))
-         .withColumn("lk", F.coalesce("lk", F.lit(0).cast("long"))).drop("_tr"))
-    fz = frozen(panel).filter("frozen").join(F.broadcast(dim), "snapshot_date").select("t")
+         .withColumn("dlat", F.when(F.col("tracked") > 0, F.col("dlat")))
+         .withColumn("lk", F.coalesce("lk", F.lit(0).cast("long"))).drop("tracked"))
+    fz = frozen_flags.filter("frozen").join(F.broadcast(dim), "snapshot_date").select("t")
     d = smooth_frozen(d, fz, ["org_type"], "dlat")
     d = smooth_frozen(d, fz, ["org_type"], "lk")
     return d.select("snapshot_date", "org_type", "dlat", "lk")
