@@ -1,13 +1,12 @@
 """Distribution statistics.
 
 Scale rule: a single organisation type can hold most rows, so raw rows are
-never windowed by type.  Everything order-dependent goes through *frequency
-rows* first — ``groupBy(part, value).count()`` with a map-side partial
-aggregate — and windows run over those (one row per distinct value).
-Quantiles, top-k sums and rank intervals are then exact arithmetic on the
-cumulative counts.  Densities are histograms on an 80-bin grid whose
-Gaussian smoothing is a per-row explode over the kernel offsets (at most
-2r+1 rows per non-empty bin), followed by one small aggregation.
+never windowed by type.  Quantiles, top shares and grid limits come from
+distributed selection (``selection``): a slice histogram finds the slices that hold
+the wanted ranks, and only their rows are ordered.  Rank densities need every rank: they go
+through *frequency rows* (``groupBy(part, value).count()`` with a map-side partial
+aggregate), whose running counts are computed per value slice.  Densities are histograms on an
+80-bin grid; a group's at most 80 cells are smoothed inside one row.
 """
 
 from __future__ import annotations
@@ -18,24 +17,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.fixed import CONCENTRATION_PS, DENSITY_BINS, LOG_SIGMA, RANK_SIGMA_BINS
+from .selection import at_index, attach, nearest, select_ranks, share, slice_key
 
 BOX_QUANTS = [("p5", 0.05), ("q1", 0.25), ("med", 0.5), ("q3", 0.75), ("p95", 0.95), ("p99", 0.99)]
 
 
-def _slice_key(v: Column, per_octave: int) -> Column:
-    """Monotone, value-derived slice number: ``per_octave`` slices per
-    doubling of |v| (signed), so slices are contiguous value ranges and need
-    no extra pass over the data to place.  NULL, NaN and the infinities are
-    slices of their own, placed where Spark sorts them."""
-    x = v.cast("double")
-    m = F.floor(F.log2(F.abs(x) + F.lit(1.0)) * F.lit(per_octave))
-    return (F.when(x.isNull(), F.lit(-(1 << 63)).cast("long"))
-            .when(F.isnan(x), F.lit((1 << 63) - 1).cast("long"))
-            .when(x == F.lit(float("inf")), F.lit((1 << 63) - 2).cast("long"))
-            .when(x == F.lit(float("-inf")), F.lit(-(1 << 63) + 1).cast("long"))
-            .otherwise((F.signum(x) * m).cast("long")))
-
-
 def freq(df: DataFrame, part: Sequence[str], value: str, weight: str | None = None,
          descending: bool = False, per_octave: int = 64) -> DataFrame:
     """Frequency rows (part, v, c[, w]) with ``cum`` (inclusive running count
@@ -54,7 +40,7 @@ def freq(df: DataFrame, part: Sequence[str], value: str, weight: str | None = No
     if weight:
         aggs.append(F.coalesce(F.sum(weight), F.lit(0)).alias("w"))
     order = F.col("v").desc() if descending else F.col("v").asc()
-    g = df.groupBy(*part, F.col(value).alias("v")).agg(*aggs).withColumn("_s", _slice_key(F.col("v"), per_octave))
+    g = df.groupBy(*part, F.col(value).alias("v")).agg(*aggs).withColumn("_s", slice_key(F.col("v"), per_octave))
     wl = Window.partitionBy(*part, "_s").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     g = g.withColumn("_lc", F.sum("c").over(wl))
     sums = [F.sum("c").alias("_sc")]
@@ -80,30 +66,6 @@ def freq(df: DataFrame, part: Sequence[str], value: str, weight: str | None = No
     return g.select(*keep)
 
 
-def nearest(q: float) -> Column:
-    """Nearest-rank pick on frequency rows: element at index
-    round((n-1)q) (ties away from zero) of the ascending order."""
-    idx = F.floor((F.col("n") - 1) * F.lit(q) + F.lit(0.5))
-    return F.min(F.when(F.col("cum") > idx, F.col("v")))
-
-
-def inverse_cdf(q: float, weighted: bool) -> Column:
-    """First value whose cumulative weight reaches q of the total (E26);
-    with unit weights this is ``percentile_disc``."""
-    if weighted:
-        return F.min(F.when((F.col("tot_w") > 0) & (F.col("cum_w") >= F.col("tot_w") * F.lit(q)), F.col("v")))
-    return F.min(F.when(F.col("cum") >= F.col("n") * F.lit(q), F.col("v")))
-
-
-def linear(q: float) -> Column:
-    """Linear interpolation between the order statistics around (n-1)q."""
-    h = (F.col("n") - 1) * F.lit(q)
-    lo = F.min(F.when(F.col("cum") > F.floor(h), F.col("v")))
-    hi = F.min(F.when(F.col("cum") > F.ceil(h), F.col("v")))
-    frac = F.first(h - F.floor(h))
-    return lo + frac * (hi - lo)
-
-
 def box_stats(df: DataFrame, col: str, part: Sequence[str] = ("org_type",), positive: bool = False) -> DataFrame:
     """E12 (+D12): per group: rows, share of non-null rows with value >= 1,
     nearest-rank quantiles, mean and max over the rows >= 1.  Groups without
@@ -112,14 +74,10 @@ def box_stats(df: DataFrame, col: str, part: Sequence[str] = ("org_type",), posi
     part = list(part)
     keep = (F.col(col) > 0) if positive else (F.col(col) >= 1)
     counts = df.groupBy(*part).agg(F.count(F.lit(1)).alias("n_rows"), F.avg(keep.cast("double")).alias("share"))
-    sub = df.filter(keep)
-    f = freq(sub, part, col)
-    q = f.groupBy(*part).agg(*[nearest(p).alias(k) for k, p in BOX_QUANTS],
-                             F.max("v").alias("max"),
-                             (F.sum(F.col("v") * F.col("c")).cast("double") / F.sum("c")).alias("mean"))
-    return counts.join(q, part).select(
-        *part, "n_rows", F.col("share").cast("decimal(20,6)").alias("share"),
-        *[k for k, _ in BOX_QUANTS], F.col("mean").cast("decimal(24,6)").alias("mean"), "max")
+    q = select_ranks(df.filter(keep), part, col, {k: nearest(p) for k, p in BOX_QUANTS})
+    return attach(q, counts, part).select(
+        *part, "n_rows", F.col("share").cast("decimal(20,6)").alias("share"), *[k for k, _ in BOX_QUANTS],
+        (F.col("sum_v").cast("double") / F.col("n")).cast("decimal(24,6)").alias("mean"), F.col("max_v").alias("max"))
 
 
 def concentration(df: DataFrame, value: str, part: Sequence[str] = ("org_type",),
@@ -128,14 +86,9 @@ def concentration(df: DataFrame, value: str, part: Sequence[str] = ("org_type",)
     k = max(1, ceil(p n)), NULL counted as 0, every item counts; plus the
     quantile segments top1 / next9 / next40 / bottom50."""
     part = list(part)
-    f = freq(df.withColumn("_v", F.coalesce(F.col(value), F.lit(0))), part, "_v", descending=True)
-    f = f.withColumn("_before", F.col("cum") - F.col("c"))
-    aggs = [F.first("n").alias("n"), F.sum(F.col("v") * F.col("c")).alias("total")]
-    for i, p in enumerate(ps):
-        k = F.greatest(F.lit(1), F.ceil(F.col("n") * F.lit(p)))
-        take = F.least(F.greatest(k - F.col("_before"), F.lit(0)), F.col("c"))
-        aggs.append(F.sum(F.col("v") * take).alias(f"_t{i}"))
-    g = f.groupBy(*part).agg(*aggs)
+    rows = df.withColumn("_v", F.coalesce(F.col(value), F.lit(0)))
+    g = select_ranks(rows, part, "_v", {f"_t{i}": (lambda n, p=p: F.greatest(F.lit(1), F.ceil(n * F.lit(p)))) for i, p in enumerate(ps)}, top=True)
+    g = g.withColumnRenamed("sum_v", "total")
     names = {0.01: "c1", 0.1: "c10", 0.5: "c50"}
     out = g.select(*part, "n", F.col("total").cast("long").alias("total"),
                    *[F.try_divide(F.col(f"_t{i}").cast("double"), F.col("total")).alias(names.get(p, f"c{i}"))
@@ -244,33 +197,18 @@ def np_bin(x: Column, lo: Column, step: Column, bins: int) -> Column:
             .otherwise(cand))
 
 
-def _const_join(df: DataFrame, scalars: DataFrame) -> DataFrame:
-    """Attach the columns of a one-row aggregate to every row as scalar
-    subqueries (evaluated once, then used as values: no join at all)."""
-    return df.withColumns({c: scalars.select(c).scalar() for c in scalars.columns})
+def _smooth(hist: DataFrame, part: Sequence[str], sigma: str, bins: int) -> DataFrame:
+    """Gaussian smoothing of (part, bin, h) on a fixed ``bins`` grid: zero-padded 'same' convolution with a kernel
+    of radius ceil(4σ), up to its constant sum, which peak-normalised curves don't need.  A group has at most
+    ``bins`` cells, gathered into one row; the result is (part, ds) with the dense array of smoothed cells.
+    ``sigma`` is a column that is constant in a group."""
+    g = hist.groupBy(*part).agg(F.sort_array(F.collect_list(F.struct("bin", "h"))).alias("_cells"), F.first(sigma).alias("_s"))
+    r = F.ceil(F.lit(4.0) * F.col("_s"))
 
-
-def _smooth(hist: DataFrame, part: Sequence[str], sigma_bins: Column, bins: int) -> DataFrame:
-    """Gaussian smoothing of (part, bin, h) on a fixed ``bins`` grid:
-    zero-padded 'same' convolution with a kernel of radius ceil(4σ), normalised
-    to sum 1.  Each histogram cell spreads to its neighbours (explode of the
-    kernel offsets), then contributions are summed per target bin."""
-    part = list(part)
-    r = F.ceil(F.lit(4.0) * sigma_bins).cast("int")
-    offs = F.sequence(-r, r)
-    ksum = F.aggregate(offs, F.lit(0.0), lambda acc, j: acc + F.exp(F.lit(-0.5) * F.pow(j / sigma_bins, 2)))
-    e = hist.select(*part, "bin", "h", sigma_bins.alias("_s"), ksum.alias("_ks"), F.explode(offs).alias("_j"))
-    e = e.withColumn("i", F.col("bin") + F.col("_j")).filter((F.col("i") >= 0) & (F.col("i") < bins))
-    contrib = F.col("h") * F.exp(F.lit(-0.5) * F.pow(F.col("_j") / F.col("_s"), 2)) / F.col("_ks")
-    return e.groupBy(*part, F.col("i").alias("bin")).agg(F.sum(contrib).alias("d"))
-
-
-def _dense_bins(sm: DataFrame, part: Sequence[str], bins: int, keys: DataFrame | None = None) -> DataFrame:
-    """All ``bins`` cells per group (0 where no contribution)."""
-    part = list(part)
-    keys = (sm.select(*part).distinct() if keys is None else keys).withColumn(
-        "bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
-    return keys.join(sm, [*part, "bin"], "left").withColumn("d", F.coalesce("d", F.lit(0.0)))
+    def cell(i):
+        near = F.filter("_cells", lambda c: F.abs(c["bin"] - i) <= r)
+        return F.aggregate(near, F.lit(0.0), lambda acc, c: acc + c["h"] * F.exp(F.lit(-0.5) * F.pow((i - c["bin"]) / F.col("_s"), 2)))
+    return g.select(*part, F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), cell).alias("ds"))
 
 
 def log_density(df: DataFrame, value: str, part: Sequence[str] = ("org_type",), lower: str | None = None,
@@ -288,23 +226,20 @@ def log_density(df: DataFrame, value: str, part: Sequence[str] = ("org_type",),
     part = list(part)
     cond = (F.col(value) > 0) if strict_positive else (F.col(value) >= F.lit(min_value))
     pool = list(pool)
-    x = df.filter(cond).select(*part, F.log10(F.col(value)).alias("x"))
-    fr = freq(x, pool, "x")
-    lim = fr.groupBy(*pool).agg(nearest(hi_q).alias("hi"), *([nearest(lo_q).alias("lo")] if lower else []))
-    if not lower:
-        lim = lim.withColumn("lo", F.lit(0.0))
-    xs = (x.join(F.broadcast(lim), pool) if pool else _const_join(x, lim))  # one row per pool group
-    xs = xs.filter((F.col("x") >= F.col("lo")) & (F.col("x") <= F.col("hi")))
+    rows = df.filter(cond).select(*part, F.col(value).alias("v"))
+    lim = select_ranks(rows, pool, "v", {"hi": nearest(hi_q), **({"lo": nearest(lo_q)} if lower else {})})
     flat = F.col("hi") <= F.col("lo")
     width = F.when(flat, F.lit(1.0)).otherwise((F.col("hi") - F.col("lo")) / F.lit(bins))
-    b = np_bin(F.col("x"), F.col("lo"), width, bins)
-    hist = xs.groupBy(*part, b.alias("bin"), "lo", "hi").agg(F.count(F.lit(1)).cast("double").alias("h"))
-    sm = _smooth(hist, [*part, "lo", "hi"], F.when(flat, F.lit(1e-3)).otherwise(F.lit(sigma) / width), bins)
-    d = _dense_bins(sm, [*part, "lo", "hi"], bins)
-    peak = F.max("d").over(Window.partitionBy(*part))  # <= bins rows per group
-    return d.select(*part, "bin", F.col("lo").cast("decimal(20,6)").alias("lo"),
-                    F.col("hi").cast("decimal(20,6)").alias("hi"),
-                    F.try_divide(F.col("d"), peak).cast("decimal(20,6)").alias("d"))
+    lim = (lim.select(*pool, F.log10("hi").alias("hi"), (F.log10("lo") if lower else F.lit(0.0)).alias("lo"))
+           .withColumn("width", width).withColumn("s", F.when(flat, F.lit(1e-3)).otherwise(F.lit(sigma) / F.col("width"))))
+    xs = attach(rows.withColumn("x", F.log10("v")), lim, pool)  # one row per pool group
+    xs = xs.filter((F.col("x") >= F.col("lo")) & (F.col("x") <= F.col("hi")))
+    b = np_bin(F.col("x"), F.col("lo"), F.col("width"), bins)
+    hist = xs.groupBy(*part, b.alias("bin"), "lo", "hi", "s").agg(F.count(F.lit(1)).cast("double").alias("h"))
+    sm = _smooth(hist, [*part, "lo", "hi"], "s", bins)
+    return (sm.select(*part, "lo", "hi", F.posexplode("ds").alias("bin", "d"), F.array_max("ds").alias("_peak"))
+            .select(*part, "bin", F.col("lo").cast("decimal(20,6)").alias("lo"), F.col("hi").cast("decimal(20,6)").alias("hi"),
+                    F.try_divide(F.col("d"), F.col("_peak")).cast("decimal(20,6)").alias("d")))
 
 
 def rank_density(acc: DataFrame, value: str, part: Sequence[str] = ("org_type",), width: float = 1.0,
@@ -323,7 +258,7 @@ def rank_density(acc: DataFrame, value: str, part: Sequence[str] = ("org_type",)
     f = freq(acc.withColumn("_v", v), part, "_v", descending=True).withColumn("_before", F.col("cum") - F.col("c"))
     tot = f.groupBy(*part).agg(F.sum(F.when(F.col("v") >= 1, F.col("v") * F.col("c"))).alias("_tot"))
     f = f.filter(F.col("v") >= 1)
-    f = f.join(tot, part) if part else _const_join(f, tot)
+    f = attach(f, tot, part)
     # rank i (0-based) sits at x_i = (i + 0.5) / N on edges k * width / bins.
     # A frequency row holds ranks i0..i1; it spans bins bin(x_i0)..bin(x_i1),
     # and bin b holds the ranks lo(b) .. lo(b + 1) - 1 where lo(b) is the
@@ -354,10 +289,13 @@ def rank_density(acc: DataFrame, value: str, part: Sequence[str] = ("org_type",)
                    F.when(F.col("bin") < bins - 1, lo(F.col("bin") + 1) - 1).otherwise(F.col("_last")))
     cnt = F.greatest(i_hi - i_lo + 1, F.lit(0))
     hist = e.groupBy(*part, "bin").agg(F.sum(cnt * F.col("v") / F.col("_tot")).alias("h"))
-    sm = _smooth(hist, part, F.lit(sigma_bins), bins)
-    d = _dense_bins(sm, part, bins, keys=acc.select(*part).distinct())  # every type, even all-zero ones
-    gmax = F.max("d").over(Window.partitionBy(*part[:-1]))  # global over the types: <= types x bins rows
-    return d.select(*part, "bin", F.lit(width).alias("width"), F.try_divide(F.col("d"), gmax).cast("decimal(20,6)").alias("d"))
+    smooth = _smooth(hist.withColumn("s", F.lit(float(sigma_bins))), part, "s", bins)
+    sm = attach(acc.select(*part).distinct(), smooth, part, "left")  # every type, even all-zero ones
+    gmax = F.max(F.array_max("ds")).over(Window.partitionBy(*part[:-1]))  # global over the types: one row per type
+    zero = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda i: F.lit(0.0))
+    return (sm.withColumn("ds", F.coalesce("ds", zero)).withColumn("_max", gmax)
+            .select(*part, "_max", F.posexplode("ds").alias("bin", "d"))
+            .select(*part, "bin", F.lit(width).alias("width"), F.try_divide(F.col("d"), F.col("_max")).cast("decimal(20,6)").alias("d")))
 
 
 def weighted_quantiles(df: DataFrame, x: str, w: str | None, part: Sequence[str] = ("org_type",),
@@ -365,12 +303,11 @@ def weighted_quantiles(df: DataFrame, x: str, w: str | None, part: Sequence[str]
     """Inverse-CDF quantiles (first x whose cumulative weight reaches q
     of the total), unweighted when ``w`` is None, plus n and Σw."""
     part = list(part)
-    f = freq(df.filter(F.col(x).isNotNull()), part, x, weight=w)
-    aggs = [inverse_cdf(q, w is not None).alias(k) for k, q in qs]
-    aggs += [F.first("n").alias("n")]
-    if w:
-        aggs.append(F.first("tot_w").cast("long").alias("sum_w"))
-    return f.groupBy(*part).agg(*aggs)
+    g = select_ranks(df.filter(F.col(x).isNotNull()), part, x, {k: share(q) for k, q in qs}, weight=w)
+    if not w:
+        return g.select(*part, *[k for k, _ in qs], "n")
+    # without any weight no value reaches a share of it
+    return g.select(*part, *[F.when(F.col("tot") > 0, F.col(k)).alias(k) for k, _ in qs], "n", F.col("tot").cast("long").alias("sum_w"))
 
 
 def country_stats(df: DataFrame, part: Sequence[str] = ("country",)) -> DataFrame:
@@ -379,8 +316,11 @@ def country_stats(df: DataFrame, part: Sequence[str] = ("country",)) -> DataFram
     part = list(part)
     base = df.groupBy(*part).agg(F.coalesce(F.sum("downloadsAllTime"), F.lit(0)).cast("long").alias("dl"),
                                  F.count(F.lit(1)).alias("n"), F.count_if(F.col("mainSize") > 0).alias("n_size"))
-    f = freq(df.filter(F.col("mainSize") > 0).withColumn("_x", F.log10("mainSize")), part, "_x")
-    q = f.groupBy(*part).agg(*[linear(p).cast("decimal(20,6)").alias(k) for k, p in (("q1", .25), ("med", .5), ("q3", .75))])
+    qs = (("q1", .25), ("med", .5), ("q3", .75))
+    needs = {f"{k}{side}": at_index(p, side == "b") for k, p in qs for side in "ab"}
+    s = select_ranks(df.filter(F.col("mainSize") > 0).withColumn("_x", F.log10("mainSize")), part, "_x", needs)
+    at = lambda p: (F.col("n") - 1) * F.lit(p)
+    q = s.select(*part, *[(F.col(f"{k}a") + (at(p) - F.floor(at(p))) * (F.col(f"{k}b") - F.col(f"{k}a"))).cast("decimal(20,6)").alias(k) for k, p in qs])
     return base.join(q, part, "left")
 
 

@@ -10,7 +10,7 @@ windows over per-snapshot or per-type aggregates run on tiny inputs.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -86,14 +86,39 @@ def running(totals: DataFrame) -> DataFrame:
             .withColumn("cumulative", F.sum("newly_added").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))))
 
 
-def growth(panel: DataFrame, metric: str = "downloadsAllTime", top: int = 1000, key: str = "_id") -> DataFrame:
-    """D8 + F11: growth since the first tracked (non-null) value per key, and
-    the weekly top pool by growth."""
-    w = Window.partitionBy(key).orderBy("t").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    d = (panel.filter(F.col(metric).isNotNull()).select("snapshot_date", "t", key, metric)
-         .withColumn("base", F.first(metric, ignorenulls=True).over(w))
-         .withColumn("g", F.col(metric) - F.col("base")))
-    return top_rows(d, ["snapshot_date"], "g", key, top).select(
+def baseline(panel: DataFrame, metric: str = "downloadsAllTime", key: str = "_id") -> DataFrame:
+    """(key, base), the first tracked (non-null) value of each key.  A mergeable minimum: with a stored baseline only
+    keys that it lacks need new weeks (an anti-join).  Keyless rows have none."""
+    first = F.min(F.struct("t", metric))
+    return (panel.filter(F.col(metric).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(first.alias("_first"))
+            .select(key, F.col(f"_first.{metric}").alias("base")))
+
+
+def growth(panel: DataFrame, metric: str = "downloadsAllTime", top: int = 1000, key: str = "_id", base: DataFrame | None = None,
+           cut: Callable[[DataFrame, str], DataFrame] = lambda df, name: df) -> DataFrame:
+    """D8 + F11: growth since the first tracked value per key, the weekly top pool by growth.
+
+    No row's growth exceeds its value by more than the least value of all is below 0. So the growth of the ``top`` rows by
+    value gives each week a floor, and only rows that can reach it are candidates for the pool: the history
+    of no other key is joined or shuffled, and no window runs over the panel.  ``base`` is a stored baseline (key, base);
+    without it the candidates' baselines are taken from the panel.  ``cut`` stores intermediate rows (given a
+    name) and reads them back, after which their size is known to the planner.
+    """
+    v = panel.filter(F.col(metric).isNotNull() & F.col(key).isNotNull()).select("snapshot_date", "t", key, metric)
+
+    def grown(rows: DataFrame, keys: DataFrame) -> DataFrame:
+        b = baseline(v.join(keys, key, "left_semi"), metric, key) if base is None else base
+        return rows.join(b, key).withColumn("g", F.col(metric) - F.col("base"))
+
+    lead = cut(top_rows(v, ["snapshot_date"], metric, key, top).drop("rk"), "growth_lead")
+    # at most ``top`` keys per snapshot
+    floor = grown(lead, F.broadcast(lead.select(key).distinct())).groupBy("snapshot_date").agg(
+        F.when(F.count(F.lit(1)) >= top, F.min("g")).alias("_floor"))
+    least = v.agg(F.least(F.min(metric), F.lit(0))).scalar()
+    near = (v.join(F.broadcast(floor), "snapshot_date")  # one row per snapshot
+            .filter(F.col("_floor").isNull() | (F.col(metric) - least >= F.col("_floor"))).drop("_floor"))
+    near = cut(near, "growth_near")
+    return top_rows(grown(near, near.select(key).distinct()), ["snapshot_date"], "g", key, top).select(
         "snapshot_date", key, "base", F.col(metric).alias("value"), "g", F.col("rk").cast("int").alias("rk"))
 
 

@@ -38,7 +38,9 @@ def trend_build(panel: DataFrame, out: str, pool: int = 1000, top_freeform: int
     vocab = spark.read.parquet(paths["vocab"])
     paths["topics"] = _write(topics.topic_series(panel, vocab), out, "topics")
     ids = ranking.ever_in_pool(panel, "_id", ["downloads", "likes", "downloadsAllTime"], pool)
-    ids = ids.unionByName(longitudinal.growth(panel, top=pool).select("_id")).distinct()
+    # stored rows of known size: the planner broadcasts their keys or not by that size
+    stored = longitudinal.growth(panel, top=pool, cut=lambda df, name: spark.read.parquet(_write(df, out, name)))
+    ids = ids.unionByName(stored.select("_id")).distinct()
     paths["pool"] = _write(ids, out, "pool")
     pooled = spark.read.parquet(paths["pool"])
     paths["series"] = _write(longitudinal.entity_series(panel, pooled), out, "series")

@@ -35,6 +35,11 @@ def baked(spark, sf):
     return enrich.resolve_org_type(driver.panel(spark, sf), regime="baked")
 
 
+def by_id(spark, sf):
+    """The baked panel laid out by ``_id``: what groups or windows by ``_id`` needs no exchange."""
+    return enrich.resolve_org_type(driver.panel_by_id(spark, sf), regime="baked")
+
+
 def rejoined(spark, sf):
     """The panel under regime b (scrape type first), stored once per application."""
     return driver.materialize(spark, ("rejoined", sf), lambda: enrich.resolve_org_type(
@@ -173,12 +178,12 @@ def group_share(spark, sf):
 
 @query
 def weekly_spikes(spark, sf):
-    return longitudinal.spikes(baked(spark, sf), top=5).drop("t")
+    return longitudinal.spikes(by_id(spark, sf), top=5).drop("t")
 
 
 @query
 def spike_summary(spark, sf):
-    return longitudinal.spike_summary(longitudinal.spikes(baked(spark, sf), top=5), top=25)
+    return longitudinal.spike_summary(longitudinal.spikes(by_id(spark, sf), top=5), top=25)
 
 
 @query
@@ -188,34 +193,34 @@ def account_gain(spark, sf):
 
 @query
 def newly_added(spark, sf):
-    return longitudinal.newly_added(baked(spark, sf))
+    return longitudinal.newly_added(by_id(spark, sf))
 
 
 @query
 def newly_added_cumulative(spark, sf):
-    return longitudinal.newly_added_cumulative(driver.panel(spark, sf))
+    return longitudinal.newly_added_cumulative(driver.panel_by_id(spark, sf))
 
 
 @query
 def growth_since_baseline(spark, sf):
-    return longitudinal.growth(driver.panel(spark, sf), top=100)
+    return longitudinal.growth(driver.panel_by_id(spark, sf), top=100)
 
 
 @query
 def latest_attrs(spark, sf):
-    a = longitudinal.latest_attrs(driver.panel(spark, sf))
+    a = longitudinal.latest_attrs(driver.panel_by_id(spark, sf))
     return a.withColumn("tags", F.array_join(F.array_sort("tags"), "|"))
 
 
 @query
 def series_bounds(spark, sf):
-    return longitudinal.series_bounds(driver.panel(spark, sf), ["downloads", "downloadsAllTime"])
+    return longitudinal.series_bounds(driver.panel_by_id(spark, sf), ["downloads", "downloadsAllTime"])
 
 
 @query
 def trimmed_series(spark, sf):
     """F9 over all datasets: series from first to last value, gaps as NULL."""
-    return longitudinal.trimmed_series(driver.panel(spark, sf), ["downloads", "downloadsAllTime"])
+    return longitudinal.trimmed_series(driver.panel_by_id(spark, sf), ["downloads", "downloadsAllTime"])
 
 
 @query
@@ -229,7 +234,7 @@ def first_tracked(spark, sf):
 @query
 def entity_history(spark, sf):
     """The full history of one dataset looked up by its current name."""
-    h = longitudinal.entity_history(driver.panel(spark, sf), "Customer#000000007")
+    h = longitudinal.entity_history(driver.panel_by_id(spark, sf), "Customer#000000007")
     return h.withColumn("tags", F.array_join(F.coalesce("tags", F.array().cast("array<string>")), "|"))
 
 
@@ -609,7 +614,7 @@ def explore_paper(spark, sf):
 @query
 def explore_growth(spark, sf):
     """J1 ranked by growth since the first tracked all-time value."""
-    p = longitudinal.with_growth(driver.panel(spark, sf))
+    p = longitudinal.with_growth(driver.panel_by_id(spark, sf))
     r = explorer.explore(p, "growth", 20, wanted_topics=["household"], minimum=1)
     return r.select("snapshot_date", "_id", "id", "growth", "rk")
 

@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from ..operators.snapshots import with_ordinal
 from ..session import app_id, checkpoint_dir
+from .by_id import write_by_id
 
 # FIXED VALUES of the driver-table mapping (not of the analysed hub).
 REGION_ORG_TYPE = {"AFRICA": "company", "AMERICA": "university", "ASIA": "non-profit", "EUROPE": "community"}
@@ -167,6 +168,17 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialize(spark, ("panel", sf_dir), lambda: panel_plan(spark, sf_dir))
 
 
+def panel_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dataset-hub panel laid out by ``_id`` (see ``by_id``), written once per application."""
+    k = (app_id(spark), "panel_by_id", sf_dir)
+    with _LOCK:
+        if k not in _FRAMES:
+            tag = hashlib.sha1(repr(k).encode()).hexdigest()[:16]
+            path = f"{checkpoint_dir(spark).rstrip('/')}/snapdeck-tables/{k[0]}/panel_by_id-{tag}"
+            _FRAMES[k] = write_by_id(panel(spark, sf_dir), path, f"panel_by_id_{tag}")
+        return _FRAMES[k]
+
+
 def panel_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The panel as a plan over the driver tables (no materialisation)."""
     o = table(spark, sf_dir, "orders").select("o_custkey", "o_totalprice", "o_orderdate",

@@ -6,7 +6,7 @@ that can differ:
 
 * a week's own sums (``cells``, ``accounts``): the week itself
 * differences to the previous available week (``spikes``, ``gains``): the week and the one after it
-* first appearances (``first_seen``, ``new``): from the earliest changed week on; what was seen before
+* first appearances (``first_seen``, ``new``) and first tracked values (``baseline``): from the earliest changed week on; what was seen before
   it is read from the stored state, not from the panel
 * tables of a few rows per week (``by_type``, ``counts``, ``vectors``, ``hub``, ``cumulative``, ``frozen``, ``drivers``):
   derived anew from ``cells`` and ``new`` (weeks x types rows), and the weeks whose rows differ are written. Smoothing
@@ -144,6 +144,13 @@ class WeekStore:
         fresh = self._rows("first_seen", later)
         done["new"] = self._put("new", fresh.groupBy(DATE, "org_type").agg(F.sum("n").alias("new")), epoch, later)
 
+        tracked = self._rows("slim", later).filter(F.col("downloadsAllTime").isNotNull()).select(DATE, "_id", F.col("downloadsAllTime").alias("base"))
+        if "baseline" in self.parts:
+            before = self._rows("baseline", [d for d in self.parts["baseline"] if d < changed[0]])
+            tracked = tracked.join(before.select("_id"), "_id", "left_anti")
+        first = tracked.groupBy("_id").agg(F.min(F.struct(DATE, "base")).alias("_f")).select(f"_f.{DATE}", "_id", "_f.base")
+        done["baseline"] = self._put("baseline", first, epoch, later)
+
         for name, df in self._small().items():
             done[name] = self._put_differing(name, df, epoch)
         self._publish(epoch)

@@ -52,6 +52,8 @@ def expected(spark, state):
         "hub": trends.hub_totals(panel), "accounts": ranking.by_account(panel).drop("t"), "spikes": longitudinal.spikes(panel).drop("t"),
         "gains": longitudinal.like_gain(ranking.by_account(panel)).drop("t"),
         "first_seen": first.groupBy("snapshot_date", "_id", "org_type").agg(F.count(F.lit(1)).alias("n")),
+        "baseline": panel.filter("downloadsAllTime IS NOT NULL").groupBy("_id").agg(F.min("t").alias("t")).join(panel, ["_id", "t"])
+        .groupBy("snapshot_date", "_id").agg(F.min("downloadsAllTime").alias("base")),
         "cumulative": longitudinal.newly_added_cumulative(panel), "frozen": longitudinal.frozen(panel), "drivers": longitudinal.drivers(panel),
     }
 
@@ -108,6 +110,9 @@ def test_reissued_and_late_weeks(spark, tmpdir_path, orgs):
     late = check(spark, root, state)
     for name, parts in late.items():
         assert all(after[name].get(d) == e for d, e in parts.items() if d < LATE), name
+    panel = with_ordinal(WeekStore(spark, root).read("slim"))
+    stored = longitudinal.growth(panel, top=4, base=WeekStore(spark, root).read("baseline").select("_id", "base"))
+    assert values(stored) == values(longitudinal.growth(panel, top=4))
     assert {d for d, e in late["gains"].items() if after["gains"].get(d) != e} == {LATE, DAYS[2]}
 
     # a run without new files changes nothing; old partitions and manifests can be dropped
@@ -141,10 +146,10 @@ def test_replay_and_crash(spark, tmpdir_path, orgs, monkeypatch):
     state = {d: w for d, w in weeks().items() if d in DAYS[:3]}
     for k, (d, rows) in enumerate(state.items()):
         deliver(src, d, rows, at=k)
-    maintain_stream(spark, src, root, ckpt, orgs, SCHEMA)
+    maintain_stream(spark, src, root, ckpt, orgs, SCHEMA, max_files=3)
     before = published(spark, root)
-    os.remove(f"{ckpt}/commits/2")  # the last micro-batch was published, its commit lost: the replay changes nothing
-    os.remove(f"{ckpt}/commits/.2.crc")
+    os.remove(f"{ckpt}/commits/0")  # the last micro-batch was published, its commit lost: the replay changes nothing
+    os.remove(f"{ckpt}/commits/.0.crc")
     maintain_stream(spark, src, root, ckpt, orgs, SCHEMA)
     assert published(spark, root) == before
 

@@ -73,3 +73,44 @@ def test_no_cross_or_nested_loop_joins(spark, name):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
+
+
+def _static_plan(spark, df):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return _plan(df())
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+@pytest.mark.parametrize("name", ["weekly_spikes", "newly_added", "newly_added_cumulative", "latest_attrs", "series_bounds"])
+def test_no_exchange_on_id(spark, name):
+    p = _static_plan(spark, lambda: QUERIES[name](spark, SF))
+    assert "hashpartitioning(_id#" not in p and "Bucketed: true" in p
+
+
+def test_growth_has_no_window_over_the_panel(spark):
+    p = _static_plan(spark, lambda: QUERIES["growth_since_baseline"](spark, SF))
+    windows = [ln for ln in p.splitlines() if "Window [" in ln]
+    assert windows and all("windowspecdefinition(snapshot_date#" in ln for ln in windows)
+
+
+def test_lookup_by_id_skips_row_groups(spark, tmpdir_path):
+    from snapdeck.sources.by_id import write_by_id
+    # ids in no order by _id, small row groups, no dictionary that could stand in for the filter
+    rows = spark.range(60_000).select(F.xxhash64("id").alias("_id"), F.lit(0).alias("t"), F.concat(F.lit("name/"), "id").alias("id"))
+    small = {"parquet.block.size": "65536", "parquet.page.size": "8192", "parquet.enable.dictionary": "false", "parquet.page.row.count.limit": "1000"}
+    with_filter = write_by_id(rows, f"{tmpdir_path}/a", "lookup_a", rows_per_bucket=20_000, options=small)
+    without = write_by_id(rows, f"{tmpdir_path}/b", "lookup_b", lookup=(), rows_per_bucket=20_000, options=small)
+
+    def scanned(df):
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        try:
+            out = df.filter(F.col("id") == "name/4711")
+            assert out.count() == 1
+            plan = out._jdf.queryExecution().executedPlan()
+            out._jdf.collectToPython()
+            return plan.collectLeaves().apply(0).metrics().get("numOutputRows").get().value()
+        finally:
+            spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert scanned(without) == 60_000 and scanned(with_filter) < 30_000
