@@ -231,14 +231,15 @@ def split_by(target: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
         start = ends[value]
 
 
-def bitmap_filter(df: DataFrame, col: str, keys: DataFrame, key: str, bits: int = 23) -> DataFrame:
-    """Rows of ``df`` whose ``col`` may be among ``keys``: a hashed bitmap of 2**bits bits,
-    2**bits / 64 broadcast rows at most. It lets chance hits through, so an exact join follows."""
+def maybe_among(df: DataFrame, col: str, keys: DataFrame, key: str, flag: str, n_keys: int) -> DataFrame:
+    """``df`` with a boolean ``flag``: false where ``col`` is surely none of the ``n_keys`` ``keys``. A hashed bitmap of 32 to 64 bits a
+    key, 2**27 bits at most (2**21 rows of 16 bytes broadcast), so few others are flagged by chance up to some ten million keys; an exact step follows."""
+    bits = min(27, max(10, (32 * max(n_keys, 1)).bit_length()))
     spread = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << bits))
     bitmap = (keys.select(spread(F.col(key)).alias("_b")).select(F.expr("_b div 64").alias("_word"), F.expr("shiftleft(1L, cast(_b % 64 as int))").alias("_bit"))
               .groupBy("_word").agg(F.bit_or("_bit").alias("_bits")))
-    return (df.withColumn("_b", spread(F.col(col))).withColumn("_word", F.expr("_b div 64"))
-            .join(F.broadcast(bitmap), "_word").filter("getbit(_bits, cast(_b % 64 as int)) = 1").drop("_b", "_word", "_bits"))
+    return (df.withColumn("_b", spread(F.col(col))).withColumn("_word", F.expr("_b div 64")).join(F.broadcast(bitmap), "_word", "left")
+            .withColumn(flag, F.coalesce(F.expr("getbit(_bits, cast(_b % 64 as int)) = 1"), F.lit(False))).drop("_b", "_word", "_bits"))
 
 
 def components(nodes: DataFrame, edges: DataFrame, s: Scratch, name: str) -> DataFrame:

@@ -17,8 +17,8 @@ label gets more parts (``LEVELS``), so the guarantee holds for all rows.
 Candidates. One shuffle of packed signatures tells which occur in two classes.
 A class with fewer than ``need`` shared signatures has no partner and leaves, which removes
 the texts that only share passages. The rest are compared in two steps:
-1. In every signature group each member is verified against one centre (the member with the
-   most popular signatures): a number of pairs linear in the group. Links give components.
+1. In every signature group each member is verified against one centre (the member whose identity has the
+   least hash, so a family keeps meeting the same few centres): a number of pairs linear in the group. Links give components.
 2. Pairs of different components in one group are left. They are compared in blocks
    of ``BLOCK`` members by their sizes and by parity sketches, which may not differ more than linked sets
    can. The few pairs that remain are verified.
@@ -45,13 +45,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from snapdeck.llm.common import WORD, Scratch, arrow_rows, bitmap_filter, components, mix, ngram_hashes, rolling_hashes, split_by, word_hashes
+from snapdeck.llm.common import WORD, Scratch, arrow_rows, components, maybe_among, mix, ngram_hashes, rolling_hashes, split_by, word_hashes
 
 SHINGLE = 5
 LEVELS = (1, 2, 8, 4096)
 FLUSH = 600_000
 LOCAL_HOT = 64
-BUCKET_ITEMS = 600_000
+BUCKET_ITEMS = 1_200_000
 BLOCK = 1024
 TASK_ROWS = 8192
 _U = np.uint64
@@ -137,7 +137,6 @@ def _nodes(k: int):
     return run
 
 
-_MEMBER = np.dtype([("node", "<i8"), ("label", "<u2"), ("need", "<u4"), ("n", "<u4")])
 _DIRECT = np.dtype([("sig", "<u8"), ("node", "<i8"), ("label", "<u2"), ("need", "<u4")])
 
 
@@ -186,12 +185,10 @@ class _Sender:
             sig, who = sig[keep], who[keep]
         for bucket, i in split_by((sig % _U(self.buckets)).astype(np.int64), self.buckets):
             w, n = np.unique(who[i], return_counts=True)  # i is in order of who
-            head = np.zeros(len(w), _MEMBER)
-            for c in ("node", "label", "need"):
-                head[c] = m[c][w]
-            head["n"] = n
             body = (sig[i] // _U(self.buckets)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_SIG]
-            yield bucket, np.array([len(w)], "<u4").tobytes() + head.tobytes() + np.ascontiguousarray(body).tobytes()
+            # columns: labels, needs and counts are small numbers that compress to a byte or two a member
+            small = pa.Codec("zstd").compress(b"".join((m["label"][w].astype("<u2").tobytes(), m["need"][w].astype("<u4").tobytes(), n.astype("<u4").tobytes())), asbytes=True)
+            yield bucket, b"".join((np.array([len(w), len(small)], "<u4").tobytes(), small, m["node"][w].astype("<i8").tobytes(), np.ascontiguousarray(body).tobytes()))
         self.clear()
 
 
@@ -228,24 +225,30 @@ def _rows(sig, node, label, need) -> pa.Table:
 
 def _settle(t: pa.Table) -> pa.Table:
     """The entries of one bucket whose signature occurs in two classes."""
-    sig, who = [], []
+    sig, who, node, label, need, members = [], [], [], [], [], 0
     for x in t.column("payload").to_pylist():
-        n = int(np.frombuffer(x, "<u4", 1)[0])
-        head = np.frombuffer(x, _MEMBER, n, 4)
-        total = int(head["n"].sum())
+        n, packed = (int(v) for v in np.frombuffer(x, "<u4", 2))
+        small = pa.Codec("zstd").decompress(x[8:8 + packed], 10 * n, asbytes=True)
+        label.append(np.frombuffer(small, "<u2", n))
+        need.append(np.frombuffer(small, "<u4", n, 2 * n))
+        each = np.frombuffer(small, "<u4", n, 6 * n)
+        node.append(np.frombuffer(x, "<i8", n, 8 + packed))
+        total = int(each.sum())
         body = np.zeros((total, 8), np.uint8)
-        body[:, :_SIG] = np.frombuffer(x, np.uint8, total * _SIG, 4 + n * _MEMBER.itemsize).reshape(total, _SIG)
+        body[:, :_SIG] = np.frombuffer(x, np.uint8, total * _SIG, 8 + packed + 8 * n).reshape(total, _SIG)
         sig.append(body.view("<u8").ravel())
-        who.append(np.repeat(head, head["n"]))
-    sig, who = np.concatenate(sig), np.concatenate(who)
+        who.append(np.repeat(np.arange(members, members + n, dtype=np.uint32), each))
+        members += n
+    sig, who, node, label, need = (np.concatenate(x) for x in (sig, who, node, label, need))
     order = np.argsort(sig, kind="stable")
     v = sig[order]
     pair = np.concatenate((v[1:] == v[:-1], [False]))
     some = order[pair | np.concatenate(([False], pair[:-1]))]
     sig, who = sig[some], who[some]
-    order = np.lexsort((who["node"], sig))
+    order = np.lexsort((node[who], sig))
     sig, who = sig[order], who[order]
-    new = np.concatenate(([True], (sig[1:] != sig[:-1]) | (who["node"][1:] != who["node"][:-1]))) if len(sig) else np.zeros(0, bool)
+    one = node[who]
+    new = np.concatenate(([True], (sig[1:] != sig[:-1]) | (one[1:] != one[:-1]))) if len(sig) else np.zeros(0, bool)
     sig, who = sig[new], who[new]
     pair = np.concatenate((sig[1:] == sig[:-1], [False])) if len(sig) else np.zeros(0, bool)
     keep = pair | np.concatenate(([False], pair[:-1])) if len(sig) else pair
@@ -253,7 +256,7 @@ def _settle(t: pa.Table) -> pa.Table:
     bucket = t.column("bucket")[0].as_py()
     buckets = t.column("buckets")[0].as_py()
     whole = ((sig * _U(buckets) + _U(bucket)) << _U(0))
-    return _rows(whole, who["node"], who["label"], who["need"])
+    return _rows(whole, node[who], label[who], need[who])
 
 
 def _direct(buckets: int):
@@ -269,8 +272,14 @@ def _direct(buckets: int):
 
 def _sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # repeated rows of a task give one set
         for b in batches:
-            sets = [x for t in b.column(0) if len(x := shingles(t.as_py(), k))]
+            sets = []
+            for t in b.column(0):
+                x = shingles(t.as_py(), k)
+                if len(x) and (name := set_id(x)) not in seen:
+                    seen.add(name)
+                    sets.append(x)
             yield pa.RecordBatch.from_arrays([pa.array([set_id(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())],
                                              names=["node", "items"])
     return run
@@ -363,34 +372,38 @@ def _members(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
         buckets = max(1, -(-total * 6 // 10 // BUCKET_ITEMS))
         sent = s.write(src.select("text").mapInArrow(_send(k, buckets, finer), "bucket long, payload binary"), "sent")
     with arrow_rows(spark, 20):
-        settled = (sent.filter("bucket >= 0").withColumn("buckets", F.lit(buckets)).groupBy("bucket").applyInArrow(_settle, _SHARED)
-                   .unionByName(sent.filter("bucket < 0").select("payload").mapInArrow(_direct(buckets), _SHARED)))
-        # copies met in several tasks are one member
-        shared = s.write(settled.groupBy("sig", "node", "label").agg(F.max("need").alias("need")), "shared")
+        # a bucket's entries are distinct; what tasks settled themselves may be met in several tasks. An entry in both only
+        # raises a member's count or a group's size, which rule nothing out
+        settled = sent.filter("bucket >= 0").withColumn("buckets", F.lit(buckets)).groupBy("bucket").applyInArrow(_settle, _SHARED)
+        direct = sent.filter("bucket < 0").select("payload").mapInArrow(_direct(buckets), _SHARED)
+        shared = s.write(settled.unionByName(direct.groupBy("sig", "node", "label").agg(F.max("need").alias("need"))), "shared")
     s.drop("sent")
-    for turn in range(2):  # members with too few shared signatures leave, then signatures with one member
-        enough = shared.groupBy("node", "label").agg(F.count("*").alias("_n"), F.max("need").alias("_need")).filter("_n >= _need")
-        left = shared.select("sig", "node", "label", "need").join(enough.select("node", "label"), ["node", "label"], "left_semi")
-        alive = left.groupBy("sig").agg(F.count("*").alias("size")).filter("size > 1")
-        nxt = s.write(left.join(alive, "sig").select("sig", "node", "label", "need", "size"), f"members-{turn}")
-        s.drop("shared" if turn == 0 else "members-0")
-        shared = nxt
+    # members with too few shared signatures leave, then signatures with one member; a group's size and centre come along
+    enough = shared.groupBy("node", "label").agg(F.count("*").alias("_n"), F.max("need").alias("_need")).filter("_n >= _need")
+    left = shared.join(enough.select("node", "label"), ["node", "label"], "left_semi")
+    first = F.min(F.struct(F.xxhash64("node").alias("_h"), "node"))
+    alive = left.groupBy("sig").agg(F.count("*").alias("size"), first.alias("_first")).filter("size > 1")
+    members = s.write(left.join(alive, "sig").select("sig", "node", "label", "need", "size", F.col("_first.node").alias("centre")), "members")
+    s.drop("shared")
 
     # labels are ordered by the least id, a null one last; row and node tell classes with one id apart
     classes = (nodes.filter("n > 0").groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("missing"), "id", "row")).alias("_least"), F.first("n").alias("n"))
                .select("node", F.struct("_least.missing", "_least.id", "_least.row", "node").alias("label"), "n"))
-    active = s.write(classes.join(shared.select("node").distinct(), "node"), "active")
+    active = s.write(classes.join(members.select("node").distinct(), "node"), "active")
     sizes = active.select("node", "n")
+    # the texts of the classes' rows are read again; chance hits of the bitmap are sets that nothing asks for
     rows = active.select(F.col("label.row").alias("row"))
-    near = bitmap_filter(src.select("row", "text"), "row", rows, "row")
+    near = maybe_among(src.select("row", "text"), "row", rows, "row", "_hit", active.count()).filter("_hit")
     with arrow_rows(spark, 500):
-        sets = s.write(near.join(rows, "row", "left_semi").select("text")
-                       .mapInArrow(_sets(k), "node long, items binary").dropDuplicates(["node"]), "sets")
+        sets = s.write(near.select("text").mapInArrow(_sets(k), "node long, items binary"), "sets-read")
+    # only sets met in several tasks (rows repeated with their id) are shuffled
+    twice = s.write(sets.groupBy("node").count().filter("count > 1").select("node"), "sets-twice")
+    repeated = sets.join(twice, "node", "left_semi").dropDuplicates(["node"]) if twice.limit(1).count() else None
+    if repeated is not None:
+        sets = s.write(sets.join(twice, "node", "left_anti").unionByName(repeated), "sets")
 
     # step 1: each member with the centre of its group
-    weight = shared.groupBy("node", "label").agg(F.sum("size").alias("weight"))
-    centre = (shared.join(weight, ["node", "label"]).groupBy("sig").agg(F.max_by("node", F.struct("weight", "node")).alias("centre")))
-    stars = (shared.join(centre, "sig").filter("node != centre")
+    stars = (members.filter("node != centre")
              .select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct())
     with arrow_rows(spark, 500):
         links = s.write(_verify(stars, sets), "links-1")
@@ -399,8 +412,9 @@ def _members(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
     # step 2: what is left between components. A linked pair has ``need`` common signatures from either side, so it
     # meets in one of the first (count - need + 1) of each member's signatures, rarest first
     mine = Window.partitionBy("node", "label")
-    placed = s.write(shared.withColumn("_rank", F.row_number().over(mine.orderBy("size", "sig"))).withColumn("_count", F.count("*").over(mine))
-                     .join(comps.select("node", F.col("label.node").alias("comp")), "node").join(sizes, "node"), "placed")
+    known = comps.select("node", F.col("label.node").alias("comp")).join(sizes, "node")
+    placed = s.write(members.drop("centre").join(known, "node")  # dealt by node, as the windows need it
+                     .withColumn("_rank", F.row_number().over(mine.orderBy("size", "sig"))).withColumn("_count", F.count("*").over(mine)), "placed")
     probes = placed.filter("_rank <= _count - need + 1")
     mixed = (probes.groupBy("sig").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.count("*").alias("_members"))
              .filter("_lo < _hi").select("sig", F.ceil(F.col("_members") / BLOCK).alias("_blocks")))
@@ -415,7 +429,7 @@ def _members(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
         rest = s.write(open_.groupBy("_task").applyInArrow(_cross, "a long, b long").distinct(), "rest")
         more = s.write(_verify(rest, sets), "links-2")
     final = components(comps, more, s, "second")
-    for table in ("sets", "sketches", "placed", "open", "rest", "members-1", "links-1"):
+    for table in ("sets-read", "sets-twice", "sets", "sketches", "placed", "open", "rest", "members", "links-1"):
         s.drop(table)
     named = (nodes.select("id", "row", "n", "node").join(classes.select("node", F.col("label").alias("_least")), "node", "left")
              .join(final.withColumnRenamed("label", "_final"), "node", "left").withColumn("_label", F.coalesce("_final", "_least")))
@@ -436,4 +450,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keyed = docs.withColumn("_jc_row", _row(id_col, text_col))
     nameless = F.col(id_col).isNull() & F.coalesce(F.col(text_col).cast("string").rlike(WORD), F.lit(False))
     left = keyed.filter(~nameless).unionByName(keyed.filter(nameless).dropDuplicates(["_jc_row"]))
-    return left.join(drop, "_jc_row", "left_anti").select(*docs.columns)
+    # rows that no bitmap bit names stay where they are; the exact join sees the others
+    left = maybe_among(left, "_jc_row", drop, "_jc_row", "_jc_hit", drop.count())
+    gone = left.filter("_jc_hit").join(drop, "_jc_row", "left_anti")
+    return left.filter("NOT _jc_hit").select(*docs.columns).unionByName(gone.select(*docs.columns))
