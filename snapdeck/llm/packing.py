@@ -11,7 +11,9 @@ when there is none a new bin opens. Pieces that fill a bin alone skip the search
 Scale: pieces are dealt by hash into shards of about ``shard_items`` pieces
 (their number follows the data), and each shard is packed on its own in one
 Arrow group. Ids and lengths travel, texts do not. The hash spreads a hot source
-or cluster evenly. The last, partly filled bins of the shards are the only loss.
+or cluster evenly; pieces that are the same in id, place and cluster are dealt by their stored position, so repeated
+rows of one or no id spread as well. A piece skips the bins that its source and cluster are known to
+conflict with. The last, partly filled bins of the shards are the only loss.
 
 Defined cases: null or empty texts take no room, their bin is null; a null
 source or cluster conflicts with nothing; ties are packed by id, then piece;
@@ -43,6 +45,8 @@ def best_fit(items: list[tuple[int, int | None, int | None]], capacity: int) ->
     clusters: list[int] = []  # bitmap of each bin's duplicate clusters
     held: list[int] = []
     by_residual: list[list[int]] = [[] for _ in range(capacity + 1)]
+    # per residual and conflict: so many of the first bins are known to conflict; bins of a residual don't change until one is taken out
+    blocked: list[dict[tuple[int, int], int]] = [{} for _ in range(capacity + 1)]
     occupied = 0  # bit r: some bin has residual r
     out = []
     for length, source, cluster in items:
@@ -53,12 +57,14 @@ def best_fit(items: list[tuple[int, int | None, int | None]], capacity: int) ->
             step = (rest & -rest).bit_length() - 1
             r += step
             level = by_residual[r]
-            for k in range(len(level) - 1, -1, -1):
+            for k in range(len(level) - 1, blocked[r].get((s, c), 0) - 1, -1):
                 if not (sources[level[k]] & s or clusters[level[k]] & c):
                     found = level.pop(k)
+                    blocked[r].clear()
                     break
             if found >= 0:
                 break
+            blocked[r][s, c] = len(level)
             rest >>= step + 1
             r += 1
         if found < 0:
@@ -94,16 +100,19 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
                      .select("_id", "_words", "_source", "_cluster", F.explode("_p").alias("piece"))
                      .withColumn("start", F.col("piece") * capacity)
                      .withColumn("n_words", F.least(F.lit(capacity).cast("long"), F.col("_words") - F.col("start")))
-                     .drop("_words"), "pieces")
+                     .drop("_words").withColumn("_at", F.monotonically_increasing_id()), "pieces")
     s.drop("lengths")
     empty = pieces.filter("n_words = 0")
     full = pieces.filter("n_words > 0")
     shards = max(1, -(-full.count() // shard_items))
-    dealt = full.withColumn("_shard", F.pmod(F.xxhash64("_id", "piece", "_cluster"), F.lit(shards)))
+    key = F.xxhash64("_id", "piece", "_cluster")
+    again = s.write(full.groupBy(key.alias("_key")).agg(F.count("*").alias("_n")).filter("_n > 1").select("_key", F.lit(True).alias("_again")), "again")
+    dealt = (full.withColumn("_key", key).join(again, "_key", "left")
+             .withColumn("_shard", F.pmod(F.when(F.col("_again"), F.xxhash64("_key", "_at")).otherwise(F.col("_key")), F.lit(shards))))
 
     def run(t: pa.Table) -> pa.Table:
         cols = {n: t.column(n).to_pylist() for n in ("_id", "piece", "n_words", "_source", "_cluster")}
-        order = sorted(range(t.num_rows), key=lambda i: (-cols["n_words"][i], cols["_id"][i] is None, cols["_id"][i] or 0, cols["piece"][i]))
+        order = sorted(range(t.num_rows), key=lambda i: (-cols["n_words"][i], cols["_id"][i] is None, 0 if cols["_id"][i] is None else cols["_id"][i], cols["piece"][i]))
         placed = best_fit([(cols["n_words"][i], cols["_source"][i], cols["_cluster"][i]) for i in order], capacity)
         base = t.column("_shard")[0].as_py() << 32
         got = t.select(["_id", "piece", "start", "n_words"]).take(pa.array(order))

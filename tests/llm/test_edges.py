@@ -42,6 +42,19 @@ def test_exact_dedup(spark):
     assert exact_dedup(frame(spark, [])).count() == 0
 
 
+def test_exact_dedup_hot_groups(spark):
+    """Groups on both sides of the broadcast bound, one of them without any id."""
+    rows = [(i, f"text {i % 7}" if i < 300 else f"own {i}", "s") for i in range(400)]
+    rows += [(None, "nameless", "s")] * 50 + [(None, "few", "s")] * 3 + [(500 + i, "pair", "s") for i in range(2)]
+    got = exact_dedup(frame(spark, rows)).collect()
+    ids, size = defaultdict(list), Counter(t for _, t, _ in rows)
+    for i, t, _ in rows:
+        ids[t].append(i)
+    keep = {t: max((x for x in v if x is not None), default=None) for t, v in ids.items()}
+    want = Counter((i, keep[t], size[t], i == keep[t]) for i, t, _ in rows)
+    assert Counter((r.doc_id, r.keep_id, r.group_size, r.kept) for r in got) == want
+
+
 def shingle_set(t):
     w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     return {tuple(w[i:i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())

@@ -311,6 +311,27 @@ def test_pack(spark):
     assert pack(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
 
 
+def test_repeated_rows_spread_and_pack_in_bounded_time(spark):
+    """Rows without id and with one text: every piece conflicts with every other, so each takes a bin of its own."""
+    import time
+    t0 = time.perf_counter()
+    assert best_fit([(3, 1, 2)] * 100_000, 50) == [(i, 0) for i in range(100_000)]
+    assert time.perf_counter() - t0 < 20
+    rows = spark.range(4000).selectExpr("cast(null as long) doc_id", "'same words here' text", "'s' source", "'clash' piece", "1 bin_id")
+    got = pack(rows, capacity=50, shard_items=100).collect()
+    assert len(got) == 4000 and len({r.bin_id for r in got}) == 4000
+    per_shard = Counter(r.bin_id >> 32 for r in got)
+    assert len(per_shard) == 40 and max(per_shard.values()) < 200
+
+
+def test_pack_odd_ids_ties_and_extra_columns(spark):
+    rows = [("", "a b", "x"), ("z", "a c", "x"), (None, "a d", "y"), (None, None, None), ("", "a b", "x"), ("k", "e f g h i", None), ("l", " ", "x")]
+    got = pack(spark.createDataFrame([(*r, 1, "q", 2) for r in rows], "doc_id string, text string, source string, start int, position string, _id int"), capacity=4).collect()
+    assert Counter((r.doc_id, r.piece, r.start, r.n_words) for r in got) == Counter(
+        [("", 0, 0, 2), ("", 0, 0, 2), ("z", 0, 0, 2), (None, 0, 0, 2), (None, 0, 0, 0), ("k", 0, 0, 4), ("k", 1, 4, 1), ("l", 0, 0, 0)])
+    assert all((r.bin_id is None) == (r.n_words == 0) for r in got)
+
+
 # --- token counts --------------------------------------------------------------------------
 
 def greedy(pieces, longest, data):
