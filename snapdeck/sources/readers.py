@@ -9,7 +9,10 @@ rule without per-file footers.
 
 from __future__ import annotations
 
+import datetime as dt
+import re
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +31,7 @@ SLIM_SCHEMA = T.StructType([
     T.StructField("org_type", T.StringType()),
 ])
 
+STAMP_RE = r"(\d{4}-\d{2}-\d{2})"
 SNAPSHOT_FILE_RE = r"(\d{4}-\d{2}-\d{2})\.parquet$"
 
 
@@ -81,6 +85,52 @@ def read_era(spark: SparkSession, paths: dict[str, Sequence[str]], schema: T.Str
     return out
 
 
+def weekly_files(spark: SparkSession, path: str) -> dict[dt.date, str]:
+    """The dated Parquet files of a folder (a listing; of two with one date the last name)."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = {}
+    for s in sorted(p.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(p), key=lambda s: s.getPath().getName()):
+        m = re.search(SNAPSHOT_FILE_RE, s.getPath().getName())
+        if m:
+            found[dt.date.fromisoformat(m[1])] = s.getPath().toString()
+    return found
+
+
+def discover_eras(spark: SparkSession, path: str, created: str = "createdAt", threads: int = 16) -> tuple[dict[str, list[str]], dict[str, str]]:
+    """A3: the files of a folder by the era of their ``created`` column, from their footers, and the unreadable ones with the reason.
+
+    Each footer is read by a Spark task of its own; ``threads`` of these one-task jobs run at a time, and one schema per file
+    comes back. Files without the column are of the ``string`` era (it reads as NULL there).
+    """
+    session = spark.newSession()
+    session.conf.set("spark.sql.legacy.parquet.nanosAsLong", "true")  # ns timestamps are 64-bit integers in this session
+    kinds = {T.LongType(): "nanos", T.TimestampType(): "micros", T.TimestampNTZType(): "micros"}
+    files = list(weekly_files(spark, path).values())
+
+    def era(f: str) -> tuple[str, str | None, str | None]:
+        try:
+            s = session.read.parquet(f).schema
+        except Exception as e:  # noqa: BLE001 - reported with its reason
+            return f, None, str(e).splitlines()[0]
+        return f, kinds.get(s[created].dataType, "string") if created in s.names else "string", None
+    out, bad = {"string": [], "micros": [], "nanos": []}, {}
+    with ThreadPoolExecutor(threads) as pool:
+        for f, kind, reason in pool.map(era, files):
+            if kind:
+                out[kind].append(f)
+            else:
+                bad[f] = reason
+    return out, bad
+
+
+def read_folder(spark: SparkSession, path: str, schema: T.StructType = SLIM_SCHEMA, created: str = "createdAt") -> DataFrame:
+    """A3: a folder of weekly files of any eras: one scan per era, columns that a file lacks are NULL. Unreadable files are an error."""
+    eras, bad = discover_eras(spark, path, created)
+    if bad:
+        raise ValueError(f"unreadable files: {bad}")
+    return read_era(spark, eras, schema, created)
+
+
 ORGS_SCHEMA = T.StructType([
     T.StructField("slug", T.StringType()), T.StructField("org_type", T.StringType()),
     T.StructField("model_count", T.LongType()), T.StructField("followers", T.LongType()),
@@ -89,14 +139,14 @@ ORGS_SCHEMA = T.StructType([
 
 
 def load_orgs(spark: SparkSession, path: str) -> DataFrame:
-    """A4: org scrape CSV(s) -> (author, csv_type, followers).  The newest
-    date-stamped file wins (file names sort chronologically); within it the
-    first row per slug is kept (file position = row order within a split)."""
+    """A4: org scrape CSV(s) -> (author, csv_type, followers).  The file with the newest date stamp in its name
+    wins; within it the first row per slug is kept, in the file's own order: by the start of the split a row
+    was read in, then by its number there, however the splits are dealt to tasks."""
     df = (spark.read.schema(ORGS_SCHEMA).option("header", True).csv(path)
-          .withColumn("_file", F.col("_metadata.file_path"))
-          .withColumn("_pos", F.monotonically_increasing_id()))
-    newest = df.agg(F.max("_file").alias("_file"))
-    df = df.join(F.broadcast(newest), "_file", "left_semi")
+          .withColumn("_file", F.struct(F.to_date(F.regexp_extract(F.col("_metadata.file_name"), STAMP_RE, 1)).alias("stamp"), F.col("_metadata.file_path").alias("path")))
+          .withColumn("_pos", F.struct(F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("row"))))
+    newest = df.agg(F.max("_file")).scalar()
+    df = df.filter(F.col("_file") == newest)
     first = F.min_by(F.struct("org_type", "followers"), "_pos")  # reduced map-side even for a hot slug
     return (df.groupBy("slug").agg(first.alias("f"))
             .select(F.col("slug").alias("author"), F.col("f.org_type").alias("csv_type"), F.col("f.followers")))
