@@ -202,13 +202,17 @@ def _smooth(hist: DataFrame, part: Sequence[str], sigma: str, bins: int) -> Data
     of radius ceil(4σ), up to its constant sum, which peak-normalised curves don't need.  A group has at most
     ``bins`` cells, gathered into one row; the result is (part, ds) with the dense array of smoothed cells.
     ``sigma`` is a column that is constant in a group."""
-    g = hist.groupBy(*part).agg(F.sort_array(F.collect_list(F.struct("bin", "h"))).alias("_cells"), F.first(sigma).alias("_s"))
-    r = F.ceil(F.lit(4.0) * F.col("_s"))
+    g = hist.groupBy(*part).agg(F.map_from_entries(F.collect_list(F.struct("bin", "h"))).alias("_cells"), F.first(sigma).alias("_s"))
+    every = F.sequence(F.lit(0), F.lit(bins - 1))
+    reach = F.least(F.ceil(F.lit(4.0) * F.col("_s")), F.lit(bins - 1)).cast("int")  # farther offsets leave the grid
+    g = g.withColumn("_r", reach).withColumn("_kernel", F.transform(F.sequence(-F.col("_r"), F.col("_r")), lambda j: F.exp(F.lit(-0.5) * F.pow(j / F.col("_s"), 2))))
+    edge = F.array_repeat(F.lit(0.0), F.col("_r"))
+    g = g.withColumn("_h", F.concat(edge, F.transform(every, lambda i: F.coalesce(F.col("_cells")[i], F.lit(0.0))), edge))
 
     def cell(i):
-        near = F.filter("_cells", lambda c: F.abs(c["bin"] - i) <= r)
-        return F.aggregate(near, F.lit(0.0), lambda acc, c: acc + c["h"] * F.exp(F.lit(-0.5) * F.pow((i - c["bin"]) / F.col("_s"), 2)))
-    return g.select(*part, F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), cell).alias("ds"))
+        near = F.zip_with(F.slice("_h", i + 1, 2 * F.col("_r") + 1), "_kernel", lambda h, k: h * k)
+        return F.aggregate(near, F.lit(0.0), lambda acc, x: acc + x)
+    return g.select(*part, F.transform(every, cell).alias("ds"))
 
 
 def log_density(df: DataFrame, value: str, part: Sequence[str] = ("org_type",), lower: str | None = None,

@@ -73,11 +73,10 @@ def topic_series(panel: DataFrame, vocab: DataFrame) -> DataFrame:
 
 
 def _grid(panel: DataFrame, vocab: DataFrame) -> DataFrame:
-    """Snapshots x vocabulary, generated from the vocabulary array (a scalar
-    subquery, bounded by tasks + top free-form) exploded on each snapshot row:
-    no join."""
-    arr = vocab.agg(F.array_sort(F.collect_list("topic")).alias("_v")).scalar()
-    return snapshot_dim(panel).select("snapshot_date", F.explode(arr).alias("topic"))
+    """Vocabulary x snapshots, generated from the array of dates (a scalar subquery, one value per snapshot)
+    exploded on each topic row: no join, and no vocabulary in one value."""
+    dates = snapshot_dim(panel).agg(F.array_sort(F.collect_list("snapshot_date"))).scalar()
+    return vocab.select("topic", F.explode(dates).alias("snapshot_date"))
 
 
 def license_long(panel: DataFrame) -> DataFrame:
