@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 _CACHE = 1 << 18
+_CACHED_BYTES = 64
 
 
 def read_vocabulary(path: str) -> list[bytes]:
@@ -96,7 +97,9 @@ class _Words(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) >= _CACHE:
             self.clear()
-        self[word] = n = self.count(b" " + word)
+        n = self.count(b" " + word)
+        if len(word) <= _CACHED_BYTES:  # long words are counted anew, so the cache is bounded in bytes as well
+            self[word] = n
         return n
 
 

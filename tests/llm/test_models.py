@@ -364,3 +364,12 @@ def test_token_counts(spark):
         assert got[r.doc_id].n_words == len(words) and got[r.doc_id].n_tokens == sum(greedy(pieces, longest, b" " + w) for w in words)
     odd = spark.createDataFrame([(1, None, 5), (1, "", 5), (None, " \n", 5), (4, "ab\x00é 漢字 " * 3, 5)], "doc_id long, text string, n_tokens int")
     assert sorted(r.n_words for r in token_counts(odd).collect()) == [0, 0, 0, 6] and token_counts(odd.limit(0)).count() == 0
+
+
+def test_token_cache_is_bounded_in_bytes():
+    from snapdeck.llm.token_counts import _CACHED_BYTES, _Words
+    pieces = [bytes([i]) for i in range(256)] + [b"ab", b" a", b"abab"]
+    known = _Words(Automaton(pieces))
+    for word in (b"a", b"ab" * 32, b"ab" * 33, b"ab" * 50_000):
+        assert known[word] == greedy(set(pieces), 4, b" " + word)
+    assert max(map(len, known)) <= _CACHED_BYTES and len(known) == 2
