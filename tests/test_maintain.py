@@ -37,7 +37,7 @@ def weeks():
 
 def deliver(src, d, rows, tag="", at=0):
     os.makedirs(src, exist_ok=True)
-    f = f"{src}/hf_datasets_min_{d}{tag}.parquet"
+    f = f"{src}/week_{d}{tag}.parquet"
     pq.write_table(pa.table({c: pa.array([r[i] for r in rows], pa.string() if i < 3 else pa.int64()) for i, c in enumerate(COLS)}), f)
     os.utime(f, (1_700_000_000 + 3600 * at,) * 2)
 
