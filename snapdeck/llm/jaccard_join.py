@@ -6,13 +6,15 @@ on classes.
 
 Signatures. Sets of sizes a <= b that are linked have b <= 1.25 a and differ in
 at most (a + b) / 9 shingles. Size bands grow by 1.25**2, so linked sets lie in the same or in
-neighbouring bands and meet under the label of the upper band. A label splits the
-feature domain into somewhat more parts than sets under it can differ in; a
-signature is (label, part, content of the part), so every linked pair agrees on
-parts. Empty parts give no signature. A set with m non-empty parts and at most k
-differing shingles shares at least ``need`` = m - k of them with each linked set. The first
+neighbouring bands and meet under the label of the upper band. PartEnum: a label splits the
+feature domain into first-level partitions, each partition into ``SPLIT`` second-level parts, and enumerates in
+every partition the subsets of ``SPLIT`` - 1 parts. A signature is (label, partition, subset, content of the
+subset); a subset without content gives none. Sets that differ in k shingles agree on a subset of every
+partition that holds at most one of these, so there are somewhat more than k / 2 partitions. The first differing shingle
+of a partition changes at most ``SPLIT`` - 1 signatures and the second the last one: ``lost`` bounds what k of them change,
+and a set with m signatures shares at least ``need`` = m - lost of them with each linked set. The first
 pass checks need >= 1 for every set and label; where a set is unlucky, the
-label gets more parts (``LEVELS``), so the guarantee holds for all rows.
+label gets more partitions (``LEVELS``), so the guarantee holds for all rows.
 
 Candidates. One shuffle of packed signatures tells which occur in two classes.
 A class with fewer than ``need`` shared signatures has no partner and leaves, which removes
@@ -48,6 +50,7 @@ from pyspark.sql import functions as F
 from snapdeck.llm.common import WORD, Scratch, arrow_rows, components, maybe_among, mix, ngram_hashes, rolling_hashes, split_by, word_hashes
 
 SHINGLE = 5
+SPLIT = 3
 LEVELS = (1, 2, 8, 4096)
 FLUSH = 600_000
 LOCAL_HOT = 64
@@ -81,10 +84,16 @@ def labels_of(size: int) -> list[tuple[int, int]]:
     return out
 
 
-def parts_of(label: int, level: int) -> int:
+def partitions_of(label: int, level: int) -> int:
+    """First-level partitions. Few shingles leave many of them empty, so small sets have one for each shingle."""
     largest = EDGES[label + 1] - 1
-    base = 8 * largest if largest <= 64 else -(-6 * (2 * largest // 9 + 1) // 5)
-    return base * LEVELS[level]
+    half = largest // 9  # half of what the largest sets can differ in
+    return (largest if largest <= 64 else half + half // 12 + 7) * LEVELS[level]
+
+
+def lost(k: int, partitions: int) -> int:
+    """Signatures that k differing shingles change at most: dealt to as many partitions as there are, ``SPLIT`` - 1 by the first in each."""
+    return (SPLIT - 1) * min(k, partitions) + min(max(k - partitions, 0), partitions)
 
 
 def shingles(text: str | None, k: int = SHINGLE) -> np.ndarray:
@@ -104,18 +113,34 @@ def _part(s: np.ndarray, label: int, parts: int) -> np.ndarray:
     return ((mix(s ^ _U(0x5851F42D4C957F2D + label)) >> _U(32)) * _U(parts)) >> _U(32)
 
 
+def _cells(s: np.ndarray, label: int, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The partitions, each shingle's place in (partition, part) of these, and how many shingles each subset of ``SPLIT`` - 1 parts holds,
+    a subset being named by the part that it lacks."""
+    partitions = partitions_of(label, level)
+    cell = _part(s, label, SPLIT * partitions).astype(np.int64)
+    if partitions <= 8 * len(s):
+        partition = np.arange(partitions)
+    else:  # many are empty and left out
+        partition, at = np.unique(cell // SPLIT, return_inverse=True)
+        cell = at * SPLIT + cell % SPLIT
+    held = np.bincount(cell, minlength=len(partition) * SPLIT).reshape(-1, SPLIT)
+    return partition, cell, held.sum(axis=1, keepdims=True) - held
+
+
 def signatures(s: np.ndarray, label: int, level: int) -> np.ndarray:
-    """One signature for each non-empty part of the set."""
-    p = _part(s, label, parts_of(label, level))
-    order = np.argsort(p, kind="stable")
-    p = p[order]
-    first = np.flatnonzero(np.concatenate(([True], p[1:] != p[:-1])))
-    content = np.add.reduceat(mix(s[order] + _U(label)), first)
-    return mix(content ^ mix(p[first] + (_U(label) << _U(40))))
+    """One signature for each non-empty subset of ``SPLIT`` - 1 parts of a partition."""
+    partition, cell, held = _cells(s, label, level)
+    content = np.zeros(held.size, _U)
+    np.add.at(content, cell, mix(s + _U(label)))
+    content = content.reshape(-1, SPLIT)
+    subset = content.sum(axis=1, keepdims=True, dtype=_U) - content
+    name = (partition[:, None] * SPLIT + np.arange(SPLIT)).astype(_U) + (_U(label) << _U(40))
+    some = held > 0
+    return mix(subset[some] ^ mix(name[some]))
 
 
 def _nodes(k: int):
-    """Per row: id, row hash, set size, set identity, and the labels whose parts must be finer for this set."""
+    """Per row: id, row hash, set size, set identity, and the labels that must have more partitions for this set."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sizes, names, finer = [], [], []
@@ -126,7 +151,7 @@ def _nodes(k: int):
                 raised = []
                 for label, most in labels_of(len(s)) if len(s) else ():
                     level = 0
-                    while len(np.unique(_part(s, label, parts_of(label, level)))) - most < 1:
+                    while np.count_nonzero(_cells(s, label, level)[2]) - lost(most, partitions_of(label, level)) < 1:
                         level += 1
                     if level:
                         raised.append({"label": label, "level": level})
@@ -206,9 +231,10 @@ def _send(k: int, buckets: int, finer: dict[int, int]):
                 s = shingles(t.as_py(), k)
                 node = None
                 for label, most in labels_of(len(s)) if len(s) else ():
-                    sig = signatures(s, label, finer.get(label, 0))
+                    level = finer.get(label, 0)
+                    sig = signatures(s, label, level)
                     node = set_id(s) if node is None else node
-                    out.add(node, label, len(sig) - most, sig)
+                    out.add(node, label, len(sig) - lost(most, partitions_of(label, level)), sig)
                 if out.size >= FLUSH:
                     yield from flush()
         yield from flush()
@@ -369,7 +395,7 @@ def _members(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
         nodes = s.write(src.mapInArrow(_nodes(k), f"id {kind}, row long, n long, node long, finer array<struct<label:int,level:int>>"), "nodes")
         finer = dict(nodes.select(F.explode("finer").alias("f")).groupBy("f.label").agg(F.max("f.level")).collect())  # one row per band at most
         total = nodes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-        buckets = max(1, -(-total * 6 // 10 // BUCKET_ITEMS))
+        buckets = max(1, -(-total * 9 // 10 // BUCKET_ITEMS))
         sent = s.write(src.select("text").mapInArrow(_send(k, buckets, finer), "bucket long, payload binary"), "sent")
     with arrow_rows(spark, 20):
         # a bucket's entries are distinct; what tasks settled themselves may be met in several tasks. An entry in both only

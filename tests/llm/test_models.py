@@ -5,11 +5,13 @@ import math
 import random
 import re
 import zlib
+from bisect import bisect_right
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 
+from snapdeck.llm import jaccard_join as j
 from snapdeck.llm.elias_fano import SUCC_BITS, EliasFano, Trie
 from snapdeck.llm.lm_scoring import GRID, MU, lm_scores
 from snapdeck.llm.packing import best_fit, pack
@@ -373,3 +375,27 @@ def test_token_cache_is_bounded_in_bytes():
     for word in (b"a", b"ab" * 32, b"ab" * 33, b"ab" * 50_000):
         assert known[word] == greedy(set(pieces), 4, b" " + word)
     assert max(map(len, known)) <= _CACHED_BYTES and len(known) == 2
+
+
+def test_partenum_signatures():
+    """Every linked pair of sets shares ``need`` signatures under the label of the larger set, seen from either side; signatures follow the enumeration."""
+    rng, tried = np.random.default_rng(5), 0
+    for n in [*range(5, 300, 7), 2000]:
+        for level in (0, 1, 3):
+            pool = rng.integers(0, 2**63, n + n // 4 + 1, dtype=np.uint64)
+            a = np.unique(pool[:n])
+            b = np.unique(np.concatenate((a[rng.integers(0, n // 10 + 1):], pool[n:n + rng.integers(0, n // 8 + 1)])))
+            both = len(np.intersect1d(a, b))
+            if 100 * both < 80 * (len(a) + len(b) - both):
+                continue
+            label = bisect_right(j.EDGES, max(len(a), len(b))) - 1
+            partitions = j.partitions_of(label, level)
+            sigs = [j.signatures(x, label, level) for x in (a, b)]
+            shared = len(np.intersect1d(*sigs))
+            for x, s in zip((a, b), sigs, strict=True):
+                part = (j._part(x, label, j.SPLIT * partitions)).tolist()
+                held = {p: {q for q in part if q // j.SPLIT == p} for p in {q // j.SPLIT for q in part}}
+                assert len(s) == len(np.unique(s)) == sum(any(q % j.SPLIT != out for q in parts) for parts in held.values() for out in range(j.SPLIT))
+                assert shared >= len(s) - j.lost(dict(j.labels_of(len(x)))[label], partitions) >= 1
+            tried += 1
+    assert tried > 100
