@@ -149,6 +149,33 @@ def test_mined_half_by_brute_force(spark, min_support):
             assert (got[i].verdict, got[i].confidence) == (w[0], w[1] and pytest.approx(w[1]))
 
 
+def test_no_class_of_a_long_url_is_cut(spark):
+    """A page's rarest classes, beyond its ten most frequent ones, make the rule; and any bound of FP-growth gives the same rules."""
+    from pyspark.sql import functions as F
+    from snapdeck.llm.url_filter import parse_url, url_tokens
+    rnd = random.Random(3)
+    often = [f"w{c}" for c in "abcdefghijk"]
+    urls = []
+    for i in range(90):
+        words = [w for w in often if rnd.random() < 0.85]
+        rare = (["left", "right"], ["left"], ["right"], [])[i % 4]
+        # with both rare words a page is always blocked, with one of them or none by chance
+        host = "net" if len(rare) == 2 or rnd.random() < 0.3 else "org"
+        urls.append(f"http://{host}/{'fr/' if host == 'org' else ''}{'/'.join(words + rare)}")
+    urls += ["http://a.com/left/right", "http://a.com/left", "http://a.com/" + "/".join(often[:4]), "http://b.com/fr/left/right/wa", "http://c.com/"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    host, path = parse_url(F.col("url"))
+    tokens = {r.page_id: r.t for r in pages.select("page_id", url_tokens(F.col("url"), host, path).alias("t")).collect()}
+    want = brute_verdicts(urls, [tokens[i] for i in range(len(urls))], 0.05)
+    assert want[90] == ("block", 1.0)
+    said = []
+    for most in (10, 0):
+        got = {r.page_id: r for r in url_filter(pages, min_support=0.05, max_items=most).collect()}
+        assert [(got[i].verdict, got[i].confidence) for i in range(90, len(urls))] == [(w[0], w[1] and pytest.approx(w[1])) for w in want[90:]]
+        said.append([got[i].mined_rule for i in range(len(urls))])
+    assert said[0] == said[1] and said[0][90] == "p:left p:right"
+
+
 def test_long_labelled_urls(spark):
     """A url of 200 tokens of its own, and one whose tokens all occur elsewhere too, among few labelled pages."""
     rows = [f"http://s{i}.net/word{i}" for i in range(30)] + ["http://t.net/" + "/".join(f"long{i}x" for i in range(200)) + "?" + "&".join(f"k{i}y=1" for i in range(200))]
