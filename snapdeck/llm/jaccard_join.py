@@ -16,7 +16,8 @@ and a set with m signatures shares at least ``need`` = m - lost of them with eac
 pass checks need >= 1 for every set and label; where a set is unlucky, the
 label gets more partitions (``LEVELS``), so the guarantee holds for all rows.
 
-Candidates. One shuffle of packed signatures tells which occur in two classes.
+Candidates. One shuffle of packed signatures tells which occur in two classes. Every label has buckets of its own, so a set's
+signatures lie in few of them and each of its headers serves many.
 A class with fewer than ``need`` shared signatures has no partner and leaves, which removes
 the texts that only share passages. The rest are compared in two steps:
 1. In every signature group each member is verified against one centre (the member whose identity has the
@@ -54,11 +55,11 @@ SPLIT = 3
 LEVELS = (1, 2, 8, 4096)
 FLUSH = 600_000
 LOCAL_HOT = 64
-BUCKET_ITEMS = 1_200_000
+BUCKET_ITEMS = 1_000_000
 BLOCK = 1024
 TASK_ROWS = 8192
 _U = np.uint64
-_SIG = 6  # bytes of a signature in the shuffle; the bucket adds bits
+_SIG = 32  # bits of a signature in the shuffle; the label and the bucket add to them
 
 
 def _band_edges() -> list[int]:
@@ -140,36 +141,54 @@ def signatures(s: np.ndarray, label: int, level: int) -> np.ndarray:
 
 
 def _nodes(k: int):
-    """Per row: id, row hash, set size, set identity, and the labels that must have more partitions for this set."""
+    """Per row: id, row hash, set size, set identity, and its labels: the level of partitions that this set needs, and how many signatures it has there."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sizes, names, finer = [], [], []
+            sizes, names, under = [], [], []
             for t in b.column(1):
                 s = shingles(t.as_py(), k)
                 sizes.append(len(s))
                 names.append(set_id(s) if len(s) else None)
-                raised = []
+                own = []
                 for label, most in labels_of(len(s)) if len(s) else ():
                     level = 0
-                    while np.count_nonzero(_cells(s, label, level)[2]) - lost(most, partitions_of(label, level)) < 1:
+                    while (held := np.count_nonzero(_cells(s, label, level)[2])) - lost(most, partitions_of(label, level)) < 1:
                         level += 1
-                    if level:
-                        raised.append({"label": label, "level": level})
-                finer.append(raised)
+                    own.append({"label": label, "level": level, "held": held, "most": (SPLIT - 1) * len(s)})
+                under.append(own)
             yield pa.RecordBatch.from_arrays([
                 b.column(0), b.column(2), pa.array(sizes, pa.int64()), pa.array(names, pa.int64()),
-                pa.array(finer, pa.list_(pa.struct([("label", pa.int32()), ("level", pa.int32())])))], names=["id", "row", "n", "node", "finer"])
+                pa.array(under, pa.list_(pa.struct([("label", pa.int32()), ("level", pa.int32()), ("held", pa.int64()), ("most", pa.int64())])))], names=["id", "row", "n", "node", "under"])
     return run
 
 
 _DIRECT = np.dtype([("sig", "<u8"), ("node", "<i8"), ("label", "<u2"), ("need", "<u4")])
 
 
+class _Spans:
+    """The buckets of each label: ``many`` from ``first`` on."""
+
+    def __init__(self, many: dict[int, int]):
+        size = max(many, default=0) + 1
+        self.many = np.ones(size, np.int64)
+        for label, n in many.items():
+            self.many[label] = n
+        self.first = np.concatenate(([0], np.cumsum(self.many)))
+        self.total = int(self.first[-1])
+
+    def label(self, bucket: int) -> int:
+        return int(np.searchsorted(self.first, bucket, "right")) - 1
+
+    def whole(self, cut: np.ndarray, place: np.ndarray | int, label: np.ndarray | int) -> np.ndarray:
+        """A signature from its bits in the shuffle, its place among the label's buckets and the label."""
+        return (cut.astype(_U) * self.many[label].astype(_U) + np.asarray(place).astype(_U)) | np.asarray(label).astype(_U) << _U(56)
+
+
 class _Sender:
     """Collects signatures of a task and packs them by bucket."""
 
-    def __init__(self, buckets: int):
-        self.buckets = buckets
+    def __init__(self, spans: _Spans):
+        self.spans = spans
         self.clear()
 
     def clear(self) -> None:
@@ -208,18 +227,20 @@ class _Sender:
             keep = np.ones(len(sig), bool)
             keep[settled] = False
             sig, who = sig[keep], who[keep]
-        for bucket, i in split_by((sig % _U(self.buckets)).astype(np.int64), self.buckets):
+        many = self.spans.many[m["label"][who]].astype(_U)
+        target = (sig % many).astype(np.int64) + self.spans.first[m["label"][who]]
+        cut = (sig // many).astype(np.uint32)
+        for bucket, i in split_by(target, self.spans.total):
             w, n = np.unique(who[i], return_counts=True)  # i is in order of who
-            body = (sig[i] // _U(self.buckets)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_SIG]
-            # columns: labels, needs and counts are small numbers that compress to a byte or two a member
-            small = pa.Codec("zstd").compress(b"".join((m["label"][w].astype("<u2").tobytes(), m["need"][w].astype("<u4").tobytes(), n.astype("<u4").tobytes())), asbytes=True)
-            yield bucket, b"".join((np.array([len(w), len(small)], "<u4").tobytes(), small, m["node"][w].astype("<i8").tobytes(), np.ascontiguousarray(body).tobytes()))
+            # columns: needs and counts are small numbers that compress to a byte or two a member
+            small = pa.Codec("zstd").compress(b"".join((m["need"][w].astype("<u4").tobytes(), n.astype("<u4").tobytes())), asbytes=True)
+            yield bucket, b"".join((np.array([len(w), len(small)], "<u4").tobytes(), small, m["node"][w].astype("<i8").tobytes(), cut[i].astype("<u4").tobytes()))
         self.clear()
 
 
-def _send(k: int, buckets: int, finer: dict[int, int]):
+def _send(k: int, spans: _Spans, finer: dict[int, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = _Sender(buckets)
+        out = _Sender(spans)
 
         def flush():
             rows = list(out.flush())
@@ -249,50 +270,50 @@ def _rows(sig, node, label, need) -> pa.Table:
                      "label": pa.array(label.astype(np.int32)), "need": pa.array(need.astype(np.int32))})
 
 
-def _settle(t: pa.Table) -> pa.Table:
+def _settle(spans: _Spans):
     """The entries of one bucket whose signature occurs in two classes."""
-    sig, who, node, label, need, members = [], [], [], [], [], 0
-    for x in t.column("payload").to_pylist():
-        n, packed = (int(v) for v in np.frombuffer(x, "<u4", 2))
-        small = pa.Codec("zstd").decompress(x[8:8 + packed], 10 * n, asbytes=True)
-        label.append(np.frombuffer(small, "<u2", n))
-        need.append(np.frombuffer(small, "<u4", n, 2 * n))
-        each = np.frombuffer(small, "<u4", n, 6 * n)
-        node.append(np.frombuffer(x, "<i8", n, 8 + packed))
-        total = int(each.sum())
-        body = np.zeros((total, 8), np.uint8)
-        body[:, :_SIG] = np.frombuffer(x, np.uint8, total * _SIG, 8 + packed + 8 * n).reshape(total, _SIG)
-        sig.append(body.view("<u8").ravel())
-        who.append(np.repeat(np.arange(members, members + n, dtype=np.uint32), each))
-        members += n
-    sig, who, node, label, need = (np.concatenate(x) for x in (sig, who, node, label, need))
-    order = np.argsort(sig, kind="stable")
-    v = sig[order]
-    pair = np.concatenate((v[1:] == v[:-1], [False]))
-    some = order[pair | np.concatenate(([False], pair[:-1]))]
-    sig, who = sig[some], who[some]
-    order = np.lexsort((node[who], sig))
-    sig, who = sig[order], who[order]
-    one = node[who]
-    new = np.concatenate(([True], (sig[1:] != sig[:-1]) | (one[1:] != one[:-1]))) if len(sig) else np.zeros(0, bool)
-    sig, who = sig[new], who[new]
-    pair = np.concatenate((sig[1:] == sig[:-1], [False])) if len(sig) else np.zeros(0, bool)
-    keep = pair | np.concatenate(([False], pair[:-1])) if len(sig) else pair
-    sig, who = sig[keep], who[keep]
-    bucket = t.column("bucket")[0].as_py()
-    buckets = t.column("buckets")[0].as_py()
-    whole = ((sig * _U(buckets) + _U(bucket)) << _U(0))
-    return _rows(whole, node[who], label[who], need[who])
-
-
-def _direct(buckets: int):
+    def run(t: pa.Table) -> pa.Table:
+        sig, who, node, need, members = [], [], [], [], 0
+        for x in t.column("payload"):
+            x = x.as_buffer()
+            n, packed = (int(v) for v in np.frombuffer(x, "<u4", 2))
+            small = pa.Codec("zstd").decompress(x.slice(8, packed), 8 * n, asbytes=True)
+            need.append(np.frombuffer(small, "<u4", n))
+            each = np.frombuffer(small, "<u4", n, 4 * n)
+            node.append(np.frombuffer(x, "<i8", n, 8 + packed))
+            sig.append(np.frombuffer(x, "<u4", int(each.sum()), 8 + packed + 8 * n))
+            who.append(np.repeat(np.arange(members, members + n, dtype=np.uint32), each))
+            members += n
+        sig, who, node, need = (np.concatenate(x) for x in (sig, who, node, need))
+        order = np.argsort(sig, kind="stable")
+        v = sig[order]
+        pair = np.concatenate((v[1:] == v[:-1], [False]))
+        some = order[pair | np.concatenate(([False], pair[:-1]))]
+        del order, v, pair
+        sig, who = sig[some], who[some]
+        order = np.lexsort((node[who], sig))
+        sig, who = sig[order], who[order]
+        one = node[who]
+        new = np.concatenate(([True], (sig[1:] != sig[:-1]) | (one[1:] != one[:-1]))) if len(sig) else np.zeros(0, bool)
+        sig, who = sig[new], who[new]
+        pair = np.concatenate((sig[1:] == sig[:-1], [False])) if len(sig) else np.zeros(0, bool)
+        keep = pair | np.concatenate(([False], pair[:-1])) if len(sig) else pair
+        sig, who = sig[keep], who[keep]
+        bucket = t.column("bucket")[0].as_py()
+        label = spans.label(bucket)
+        return _rows(spans.whole(sig, bucket - int(spans.first[label]), label), node[who], np.full(len(who), label), need[who])
+    return run
+
+
+def _direct(spans: _Spans):
     """Rows of the entries settled in their task, with signatures cut like those of the shuffle."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for x in b.column(0).to_pylist():
                 d = np.frombuffer(x, _DIRECT)
-                cut = (d["sig"] // _U(buckets)) & _U((1 << 8 * _SIG) - 1)
-                yield from _rows(cut * _U(buckets) + d["sig"] % _U(buckets), d["node"], d["label"], d["need"]).to_batches()
+                many = spans.many[d["label"]].astype(_U)
+                cut = (d["sig"] // many) & _U((1 << _SIG) - 1)
+                yield from _rows(spans.whole(cut, d["sig"] % many, d["label"]), d["node"], d["label"], d["need"]).to_batches()
     return run
 
 
@@ -339,9 +360,15 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def _asked(sets: DataFrame, pairs: DataFrame, col: str) -> DataFrame:
+    """The sets named in a column of the pairs, and a few others by chance: only these are shuffled."""
+    keys = pairs.select(col).distinct()
+    return maybe_among(sets, "node", keys, col, "_hit", keys.count()).filter("_hit").select(F.col("node").alias(col), "items")
+
+
 def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    x = sets.select(F.col("node").alias("a"), F.col("items").alias("x"))
-    y = sets.select(F.col("node").alias("b"), F.col("items").alias("y"))
+    x = _asked(sets, pairs, "a").withColumnRenamed("items", "x")
+    y = _asked(sets, pairs, "b").withColumnRenamed("items", "y")
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_linked, "a long, b long")
 
 
@@ -392,21 +419,24 @@ def _members(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), _row(id_col, text_col).alias("row"))
     kind = docs.schema[id_col].dataType.simpleString()
     with arrow_rows(spark, 500):
-        nodes = s.write(src.mapInArrow(_nodes(k), f"id {kind}, row long, n long, node long, finer array<struct<label:int,level:int>>"), "nodes")
-        finer = dict(nodes.select(F.explode("finer").alias("f")).groupBy("f.label").agg(F.max("f.level")).collect())  # one row per band at most
-        total = nodes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-        buckets = max(1, -(-total * 9 // 10 // BUCKET_ITEMS))
-        sent = s.write(src.select("text").mapInArrow(_send(k, buckets, finer), "bucket long, payload binary"), "sent")
+        nodes = s.write(src.mapInArrow(_nodes(k), f"id {kind}, row long, n long, node long, under array<struct<label:int,level:int,held:long,most:long>>"), "nodes")
+        bands = nodes.select(F.explode("under").alias("u")).groupBy("u.label").agg(F.max("u.level"), F.sum("u.held"), F.sum("u.most")).collect()  # one row per band at most
+        finer = {label: level for label, level, _, _ in bands}
+        # more partitions than a set needs give it more signatures, but a shingle is in SPLIT - 1 of them at most
+        spans = _Spans({label: -(-min(held * LEVELS[level], most) // BUCKET_ITEMS) for label, level, held, most in bands})
+        sent = s.write(src.select("text").mapInArrow(_send(k, spans, finer), "bucket long, payload binary"), "sent")
     with arrow_rows(spark, 20):
         # a bucket's entries are distinct; what tasks settled themselves may be met in several tasks. An entry in both only
         # raises a member's count or a group's size, which rule nothing out
-        settled = sent.filter("bucket >= 0").withColumn("buckets", F.lit(buckets)).groupBy("bucket").applyInArrow(_settle, _SHARED)
-        direct = sent.filter("bucket < 0").select("payload").mapInArrow(_direct(buckets), _SHARED)
+        settled = sent.filter("bucket >= 0").groupBy("bucket").applyInArrow(_settle(spans), _SHARED)
+        direct = sent.filter("bucket < 0").select("payload").mapInArrow(_direct(spans), _SHARED)
         shared = s.write(settled.unionByName(direct.groupBy("sig", "node", "label").agg(F.max("need").alias("need"))), "shared")
     s.drop("sent")
-    # members with too few shared signatures leave, then signatures with one member; a group's size and centre come along
-    enough = shared.groupBy("node", "label").agg(F.count("*").alias("_n"), F.max("need").alias("_need")).filter("_n >= _need")
-    left = shared.join(enough.select("node", "label"), ["node", "label"], "left_semi")
+    # members with too few shared signatures leave, but for chance hits of the bitmap, then signatures with one member; a group's
+    # size and centre come along
+    member = F.xxhash64("node", "label").alias("_member")
+    enough = s.write(shared.groupBy(member).agg(F.count("*").alias("_n"), F.max("need").alias("_need")).filter("_n >= _need").select("_member"), "enough")
+    left = maybe_among(shared.withColumn("_member", member), "_member", enough, "_member", "_hit", enough.count()).filter("_hit").drop("_member", "_hit")
     first = F.min(F.struct(F.xxhash64("node").alias("_h"), "node"))
     alive = left.groupBy("sig").agg(F.count("*").alias("size"), first.alias("_first")).filter("size > 1")
     members = s.write(left.join(alive, "sig").select("sig", "node", "label", "need", "size", F.col("_first.node").alias("centre")), "members")
@@ -429,8 +459,7 @@ def _members(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
         sets = s.write(sets.join(twice, "node", "left_anti").unionByName(repeated), "sets")
 
     # step 1: each member with the centre of its group
-    stars = (members.filter("node != centre")
-             .select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct())
+    stars = s.write(members.filter("node != centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct(), "stars")
     with arrow_rows(spark, 500):
         links = s.write(_verify(stars, sets), "links-1")
     comps = components(active.select("node", "label"), links, s, "first")
@@ -455,7 +484,7 @@ def _members(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
         rest = s.write(open_.groupBy("_task").applyInArrow(_cross, "a long, b long").distinct(), "rest")
         more = s.write(_verify(rest, sets), "links-2")
     final = components(comps, more, s, "second")
-    for table in ("sets-read", "sets-twice", "sets", "sketches", "placed", "open", "rest", "members", "links-1"):
+    for table in ("enough", "stars", "sets-read", "sets-twice", "sets", "sketches", "placed", "open", "rest", "members", "links-1"):
         s.drop(table)
     named = (nodes.select("id", "row", "n", "node").join(classes.select("node", F.col("label").alias("_least")), "node", "left")
              .join(final.withColumnRenamed("label", "_final"), "node", "left").withColumn("_label", F.coalesce("_final", "_least")))

@@ -1,6 +1,7 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing extra columns, against brute force."""
 
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -239,3 +240,25 @@ def test_decontaminate(spark, items):
         assert all(r.contaminated == (r.n_hit > 0) and r.n_items == len(r.items) for r in got)
     clean = {r.doc_id for r in clean_documents(frame(spark, rows), bench).collect()}
     assert clean == {i for i, t, _ in rows if not brute_hits(t, items)[1]}
+
+
+def test_signatures_are_sent_in_few_bytes(spark, monkeypatch):
+    """A label's sets use the label's buckets only: a set's header is not repeated in the buckets of other labels."""
+    from pyspark.sql import functions as F
+    from snapdeck.llm import jaccard_join as jj
+    rnd = random.Random(5)
+    texts = [" ".join(f"w{rnd.randrange(10 ** 6)}" for _ in range(rnd.choice([30, 60, 150, 300]))) for _ in range(300)]
+    sizes, write = [], jj.Scratch.write
+
+    def noted(self, df, table, *a):
+        out = write(self, df, table, *a)
+        if table == "sent":
+            sizes.append(out.agg(F.sum(F.length("payload"))).first()[0])
+        return out
+
+    monkeypatch.setattr(jj.Scratch, "write", noted)
+    monkeypatch.setattr(jj, "BUCKET_ITEMS", 2000)
+    got = jj.jaccard_components(spark.createDataFrame([*enumerate(texts), (300, texts[7] + " more")], "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: 7 if i == 300 else i for i in range(301)}
+    sent = sum(len(jj.signatures(s, label, 0)) for s in map(jj.shingles, texts) for label, _ in jj.labels_of(len(s)))
+    assert sizes[0] < 6 * sent
