@@ -53,11 +53,12 @@ from snapdeck.llm.common import WORD, Scratch, arrow_rows, components, maybe_amo
 SHINGLE = 5
 SPLIT = 3
 LEVELS = (1, 2, 8, 4096)
-FLUSH = 600_000
+FLUSH = 300_000
 LOCAL_HOT = 64
 BUCKET_ITEMS = 1_000_000
 BLOCK = 1024
 TASK_ROWS = 8192
+SLICE = 128  # members of a block compared at a time
 _U = np.uint64
 _SIG = 32  # bits of a signature in the shuffle; the label and the bucket add to them
 
@@ -385,24 +386,27 @@ def _cross(t: pa.Table) -> pa.Table:
     sketches = t.column("sketch").to_pylist()
     found = []
     for u in np.split(order, turn):
-        left, right = u[block[u] == bx[u[0]]], u[block[u] == by[u[0]]]
-        if not len(left) or not len(right):
+        first, right = u[block[u] == bx[u[0]]], u[block[u] == by[u[0]]]
+        if not len(first) or not len(right):
             continue
-        x, y = n[left][:, None], n[right][None, :]
-        ok = ((comp[left][:, None] != comp[right][None, :]) & (5 * np.minimum(x, y) >= 4 * np.maximum(x, y))
-              & (np.maximum(x, y) >= EDGES[label[u[0]]]))
-        if bx[u[0]] == by[u[0]]:
-            ok &= node[left][:, None] < node[right][None, :]
-        i, j = np.nonzero(ok)
-        if not len(i):
-            continue
-        p, q = (np.frombuffer(b"".join(sketches[k] for k in v), _U).reshape(len(v), -1) for v in (left, right))
-        most = (n[left[i]] + n[right[j]]) // 9
-        for c in range(0, len(i), 8192):  # the sketches bound the difference from below
-            d = slice(c, c + 8192)
-            near = np.flatnonzero(np.bitwise_count(p[i[d]] ^ q[j[d]]).sum(axis=1) <= most[d]) + c
-            if len(near):
-                found.append(np.stack((node[left[i[near]]], node[right[j[near]]])))
+        q = np.frombuffer(b"".join(sketches[k] for k in right), _U).reshape(len(right), -1)
+        for at in range(0, len(first), SLICE):
+            left = first[at:at + SLICE]
+            x, y = n[left][:, None], n[right][None, :]
+            ok = ((comp[left][:, None] != comp[right][None, :]) & (5 * np.minimum(x, y) >= 4 * np.maximum(x, y))
+                  & (np.maximum(x, y) >= EDGES[label[u[0]]]))
+            if bx[u[0]] == by[u[0]]:
+                ok &= node[left][:, None] < node[right][None, :]
+            i, j = np.nonzero(ok)
+            if not len(i):
+                continue
+            p = np.frombuffer(b"".join(sketches[k] for k in left), _U).reshape(len(left), -1)
+            most = (n[left[i]] + n[right[j]]) // 9
+            for c in range(0, len(i), 8192):  # the sketches bound the difference from below
+                d = slice(c, c + 8192)
+                near = np.flatnonzero(np.bitwise_count(p[i[d]] ^ q[j[d]]).sum(axis=1) <= most[d]) + c
+                if len(near):
+                    found.append(np.stack((node[left[i[near]]], node[right[j[near]]])))
     pairs = np.unique(np.sort(np.concatenate(found, axis=1), axis=0), axis=1) if found else np.zeros((2, 0), np.int64)
     return pa.table({"a": pa.array(pairs[0], pa.int64()), "b": pa.array(pairs[1], pa.int64())})
 
@@ -424,7 +428,7 @@ def _members(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
         finer = {label: level for label, level, _, _ in bands}
         # more partitions than a set needs give it more signatures, but a shingle is in SPLIT - 1 of them at most
         spans = _Spans({label: -(-min(held * LEVELS[level], most) // BUCKET_ITEMS) for label, level, held, most in bands})
-        sent = s.write(src.select("text").mapInArrow(_send(k, spans, finer), "bucket long, payload binary"), "sent")
+        sent = s.write(src.select("text").mapInArrow(_send(k, spans, finer), "bucket long, payload binary"), "sent", "uncompressed")
     with arrow_rows(spark, 20):
         # a bucket's entries are distinct; what tasks settled themselves may be met in several tasks. An entry in both only
         # raises a member's count or a group's size, which rule nothing out
@@ -451,7 +455,7 @@ def _members(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
     rows = active.select(F.col("label.row").alias("row"))
     near = maybe_among(src.select("row", "text"), "row", rows, "row", "_hit", active.count()).filter("_hit")
     with arrow_rows(spark, 500):
-        sets = s.write(near.select("text").mapInArrow(_sets(k), "node long, items binary"), "sets-read")
+        sets = s.write(near.select("text").mapInArrow(_sets(k), "node long, items binary"), "sets-read", "uncompressed")
     # only sets met in several tasks (rows repeated with their id) are shuffled
     twice = s.write(sets.groupBy("node").count().filter("count > 1").select("node"), "sets-twice")
     repeated = sets.join(twice, "node", "left_semi").dropDuplicates(["node"]) if twice.limit(1).count() else None
@@ -478,7 +482,7 @@ def _members(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
                     .select("sig", "node", "label", "comp", "n", "block", F.least("block", "_other").alias("bx"), F.greatest("block", "_other").alias("by")), "open")
     many = max(1, -(-open_.count() // TASK_ROWS))
     with arrow_rows(spark, 500):
-        bits = s.write(sets.mapInArrow(_sketches, "node long, label int, sketch binary"), "sketches")
+        bits = s.write(sets.mapInArrow(_sketches, "node long, label int, sketch binary"), "sketches", "uncompressed")
     open_ = open_.join(bits, ["node", "label"]).withColumn("_task", F.pmod(F.xxhash64("sig", "bx", "by"), F.lit(many)))
     with arrow_rows(spark, 500):
         rest = s.write(open_.groupBy("_task").applyInArrow(_cross, "a long, b long").distinct(), "rest")

@@ -262,3 +262,26 @@ def test_signatures_are_sent_in_few_bytes(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in got} == {i: 7 if i == 300 else i for i in range(301)}
     sent = sum(len(jj.signatures(s, label, 0)) for s in map(jj.shingles, texts) for label, _ in jj.labels_of(len(s)))
     assert sizes[0] < 6 * sent
+
+
+def test_blocks_are_compared_in_bounded_memory():
+    """Two whole blocks of sets whose sizes allow links: the pairs that the sketches leave, without a matrix of all pairs at once."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+    from snapdeck.llm import jaccard_join as jj
+    rng = np.random.default_rng(2)
+    sets = [rng.integers(1, 1 << 60, 150).astype(np.uint64) for _ in range(jj.BLOCK)]
+    sets += [np.concatenate((s[:140], rng.integers(1, 1 << 60, 10).astype(np.uint64))) for s in sets]
+    many = len(sets)
+    label = jj.labels_of(150)[0][0]
+    same = lambda v: pa.array([v] * many, pa.int64())
+    t = pa.table({"sig": same(1), "node": pa.array(range(many)), "label": pa.array([label] * many, pa.int32()), "comp": pa.array(range(many)), "n": same(150),
+                  "block": pa.array([i // jj.BLOCK for i in range(many)]), "bx": same(0), "by": same(1), "sketch": pa.array([jj.sketch(s, label) for s in sets], pa.binary())})
+    tracemalloc.start()
+    got = jj._cross(t)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert {(i, i + jj.BLOCK) for i in range(jj.BLOCK)} <= set(zip(got["a"].to_pylist(), got["b"].to_pylist(), strict=True))
+    assert peak < 12e6
