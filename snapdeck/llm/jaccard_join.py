@@ -20,11 +20,11 @@ Candidates. One shuffle of packed signatures tells which occur in two classes. E
 signatures lie in few of them and each of its headers serves many.
 A class with fewer than ``need`` shared signatures has no partner and leaves, which removes
 the texts that only share passages. The rest are compared in two steps:
-1. In every signature group each member is verified against one centre (the member whose identity has the
-   least hash, so a family keeps meeting the same few centres): a number of pairs linear in the group. Links give components.
-2. Pairs of different components in one group are left. They are compared in blocks
-   of ``BLOCK`` members by their sizes and by parity sketches, which may not differ more than linked sets
-   can. The few pairs that remain are verified.
+1. In every signature group each member is compared with one centre (the member whose identity has the
+   least hash, so a family keeps meeting the same few centres): a number of pairs linear in the group. Sizes and parity sketches, which
+   may not differ more than linked sets can, rule most out; the others are verified. Links give components.
+2. Pairs of different components in one group are left; of groups with the same members one is looked at. They are compared in blocks
+   of ``BLOCK`` members by their sizes and sketches. The few pairs that remain are verified.
 Links inside a component found in step 1 need no further look: components stay exact.
 
 Skew. Copies are one class. A signature that many classes of one task hold is settled there
@@ -342,10 +342,21 @@ def sketch(s: np.ndarray, label: int) -> bytes:
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        rows = [(node, label, sketch(s, label)) for node, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)
+        rows = [(node, label, len(s), sketch(s, label)) for node, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)
                 for s in [np.frombuffer(x, _U)] for label, _ in labels_of(len(s))]
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()),
-                                          pa.array([r[2] for r in rows], pa.binary())], names=["node", "label", "sketch"])
+                                          pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.binary())],
+                                         names=["node", "label", "n", "sketch"])
+
+
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs (a, b) of (a, b, m, x, n, y) whose sizes m, n and sketches x, y allow a link."""
+    for b in batches:
+        m, n = (b.column(c).to_numpy() for c in (2, 4))
+        differ = np.array([np.bitwise_count(np.frombuffer(x.as_py(), _U) ^ np.frombuffer(y.as_py(), _U)).sum()
+                           for x, y in zip(b.column(3), b.column(5), strict=True)], np.int64)
+        keep = (5 * np.minimum(m, n) >= 4 * np.maximum(m, n)) & (differ <= (m + n) // 9)
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep))
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -367,6 +378,20 @@ def _asked(sets: DataFrame, pairs: DataFrame, col: str) -> DataFrame:
     return maybe_among(sets, "node", keys, col, "_hit", keys.count()).filter("_hit").select(F.col("node").alias(col), "items")
 
 
+def _allowed(pairs: DataFrame, bits: DataFrame) -> DataFrame:
+    """The pairs that may be linked, from (a, b, label) with a label that both sets have: only their texts are compared."""
+    x = bits.select(F.col("node").alias("a"), "label", F.col("n").alias("m"), F.col("sketch").alias("x"))
+    y = bits.select(F.col("node").alias("b"), "label", "n", F.col("sketch").alias("y"))
+    return pairs.join(x, ["a", "label"]).join(y, ["b", "label"]).select("a", "b", "m", "x", "n", "y").mapInArrow(_near, "a long, b long")
+
+
+def _one_of_equal(groups: DataFrame) -> DataFrame:
+    """(sig, _blocks): of the groups that hold the same members under one label, one. Identities are hashes, so their number and the sums
+    of their halves name the members; a member may be in a group twice, which sums, unlike parities, keep apart."""
+    return (groups.groupBy(F.shiftrightunsigned("sig", 56), "_lo", "_hi", "_members", "_x", "_y").agg(F.min("sig").alias("sig"))
+            .select("sig", F.ceil(F.col("_members") / BLOCK).alias("_blocks")))
+
+
 def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     x = _asked(sets, pairs, "a").withColumnRenamed("items", "x")
     y = _asked(sets, pairs, "b").withColumnRenamed("items", "y")
@@ -444,7 +469,8 @@ def _members(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
     first = F.min(F.struct(F.xxhash64("node").alias("_h"), "node"))
     alive = left.groupBy("sig").agg(F.count("*").alias("size"), first.alias("_first")).filter("size > 1")
     members = s.write(left.join(alive, "sig").select("sig", "node", "label", "need", "size", F.col("_first.node").alias("centre")), "members")
-    s.drop("shared")
+    for table in ("shared", "enough"):
+        s.drop(table)
 
     # labels are ordered by the least id, a null one last; row and node tell classes with one id apart
     classes = (nodes.filter("n > 0").groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("missing"), "id", "row")).alias("_least"), F.first("n").alias("n"))
@@ -461,12 +487,18 @@ def _members(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
     repeated = sets.join(twice, "node", "left_semi").dropDuplicates(["node"]) if twice.limit(1).count() else None
     if repeated is not None:
         sets = s.write(sets.join(twice, "node", "left_anti").unionByName(repeated), "sets")
+        s.drop("sets-read")
+    s.drop("sets-twice")
 
     # step 1: each member with the centre of its group
-    stars = s.write(members.filter("node != centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct(), "stars")
     with arrow_rows(spark, 500):
+        bits = s.write(sets.mapInArrow(_sketches, "node long, label int, n long, sketch binary"), "sketches", "uncompressed")
+        met = members.filter("node != centre").groupBy(F.col("node").alias("a"), F.col("centre").alias("b")).agg(F.min("label").alias("label"))
+        stars = s.write(_allowed(met, bits), "stars")
         links = s.write(_verify(stars, sets), "links-1")
+    s.drop("stars")
     comps = components(active.select("node", "label"), links, s, "first")
+    s.drop("links-1")
 
     # step 2: what is left between components. A linked pair has ``need`` common signatures from either side, so it
     # meets in one of the first (count - need + 1) of each member's signatures, rarest first
@@ -474,25 +506,34 @@ def _members(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
     known = comps.select("node", F.col("label.node").alias("comp")).join(sizes, "node")
     placed = s.write(members.drop("centre").join(known, "node")  # dealt by node, as the windows need it
                      .withColumn("_rank", F.row_number().over(mine.orderBy("size", "sig"))).withColumn("_count", F.count("*").over(mine)), "placed")
-    probes = placed.filter("_rank <= _count - need + 1")
-    mixed = (probes.groupBy("sig").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.count("*").alias("_members"))
-             .filter("_lo < _hi").select("sig", F.ceil(F.col("_members") / BLOCK).alias("_blocks")))
+    s.drop("members")
+    probes = placed.filter("_rank <= _count - need + 1").select("sig", "node", "label", "comp", "n")
+    groups = (probes.groupBy("sig").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.count("*").alias("_members"),
+                                        F.expr("sum(node & 4294967295L)").alias("_x"), F.expr("sum(shiftrightunsigned(node, 32))").alias("_y")).filter("_lo < _hi"))
+    mixed = s.write(_one_of_equal(groups), "mixed")
+    # chance hits of the bitmap leave in the join
+    probes = maybe_among(probes, "sig", mixed, "sig", "_hit", mixed.count()).filter("_hit")
     open_ = s.write(probes.join(mixed, "sig").withColumn("block", F.pmod(F.xxhash64("node"), F.col("_blocks")))
                     .withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
                     .select("sig", "node", "label", "comp", "n", "block", F.least("block", "_other").alias("bx"), F.greatest("block", "_other").alias("by")), "open")
+    for table in ("placed", "mixed"):
+        s.drop(table)
     many = max(1, -(-open_.count() // TASK_ROWS))
-    with arrow_rows(spark, 500):
-        bits = s.write(sets.mapInArrow(_sketches, "node long, label int, sketch binary"), "sketches", "uncompressed")
-    open_ = open_.join(bits, ["node", "label"]).withColumn("_task", F.pmod(F.xxhash64("sig", "bx", "by"), F.lit(many)))
+    open_ = open_.join(bits.drop("n"), ["node", "label"]).withColumn("_task", F.pmod(F.xxhash64("sig", "bx", "by"), F.lit(many)))
     with arrow_rows(spark, 500):
         rest = s.write(open_.groupBy("_task").applyInArrow(_cross, "a long, b long").distinct(), "rest")
         more = s.write(_verify(rest, sets), "links-2")
-    final = components(comps, more, s, "second")
-    for table in ("enough", "stars", "sets-read", "sets-twice", "sets", "sketches", "placed", "open", "rest", "members", "links-1"):
+    # a link joins the whole components of its ends, so it runs between the classes that name these
+    named = comps.select("node", F.col("label.node").alias("_named"))
+    across = (more.join(named.select(F.col("node").alias("a"), F.col("_named").alias("_a")), "a").join(named.select(F.col("node").alias("b"), F.col("_named").alias("_b")), "b")
+              .select(F.col("_a").alias("a"), F.col("_b").alias("b")))
+    merged = components(comps.filter("node = label.node"), across, s, "second")
+    final = named.join(merged.select(F.col("node").alias("_named"), "label"), "_named").select("node", "label")
+    for table in ("sets-read", "sets", "sketches", "open", "rest"):
         s.drop(table)
-    named = (nodes.select("id", "row", "n", "node").join(classes.select("node", F.col("label").alias("_least")), "node", "left")
+    rows = (nodes.select("id", "row", "n", "node").join(classes.select("node", F.col("label").alias("_least")), "node", "left")
              .join(final.withColumnRenamed("label", "_final"), "node", "left").withColumn("_label", F.coalesce("_final", "_least")))
-    return named.select("id", "row", "n", F.coalesce("_label.id", "id").alias("name"), F.col("_label.row").alias("first"))
+    return rows.select("id", "row", "n", F.coalesce("_label.id", "id").alias("name"), F.col("_label.row").alias("first"))
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE) -> DataFrame:

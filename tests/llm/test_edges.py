@@ -285,3 +285,53 @@ def test_blocks_are_compared_in_bounded_memory():
     tracemalloc.stop()
     assert {(i, i + jj.BLOCK) for i in range(jj.BLOCK)} <= set(zip(got["a"].to_pylist(), got["b"].to_pylist(), strict=True))
     assert peak < 12e6
+
+
+def test_jaccard_links_found_late_join_whole_components(spark, monkeypatch):
+    """A link of the second step moves all members of a component, not only the one that it names."""
+    from snapdeck.llm import jaccard_join as jj
+
+    def text(*edits):
+        return " ".join(f"edit{i}" if i in edits else f"w{i}" for i in range(100))
+    rows = [(1, text(20, 60), "s"), (2, text(40, 80), "s"), (3, text(), "s")]  # 3 is linked with 1 and 2, these are not linked
+    late, calls, verify = jj.set_id(jj.shingles(rows[0][1])), [], jj._verify
+
+    def first_misses_one(pairs, sets):
+        calls.append(1)
+        links = verify(pairs, sets)
+        return links.filter(f"a != {late} AND b != {late}") if len(calls) == 1 else links
+
+    monkeypatch.setattr(jj, "_verify", first_misses_one)
+    got = jj.jaccard_components(frame(spark, rows)).collect()
+    assert {r.doc_id: r.component_id for r in got} == {1: 1, 2: 1, 3: 1}
+    assert len(calls) == 2
+
+
+def test_texts_are_shipped_only_for_pairs_that_sketches_allow(spark, monkeypatch):
+    """Texts that share half of their shingles meet in groups but are not compared; groups with the same members are looked at once."""
+    from snapdeck.llm import jaccard_join as jj
+    rnd = random.Random(3)
+    base = [f"p{i}" for i in range(150)]
+    texts = [" ".join(base + [f"o{rnd.randrange(10 ** 9)}" for _ in range(100)]) for _ in range(40)]
+    rows, compared, opened, verify, write = list(enumerate(texts)), [], [], jj._verify, jj.Scratch.write
+    rows.append((40, texts[7] + " more"))
+
+    def noted(pairs, sets):
+        compared.append(pairs.count())
+        return verify(pairs, sets)
+
+    def wrote(self, df, table, *a):
+        out = write(self, df, table, *a)
+        if table == "open":
+            opened.extend(map(tuple, out.select("sig", "node", "label").collect()))
+        return out
+
+    monkeypatch.setattr(jj, "_verify", noted)
+    monkeypatch.setattr(jj.Scratch, "write", wrote)
+    got = jj.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: 7 if i == 40 else i for i in range(41)}
+    assert sum(compared) <= 3
+    groups = defaultdict(set)
+    for sig, node, label in opened:
+        groups[sig, label].add(node)
+    assert len({(label, frozenset(v)) for (_, label), v in groups.items()}) == len(groups)
