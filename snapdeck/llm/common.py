@@ -41,16 +41,20 @@ class Scratch:
 
 
 @contextlib.contextmanager
-def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+def arrow_rows(spark: SparkSession, rows: int, most_bytes: int | None = None) -> Iterator[None]:
     """Rows per Arrow batch while an eager write runs, so that rows with whole
-    texts or packed arrays keep Python's memory bounded."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    old = spark.conf.get(key)
-    spark.conf.set(key, str(rows))
+    texts or packed arrays keep Python's memory bounded; with ``most_bytes`` a batch also ends with the row that reaches them."""
+    new = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows)}
+    if most_bytes:
+        new["spark.sql.execution.arrow.maxBytesPerBatch"] = str(most_bytes)
+    old = {key: spark.conf.get(key) for key in new}
+    for key, value in new.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(key, old)
+        for key, value in old.items():
+            spark.conf.set(key, value)
 
 
 def text_of(col: str = "text") -> Column:

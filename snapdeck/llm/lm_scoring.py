@@ -14,10 +14,11 @@ The batch then scores its whole texts:
 a is an 8-bit code on a logarithmic grid, c and g are exact. A-Z are lower-cased; a text starts
 after a begin mark and finishes with an end token.
 
-Scale: shards follow the input, so what a shard holds stays the same. Frequent
-contexts (``HOT_SHARE`` of all tokens, so 1 / HOT_SHARE of them at most) are split over
-``HOT_SHARDS`` shards by the following word; their list affects routing only. Each batch sends a
-bigram once however often it occurs. No count, vocabulary or model passes the driver.
+Scale: shards follow the input, so what a shard holds stays the same. A context with more
+than one shard's share of all tokens (so fewer of them than shards) is split by the following word
+over as many shards as it holds shares, and these shards are dealt in turn; the list of such contexts
+affects routing only. Each batch sends a bigram once however often it occurs. No vocabulary or
+model passes the driver.
 
 Words are known by 64-bit hashes of their bytes, following words within a
 context by 40 bits.
@@ -34,6 +35,7 @@ import os
 import tempfile
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -46,8 +48,7 @@ from snapdeck.llm.elias_fano import SUCC_BITS, Trie
 BATCH_BYTES = 4 << 20
 SHARD_ITEMS = 600_000
 MU = 8.0
-HOT_SHARE = 0.002
-HOT_SHARDS = 16
+LOOKUP = 1 << 18  # bigrams looked up at once
 GRID = 8.0  # codes 1..255 cover log10 a from -GRID to 0
 _U = np.uint64
 BEGIN, END = mix(np.array([0xB0, 0xE0], _U))
@@ -68,6 +69,14 @@ def dequantise(code: np.ndarray) -> np.ndarray:
     return table[code]
 
 
+class Hot(NamedTuple):
+    """The contexts that are split, by rising hash: the first of each one's shards and how many there are; they lie side by side, past the last one from 0 again."""
+
+    words: np.ndarray
+    first: np.ndarray
+    fan: np.ndarray
+
+
 class Requests:
     """What one batch asks: its distinct words and bigrams with their training counts."""
 
@@ -80,35 +89,29 @@ class Requests:
             train.append(not held_out(i))
         self.lengths = np.array([len(x) for x in seqs])
         self.words, token = np.unique(np.concatenate(seqs), return_inverse=True)
-        self.token = token.astype(np.int64)
+        del seqs
         learn = np.repeat(np.array(train), self.lengths)
-        self.word_train = np.bincount(self.token[learn], minlength=len(self.words))
+        self.word_train = np.bincount(token[learn], minlength=len(self.words))
         ends = np.cumsum(self.lengths)
         inner = np.ones(len(token), bool)
         inner[ends - 1] = False  # the end token is no context
         first = np.flatnonzero(inner)
-        self.pair_doc = np.repeat(np.arange(len(seqs)), self.lengths - 1)
-        keys, self.pair = np.unique((self.token[first] << 32) | self.token[first + 1], return_inverse=True)
+        self.pair_doc = np.repeat(np.arange(len(self.lengths)), self.lengths - 1)
+        keys, self.pair = np.unique((token[first] << 32) | token[first + 1], return_inverse=True)
         self.context, self.follower = keys >> 32, keys & 0xFFFFFFFF
         self.pair_train = np.bincount(self.pair[learn[first]], minlength=len(keys))
 
-    def deal(self, shards: int, hot: dict[int, list[int]]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    def deal(self, shards: int, hot: Hot) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(shard, word indexes, bigram indexes): a hot context goes to all its shards, its bigrams by the following word."""
-        word_to = (self.words % _U(shards)).astype(np.int64)
-        pair_to = word_to[self.context]
-        extra_word, extra_to = [], []
-        for h, to in hot.items():
-            at = int(np.searchsorted(self.words, _U(h)))
-            if at < len(self.words) and self.words[at] == _U(h):
-                to = np.array(to)
-                word_to[at] = to[0]
-                extra_word += [at] * (len(to) - 1)
-                extra_to += to[1:].tolist()
-                lo, hi = np.searchsorted(self.context, [at, at + 1])
-                pair_to[lo:hi] = to[((self.words[self.follower[lo:hi]] >> _U(7)) % _U(len(to))).astype(np.int64)]
-        word = np.concatenate((np.arange(len(self.words)), np.array(extra_word, np.int64)))
-        to = np.concatenate((word_to, np.array(extra_to, np.int64)))
-        bigrams = dict(split_by(pair_to, shards))
+        first, fan = (self.words % _U(shards)).astype(np.int64), np.ones(len(self.words), np.int64)
+        at = np.searchsorted(self.words, hot.words)
+        here = np.flatnonzero(self.words[np.minimum(at, len(self.words) - 1)] == hot.words)
+        at = at[here]
+        first[at], fan[at] = hot.first[here], hot.fan[here]
+        word = np.concatenate((np.arange(len(self.words)), np.repeat(at, fan[at] - 1)))
+        to = np.concatenate((first, *((first[i] + np.arange(1, fan[i])) % shards for i in at)))
+        branch = (self.words[self.follower] >> _U(7)) % fan[self.context].astype(_U)
+        bigrams = dict(split_by((first[self.context] + branch.astype(np.int64)) % shards, shards))
         for shard, i in split_by(to, shards):
             yield shard, np.sort(word[i]), bigrams.get(shard, np.zeros(0, np.int64))
 
@@ -130,12 +133,12 @@ def _parse(data: bytes) -> tuple[np.ndarray, ...]:
     n = np.frombuffer(data, "<u4", w, at)
     at += 4 * w
     raw = np.zeros((p, 8), np.uint8)
-    raw[:, :SUCC_BITS // 8] = np.frombuffer(data, np.uint8, p * (SUCC_BITS // 8), at).reshape(p, -1)
+    raw[:, :SUCC_BITS // 8] = np.frombuffer(data, np.uint8, p * (SUCC_BITS // 8), at).reshape(p, SUCC_BITS // 8)  # p may be 0
     at += p * (SUCC_BITS // 8)
     return words, train, n, raw.view("<u8").ravel(), np.frombuffer(data, "<u4", p, at)
 
 
-def _ask(shards: int, hot: dict[int, list[int]]):
+def _ask(shards: int, hot: Hot):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts:
             for r in b.to_pylist():
@@ -146,7 +149,7 @@ def _ask(shards: int, hot: dict[int, list[int]]):
     return run
 
 
-def _answer(hot: dict[int, list[int]], mu: float):
+def _answer(hot: Hot, mu: float):
     def run(t: pa.Table) -> pa.Table:
         shard = t.column("shard")[0].as_py()
         batches = t.column("batch").to_pylist()
@@ -167,12 +170,13 @@ def _answer(hot: dict[int, list[int]], mu: float):
         try:
             trie.write(path)
             trie = Trie.open(path)
-            code = trie.lookup(contexts[pair_rank], succ)
+            code = np.zeros(len(succ), np.uint8)
+            for k in range(0, len(succ), LOOKUP):
+                code[k:k + LOOKUP] = trie.lookup(contexts[pair_rank[k:k + LOOKUP]], succ[k:k + LOOKUP])
         finally:
             os.unlink(path)
         # a hot context is in several shards; the first of them counts it
-        here = np.array([h not in hot or hot[h][0] == shard for h in contexts.tolist()]) if hot else np.ones(len(contexts), bool)
-        here &= contexts != BEGIN
+        here = (contexts != BEGIN) & ~np.isin(contexts, hot.words[hot.first != shard])
         total, distinct = int(count[here].sum()), int((count[here] > 0).sum())
         out, w, p = [], 0, 0
         for a in asked:
@@ -184,7 +188,7 @@ def _answer(hot: dict[int, list[int]], mu: float):
     return run
 
 
-def _score(shards: int, hot: dict[int, list[int]], mu: float, total: int, distinct: int):
+def _score(shards: int, hot: Hot, mu: float, total: int, distinct: int):
     base = np.log10(total + 0.5 * (distinct + 1))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,34 +215,33 @@ def _score(shards: int, hot: dict[int, list[int]], mu: float, total: int, distin
     return run
 
 
-def _frequent(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per batch its frequent words, and with word null the number of its tokens."""
-    for b in parts:
-        for r in b.to_pylist():
-            texts = unpack_texts(r["lengths"], r["texts"])
-            h, n = np.unique(np.concatenate([np.full(len(texts), BEGIN), *(word_hashes(t) for t in texts)]), return_counts=True)
-            big = np.flatnonzero(n >= HOT_SHARE / 2 * n.sum())
-            yield pa.RecordBatch.from_arrays([pa.array([None, *h[big].astype(np.int64).tolist()], pa.int64()),
-                                              pa.array([int(n.sum()), *n[big].tolist()], pa.int64())], names=["word", "n"])
+def _frequent(share: float):
+    """Per batch its words of at least half that share, and with word null the number of its tokens."""
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in parts:
+            for r in b.to_pylist():
+                texts = unpack_texts(r["lengths"], r["texts"])
+                h, n = np.unique(np.concatenate([np.full(len(texts), BEGIN), *(word_hashes(t) for t in texts)]), return_counts=True)
+                big = np.flatnonzero(n >= share / 2 * n.sum())
+                yield pa.RecordBatch.from_arrays([pa.array([None, *h[big].astype(np.int64).tolist()], pa.int64()),
+                                                  pa.array([int(n.sum()), *n[big].tolist()], pa.int64())], names=["word", "n"])
+    return run
 
 
-def hot_contexts(batches: DataFrame, shards: int) -> dict[int, list[int]]:
-    """The shards of each frequent context; at most 2 / HOT_SHARE words are counted for a batch, 1 / HOT_SHARE are returned."""
-    seen = batches.select("lengths", "texts").mapInArrow(_frequent, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    total = F.max(F.when(F.col("word").isNull(), F.col("n"))).over(_everything())
-    rows = seen.orderBy(F.col("n").desc()).limit(int(2 / HOT_SHARE) + 1).select("word", "n", total.alias("all")).collect()
-    out = {}
-    for word, n, everything in rows:
-        if word is not None and n >= HOT_SHARE * everything:
-            h = word % (1 << 64)
-            to = (mix(np.uint64(h) + np.arange(HOT_SHARDS, dtype=_U)) % _U(shards)).astype(np.int64)
-            out[h] = list(dict.fromkeys(to.tolist()))
-    return out
+def hot_contexts(batches: DataFrame, shards: int) -> Hot:
+    """The contexts found to hold more than 1 / ``shards`` of all tokens and their shards. A batch counts 2 * ``shards`` words at
+    most, and what batches leave out of a context is below half such a share."""
+    seen = batches.select("lengths", "texts").mapInArrow(_frequent(1 / shards), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    rows = seen.orderBy(F.col("n").desc(), "word").limit(shards + 1).collect()  # that many can hold so much, and the row of all tokens
+    everything = max((r.n for r in rows), default=0)
+    return deal_shards([(r.word % (1 << 64), -(-r.n * shards // everything)) for r in rows if r.word is not None and r.n * shards > everything], shards)
 
 
-def _everything():
-    from pyspark.sql import Window
-    return Window.partitionBy(F.lit(1))
+def deal_shards(fans: list[tuple[int, int]], shards: int) -> Hot:
+    """Shards for (context, number of shards), taken in turn so that none gets many more of them than another."""
+    words, fan = np.array([h for h, _ in fans], _U), np.minimum(np.array([k for _, k in fans], np.int64), shards)
+    order = np.argsort(words)
+    return Hot(words[order], ((np.cumsum(fan) - fan) % shards)[order], fan[order])
 
 
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = BATCH_BYTES, mu: float = MU) -> DataFrame:
@@ -247,12 +250,14 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
     s = Scratch(spark, "lm-scoring")
     batches = write_batches(docs, s, "batches", id_col, text_col, batch_bytes, lower=True)
     shards = max(1, -(-batches.count() * (batch_bytes // 8) // SHARD_ITEMS))
-    with arrow_rows(spark, 1):
+    # the rows of shards are many and small, those of batches some MB and scored one by one
+    with arrow_rows(spark, 200, BATCH_BYTES):
         hot = hot_contexts(batches, shards)
         answers = (batches.mapInArrow(_ask(shards, hot), "batch long, shard long, payload binary")
                    .groupBy("shard").applyInArrow(_answer(hot, mu), "batch long, shard long, payload binary, tokens long, types long"))
         answers = s.write(answers, "answers", compression="zstd")
         total, distinct = answers.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()
+    with arrow_rows(spark, 1):
         by_batch = answers.groupBy("batch").agg(F.collect_list(F.struct("shard", "payload")).alias("answers"))
         out = s.write(batches.join(by_batch, "batch").select("ids", "lengths", "texts", "answers")
                       .mapInArrow(_score(shards, hot, mu, total, distinct),

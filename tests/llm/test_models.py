@@ -13,7 +13,7 @@ import pytest
 
 from snapdeck.llm import jaccard_join as j
 from snapdeck.llm.elias_fano import SUCC_BITS, EliasFano, Trie
-from snapdeck.llm.lm_scoring import GRID, MU, lm_scores
+from snapdeck.llm.lm_scoring import GRID, MU, Requests, _parse, lm_scores
 from snapdeck.llm.packing import best_fit, pack
 from snapdeck.llm.quality import NAMES, TEMPERATURE, Model, classify, features, fit_moments, keep_good
 from snapdeck.llm.queries import QUERIES
@@ -261,6 +261,24 @@ def test_lm_scores(spark, size):
     same_scores(got, brute_lm(rows))
 
 
+def lm_rows():
+    rnd = random.Random(2)
+    return [(i, " ".join(f"w{int(rnd.expovariate(0.1))}" for _ in range(rnd.randint(0, 80)))) for i in range(120)] + [(200, None), (201, ""), (202, "Lone"), (None, "W1 w2 end")]
+
+
+def test_lm_scores_over_many_shards(spark, monkeypatch):
+    """Shards of which a batch asks words without bigrams: its end token, and a frequent context's other shards."""
+    monkeypatch.setattr("snapdeck.llm.lm_scoring.SHARD_ITEMS", 10)
+    rows = lm_rows()
+    same_scores(lm_scores(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), batch_bytes=2000).collect(), brute_lm(rows))
+
+
+def test_lm_payload_without_bigrams():
+    q = Requests([1], [b"a b"])
+    words, train, n, succ, pair_train = _parse(q.payload(np.array([2]), np.zeros(0, np.int64)))
+    assert (words.tolist(), n.tolist(), len(succ), len(pair_train)) == ([int(q.words[2])], [0], 0, 0) and train.tolist() == [q.word_train[2]]
+
+
 def test_lm_query_over_the_whole_table(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     assert any(re.search("[A-Z]", t or "") for _, t in rows)
